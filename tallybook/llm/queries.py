@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
 from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
@@ -45,8 +47,19 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op9_mpeg_audio)}
+    return {f.__name__: f for f in (op6_exact_dedup, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
