@@ -5,13 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
 from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
+from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda span: span["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, STRONG), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _op1_sql() -> str:
+    """Positions from the gaps between matches; the interval join as an existence test within each document."""
+    quoted = {k: v[1].replace("'", "''") for k, v in (STRONG | WEAK).items()}
+
+    def rows(kind: str, rank: int) -> str:
+        role, _, _, least, group = (STRONG | WEAK)[kind]
+        rx = quoted[kind]
+        return f"""SELECT doc_id, '{role}' AS role, '{kind}' AS kind, {rank} AS rank, s AS start, s + size AS stop FROM (
+  SELECT doc_id, length(v) AS value, length(m) AS size,
+    CAST(sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS s
+  FROM (SELECT doc_id, unnest(string_split_regex(text, '{rx}')) AS g, unnest(regexp_extract_all(text, '{rx}', 0)) AS m,
+          unnest(regexp_extract_all(text, '{rx}', {group})) AS v, generate_subscripts(string_split_regex(text, '{rx}'), 1) AS i FROM t)
+  WHERE m IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE value >= {least}"""
+
+    parts = " UNION ALL ".join(rows(k, i) for i, k in enumerate(KINDS))
+    names = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)
+    text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), raw AS ({parts}),
+parts AS (SELECT * FROM raw w WHERE kind <> 'weak' OR NOT EXISTS (
+  SELECT 1 FROM raw a WHERE a.doc_id = w.doc_id AND a.kind = 'assign' AND a.start < w.stop AND w.start < a.stop)),
+linked AS (SELECT * FROM parts w WHERE rank < {len(STRONG)} OR EXISTS (
+  SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND (w.role = 'secret') <> (p.role = 'secret')
+    AND p.start <= w.stop + {REACH} AND p.stop >= w.start - {REACH} AND abs(p.start // {REACH} - w.start // {REACH}) <= 1)),
+a AS (SELECT doc_id, {names}, {text} FILTER (rank < {len(STRONG)}) AS base, {text} AS spans FROM linked GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (doc_id)"""
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +98,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op6_exact_dedup, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op6_exact_dedup": OP6_SQL}
