@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
 from tallybook.llm.exact_dedup import exact_dedup
+from tallybook.llm.language_id import fit, fold_of, identify
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
 from tallybook.llm.packing import pack_documents
 from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
@@ -69,6 +70,12 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False))
+    model = fit(docs.where(fold_of("doc_id", 3) != 1))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_audio(store_as_audio(documents(spark, sf_dir)))
     payload = F.col("audio.payload")
@@ -103,7 +110,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op6_exact_dedup, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
