@@ -12,6 +12,7 @@ from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
 from tallybook.llm.exact_dedup import exact_dedup
 from tallybook.llm.language_id import fit, fold_of, identify
+from tallybook.llm.minhash import near_duplicates
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
 from tallybook.llm.packing import pack_documents
 from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
@@ -55,6 +56,10 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)}, sha2
 FROM t LEFT JOIN a USING (doc_id)"""
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -110,7 +115,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
