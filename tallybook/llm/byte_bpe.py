@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import checkpointed, id_and_text, shuffle_partitions
+from tallybook.llm.common import id_and_text, shuffle_partitions
 
 #: Words of a chunk, at which it is closed; a document is never split, so a chunk may exceed this by one document.
 CHUNK_WORDS = 4_000_000
@@ -104,6 +105,12 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return docs.mapInArrow(split, PACKED)
 
 
+def words_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of words, without the documents' rows."""
+    for batch in batches:
+        yield batch.filter(pc.greater_equal(batch["bucket"], 0)).select(["chunk", "bucket", "words"])
+
+
 def encode_words(words: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """chunk, bucket, counts and ids of its words in the order sent; each distinct word of a bucket is encoded once."""
     kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())])
@@ -127,7 +134,7 @@ def reassemble(streams: DataFrame, replies: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def join(sent: pa.Table, came: pa.Table) -> pa.Table:
-        came = came.sort_by("bucket")
+        came, sent = came.sort_by("bucket"), sent.filter(pc.equal(sent["bucket"], -1))
         none = [np.zeros(0, np.uint32)]
         counts = np.concatenate([unpack(x.as_py()) for x in came["counts"]] or none).astype(np.int64)
         pool = np.concatenate([unpack(x.as_py()) for x in came["ids"]] or none).astype(np.int32)
@@ -154,13 +161,13 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     """doc_id and ids (array<int>) of every text, by the ranks in the file `vocabulary` (present on every executor).
 
     No special tokens. Null and empty texts give an empty array. There is one row per input row, so repeated rows and
-    null ids come back as often as they came; an empty table gives an empty result. The packed words are written to
-    the checkpoint folder once, because both sides of the join read them.
+    null ids come back as often as they came; an empty table gives an empty result. The chunks are dealt out once and
+    read twice (a filter in place of words_alone would move below the exchange, so that it could not be shared).
     """
     buckets = shuffle_partitions(docs.sparkSession)
-    packed = checkpointed(split_words(id_and_text(docs, id_col, text_col), pattern, buckets))
-    replies = encode_words(packed.where("bucket >= 0").select("chunk", "bucket", "words"), vocabulary, pattern)
-    return reassemble(packed.where("bucket < 0").select("chunk", "doc_ids", "sizes", "words", "codes"), replies)
+    packed = split_words(id_and_text(docs, id_col, text_col), pattern, buckets).repartition(buckets, "chunk")
+    replies = encode_words(packed.mapInArrow(words_alone, "chunk long, bucket int, words binary"), vocabulary, pattern)
+    return reassemble(packed, replies)
 
 
 @lru_cache(2)
