@@ -16,6 +16,7 @@ from tallybook.llm.minhash import near_duplicates
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
 from tallybook.llm.packing import pack_documents
 from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
+from tallybook.llm.suffix_dedup import remove_repeats
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,13 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), percent=85)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -115,7 +123,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
