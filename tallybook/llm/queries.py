@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.llm import quality
 from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
 from tallybook.llm.exact_dedup import exact_dedup
@@ -89,6 +90,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.where(fold_of("doc_id", 4) != 2), labels.where(fold_of("doc_id", 4) != 2))
+    return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_audio(store_as_audio(documents(spark, sf_dir)))
     payload = F.col("audio.payload")
@@ -123,7 +131,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op5_packing, op6_exact_dedup, op7_language_id, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op5_packing, op6_exact_dedup, op7_language_id, op8_quality, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
