@@ -2,14 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tallybook.llm import language_id
+from tallybook.llm.exact_dedup import drop_exact_copies
+from tallybook.llm.minhash import drop_near_copies
+from tallybook.llm.packing import pack_documents
+from tallybook.llm.secret_scan import redact_secrets
 
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models recognise; lang becomes the predicted one.
+
+    The models are fitted on the labelled documents of this stage's input. A document goes if it has no letter, or if
+    its text is far from what its best language's texts look like.
+    """
+    found = language_id.identify(docs, language_id.fit(docs)).where("not rejected")
+    return found.withColumn("lang", found["lang_pred"]).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_copies(docs)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return drop_near_copies(docs, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets, and weak ones that complementary parts confirm, masked in the text."""
+    return redact_secrets(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("exact_dedup", drop_copies),
+    ("minhash_dedup", drop_similar),
+    ("secret_scan", mask_secrets),
+    ("packing", pack),
+]
+
+#: Language models and token packing have no SQL form; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' functions applied to `documents`, one after another."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
