@@ -186,7 +186,7 @@ def build(df: DataFrame, table: Table, period: Period) -> DataFrame:
     if table.pivot:
         return pivoted(full, table)
     full = derived(full, table.derive, default_order(table, full.columns))
-    order = default_order(table, full.columns) or [F.lit(0)]
+    order = default_order(table, full.columns) or [F.monotonically_increasing_id()]
     if table.top is None:
         return full.orderBy(*order)
     top = full.orderBy(*order).limit(table.top)
