@@ -10,10 +10,12 @@ than a rank and a lookup in the plan, whose size depends on the window alone.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from tokenizers import Tokenizer
 from tallybook.llm.common import checkpointed, id_and_text
 
 #: Words whose ids a Python worker remembers, and texts that it tokenises at once.
-REMEMBERED, BATCH = 400_000, 128
+REMEMBERED, BATCH = 1_000_000, 128
 #: Ranks are counted within so many parts of a length, so that one length that most documents share is not one task.
 SALTS = 64
 
@@ -36,28 +38,47 @@ def load(vocabulary: str) -> Tokenizer:
     return tokenizer
 
 
+#: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for code points from 256.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Words:
     """Ids of white-space-delimited words, each tokenised once while it is remembered.
 
     The tokenizer drops white space and lets no token cross it, and it folds case; so a text's ids are its words' ids
     in order. Bytes are used, as their lower() folds ASCII letters only and their split() parts at ASCII white space.
+    A word of letters with marks behind is its letters and its marks. Letters of the Latin blocks go straight to the
+    merges, in the byte-level alphabet; all else goes through the whole tokenizer.
     """
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = load(vocabulary)
+        self.merges = self.tokenizer.model.tokenize
         self.ids: dict[bytes, bytes] = {}
 
+    def encode_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text and is_normalized("NFC", text)):
+            ids = [t.id for t in self.merges(text if text.isascii() else "".join(map(ALPHABET.__getitem__, text.lower().encode())))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.ids) + len(words) > REMEMBERED:
             self.ids = {}
-        new = words.difference(self.ids)
-        # a word of letters and one mark is its letters and the mark; the letters are often known
-        stems = {w: (w[:-1], w[-1:]) for w in new if len(w) > 1 and w[-1:] in (b",", b".") and w[:-1].isalpha()}
-        ask = sorted({x for w in new for x in stems.get(w, (w,))}.difference(self.ids))
-        for word, found in zip(ask, self.tokenizer.encode_batch_fast([w.decode() for w in ask], add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(found.ids, "<u4").tobytes()
-        for word, (stem, mark) in stems.items():
-            self.ids[word] = self.ids[stem] + self.ids[mark]
+        known = self.ids
+        for word in words.difference(known):
+            stem = word.rstrip(MARKS)
+            if stem and len(stem) < len(word) and stem.decode().isalpha():
+                for part in (stem, marks := word[len(stem) :]):
+                    if part not in known:
+                        known[part] = self.encode_word(part)
+                known[word] = known[stem] + known[marks]
+            else:
+                known[word] = self.encode_word(word)
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         self.learn(set().union(*texts))
@@ -78,9 +99,6 @@ def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) ->
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, end = words_of(vocabulary), np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
