@@ -105,11 +105,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joinable = (F.size("_weak_parts") > 0) & (F.size("base") + F.size("_weak_parts") > 1)
     key = F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(text_col).cast("string"), F.length(text).cast("string"))
     some = rows.where(joinable).withColumn("_key", key)
-    linked = linked_spans(some.select(F.col("_key").alias("key"), "base", F.col("_weak_parts").alias("weak")))
-    spans = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))).alias("spans")
+    linked = linked_spans(some.select(F.col("_key").alias("key"), "base", F.col("_weak_parts").alias("weak"))).select(F.col("key").alias("_linked_key"), F.col("linked").alias("_linked"))
+    spans = F.array_sort(F.concat("base", F.coalesce("_linked", F.array().cast(SPAN)))).alias("spans")
     kept = [F.col(f"`{c}`") for c in rows.columns if c != "_weak_parts"]
     without = rows.where(~joinable).select(*kept, F.col("base").alias("spans"))
-    return without.unionByName(some.join(linked, F.col("_key") == F.col("key"), "left").select(*kept, spans))
+    return without.unionByName(some.join(linked, F.col("_key") == F.col("_linked_key"), "left").select(*kept, spans))
 
 
 def listed(spans: str) -> Column:
