@@ -16,6 +16,10 @@ ORDER = 4
 SPACE = 32
 #: Documents of each language, about, from which models are fitted; chosen by a hash of the id, whole texts.
 TRAIN_DOCS = 2000
+#: Share of the sample that gives the counts.
+FITTED = 0.75
+#: More labels than this are refused, as their models would not fit in one broadcast.
+MOST_LANGUAGES = 500
 #: Characters of a text's evidence that count for the score; beyond them every text would score 1.
 EVIDENCE = 40
 #: A text is rejected if its best cross-entropy exceeds the language's usual one by so many deviations, the last as
@@ -179,13 +183,19 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Models of the languages in labelled (doc_id, text, lang; rows with a null are left out).
 
     Fitted on a bounded sample: about train_docs whole documents of each language, those whose hashed id is below
-    train_docs / (documents of the language). The cross-entropies' usual values and spread come from the same sample.
+    train_docs / (documents of the language). FITTED of them give the counts, the rest the usual cross-entropies and
+    their spread; a language without such a rest rejects nothing.
     """
     labelled = labelled.select("doc_id", "text", "lang").na.drop()
-    total = labelled.groupBy("lang").count()
+    totals = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not totals:
+        return Model([], [], [], 0.0, np.zeros(0), np.zeros(0))
+    total = F.create_map(*(F.lit(x) for row in totals for x in row))[F.col("lang")]
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) / 1_000_000
-    sample = labelled.join(total, "lang").where(share < F.lit(train_docs) / F.col("count")).select("text", "lang")
-    counts = gram_counts(sample).toPandas()
+    bound = F.least(F.lit(1.0), F.lit(train_docs) / total)
+    counts = gram_counts(labelled.where(share < FITTED * bound).select("text", "lang")).toPandas()
     if counts.empty:
         return Model([], [], [], 0.0, np.zeros(0), np.zeros(0))
     model = estimate(counts)
@@ -199,7 +209,8 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                 own = h[np.arange(len(h)), [shared.value.languages.index(x) for x in batch["lang"].to_pylist()]]
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(own), pa.array(letters)], ["lang", "h", "letters"])
 
-    usual = sample.mapInArrow(measure, "lang string, h double, letters long").where(f"letters >= {SHORT}").groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).toPandas().set_index("lang")
+    rest = labelled.where((share >= FITTED * bound) & (share < bound)).select("text", "lang")
+    usual = rest.mapInArrow(measure, "lang string, h double, letters long").where(f"letters >= {SHORT}").groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).toPandas().set_index("lang")
     model.usual = np.array([usual["mean"].get(x, 0.0) for x in model.languages])
     model.spread = np.array([max(usual["sd"].get(x, np.inf), 0.05) for x in model.languages])
     return model
