@@ -168,7 +168,7 @@ def python_table(df: DataFrame, function: Callable, schema: str, most_rows: int
     rows = df.limit(most_rows + 1).count()
     if rows > most_rows:
         raise ValueError(f"more than {most_rows} rows for a whole-table function")
-    return df.coalesce(1).groupBy(F.lit(1)).applyInPandas(function, schema)
+    return df.groupBy().applyInPandas(function, schema)
 
 
 def anchored(period: Period) -> date:

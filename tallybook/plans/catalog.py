@@ -597,11 +597,11 @@ def shaping_heat(spark, d):
     return _rounded(shaping.heat(orders(spark, d), "o_totalprice").select("o_orderkey", "heat"))
 
 
-@query("WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT month, round(v / 1000, 4) AS v, round(v / 1000 - lag(v / 1000) OVER (ORDER BY month), 4) AS v_change, round((v / 1000) / lag(v / 1000) OVER (ORDER BY month) - 1, 6) AS v_change_pct FROM m")
+@query("WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT month, round(v / 1000, 6) AS v, round(v / 1000 - lag(v / 1000) OVER (ORDER BY month), 6) AS v_change, round((v / 1000) / lag(v / 1000) OVER (ORDER BY month) - 1, 6) AS v_change_pct FROM m")
 def shaping_change(spark, d):
     m = orders(spark, d).groupBy(Key("o_orderdate", "month", "month").build()).agg(F.sum("o_totalprice").alias("v"))
     out = shaping.with_change(shaping.scaled(m, "v", "thousand"), "v", ["month"])
-    return out.select("month", F.round("v", 4).alias("v"), F.round("v_change", 4).alias("v_change"), F.round("v_change_pct", 6).alias("v_change_pct"))
+    return out.select("month", F.round("v", 6).alias("v"), F.round("v_change", 6).alias("v_change"), F.round("v_change_pct", 6).alias("v_change_pct"))
 
 
 # --- streaming extension, as batches -------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ HEAD_BYTES, HEAD_ROWS = 256 * 1024, 30
 
 @dataclass(frozen=True)
 class Layout:
-    """How to read a file: encoding, delimiter, lines above the header, and its names."""
+    """How to read a file: encoding, delimiter, records above the header, and its names."""
 
     encoding: str
     delimiter: str
@@ -90,7 +90,7 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     lines = lines[:-1] if len(head) == HEAD_BYTES else lines
     filled = [x for x in lines if x.strip()]
     delimiter = delimiter_of(filled[:HEAD_ROWS])
-    rows = [split_line(x, delimiter) for x in lines[:HEAD_ROWS]]
+    rows = [split_line(x, delimiter) for x in filled[:HEAD_ROWS]]  # blank lines are no records to Spark either
     at = header_row(rows) if rows else 0
     names = rows[at] if rows else []
     if names and not names[-1].strip():  # a delimiter at the line's end
