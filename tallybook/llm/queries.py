@@ -16,6 +16,8 @@ from tallybook.llm.language_id import fit, fold_of, identify
 from tallybook.llm.minhash import near_duplicates
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
 from tallybook.llm.packing import pack_documents
+from tallybook.llm.pseudonyms import KINDS as PII_KINDS
+from tallybook.llm.pseudonyms import pseudonymise
 from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
 from tallybook.llm.suffix_dedup import remove_repeats
 
@@ -69,6 +71,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("replaced", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    spans = F.concat_ws(",", F.transform("replaced", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("doc_id", *map(count, PII_KINDS), (F.size("replaced") > 0).alias("changed"), spans.alias("spans"), "text")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -131,7 +143,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op5_packing, op6_exact_dedup, op7_language_id, op8_quality, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op4_pii, op5_packing, op6_exact_dedup, op7_language_id, op8_quality, op9_mpeg_audio, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
