@@ -22,9 +22,9 @@ FITTED = 0.75
 MOST_LANGUAGES = 500
 #: Characters of a text's evidence that count for the score; beyond them every text would score 1.
 EVIDENCE = 40
-#: A text is rejected if its best cross-entropy exceeds the language's usual one by so many deviations, the last as
-#: wide as a text of so many letters has them; and never if it has fewer letters than that.
-DEVIATIONS, SHORT = 8.0, 40
+#: A text is rejected if its best cross-entropy exceeds the language's usual one by more than so many deviations, which
+#: are wider for texts of fewer than USUAL symbols; and never if it has fewer letters than SHORT.
+DEVIATIONS, USUAL, SHORT = 15.0, 400, 40
 BATCH = 64
 
 
@@ -242,7 +242,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     at = h.argmin(1)
                     best = h[np.arange(len(h)), at]
                     score = np.where(letters > 0, 1 / np.exp(-(h - best[:, None]) * np.minimum(n, EVIDENCE)[:, None]).sum(1), 0.0)
-                    out = (letters == 0) | (letters >= SHORT) & (best > m.usual[at] + DEVIATIONS * m.spread[at])
+                    wide = np.sqrt(np.maximum(1, USUAL / np.maximum(n, 1)))
+                    out = (letters == 0) | (letters >= SHORT) & (best > m.usual[at] + DEVIATIONS * m.spread[at] * wide)
                     lang = [m.languages[k] if c else "und" for k, c in zip(at.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(best), pa.array(out)], [*batch.schema.names, *names])
 
