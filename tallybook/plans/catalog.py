@@ -12,7 +12,7 @@ from tallybook.functions import formulas
 from tallybook.functions.aggregates import Aggregate, Key
 from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
-from tallybook.operators import datasets, joins, metrics, shaping, steps
+from tallybook.operators import datasets, diagnostics, joins, metrics, shaping, steps
 from tallybook.operators.datasets import Compare, Derive, Table
 from tallybook.sources import history, parsing, profile
 from tallybook.streaming import arrivals
@@ -134,6 +134,14 @@ _dedupe("max", f"l_extendedprice DESC NULLS LAST, {NEWEST}", keep="max", column=
 _dedupe("min", f"l_extendedprice ASC NULLS LAST, {NEWEST}", keep="min", column="l_extendedprice")
 
 
+@query(f"SELECT {LINE_PICK} FROM lineitem WHERE l_shipdate >= DATE '1997-10-01' AND l_shipdate < DATE '1998-04-01' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {NEWEST}) = 1 AND l_shipdate >= DATE '1998-01-01'")
+def dedupe_depth(spark, d):
+    """The quarter's lines without those that a newer one replaces, searched back over one more quarter."""
+    start, stop = span_of("quarter_to_date", MARCH)
+    searched = lines(spark, d).where(within("l_shipdate", (Period.containing(start, "quarter").shift(-1).start, stop)))
+    return steps.dedupe(searched, ["l_orderkey", "l_linenumber"], newest=LINE_ORDER).where(within("l_shipdate", (start, stop))).select(*LINE_PICK.split(", "))
+
+
 @query("SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders")
 def dedupe_all(spark, d):
     rows = orders(spark, d).select("o_custkey", "o_orderstatus", "o_orderpriority")
@@ -223,6 +231,14 @@ _formula("levenshtein", "CAST(levenshtein(o_orderpriority, '1-URGENT') AS BIGINT
 _formula("make_date", "make_date(CAST(year(o_orderdate) AS INT), 1, 15)", "make_date(year(o_orderdate), 1, 15)")
 
 
+_formula("like", "o_orderpriority LIKE '%-U%' OR o_orderpriority NOT LIKE '_-%'", "o_orderpriority LIKE '%-U%' OR o_orderpriority NOT LIKE '_-%'")
+_formula("contains", "contains(o_orderpriority, 'GH') AND startswith(o_orderpriority, '2') AND endswith(o_orderpriority, 'H')", "contains(o_orderpriority, 'GH') AND starts_with(o_orderpriority, '2') AND ends_with(o_orderpriority, 'H')")
+_formula("logarithms", "round(log10(o_totalprice) + ln(o_totalprice) + log(2, o_totalprice) + exp(o_custkey % 3), 9)", "round(log10(o_totalprice) + ln(o_totalprice) + log2(o_totalprice) + exp(o_custkey % 3), 9)")
+_formula("time_of_day", "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT)", "CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS BIGINT)", "events", "event_id")
+_formula("days_between", "CAST(datediff(ts, DATE '2024-01-01') AS BIGINT)", "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))", "events", "event_id")
+_formula("strptime", "CAST(to_timestamp(date_format(o_orderdate, 'dd/MM/yyyy'), 'dd/MM/yyyy') AS DATE)", "CAST(strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y') AS DATE)")
+
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
@@ -577,6 +593,30 @@ def python_batches(spark, d):
     return steps.python_batches(rows, lambda b: b.assign(doubled=b.o_totalprice * 2)[["o_orderkey", "doubled"]], "o_orderkey long, doubled double")
 
 
+# --- diagnostics ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH u AS (SELECT *, year(o_orderdate) AS seq FROM orders) SELECT count(*) AS rows_before, count(*) FILTER (o_totalprice > 400000) AS rows_after,
+coalesce(bool_or(o_totalprice > 400000) FILTER (seq = (SELECT max(seq) FROM u)), false) AS newest_has_rows FROM u""")
+def diagnose_filter(spark, d):
+    """Orders as yearly uploads: what a filter leaves, and whether it leaves anything of the newest upload."""
+    uploads = orders(spark, d).withColumn("_upload_seq", F.year("o_orderdate"))
+    return diagnostics.filter_effect(uploads, "o_totalprice > 400000")
+
+
+@query("SELECT count(*) FILTER (o_orderkey % 10 = 0) AS price, count(*) AS priority FROM orders")
+def diagnose_casts(spark, d):
+    text = orders(spark, d).select(F.when(F.col("o_orderkey") % 10 != 0, F.format_string("%.2f", "o_totalprice")).otherwise("n/a").alias("price"), F.col("o_orderpriority").alias("priority"))
+    return diagnostics.cast_losses(text, {"price": "float", "priority": "date"})
+
+
+@query("WITH u AS (SELECT *, year(o_orderdate) AS seq FROM orders) SELECT o_orderpriority || seq AS label FROM u GROUP BY 1 HAVING min(seq) = (SELECT max(seq) FROM u) ORDER BY 1 LIMIT 5")
+def diagnose_newest_values(spark, d):
+    """Values of the newest yearly upload alone, five at most."""
+    uploads = orders(spark, d).select(F.concat("o_orderpriority", F.year("o_orderdate").cast("string")).alias("label"), F.year("o_orderdate").alias("_upload_seq"))
+    return profile.newest_only_values(uploads, "label")
+
+
 # --- shaping -------------------------------------------------------------------------------------------------------
 
 
