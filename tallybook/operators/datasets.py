@@ -108,11 +108,11 @@ def compared(current: DataFrame, df: DataFrame, table: Table, period: Period) ->
 
 def derived(df: DataFrame, steps: Sequence[Derive], order: Sequence[Column]) -> DataFrame:
     """Shares of the whole, running sums in sort order, ranks with gaps, and formulas, in the order given."""
-    whole = Window.partitionBy()
     for d in steps:
         x = F.col(d.column) if d.column else None
         if d.kind == "share":
-            df = df.withColumn(d.name, formulas.safe_ratio(x, F.sum(x).over(whole)))
+            total = df.agg(F.sum(x).alias("_total"))  # one row: no table-wide window
+            df = df.join(F.broadcast(total), F.lit(True)).withColumn(d.name, formulas.safe_ratio(x, F.col("_total"))).drop("_total")
         elif d.kind == "cumsum":
             df = df.withColumn(d.name, F.when(x.isNotNull(), F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))))
         elif d.kind == "rank":
