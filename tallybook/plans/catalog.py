@@ -243,10 +243,10 @@ _formula("strptime", "CAST(to_timestamp(date_format(o_orderdate, 'dd/MM/yyyy'),
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").where("c_custkey % 3 <> 0")
+    return table(spark, d, "customer").where("c_acctbal > 0")
 
 
-CUSTOMERS = "(SELECT * FROM customer WHERE c_custkey % 3 <> 0)"
+CUSTOMERS = "(SELECT * FROM customer WHERE c_acctbal > 0)"
 for _how in ("left", "inner", "full"):
 
     def _run(spark, d, how=_how):
@@ -256,7 +256,7 @@ for _how in ("left", "inner", "full"):
     query(f"SELECT {'coalesce(o_custkey, c_custkey) AS ' if _how == 'full' else ''}o_custkey, o_orderkey, c_name, c_acctbal FROM orders {_how} JOIN {CUSTOMERS} ON o_custkey = c_custkey")(_run)
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def join_semi(spark, d):
     return joins.join(orders(spark, d), _customers(spark, d), {"o_custkey": "c_custkey"}, "semi").select("o_orderkey", "o_custkey")
 
@@ -497,14 +497,14 @@ _sql("q1", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quan
 _sql("q5", "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 
 
-# --- histories: three uploads by a modulus of the key --------------------------------------------------------------
+# --- histories: three overlapping uploads --------------------------------------------------------------------------
 
 
 def _uploads(spark: SparkSession, d: str, policy: str) -> list[tuple[DataFrame, Period | None, str]]:
-    """Orders as three uploads: all of 1997, then March to June 1997 anew with part of the keys, then May 1997."""
+    """Orders as three uploads: all of 1997, then March to June 1997 anew without pending ones, then the finished ones of May 1997."""
     rows = orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     parts = []
-    for seq, (span, keep) in enumerate((("1997-01-01..1997-12-31", "true"), ("1997-03-01..1997-06-30", "o_orderkey % 4 <> 0"), ("1997-05", "o_orderkey % 3 = 0")), 1):
+    for seq, (span, keep) in enumerate((("1997-01-01..1997-12-31", "true"), ("1997-03-01..1997-06-30", "o_orderstatus <> 'P'"), ("1997-05", "o_orderstatus = 'F'")), 1):
         p = Period.parse(span)
         part = rows.where(within("o_orderdate", (p.start, p.stop))).where(keep)
         changed = part.withColumn("o_totalprice", F.col("o_totalprice") + seq)
@@ -514,8 +514,8 @@ def _uploads(spark: SparkSession, d: str, policy: str) -> list[tuple[DataFrame,
 
 HISTORY = """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM orders), u AS (
 SELECT o.* REPLACE (o_totalprice + 1 AS o_totalprice), 1 AS seq FROM o WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1998-01-01' UNION ALL
-SELECT o.* REPLACE (o_totalprice + 2 AS o_totalprice), 2 FROM o WHERE o_orderdate >= DATE '1997-03-01' AND o_orderdate < DATE '1997-07-01' AND o_orderkey % 4 <> 0 UNION ALL
-SELECT o.* REPLACE (o_totalprice + 3 AS o_totalprice), 3 FROM o WHERE o_orderdate >= DATE '1997-05-01' AND o_orderdate < DATE '1997-06-01' AND o_orderkey % 3 = 0)
+SELECT o.* REPLACE (o_totalprice + 2 AS o_totalprice), 2 FROM o WHERE o_orderdate >= DATE '1997-03-01' AND o_orderdate < DATE '1997-07-01' AND o_orderstatus <> 'P' UNION ALL
+SELECT o.* REPLACE (o_totalprice + 3 AS o_totalprice), 3 FROM o WHERE o_orderdate >= DATE '1997-05-01' AND o_orderdate < DATE '1997-06-01' AND o_orderstatus = 'F')
 SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM u"""
 for _policy, _rest in (
     ("append", ""),
@@ -542,12 +542,14 @@ def history_rows_outside(spark, d):
     return history.rows_outside(orders(spark, d), "o_orderdate", MARCH)
 
 
-@query("""WITH s AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS start, CAST(max(o_orderdate) AS DATE) AS stop FROM orders WHERE o_custkey % 50 = 0 GROUP BY o_custkey),
+@query("""WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 1 AS stop FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000),
 m AS (SELECT *, CASE WHEN start <= max(stop) OVER (ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
 i AS (SELECT *, sum(fresh) OVER (ORDER BY start, stop) AS island FROM m) SELECT min(start) AS start, max(stop) AS stop FROM i GROUP BY island""")
 def history_coverage(spark, d):
-    spans = orders(spark, d).where("o_custkey % 50 = 0").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("stop"))
-    return history.covered_days(spans.select("start", "stop"), "start", "stop")
+    """Runs of days with a large urgent order."""
+    day = F.col("o_orderdate").cast("date")
+    spans = orders(spark, d).where("o_orderpriority = '1-URGENT' AND o_totalprice > 150000").select(day.alias("start"), F.date_add(day, 1).alias("stop")).distinct()
+    return history.covered_days(spans, "start", "stop")
 
 
 # --- ingest, profiles, samples -------------------------------------------------------------------------------------
@@ -565,10 +567,10 @@ def profile_most_common(spark, d):
     return profile.most_common(lines(spark, d), "l_returnflag")
 
 
-@query("SELECT o_orderkey, o_totalprice AS price, o_orderkey % 10 <> 0 AS readable FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice END AS o_totalprice FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS price, o_orderpriority <> '5-LOW' AS readable FROM orders")
 def ingest_typed(spark, d):
-    """Text with junk in every tenth row: typed values, and whether the row was readable."""
-    text = orders(spark, d).select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.format_string("%.2f", "o_totalprice")).otherwise("n/a").alias("price"))
+    """Text with junk in rows of low priority: typed values, and whether the row was readable."""
+    text = orders(spark, d).select("o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.format_string("%.2f", "o_totalprice")).otherwise("n/a").alias("price"))
     return parsing.typed(text, {"price": "float"}).select("o_orderkey", "price", (F.size("_errors") == 0).alias("readable"))
 
 
@@ -604,9 +606,9 @@ def diagnose_filter(spark, d):
     return diagnostics.filter_effect(uploads, "o_totalprice > 400000")
 
 
-@query("SELECT count(*) FILTER (o_orderkey % 10 = 0) AS price, count(*) AS priority FROM orders")
+@query("SELECT count(*) FILTER (o_orderpriority = '5-LOW') AS price, count(*) AS priority FROM orders")
 def diagnose_casts(spark, d):
-    text = orders(spark, d).select(F.when(F.col("o_orderkey") % 10 != 0, F.format_string("%.2f", "o_totalprice")).otherwise("n/a").alias("price"), F.col("o_orderpriority").alias("priority"))
+    text = orders(spark, d).select(F.when(F.col("o_orderpriority") != "5-LOW", F.format_string("%.2f", "o_totalprice")).otherwise("n/a").alias("price"), F.col("o_orderpriority").alias("priority"))
     return diagnostics.cast_losses(text, {"price": "float", "priority": "date"})
 
 
