@@ -90,20 +90,20 @@ def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) ->
 
     Where the second part is negative, the step goes against it instead, so that it does not stay so.
     """
-    w, b = np.zeros(positive.shape[1]), 0.0
+    w, b = np.zeros(positive.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, ROUNDS + 1):
         zp, zu = positive @ w + b, unlabelled @ w + b
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
         negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        up, uu = prior * (sp - 1) / len(sp), np.zeros(len(su))
+        up = prior * (sp - 1) / len(sp)
         sign = 1.0 if negative >= 0 else -1.0
         keep = 1.0 if negative >= 0 else 0.0
-        gp, gu = keep * up - sign * prior * sp / len(sp), uu + sign * su / len(su)
+        gp, gu = (x.astype(np.float32) for x in (keep * up - sign * prior * sp / len(sp), sign * su / len(su)))
         g = np.concatenate([positive.T @ gp + unlabelled.T @ gu + DECAY * w, [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, b
 
 
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     if not (label == 1).any() or not (label == -1).any():
         return None
     mean, scale = x[label == -1].mean(0), np.maximum(x[label == -1].std(0), 1e-3)
-    x = np.clip((x - mean) / scale, -SPREAD, SPREAD)
+    x = np.clip((x - mean) / scale, -SPREAD, SPREAD).astype(np.float32)
     prior = min(max(ones / n, 0.01), 0.99)
     w, b = minimise_risk(x[label == 1], x[label == -1], prior)
     known = label >= 0
