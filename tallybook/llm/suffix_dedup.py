@@ -31,7 +31,9 @@ from tallybook.llm.shingles import ODD, mixed, powers
 GRAM, DIGIT = 32, 50
 HOT = 10_000
 #: Bytes of a chunk, at which it is closed, and of the documents that numpy takes at once.
-CHUNK, SLICE = 12_000_000, 1_000_000
+CHUNK, SLICE = 8_000_000, 1_000_000
+#: Buckets of windows for each shuffle partition; one bucket is in memory at a time.
+SPLIT = 4
 TABLE = np.random.default_rng(20240302).integers(1, 1 << 63, 256, np.uint64)
 LAST = np.iinfo(np.int64).max
 MESSAGE = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
@@ -214,16 +216,26 @@ def send_windows(dealt: DataFrame, replies: DataFrame, depth: int, buckets: int)
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(send, MESSAGE_DDL)
 
 
-def repeated_windows(data: np.ndarray, begins: np.ndarray, age: np.ndarray, depth: int) -> np.ndarray:
-    """Which of the windows that begin there in data are equal to one of lower age.
+def digits(data: np.ndarray, sizes: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
+    """For each pass, the hash of the digit of all windows: n of each run of bytes, of the given sizes, in data."""
+    ends, out = np.cumsum(sizes), []
+    edges = [*np.flatnonzero(np.diff((ends - sizes) // SLICE, prepend=-1)).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        base = int(ends[a] - sizes[a])
+        sums, k = Sums(data[base : ends[b - 1]]), n[a:b]
+        begins = np.repeat(ends[a:b] - sizes[a:b] - base - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        out.append(np.stack([sums.of(begins + at, begins + min(depth, at + DIGIT)) for at in range(0, depth, DIGIT)]))
+    return np.concatenate(out, axis=1)
 
-    Passes from the most significant digit: windows are sorted within their groups by the hash of the next DIGIT bytes.
+
+def repeated_windows(found: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """Which windows, given by their digits (a row for each pass), are equal to one of lower age.
+
+    Passes from the most significant digit: windows are sorted within their groups; those that are alone leave.
     """
-    sums, out = Sums(data), np.zeros(len(begins), bool)
-    active, group = np.arange(len(begins)), np.zeros(len(begins), np.uint64)
-    for at in range(0, depth, DIGIT):
-        digit = sums.of(begins[active] + at, begins[active] + min(depth, at + DIGIT))
-        group = mixed(group * ODD + digit)
+    out, active, group = np.zeros(len(age), bool), np.arange(len(age)), np.zeros(len(age), np.uint64)
+    for digit in found:
+        group = mixed(group * ODD + digit[active])
         order = np.argsort(group)
         active, group = active[order], group[order]
         same = group[1:] == group[:-1]
@@ -248,7 +260,7 @@ def resolve(sent: DataFrame, depth: int) -> DataFrame:
         part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         rank = np.unique(order, return_inverse=True)[1].astype(np.uint64)
         age = np.repeat((rank << np.uint64(36)) + start.astype(np.uint64), n) + part.astype(np.uint64)
-        gone = repeated_windows(data, np.repeat(np.cumsum(sizes) - sizes, n) + part, age, depth)
+        gone = repeated_windows(digits(data, sizes, n, depth), age)
         out, at, w = [], 0, 0
         for number, bucket, x in zip(rows["chunk"].to_pylist(), rows["bucket"].to_pylist(), came, strict=True):
             k = x[3].astype(np.int64)
@@ -276,27 +288,19 @@ def cut(dealt: DataFrame, replies: DataFrame, depth: int) -> DataFrame:
     def apply(whole: pa.Table, came: pa.Table) -> pa.Table:
         names = ["doc_id", "n_bytes", "spans", "kept"]
         chunk = Chunk(whole["payload"][0].as_py())
-        total = int(chunk.sizes.sum())
-        edge = np.zeros(total + 1, np.int32)
+        edge = np.zeros(int(chunk.sizes.sum()) + 1, np.int32)
         for x in came["payload"]:
             doc, first, stop = unpacked(x.as_py())
             np.add.at(edge, chunk.begins[doc] + first, 1)
             np.add.at(edge, chunk.begins[doc] + stop - 1 + depth, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        flip = gone.copy()
-        flip[1:] = gone[1:] != gone[:-1]
-        flip[chunk.begins[(chunk.sizes > 0)]] = gone[chunk.begins[(chunk.sizes > 0)]]  # spans end with their document
-        starts = np.flatnonzero(flip & gone)
-        ends_all = np.concatenate([np.flatnonzero(~gone), chunk.begins, [total]])
-        ends_all = np.unique(ends_all)
-        ends = ends_all[np.searchsorted(ends_all, starts, "right")]
-        doc = np.searchsorted(chunk.begins + chunk.sizes, starts, "right")
-        counts = np.bincount(doc, minlength=len(chunk.sizes)) if len(doc) else np.zeros(len(chunk.sizes), np.int64)
-        fields = pa.StructArray.from_arrays([pa.array(starts - chunk.begins[doc]), pa.array(ends - chunk.begins[doc])], ["start", "end"])
-        spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), fields).cast(kind)
-        body = np.frombuffer(chunk.body, np.uint8)
-        kept = [body[b : b + s][~gone[b : b + s]].tobytes() for b, s in zip(chunk.begins.tolist(), chunk.sizes.tolist())]
-        return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), spans, pa.array(kept, pa.binary())], names)
+        gone = np.cumsum(edge[:-1], dtype=np.int32, out=edge[:-1]) > 0
+        body, spans, kept = np.frombuffer(chunk.body, np.uint8), [], []
+        for b, n in zip(chunk.begins.tolist(), chunk.sizes.tolist()):
+            mine = gone[b : b + n]
+            turns = np.flatnonzero(np.diff(mine, prepend=False, append=False)).tolist()
+            spans.append([{"start": i, "end": j} for i, j in zip(turns[::2], turns[1::2])])
+            kept.append(body[b : b + n][~mine].tobytes() if turns else chunk.body[b : b + n])
+        return pa.table([pa.array(chunk.ids, pa.int64()), pa.array(chunk.sizes), pa.array(spans, kind), pa.array(kept, pa.binary())], names)
 
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
@@ -310,7 +314,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, hot: int = HOT, id_col: st
     Null texts count as empty; texts shorter than depth stay whole. Rows of null id come after all others and do not
     affect each other; nor do repeated rows of one id, which are the same document. Empty tables give empty results.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
-    dealt = chunks(id_and_text(docs, id_col, text_col), buckets)
-    replies = repeated_anchors(send_anchors(dealt, depth, buckets), hot)
-    return cut(dealt, resolve(send_windows(dealt, replies, depth, buckets), depth), depth)
+    parts = shuffle_partitions(docs.sparkSession)
+    dealt = chunks(id_and_text(docs, id_col, text_col), parts)
+    replies = repeated_anchors(send_anchors(dealt, depth, parts), hot)
+    return cut(dealt, resolve(send_windows(dealt, replies, depth, SPLIT * parts), depth), depth)
