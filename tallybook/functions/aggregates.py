@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _edge(pick: Callable[[Column, Column], Column], last: bool) -> Callable[[Column, Sequence[str]], Column]:
+def _edge(pick: Callable[[Column, Column], Column]) -> Callable[[Column, Sequence[str]], Column]:
     def aggregate(value: Column, order: Sequence[str]) -> Column:
         # null order keys come last, in either direction of reading
         keys = [k for c in order for k in (F.col(c).isNull(), F.col(c))]
@@ -27,8 +27,8 @@ AGGREGATES: dict[str, Callable[[Column, Sequence[str]], Column]] = {
     "min": lambda v, _: F.min(v),
     "max": lambda v, _: F.max(v),
     "median": lambda v, _: F.median(v),
-    "first": _edge(F.min_by, False),
-    "last": _edge(F.max_by, True),
+    "first": _edge(F.min_by),
+    "last": _edge(F.max_by),
 }
 BUCKETS = ("day", "week", "month", "quarter", "year")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import formulas
-from tallybook.functions.aggregates import Aggregate
+from tallybook.functions.aggregates import AGGREGATES, Aggregate
 from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
 
@@ -49,18 +50,12 @@ def of_table(df: DataFrame, metrics: Mapping[str, Metric], period: Period) -> Da
             a = m.aggregate
             value = F.when(F.col(f"_in_{name}"), F.col(a.column) if a.column else F.lit(1))
             order = [c for c in (m.period_column, "_upload_seq", "_row") if c and c in df.columns]
-            columns.append(_aggregate(a.fn, value, order).alias(name))
+            columns.append(AGGREGATES[a.fn](value, order).alias(name))
         out = flagged.agg(*columns)
         out.schema
     return out
 
 
-def _aggregate(fn: str, value, order):
-    from tallybook.functions.aggregates import AGGREGATES
-
-    return AGGREGATES[fn](value, order)
-
-
 def of_formula(spark: SparkSession, text: str, values: Mapping[str, object]) -> object:
     """A formula over metrics, in doubles."""
     row = spark.range(1).select(*(F.lit(v).cast("double").alias(k) for k, v in values.items()))
@@ -109,6 +104,4 @@ class Metrics:
 
 
 def _mentions(text: str, name: str) -> bool:
-    import re
-
     return re.search(rf"(?<![\w.]){re.escape(name)}(?![\w(])", text) is not None

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import formulas
-from tallybook.functions.periods import Period, unit_shift, unit_start
+from tallybook.functions.periods import unit_shift, unit_start
 from tallybook.functions.windows import Span, within
+from tallybook.sources import parsing
 
 SERVICE = ("_upload_id", "_upload_seq", "_row")
 
@@ -129,8 +130,6 @@ def rename(df: DataFrame, names: Mapping[str, str], fixed: Sequence[str] = ()) -
 
 def cast_column(value: Column, before: str, kind: str) -> Column:
     """Lenient cast to string, int, float, date, datetime or bool; what cannot be read becomes null."""
-    from tallybook.sources import parsing
-
     if before == "string" and kind != "string":
         return parsing.PARSERS[kind](value)
     if kind == "int" and before in ("double", "float"):
@@ -169,8 +168,3 @@ def python_table(df: DataFrame, function: Callable, schema: str, most_rows: int
     if rows > most_rows:
         raise ValueError(f"more than {most_rows} rows for a whole-table function")
     return df.groupBy().applyInPandas(function, schema)
-
-
-def anchored(period: Period) -> date:
-    """Day that relative filters count from: the last of the report period."""
-    return period.last

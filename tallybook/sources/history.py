@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.periods import Period, covering
@@ -41,6 +41,10 @@ class History:
     keys: Sequence[str] = ()
     by_month: bool = True
 
+    def __post_init__(self) -> None:
+        if bad := {self.policy, *(u.policy for u in self.uploads if u.policy)} - {*POLICIES}:
+            raise ValueError(f"no policy {', '.join(sorted(bad))}")
+
     @property
     def active(self) -> list[Upload]:
         return sorted((u for u in self.uploads if u.active), key=lambda u: u.seq)
@@ -151,8 +155,6 @@ def gaps(history: History, span: Span | None = None) -> list[tuple[date, date]]:
 
 def covered_days(rows: DataFrame, start: str, stop: str) -> DataFrame:
     """The same merge of [start, stop) rows, for tables of any size: gaps and islands."""
-    from pyspark.sql import Window
-
     by_start = Window.orderBy(start, stop)
     reach = F.max(stop).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     marked = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by_start))

@@ -34,7 +34,7 @@ def test_preview_scales_counts(spark, monkeypatch):
     found, counts = P.preview(spark, plan, {"s": rows, "t": other}, "a", Period.parse("2024"), 10)
     assert len(found) == 10 and all(r["y"] == 2.0 for r in found)
     assert counts[0].rows == 20000 and all(abs(c.rows - 5000) < 500 and not c.exact for c in counts[1:])
-    assert P.rate(400_000) == 1 if P.LARGE > 400_000 else P.rate(20_000) == 4
+    assert P.rate(900) == 1 and P.rate(20_000) == 4 and P.rate(1_001) == 2
 
 
 def test_cached_results(spark, tmp_path):
