@@ -3,8 +3,8 @@
 Strong patterns are reported wherever they match. Weak ones (short or odd secrets, account names, endpoints) are
 reported only where a complementary part lies close by: a secret needs an identifier or an endpoint, an identifier or
 endpoint needs a secret. The search for complementary parts is an interval join within scopes: a scope is a stretch of
-REACH characters of one document, so a part only has to meet what its own and the two adjacent scopes hold, of which
-the outermost positions suffice.
+REACH characters of one document, and a part is in every scope that it touches, so it only has to meet what its own
+scopes and those adjacent to them hold, of which the outermost positions suffice.
 """
 
 from __future__ import annotations
@@ -65,12 +65,14 @@ def spans_of(text: Column, lowered: Column, kind: str) -> Column:
 def linked_spans(found: DataFrame) -> DataFrame:
     """key and linked: the weak spans of each key's row that have a complementary part within REACH.
 
-    found: key, base and weak. Parts become rows; per key, scope and role only the smallest start and the largest end
-    are joined, so a scope that is full of parts costs no more than one that has one of each.
+    found: key, base and weak. Parts become rows, one for each scope from start to end; per key, scope and role only the
+    smallest start and the largest end are joined, so a scope that is full of parts costs no more than one that has one
+    of each. The two suffice: parts that lie on either side of another, both out of reach, never touch one scope.
     """
     role_of = F.element_at(F.array(*(F.lit((STRONG | WEAK)[kind][0]) for kind in KINDS)), F.col("part.rank") + 1)
+    first, last = (F.floor(F.col(f"part.{at}") / REACH) for at in ("start", "end"))
     parts = found.select("key", F.explode(F.concat("base", "weak")).alias("part")).select(
-        "key", "part", role_of.alias("role"), F.floor(F.col("part.start") / REACH).alias("scope")
+        "key", "part", role_of.alias("role"), F.explode(F.sequence(first, last)).alias("scope")
     )
     edges = (
         parts.groupBy("key", "scope", "role")

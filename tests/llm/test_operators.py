@@ -44,6 +44,19 @@ def test_weak_secrets_need_a_partner(rows):
     assert brute_spans(by[61]) == ("", "") and "weak" in brute_spans(by[60])[1] and "endpoint" in brute_spans(by[60])[1]
 
 
+def test_only_the_distance_of_parts_decides(spark):
+    """Parts whose starts lie several scopes apart, shifted over the grid of scopes; the last ones are out of reach."""
+    endpoint = "https://" + "z" * 52
+    cases = [endpoint + " " * REACH, "https://" + "u" * 600 + "  ", "mail@" + "m" * 900 + ".example " + " " * 150, endpoint + " " * (REACH + 1)]
+    docs = spark.createDataFrame([(1000 * i + shift, "\n" * shift + case + "password=short7") for i, case in enumerate(cases) for shift in range(0, 2 * REACH, 7)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in scan_secrets(docs).select("doc_id", listed("spans").alias("s")).collect()}
+    for i, case in enumerate(cases):
+        for shift in range(0, 2 * REACH, 7):
+            at, end = shift + len(case), shift + len(case.rstrip())
+            near = f"{'identifier' if i == 2 else 'endpoint'}:{shift}:{end},weak:{at}:{at + 15}"
+            assert got[1000 * i + shift] == ("" if i == 3 else near)
+
+
 def test_redaction(awkward, rows):
     out = redact_secrets(awkward)
     assert out.columns == awkward.columns
