@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import id_and_text, single_spaced
@@ -38,6 +38,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
+    """One row of each group of exact_dedup, with all its columns: one of the smallest id, of null id if there is no other.
+
+    Rows are chosen, not ids: repeated rows collapse to one, rows of null id stay if their text has no row with an id,
+    and rows that share an id but not the text are judged apart. Of rows that share id and text, a hash of all columns
+    decides. Each task sends one row of a group to the shuffle at most.
+    """
+    body = single_spaced(F.coalesce(F.col(text_col), F.lit("")))
+    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    best = Window.partitionBy("_digest", "_body").orderBy(F.col(id_col).cast("long").asc_nulls_last(), F.col("_row_hash"))
+    rows = docs.withColumns({"_body": body, "_row_hash": hashed}).withColumn("_digest", F.unhex(F.md5("_body")))
+    return rows.withColumn("_place", F.row_number().over(best)).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -54,6 +54,14 @@ def test_exact_kept_rows_have_all_columns(awkward):
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 5, 6, 10} and 2 not in {r.doc_id for r in kept.collect()}
 
 
+def test_exact_copies_are_rows_not_ids(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "c", "x"), (2, "a b", "x"), (2, "d", "x"), (3, "e", "x"), (3, "e", "x"), (3, "e", "x")]
+    rows += [(None, "f", "x"), (None, "f", "x"), (None, "f", "y"), (None, "c", "x"), (None, "g", None), (None, None, None), (4, "", None)]
+    kept = drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(((r.doc_id or 9, " ".join((r.text or "").split())) for r in kept)) == [(1, "a b"), (1, "c"), (2, "d"), (3, "e"), (4, ""), (9, "f"), (9, "g")]
+    assert all(tuple(r) in rows for r in kept)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_components(awkward, rows, percent):
     least = brute_components(rows, percent)
