@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -184,7 +185,8 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
     Fitted on a bounded sample: about train_docs whole documents of each language, those whose hashed id is below
     train_docs / (documents of the language). FITTED of them give the counts, the rest the usual cross-entropies and
-    their spread; a language without such a rest rejects nothing.
+    their spread. Where FITTED of them give no n-gram, as of rare labels, all documents of the language give the counts.
+    A language without such a rest rejects nothing, of which a warning tells; one without any letter is not learned.
     """
     labelled = labelled.select("doc_id", "text", "lang").na.drop()
     totals = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
@@ -196,6 +198,10 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1_000_000)) / 1_000_000
     bound = F.least(F.lit(1.0), F.lit(train_docs) / total)
     counts = gram_counts(labelled.where(share < FITTED * bound).select("text", "lang")).toPandas()
+    split = sorted(counts["lang"].unique())
+    bare = sorted({row["lang"] for row in totals}.difference(split))
+    if bare:
+        counts = pd.concat([counts, gram_counts(labelled.where(F.col("lang").isin(bare)).select("text", "lang")).toPandas()], ignore_index=True)
     if counts.empty:
         return Model([], [], [], 0.0, np.zeros(0), np.zeros(0))
     model = estimate(counts)
@@ -209,10 +215,13 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
                 own = h[np.arange(len(h)), [shared.value.languages.index(x) for x in batch["lang"].to_pylist()]]
                 yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(own), pa.array(letters)], ["lang", "h", "letters"])
 
-    rest = labelled.where((share >= FITTED * bound) & (share < bound)).select("text", "lang")
+    rest = labelled.where((share >= FITTED * bound) & (share < bound) & F.col("lang").isin(split)).select("text", "lang")
     usual = rest.mapInArrow(measure, "lang string, h double, letters long").where(f"letters >= {SHORT}").groupBy("lang").agg(F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).toPandas().set_index("lang")
     model.usual = np.array([usual["mean"].get(x, 0.0) for x in model.languages])
     model.spread = np.array([max(usual["sd"].get(x, np.inf), 0.05) for x in model.languages])
+    unjudged = [x for x in model.languages if x not in usual.index]
+    if unjudged:
+        warnings.warn(f"no texts held back, so none rejected, of languages {', '.join(unjudged)}", stacklevel=2)
     return model
 
 

@@ -136,6 +136,14 @@ def test_languages_held_out(spark, tongues, awkward, rows):
     assert language_id.identify(noise, model).first().rejected
 
 
+@pytest.mark.parametrize("first", range(900, 906))
+def test_language_of_one_document(spark, tongues, first):
+    """Whether the only document of a label falls to the counts or to the rest, its language is learned."""
+    some = tongues.where("doc_id < 30").union(spark.createDataFrame([(first, "こんにちは世界 " * 20, "jj"), (first + 100, "123", "kk")], tongues.schema))
+    model = language_id.fit(some, train_docs=200)
+    assert model.languages == [*sorted(TONGUES), "jj"]
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     import pandas as pd
 
