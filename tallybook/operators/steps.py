@@ -5,8 +5,10 @@ Period and service columns (_upload_id, _upload_seq, _row) tell which rows are n
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from datetime import date, timedelta
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +111,22 @@ def sort(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.orderBy(*sort_keys(by), *(F.col(c) for c in stable))
 
 
+def sort_with_places(df: DataFrame, by: Sequence[str], name: str = "place") -> DataFrame:
+    """The whole table sorted, with each row's place from 1: the rows of the ranges before it and its place in its own.
+
+    The sorted ranges are checkpointed, as Spark would draw other bounds when it sorts again; only the ranges' row counts
+    come to the driver.
+    """
+    session, at = df.sparkSession, F.monotonically_increasing_id()
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    ranges = sort(df, by).checkpoint()
+    ranges = ranges.withColumns({"_range": F.shiftright(at, 33).cast("int"), name: at.bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    sizes = dict(ranges.groupBy("_range").count().collect())
+    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
+    return ranges.withColumn(name, F.col(name) + F.array(*(F.lit(n).cast("long") for n in before))[F.col("_range")]).drop("_range")
+
+
 def select(df: DataFrame, columns: Sequence[str] = (), drop: Sequence[str] = (), always: Sequence[str] = ()) -> DataFrame:
     """The listed columns, or all but the dropped; columns in always and service columns stay."""
     if set(drop) & set(always):

@@ -155,6 +155,12 @@ def sort_nulls_last(spark, d):
     return top.select("o_orderkey", "o_totalprice", F.row_number().over(order).cast("long").alias("rank"))
 
 
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice ASC NULLS LAST, o_orderkey) AS rank FROM orders")
+def sort_whole(spark, d):
+    """Every order with its place in the sort, of which sort_nulls_last has the first hundred."""
+    return steps.sort_with_places(orders(spark, d), ["-o_orderstatus", "o_totalprice", "o_orderkey"], "rank").select("o_orderkey", "o_totalprice", "rank")
+
+
 @query("SELECT o_custkey, o_totalprice, o_orderdate FROM orders")
 def select_columns(spark, d):
     return steps.select(orders(spark, d), ["o_custkey", "o_totalprice"], always=["o_orderdate"])

@@ -38,6 +38,24 @@ def test_equals_duckdb(spark, duck, name):
     assert got == want
 
 
+def test_places_go_on_over_the_ranges_of_a_sort(spark):
+    from pyspark.sql import functions as F
+
+    from tallybook.operators import steps
+
+    df = spark.range(997).select(F.when(F.col("id") % 10 > 0, F.col("id") * 7919 % 997).alias("x"), "id").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = steps.sort_with_places(df, ["-x", "id"])
+        assert placed.rdd.getNumPartitions() > 1
+        got = {r.id: r.place for r in placed.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(df.collect(), key=lambda r: (r.x is None, -(r.x or 0), r.id))
+    assert got == {r.id: i for i, r in enumerate(want, 1)}
+    assert steps.sort_with_places(df.limit(0), ["x"]).count() == 0
+
+
 def test_plans_stay_in_the_jvm(spark):
     """Only the query that is about Python batches runs Python; scans read the columns that they need."""
     for name in ("compare_previous", "dedupe_last", "top_others", "metrics_of_input"):
