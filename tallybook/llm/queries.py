@@ -18,7 +18,7 @@ from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
 from tallybook.llm.packing import pack_documents
 from tallybook.llm.pseudonyms import KINDS as PII_KINDS
 from tallybook.llm.pseudonyms import pseudonymise
-from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, scan_secrets
+from tallybook.llm.secret_scan import KINDS, STRONG, listed, scan_secrets
 from tallybook.llm.suffix_dedup import remove_repeats
 
 
@@ -31,13 +31,25 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, STRONG), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def _any_case(*words: str) -> str:
+    """A pattern of the words with ASCII letters in either case; RE2's own folding would take more than ASCII."""
+    return "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in words)
+
+
 def _op1_sql() -> str:
-    """Positions from the gaps between matches; the interval join as an existence test within each document."""
-    quoted = {k: v[1].replace("'", "''") for k, v in (STRONG | WEAK).items()}
+    """The contract's patterns and the weak ones written anew; positions from the gaps between matches; distance decides."""
+    secret, assigned = ("password", "passwd", "secret", "token", "api_?key"), "[\"']?\\x20*[:=]\\x20*[\"']?"
+    kinds = (  # kind, role, pattern, least length, group that has it; strong ones first
+        ("assign", "secret", f"({_any_case(*secret)}){assigned}([A-Za-z0-9+/_.=-]+)", 12, 2),
+        ("access", "identifier", "AKIA[A-Z0-9]+", 18, 0),
+        ("hex", "secret", "[0-9a-f]+", 16, 0),
+        ("identifier", "identifier", f"({_any_case('user', 'username', 'login', 'account', 'client_?id')}){assigned}[A-Za-z0-9_.@-]+|[A-Za-z0-9_.+-]{{1,64}}@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+", 1, 0),
+        ("endpoint", "endpoint", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\x00-\\x20\"'<>]+", 1, 0),
+        ("weak", "secret", f"({_any_case(*secret, 'pwd', 'credentials?')}){assigned}([^\\x00-\\x20\"']+)", 6, 2),
+    )
 
-    def rows(kind: str, rank: int) -> str:
-        role, _, _, least, group = (STRONG | WEAK)[kind]
-        rx = quoted[kind]
+    def rows(rank: int, kind: str, role: str, pattern: str, least: int, group: int) -> str:
+        rx = pattern.replace("'", "''")
         return f"""SELECT doc_id, '{role}' AS role, '{kind}' AS kind, {rank} AS rank, s AS start, s + size AS stop FROM (
   SELECT doc_id, length(v) AS value, length(m) AS size,
     CAST(sum(length(g)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS s
@@ -45,18 +57,17 @@ def _op1_sql() -> str:
           unnest(regexp_extract_all(text, '{rx}', {group})) AS v, generate_subscripts(string_split_regex(text, '{rx}'), 1) AS i FROM t)
   WHERE m IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE value >= {least}"""
 
-    parts = " UNION ALL ".join(rows(k, i) for i, k in enumerate(KINDS))
-    names = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)
+    parts = " UNION ALL ".join(rows(i, *x) for i, x in enumerate(kinds))
+    names = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
     text = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank)"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), raw AS ({parts}),
 parts AS (SELECT * FROM raw w WHERE kind <> 'weak' OR NOT EXISTS (
   SELECT 1 FROM raw a WHERE a.doc_id = w.doc_id AND a.kind = 'assign' AND a.start < w.stop AND w.start < a.stop)),
-linked AS (SELECT * FROM parts w WHERE rank < {len(STRONG)} OR EXISTS (
-  SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND (w.role = 'secret') <> (p.role = 'secret')
-    AND p.start <= w.stop + {REACH} AND p.stop >= w.start - {REACH} AND abs(p.start // {REACH} - w.start // {REACH}) <= 1)),
-a AS (SELECT doc_id, {names}, {text} FILTER (rank < {len(STRONG)}) AS base, {text} AS spans FROM linked GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+linked AS (SELECT * FROM parts w WHERE rank < 3 OR EXISTS (
+  SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND (w.role = 'secret') <> (p.role = 'secret') AND p.start <= w.stop + 200 AND p.stop >= w.start - 200)),
+a AS (SELECT doc_id, {names}, {text} FILTER (rank < 3) AS base, {text} AS spans FROM linked GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN a USING (doc_id)"""
 
 

@@ -15,22 +15,34 @@ from tokenizers import Tokenizer
 
 from tallybook.llm import language_id, mpeg_audio, packing, quality
 from tallybook.llm.byte_bpe import bpe_decode, bpe_encode, load
-from tallybook.llm.secret_scan import KINDS, REACH, STRONG, WEAK, listed, redact_secrets, scan_secrets
+from tallybook.llm.secret_scan import REACH, listed, redact_secrets, scan_secrets
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The patterns of the contract and of weak parts, written anew: kind, role, pattern, least length of its group.
+ASSIGNED = "[\"']? *[:=] *[\"']?"
+PLAIN = (
+    ("assign", "secret", "(?ai:password|passwd|secret|token|api_?key)" + ASSIGNED + "([A-Za-z0-9+/_.=-]+)", 12, 1),
+    ("access", "identifier", "AKIA[A-Z0-9]+", 18, 0),
+    ("hex", "secret", "[0-9a-f]+", 16, 0),
+    ("identifier", "identifier", "(?ai:user|username|login|account|client_?id)" + ASSIGNED + r"[A-Za-z0-9_.@-]+|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1, 0),
+    ("endpoint", "endpoint", "[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\\x00-\\x20\"'<>]+", 1, 0),
+    ("weak", "secret", "(?ai:password|passwd|secret|token|api_?key|pwd|credentials?)" + ASSIGNED + "([^\\x00-\\x20\"']+)", 6, 1),
+)
+
+
 def brute_spans(text):
-    """Base spans and all spans by plain loops."""
+    """Base spans and all spans by plain loops: only the distance of parts decides."""
     text, parts = text or "", []
-    for kind, (role, pattern, _, least, group) in (STRONG | WEAK).items():
-        parts += [(m.start(), KINDS.index(kind), m.end(), role) for m in re.finditer(pattern.replace("\\x20", " "), text) if len(m[group]) >= least]
-    assigns = [p for p in parts if p[1] == KINDS.index("assign")]
-    parts = [p for p in parts if p[1] != KINDS.index("weak") or not any(a[0] < p[2] and p[0] < a[2] for a in assigns)]
-    base = sorted(p for p in parts if p[1] < len(STRONG))
-    linked = [w for w in parts if w[1] >= len(STRONG) and any((w[3] == "secret") != (p[3] == "secret") and p[0] <= w[2] + REACH and p[2] >= w[0] - REACH and abs(p[0] // REACH - w[0] // REACH) <= 1 for p in parts)]
-    text_of = lambda found: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in sorted(found))
+    for rank, (_, role, pattern, least, group) in enumerate(PLAIN):
+        parts += [(m.start(), rank, m.end(), role) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    assigns = [p for p in parts if p[1] == 0]
+    parts = [p for p in parts if p[1] != 5 or not any(a[0] < p[2] and p[0] < a[2] for a in assigns)]
+    base = sorted(p for p in parts if p[1] < 3)
+    linked = [w for w in parts if w[1] >= 3 and any((w[3] == "secret") != (p[3] == "secret") and p[0] <= w[2] + 200 and p[2] >= w[0] - 200 for p in parts)]
+    text_of = lambda found: ",".join(f"{PLAIN[k][0]}:{s}:{e}" for s, k, e, _ in sorted(found))
     return text_of(base), text_of(base + linked)
 
 
@@ -57,6 +69,27 @@ def test_only_the_distance_of_parts_decides(spark):
             assert got[1000 * i + shift] == ("" if i == 3 else near)
 
 
+def test_secrets_of_random_texts(spark):
+    """Long parts, parts at any distance, several in a row and overlapping kinds."""
+    draw = random.Random(11)
+    pieces = ["password=short7", "token: " + "k" * 40, "AKIA" + "Q" * 20, "0123456789abcdef" * 3, "user = bob", "a.b@c.example.com", "https://" + "u" * 5000, "pwd='" + "p" * 3000 + "'", "secret:0123456789abcdef0123", "ſecret=short7", "é" * 50]
+    rows = [(i, "".join(draw.choice(pieces) + draw.choice([" ", "\n", " " * draw.randrange(420), "x" * draw.randrange(60)]) for _ in range(draw.randrange(9)))) for i in range(300)]
+    got = scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", listed("base").alias("b"), listed("spans").alias("s"))
+    assert {(r.doc_id, r.b, r.s) for r in got.collect()} == {(i, *brute_spans(t)) for i, t in rows}
+
+
+def test_texts_full_of_secrets(spark):
+    """300,000 matches in one text, and repetitions that would need a stack frame each."""
+    hexes = " ".join(f"{i:032x}" for i in range(300_000))
+    dots = "user=bob pwd: hunter22 a@b" + ".c" * 50_000
+    docs = spark.createDataFrame([(1, hexes), (2, dots)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_secrets(docs).select("doc_id", "base", listed("spans").alias("s")).collect()}
+    assert len(got[1].base) == 300_000 and got[1].base[-1].end == len(hexes)
+    assert got[2].s == brute_spans(dots)[1]
+    clean = {r.doc_id: r.text for r in redact_secrets(docs, mark="*").collect()}
+    assert clean[1] == " ".join("*" * 300_000) and clean[2] == "* * *"
+
+
 def test_redaction(awkward, rows):
     out = redact_secrets(awkward)
     assert out.columns == awkward.columns
