@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import id_and_text, single_spaced
+from tallybook.llm.common import id_and_text, quoted, single_spaced, unused
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,8 +44,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     and rows that share an id but not the text are judged apart. Of rows that share id and text, a hash of all columns
     decides. Each task sends one row of a group to the shuffle at most.
     """
-    body = single_spaced(F.coalesce(F.col(text_col), F.lit("")))
-    hashed = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
-    best = Window.partitionBy("_digest", "_body").orderBy(F.col(id_col).cast("long").asc_nulls_last(), F.col("_row_hash"))
-    rows = docs.withColumns({"_body": body, "_row_hash": hashed}).withColumn("_digest", F.unhex(F.md5("_body")))
-    return rows.withColumn("_place", F.row_number().over(best)).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    body, digest, row_hash, place = unused(docs, "body", "digest", "row_hash", "place")
+    hashed = F.xxhash64(*quoted([c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]))
+    best = Window.partitionBy(digest, body).orderBy(F.col(id_col).cast("long").asc_nulls_last(), F.col(row_hash))
+    rows = docs.withColumns({body: single_spaced(F.coalesce(F.col(text_col), F.lit(""))), row_hash: hashed}).withColumn(digest, F.unhex(F.md5(F.col(body))))
+    return rows.withColumn(place, F.row_number().over(best)).where(F.col(place) == 1).select(*quoted(docs.columns))
