@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import checkpointed
 
 
-def _starred(links: DataFrame) -> DataFrame:
-    """u, v and least: the least of u and all its v. Aggregated before the shuffle and joined, so a hub can be split."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), "u").alias("least"))
-    return links.join(least, "u")
+#: A node of more links than this, and than a thousandth of all links, is a hub; so there are fewer than a thousand hubs.
+HUB, HUBS = 1000, 1000
+
+
+def _starred(links: DataFrame, total: int) -> DataFrame:
+    """u, v and least: the least of u and all its v.
+
+    Least nodes are aggregated within each task before the shuffle. Links of hubs take theirs from a broadcast of the
+    hubs, which are fewer than HUBS whatever the size of the table, so no task gathers the links of one; the others
+    are joined by u.
+    """
+    nodes = links.groupBy("u").agg(F.least(F.min("v"), "u").alias("least"), F.count(F.lit(1)).alias("links"))
+    limit = max(HUB, total // HUBS)
+    hubs = F.broadcast(nodes.where(F.col("links") > limit).select("u", "least"))
+    few = links.join(hubs.select("u"), "u", "left_anti").join(nodes.where(F.col("links") <= limit).select("u", "least"), "u")
+    return links.join(hubs, "u").select("u", "v", "least").unionByName(few.select("u", "v", "least"))
 
 
 def _is_forest_of_stars(links: DataFrame) -> bool:
@@ -30,9 +42,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = edges.na.drop().where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = checkpointed(links)
     while not _is_forest_of_stars(links):
+        total = 2 * links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        small = _starred(links)
+        links = _starred(both, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        small = _starred(links, total)
         links = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
         links = checkpointed(links)
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -7,26 +7,44 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import checkpointed, id_and_text, shuffle_partitions
+from tallybook.llm.common import checkpointed, id_and_text, shuffle_partitions, unused
 from tallybook.llm.components import connected_components
 from tallybook.llm.shingles import mixed, set_digest, shingle_sets
 
-#: Rows in a band and bands. A pair of similarity 0.85 shares no band with probability (1 - 0.85 ** 7) ** 52 < 2e-9.
-ROWS, BANDS = 7, 52
-MINIMA = ROWS * BANDS
+#: Minima of each text, and the most rows of them in a band.
+MINIMA, MOST_ROWS = 364, 7
+#: Probability, at most, that a pair at the threshold shares no band.
+MISSED = 1e-5
 #: Low bits that are kept of each minimum.
 BITS = 2
-#: Pairs are confirmed on full sets if their estimate is at most so far below the threshold: 6.5 standard deviations
-#: of an estimate of 0.85 from MINIMA minima of BITS bits.
-MARGIN = 0.144
-#: Texts and shingles in one block of a cluster; larger clusters are dealt out as pairs of blocks.
+#: Pairs go to the full sets unless their estimate is more than so many of its standard deviations below the threshold.
+DEVIATIONS = 6.5
+#: Texts and shingles in one block of a cluster, in which all pairs are estimated.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_500_000
 BATCH = 64
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Rows in a band and bands: as many rows as leave a pair of the threshold's similarity unmet with probability MISSED.
+
+    7 and 52 from 80 % on, where pairs are missed with probability 5e-6 (2e-9 at 85 %); below 4 % there is no such banding.
+    """
+    for rows in range(MOST_ROWS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (MINIMA // rows) <= MISSED:
+            return rows, MINIMA // rows
+    raise ValueError(f"a similarity of {percent} % cannot be searched with {MINIMA} minima")
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate below which a pair is not confirmed: 0.71 for 85 %."""
+    chance, similarity = 0.5**BITS, percent / 100
+    alike = chance + (1 - chance) * similarity
+    return similarity - DEVIATIONS * (alike * (1 - alike) / MINIMA) ** 0.5 / (1 - chance)
+
+
 @lru_cache(1)
 def permutations() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(20240301)
@@ -63,7 +81,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int, band_rows: int, bands_each: int) -> DataFrame:
     """doc_id, n_shingles, digest of the shingle set, bits (packed) and bands (a hash for each); nulls for empty sets."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     names = ["doc_id", "n_shingles", "digest", "bits", "bands"]
@@ -78,9 +96,9 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 if some:
                     least = minima([sets[k] for k in some])
                     packed = packed_bits(least)
-                    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(some), BANDS)).copy()
-                    for r in range(ROWS):
-                        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r::ROWS])
+                    keys = np.broadcast_to(np.arange(bands_each, dtype=np.uint64), (len(some), bands_each)).copy()
+                    for r in range(band_rows):
+                        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r : band_rows * bands_each : band_rows])
                     for at, k in enumerate(some):
                         digests[k], bits[k], bands[k] = set_digest(sets[k]), packed[at].tobytes(), keys[at].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((batch["doc_id"].to_pylist(), [len(s) for s in sets], digests, bits, bands), kinds, strict=True)], names)
@@ -115,36 +133,39 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def confirmed(ids: list[int], blocks: list[int], bits: np.ndarray, sets: list[np.ndarray], one: int, other: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever the similar pairs of two blocks (or one with itself) connect.
+def confirmed(ids: list[int], known: list[int], blocks: list[int], bits: np.ndarray, sets: list[np.ndarray], one: int, other: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever the similar pairs of two blocks (or one with itself) connect, beyond what is known.
 
     Pairs are tried from the highest estimate down; the sets are intersected unless the pair is connected already.
     """
     down, across = ([i for i, b in enumerate(blocks) if b == x] for x in (one, other))
     guess = estimates(bits[down], bits[across])
-    at = np.argwhere(guess >= percent / 100 - MARGIN)
+    group = np.unique(known, return_inverse=True)[1]
+    at = np.argwhere((guess >= least_estimate(percent)) & (group[down][:, None] != group[across][None, :]))
     at = at[np.argsort(-guess[at[:, 0], at[:, 1]], kind="stable")]
     forest, out = Forest(len(ids)), []
     for i, j in at.tolist():
         a, b = down[i], across[j]
-        if a == b or ids[a] == ids[b] or one == other and a > b or forest.root(a) == forest.root(b):
+        if one == other and a > b or forest.root(group[a]) == forest.root(group[b]):
             continue
         x, y = sets[a], sets[b]
         if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
             continue
         common = len(np.intersect1d(x, y, assume_unique=True))
         if 100 * common >= percent * (len(x) + len(y) - common):
-            forest.link(a, b)
+            forest.link(group[a], group[b])
             out.append((ids[a], ids[b]))
     return out
 
 
-def confirm(members: DataFrame, width: int, percent: int) -> DataFrame:
-    """u and v: confirmed links inside clusters, enough to connect what all similar pairs connect.
+def confirm(members: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """u and v: confirmed links, enough to connect what all similar pairs of the dealt blocks connect.
 
-    members: cluster, class_id, digest, bits, block, places (the pairs of blocks that the block takes part in), text.
+    members: cluster, class_id, known (its component so far), digest, bits, block and places (the pairs of blocks that
+    the block takes part in); source: doc_id and text. The full sets travel once for each place.
     """
-    packed = "cluster long, one int, other int, block int, class_id long, bits binary, shingles binary"
+    members = members.join(source, F.col("class_id") == F.col("doc_id")).drop("doc_id")
+    carried = ["cluster", "block", "places", "class_id", "known", "bits"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -152,11 +173,11 @@ def confirm(members: DataFrame, width: int, percent: int) -> DataFrame:
                 batch = whole.slice(i, BATCH)
                 sets = shingle_sets([t.encode() for t in batch["text"].to_pylist()], width)
                 same = [set_digest(s) == d for s, d in zip(sets, batch["digest"].to_pylist(), strict=True)]  # else a repeated id
-                out = pa.RecordBatch.from_arrays([*(batch[c] for c in ("cluster", "block", "places", "class_id", "bits")), pa.array([s.tobytes() for s in sets], pa.binary())], ["cluster", "block", "places", "class_id", "bits", "shingles"])
+                out = pa.RecordBatch.from_arrays([*(batch[c] for c in carried), pa.array([s.tobytes() for s in sets], pa.binary())], [*carried, "shingles"])
                 yield out.filter(pa.array(same))
 
-    sets = members.mapInArrow(expand, "cluster long, block int, places array<struct<one:int,other:int>>, class_id long, bits binary, shingles binary")
-    dealt = sets.withColumn("place", F.explode("places")).selectExpr("cluster", "place.one", "place.other", "block", "class_id", "bits", "shingles")
+    sets = members.mapInArrow(expand, "cluster long, block long, places array<struct<one:bigint,other:bigint>>, class_id long, known long, bits binary, shingles binary")
+    dealt = sets.withColumn("place", F.explode("places")).selectExpr("cluster", "place.one", "place.other", "block", "class_id", "known", "bits", "shingles")
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "cluster", "one", "other").sortWithinPartitions("cluster", "one", "other", "block", "class_id")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -167,46 +188,93 @@ def confirm(members: DataFrame, width: int, percent: int) -> DataFrame:
                     if rows:
                         yield key, rows
                     key, rows = (row["cluster"], row["one"], row["other"]), []
-                rows.append(row)
+                if not rows or row["class_id"] != rows[-1]["class_id"]:  # a repeated id comes once
+                    rows.append(row)
         if rows:
             yield key, rows
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, one, other), rows in groups(batches):
             bits = np.frombuffer(b"".join(r["bits"] for r in rows), "<u8").reshape(len(rows), -1)
-            links = confirmed([r["class_id"] for r in rows], [r["block"] for r in rows], bits, [np.frombuffer(r["shingles"], np.uint64) for r in rows], one, other, percent)
+            links = confirmed([r["class_id"] for r in rows], [r["known"] for r in rows], [r["block"] for r in rows], bits, [np.frombuffer(r["shingles"], np.uint64) for r in rows], one, other, percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["u", "v"])
 
-    assert packed.split(", ") == [f"{n} {t.replace('bigint', 'long')}" for n, t in dealt.dtypes]
     return dealt.mapInArrow(verify, "u long, v long")
 
 
+def weight(count: Column, shingles: Column) -> Column:
+    """How many blocks so many texts and shingles fill."""
+    return F.greatest(count / BLOCK_TEXTS, shingles / BLOCK_SHINGLES)
+
+
+def dealt_once(members: DataFrame, deal: int) -> DataFrame:
+    """Members of each cluster dealt out over its blocks by a hash, each block for itself."""
+    block = F.pmod(F.xxhash64("class_id", F.lit(deal)), F.col("blocks")).cast("long")
+    return members.withColumn("block", block).withColumn("places", F.array(F.struct(F.col("block").alias("one"), F.col("block").alias("other"))))
+
+
+def dealt_by_bucket(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of each bucket of a band that holds several components, dealt out as pairs of blocks of different ones.
+
+    A component that fills more than a block has blocks of its own, which need not meet each other; smaller ones share
+    blocks. So a bucket of one large family and a few strays gives as many pairs as the family has blocks.
+    """
+    rows = members.join(classes.select("class_id", "bands"), "class_id").withColumn("cluster", F.explode("bands")).drop("bands")
+    parts = rows.groupBy("cluster", "known").agg(weight(F.count(F.lit(1)), F.sum("n_shingles")).alias("fill"))
+    mixed_ones = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.ceil(F.sum(F.when(F.col("fill") <= 1, F.col("fill")))).alias("pools")).where("parts > 1").drop("parts")
+    parts = parts.join(mixed_ones, "cluster").withColumn("own", F.when(F.col("fill") > 1, F.ceil("fill").cast("long")))
+
+    def labelled(number: Column) -> Column:
+        """A block's label: of a component's own block, or of a shared one."""
+        return F.when(F.col("own").isNotNull(), F.xxhash64("known", number)).otherwise(F.xxhash64(F.lit(-1), F.pmod(F.xxhash64("known"), F.greatest("pools", F.lit(1)))))
+
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("own") - 1, F.lit(0))))
+    blocks = parts.withColumn("number", numbers).select("cluster", labelled(F.col("number")).alias("block"), F.when(F.col("own").isNotNull(), F.col("known")).alias("of")).distinct()
+    others = blocks.select("cluster", F.col("block").alias("second"), F.col("of").alias("of_second"))
+    meet = blocks.join(others, "cluster").where("(of IS NULL AND of_second IS NULL AND block <= second) OR (of IS NULL AND of_second IS NOT NULL) OR (of < of_second)")
+    pair = F.struct(F.col("block").alias("one"), F.col("second").alias("other"))
+    both = meet.select("cluster", "block", pair.alias("place")).unionByName(meet.where("block <> second").select("cluster", F.col("second").alias("block"), pair.alias("place")))
+    places = both.groupBy("cluster", "block").agg(F.collect_list("place").alias("places"))
+    number = F.pmod(F.xxhash64("class_id"), F.col("own"))
+    rows = rows.join(parts.select("cluster", "known", "own", "pools"), ["cluster", "known"]).withColumn("block", labelled(number))
+    return rows.select("cluster", "class_id", "known", "digest", "bits", "block").join(places, ["cluster", "block"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
     Two texts are linked if the intersection of their shingle sets is at least `percent` hundredths of the union;
     component_id is the smallest id that links reach, kept marks the row that has it. Texts of equal sets are one class
-    from the start. Classes that share a band, directly or by a chain, form clusters; inside a cluster all pairs are
-    estimated from b-bit signatures, and pairs near or above the threshold are confirmed on the full sets, unless what
-    is confirmed connects them already. A large cluster is dealt out as pairs of blocks of at most BLOCK_TEXTS texts.
-    The bands are chosen for percent >= 80; below that, candidates would be missed.
+    from the start. Classes that share a band, directly or by a chain, form clusters. A cluster of one block has all its
+    pairs estimated from b-bit signatures, and those near or above the threshold confirmed on the full sets, unless what
+    is confirmed connects them already. A larger cluster is dealt out twice over random blocks, which joins large
+    families at the cost of their size; after that only buckets that still hold several components are searched, and
+    only between these. The bands follow from percent; below 4 % no banding finds the pairs, and ValueError is raised.
 
     Null texts count as empty; a text without words has an empty set and is linked with nothing. Rows of null id have
     null component_id, are not kept and link nothing, but equal sets of other rows are unaffected. Repeated rows are
     linked and share one id, so each is kept. An empty table gives an empty result.
     """
     source = id_and_text(docs, id_col, text_col)
-    rows = checkpointed(sketches(source, width))
+    rows = checkpointed(sketches(source, width, *banding(percent)))
     classes = checkpointed(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     clusters = checkpointed(candidate_clusters(classes))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("class_id", "digest", "bits", "n_shingles"), F.col("id") == F.col("class_id")).drop("id")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("one"), F.greatest("block", j).alias("other")))
-    members = members.join(sizes, "cluster").withColumn("block", block).withColumn("places", others).select("cluster", "class_id", "digest", "bits", "block", "places")
-    members = members.join(source, F.col("class_id") == F.col("doc_id")).drop("doc_id")
-    labels = connected_components(confirm(members, width, percent))
+    sizes = checkpointed(members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks")))
+    members = members.join(sizes, "cluster").withColumn("known", F.col("class_id"))
+    links = checkpointed(confirm(dealt_once(members, 0), source, width, percent))
+    labels = connected_components(links)
+    if not sizes.where("blocks > 1").isEmpty():
+        large = members.where("blocks > 1").drop("known")
+
+        def so_far() -> DataFrame:
+            return large.join(labels, F.col("class_id") == F.col("id"), "left").withColumn("known", F.coalesce("component", "class_id")).drop("id", "component")
+
+        for deal in (dealt_once(so_far(), 1), None):
+            more = confirm(deal if deal is not None else dealt_by_bucket(so_far(), classes), source, width, percent)
+            links = checkpointed(links.unionByName(more))
+            labels = connected_components(links)
     named = classes.select("digest", "class_id").join(labels, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -214,5 +282,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
 
 def drop_near_copies(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near_duplicates, with all its columns; rows without words or id stay."""
-    gone = near_duplicates(docs, percent, width, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    (gone_id,) = unused(docs, "gone_id")
+    gone = near_duplicates(docs, percent, width, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")

@@ -74,9 +74,11 @@ def test_near_components(awkward, rows, percent):
 
 
 def test_near_large_clusters_are_dealt_as_blocks(spark, monkeypatch):
-    """A family of near copies that is far larger than a block gives the same components."""
-    base = words(7, 120)
+    """Families of near copies that are far larger than a block, of which some only touch, give the same components."""
+    base, other = words(7, 120), words(8, 120)
     rows = [(i, edited(base, 25 + i % 90, i)) for i in range(90)]
+    rows += [(200 + i, edited(base[: len(base) // 2] + other[len(other) // 2 :], 30 + i, i)) for i in range(40)]
+    rows += [(300 + i, edited(other, 60, i)) for i in range(40)] + [(400 + i, edited(base, 11 + i % 5, i)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()}
@@ -133,3 +135,23 @@ def test_repeats(awkward, rows, hot):
 def test_empty_tables(nothing):
     for f in (exact_dedup, near_duplicates, remove_repeats, drop_exact_copies, drop_near_copies):
         assert f(nothing).count() == 0
+
+
+def test_low_thresholds_find_their_pairs(spark):
+    """Bands follow from the threshold; where no banding finds all pairs, the threshold is refused."""
+    base = words(17, 80)
+    rows = [(i, edited(base, 9 + i % 30, i)) for i in range(40)] + [(50 + i, words(60 + i, 60)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (30, 55):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, percent).collect()} == brute_components(rows, percent)
+    with pytest.raises(ValueError, match="cannot be searched"):
+        near_duplicates(docs, 2)
+
+
+def test_hubs_are_joined_like_other_nodes(spark, monkeypatch):
+    from tallybook.llm import components
+
+    monkeypatch.setattr(components, "HUB", 2)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 40, 3)] + [(300 + i, 301 + i) for i in range(20)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(40)} | {i + 100: 0 for i in range(1, 40, 3)} | {300 + i: 300 for i in range(21)}
