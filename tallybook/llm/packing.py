@@ -1,7 +1,7 @@
 """Packing token sequences into fixed windows by non-negative least squares over length combinations.
 
 Every document is cut into full windows and one remainder. The histogram of the remainders' lengths, which has as many
-bins as the window has tokens, is all that the driver sees. Combinations of two and three lengths that fill a window
+bins as the window has tokens, is all that the driver sees beside the counts of the parts in which ranks are counted. Combinations of two and three lengths that fill a window
 exactly are its columns; non-negative least squares chooses how often each is repeated, the counts are rounded and
 clipped to what the histogram has, and what is left is laid end to end and cut at window borders, largest first.
 A remainder's place follows from its length and its rank among those of that length, so placing them needs no more
@@ -10,32 +10,46 @@ than a rank and a lookup in the plan, whose size depends on the window alone.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from unicodedata import is_normalized
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallybook.llm.common import checkpointed, id_and_text
+from tallybook.llm.common import id_and_text, stored
 
 #: Words whose ids a Python worker remembers, and texts that it tokenises at once.
 REMEMBERED, BATCH = 1_000_000, 128
-#: Ranks are counted within so many parts of a length, so that one length that most documents share is not one task.
-SALTS = 64
+#: Pieces of one length whose ranks are counted in one task; a length that more have is dealt out over several.
+RANKED = 500_000
+#: What the shortcut by words stands on: the tokenizer's normaliser and the way it splits texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Letters that stay letters, each by itself, when they are composed and made small: Latin but for the I with a dot
+#: above, whose small form ends in a mark that joins marks behind it, and Cyrillic.
+LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481]+")
 
 
 @lru_cache(2)
 def load(vocabulary: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(vocabulary)
+
+
+def by_words(tokenizer: Tokenizer) -> bool:
+    """Whether texts may be taken word by word: the normaliser and the split are the known ones."""
+    made = json.loads(tokenizer.to_str())
+    return made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTE_LEVEL]} and made["post_processor"] is None
 
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others, in order, for code points from 256.
@@ -45,25 +59,31 @@ MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words:
-    """Ids of white-space-delimited words, each tokenised once while it is remembered.
+    """Ids of texts by their white-space-delimited words, each tokenised once while it is remembered.
 
     The tokenizer drops white space and lets no token cross it, and it folds case; so a text's ids are its words' ids
     in order. Bytes are used, as their lower() folds ASCII letters only and their split() parts at ASCII white space.
-    A word of letters with marks behind is its letters and its marks. Letters of the Latin blocks go straight to the
-    merges, in the byte-level alphabet; all else goes through the whole tokenizer.
+    A word of LETTERS with marks behind is its letters and its marks. Letters go straight to the merges, in the
+    byte-level alphabet; all else goes through the whole tokenizer. Texts in which a special token's name occurs, in
+    any letter case, go through it as they are; so do all texts if its normaliser or its split is another.
     """
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = load(vocabulary)
         self.merges = self.tokenizer.model.tokenize
+        self.known_split = by_words(self.tokenizer)
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[bytes, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isalpha() and (text.isascii() or max(text) < "\u0250" and "\u0130" not in text and is_normalized("NFC", text)):
-            ids = [t.id for t in self.merges(text if text.isascii() else "".join(map(ALPHABET.__getitem__, text.lower().encode())))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if not LETTERS.fullmatch(text):
+            return self.whole(text)
+        ids = [t.id for t in self.merges(text if text.isascii() else "".join(map(ALPHABET.__getitem__, text.lower().encode())))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, words: set[bytes]) -> None:
@@ -72,7 +92,7 @@ class Words:
         known = self.ids
         for word in words.difference(known):
             stem = word.rstrip(MARKS)
-            if stem and len(stem) < len(word) and stem.decode().isalpha():
+            if stem and len(stem) < len(word) and LETTERS.fullmatch(stem.decode()):
                 for part in (stem, marks := word[len(stem) :]):
                     if part not in known:
                         known[part] = self.encode_word(part)
@@ -80,10 +100,12 @@ class Words:
             else:
                 known[word] = self.encode_word(word)
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        self.learn(set().union(*texts))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        lowered = [t.encode().lower() for t in texts]
+        split = [None if not self.known_split or any(name in raw for name in self.special) else raw.split() for raw in lowered]
+        self.learn(set().union(*filter(None, split)))
         known = self.ids.__getitem__
-        return [b"".join(map(known, words)) for words in texts]
+        return [self.whole(text) if words is None else b"".join(map(known, words)) for text, words in zip(texts, split, strict=True)]
 
 
 @lru_cache(2)
@@ -91,28 +113,31 @@ def words_of(vocabulary: str) -> Words:
     return Words(vocabulary)
 
 
-PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary"
+PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, ids binary, dealt long"
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
-    """Rows of PIECE: each document's full windows, without ids, and its remainder with ids (unsigned 32-bit, packed)."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    """Rows of PIECE: each document's full windows, without ids, and its remainder with ids (unsigned 32-bit, packed).
+
+    dealt numbers the pieces of a task; once written, it tells equal pieces apart.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = words_of(vocabulary), np.array([end_id], "<u4").tobytes()
+        dealt = count(TaskContext.get().partitionId() << 40)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch, rows = whole.slice(at, BATCH), []
-                texts = [t.encode().lower().split() for t in batch["text"].to_pylist()]
-                for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(texts), strict=True):
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.encode(batch["text"].to_pylist()), strict=True):
                     ids += end
                     total = len(ids) // 4
                     for start in range(0, total, window):
                         piece = ids[4 * start : 4 * (start + window)]
                         n = len(piece) // 4
-                        rows.append((doc_id, start, n, zlib.crc32(piece), total, None if n == window else zlib.compress(piece, 1)))
+                        rows.append((doc_id, start, n, zlib.crc32(piece), total, None if n == window else zlib.compress(piece, 1), next(dealt)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "dealt"])
 
     return docs.mapInArrow(cut, PIECE)
 
@@ -222,26 +247,33 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
 
     A document's tokens are its ids and end_id. Null and empty texts have end_id alone. Every token lies in exactly one
     piece and every sequence but the last is full. Repeated rows are packed as often as they come, null ids keep their
-    tokens, an empty table gives an empty result. The cut documents are written to the checkpoint folder, because the
-    histogram and the placement both read them; texts are tokenised once.
+    tokens, an empty table gives an empty result. Ids are those that the tokenizer gives the whole text, names of
+    special tokens included. The cut documents are written to the shared folder, because the histogram and the
+    placement both read them; texts are tokenised once. Ranks within a length are counted in parts of about RANKED
+    pieces, however many pieces have it.
     """
-    pieces = checkpointed(cut_documents(id_and_text(docs, id_col, text_col), vocabulary, window, end_id))
-    salt = F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(SALTS)).cast("int").alias("salt")
-    counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).toPandas()  # window * SALTS rows at most
-    table = np.zeros((window + 1, SALTS), np.int64)
-    table[counts["length"], counts["salt"]] = counts["n"]
-    histogram = table.sum(1)
+    pieces = stored(cut_documents(id_and_text(docs, id_col, text_col), vocabulary, window, end_id))
+    histogram = np.zeros(window + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():  # window rows at most
+        histogram[row["length"]] = row["count"]
+    salts = np.maximum(1, -(-histogram // RANKED))
+    salt = F.pmod(F.xxhash64("dealt"), F.get(F.lit(salts.tolist()).cast("array<bigint>"), F.col("length"))).alias("salt")
+    counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).toPandas()  # window + rows / RANKED at most
+    first = np.cumsum(salts) - salts
+    table = np.zeros(salts.sum(), np.int64)
+    table[first[counts["length"]] + counts["salt"]] = counts["n"]
+    before = np.cumsum(table) - table
+    before -= np.repeat(before[first], salts)
     full, histogram[window] = int(histogram[window]), 0
-    before = np.cumsum(table, 1) - table
     plan = make_plan(histogram)
 
-    ranked = pieces.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = pieces.select("*", salt).withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "dealt")) - 1).drop("dealt")
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = (b[c].to_numpy().astype(np.int64) for c in ("length", "rank"))
-            rank = rank + before[length, b["salt"].to_numpy()]
+            rank = rank + before[first[length] + b["salt"].to_numpy()]
             whole = np.flatnonzero(length == window)
             parts = [(whole, np.zeros(len(whole), np.int64), length[whole], rank[whole], np.zeros(len(whole), np.int64))]
             rest = np.flatnonzero(length < window)

@@ -128,6 +128,36 @@ def test_packing_keeps_every_token_once(awkward, rows):
     assert sum(sum(n for _, n in parts) < 2048 for parts in fill.values()) <= 1
 
 
+def test_ids_are_the_tokenizers():
+    """Words by the shortcut give what the tokenizer gives the whole text, for odd letters, marks and special tokens."""
+    draw, tokenizer, words_of = random.Random(4), Tokenizer.from_file(WORD_BPE), packing.Words(WORD_BPE)
+    odd = ["\u0130", "\u0131", "\u0958", "\u0345", "\u00df", "e\u0301", "\u1e9e", "\u212a", "\u01c5", "\u0400", "\u0482", "\u02b0", "\u00aa", "\u4e2d", "\U0001f600", "\u00a0", "\x85", "\x1c", "\u2028", "\u0660", "\ufb01", "\u03a3"]
+    parts = [*odd, *"abcXYZ019.,!?'\"#-_/()<|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "'s", "'LL", "word", " ", "\n", "\t "]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(1, 14))) for _ in range(100_000)]
+    got = words_of.encode(texts)
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(g == struct.pack(f"<{len(w.ids)}I", *w.ids) for g, w in zip(got, want))
+    assert np.frombuffer(words_of.encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [320, 49407, 321]
+
+
+def test_other_tokenizers_take_whole_texts():
+    """The shortcut by words is for the known split alone."""
+    other = packing.Words(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "two  spaces and <|endoftext|>"
+    assert not other.known_split and np.frombuffer(other.encode([text])[0], "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("ranked", [3, 500_000])
+def test_lengths_that_many_share_are_ranked_in_parts(spark, monkeypatch, ranked):
+    """Equal lengths, full windows and repeated rows are placed once each, however few are ranked together."""
+    monkeypatch.setattr(packing, "RANKED", ranked)
+    docs = spark.createDataFrame([(1, "same words here")] * 20 + [(None, "same words here")] * 20 + [(i, "word " * 130) for i in range(20)], "doc_id long, text string").repartition(5)
+    pieces = packing.pack_documents(docs, WORD_BPE, window=32).collect()
+    places = [(p.sequence_id, p.offset + i) for p in pieces for i in range(p.length)]
+    assert len(places) == len(set(places)) == 40 * 4 + 20 * 131
+    assert max(q for q, _ in places) + 1 == -(-len(places) // 32)
+
+
 def test_plan_uses_each_remainder_once():
     draw = np.random.default_rng(5)
     histogram = np.bincount(draw.integers(1, 64, 3000), minlength=65)
