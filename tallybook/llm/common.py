@@ -70,11 +70,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Materialise df as a Parquet table in the shared folder: later readers take the columns that they need alone."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Materialise df as a Parquet table in the shared folder, and where: later readers take the columns they need alone."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return stored_at(df)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import checkpointed
+from tallybook.llm.common import removed, stored_at
 
 
 #: A node of more links than this, and than a thousandth of all links, is a hub; so there are fewer than a thousand hubs.
@@ -36,16 +36,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id that can be reached) of all ids in edges, a table of two long columns u, v.
 
     Nulls and loops are left out. Each round links every node to the least of its neighbours, until all links lead
-    straight to a component's least node. Every round is written to the checkpoint folder. An empty edge table gives
-    an empty result.
+    straight to a component's least node. Every round is written to the shared folder and takes the place of the one
+    before. An empty edge table gives an empty result.
     """
     links = edges.na.drop().where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = checkpointed(links)
+    spark = edges.sparkSession
+    links, at = stored_at(links)
     while not _is_forest_of_stars(links):
         total = 2 * links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         links = _starred(both, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         small = _starred(links, total)
         links = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
-        links = checkpointed(links)
+        links, after = stored_at(links)
+        removed(spark, at)
+        at = after
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import checkpointed, id_and_text, shuffle_partitions, unused
+from tallybook.llm.common import id_and_text, shuffle_partitions, stored, unused
 from tallybook.llm.components import connected_components
 from tallybook.llm.shingles import mixed, set_digest, shingle_sets
 
@@ -161,11 +161,13 @@ def confirmed(ids: list[int], known: list[int], blocks: list[int], bits: np.ndar
 def confirm(members: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
     """u and v: confirmed links, enough to connect what all similar pairs of the dealt blocks connect.
 
-    members: cluster, class_id, known (its component so far), digest, bits, block and places (the pairs of blocks that
-    the block takes part in); source: doc_id and text. The full sets travel once for each place.
+    members: class_id, known (its component so far), digest, bits, cluster, block, and places (the pairs of blocks that
+    the block takes part in); source: doc_id and text. Texts travel once, the full sets once for each place.
     """
+    placed = members.withColumn("place", F.explode("places")).select("class_id", "known", "digest", "bits", F.struct("cluster", "block", "place.one", "place.other").alias("place"))
+    members = placed.groupBy("class_id", "known", "digest", "bits").agg(F.collect_list("place").alias("places"))
     members = members.join(source, F.col("class_id") == F.col("doc_id")).drop("doc_id")
-    carried = ["cluster", "block", "places", "class_id", "known", "bits"]
+    carried = ["places", "class_id", "known", "bits"]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,8 +178,8 @@ def confirm(members: DataFrame, source: DataFrame, width: int, percent: int) ->
                 out = pa.RecordBatch.from_arrays([*(batch[c] for c in carried), pa.array([s.tobytes() for s in sets], pa.binary())], [*carried, "shingles"])
                 yield out.filter(pa.array(same))
 
-    sets = members.mapInArrow(expand, "cluster long, block long, places array<struct<one:bigint,other:bigint>>, class_id long, known long, bits binary, shingles binary")
-    dealt = sets.withColumn("place", F.explode("places")).selectExpr("cluster", "place.one", "place.other", "block", "class_id", "known", "bits", "shingles")
+    sets = members.mapInArrow(expand, "places array<struct<cluster:bigint,block:bigint,one:bigint,other:bigint>>, class_id long, known long, bits binary, shingles binary")
+    dealt = sets.withColumn("place", F.explode("places")).selectExpr("place.cluster", "place.one", "place.other", "place.block", "class_id", "known", "bits", "shingles")
     dealt = dealt.repartition(shuffle_partitions(members.sparkSession), "cluster", "one", "other").sortWithinPartitions("cluster", "one", "other", "block", "class_id")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -214,16 +216,20 @@ def dealt_once(members: DataFrame, deal: int) -> DataFrame:
     return members.withColumn("block", block).withColumn("places", F.array(F.struct(F.col("block").alias("one"), F.col("block").alias("other"))))
 
 
-def dealt_by_bucket(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of each bucket of a band that holds several components, dealt out as pairs of blocks of different ones.
+def filled(rows: DataFrame, group: str) -> DataFrame:
+    """Of each group and component in it: how many blocks it fills."""
+    return rows.groupBy(group, "known").agg(weight(F.count(F.lit(1)), F.sum("n_shingles")).alias("fill"))
+
+
+def dealt_across(rows: DataFrame) -> DataFrame:
+    """Members of each cluster that holds several components, dealt out as pairs of blocks of different ones.
 
     A component that fills more than a block has blocks of its own, which need not meet each other; smaller ones share
-    blocks. So a bucket of one large family and a few strays gives as many pairs as the family has blocks.
+    blocks. So a large family and a few strays give as many pairs as the family has blocks.
     """
-    rows = members.join(classes.select("class_id", "bands"), "class_id").withColumn("cluster", F.explode("bands")).drop("bands")
-    parts = rows.groupBy("cluster", "known").agg(weight(F.count(F.lit(1)), F.sum("n_shingles")).alias("fill"))
-    mixed_ones = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.ceil(F.sum(F.when(F.col("fill") <= 1, F.col("fill")))).alias("pools")).where("parts > 1").drop("parts")
-    parts = parts.join(mixed_ones, "cluster").withColumn("own", F.when(F.col("fill") > 1, F.ceil("fill").cast("long")))
+    parts = filled(rows, "cluster")
+    several = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("parts"), F.ceil(F.sum(F.when(F.col("fill") <= 1, F.col("fill")))).alias("pools")).where("parts > 1").drop("parts")
+    parts = parts.join(several, "cluster").withColumn("own", F.when(F.col("fill") > 1, F.ceil("fill").cast("long")))
 
     def labelled(number: Column) -> Column:
         """A block's label: of a component's own block, or of a shared one."""
@@ -241,6 +247,21 @@ def dealt_by_bucket(members: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("cluster", "class_id", "known", "digest", "bits", "block").join(places, ["cluster", "block"])
 
 
+def dealt_rest(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large clusters that hold several components: dealt out across the cluster, or across each bucket of a
+    band that holds several, whichever sends fewer full sets. Either way every pair that shares a band meets."""
+    whole = filled(members, "cluster").groupBy("cluster").agg(F.ceil(F.sum(F.when(F.col("fill") <= 1, F.col("fill")))).alias("pools"), F.sum(F.when(F.col("fill") > 1, F.ceil("fill"))).alias("own"), F.sum(F.when(F.col("fill") > 1, F.ceil("fill") * F.ceil("fill"))).alias("apart"))
+    every = F.coalesce("pools", F.lit(0)) + F.coalesce("own", F.lit(0))
+    whole = whole.select("cluster", ((every * every - F.coalesce("apart", F.lit(0))) * BLOCK_TEXTS).alias("across"))
+    rows = members.join(classes.select("class_id", "bands"), "class_id").withColumn("band", F.explode("bands")).drop("bands")
+    mixed_bands = rows.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least < most").select("band")
+    rows = rows.join(mixed_bands, "band")
+    routes = whole.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("sent")), "cluster").select("cluster", (F.col("across") <= F.col("sent")).alias("at_once"))
+    at_once = members.join(routes.where("at_once"), "cluster", "left_semi")
+    by_band = rows.join(routes.where("NOT at_once"), "cluster", "left_semi").drop("cluster").withColumnRenamed("band", "cluster")
+    return dealt_across(at_once.unionByName(by_band.select(*at_once.columns)))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -249,21 +270,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     from the start. Classes that share a band, directly or by a chain, form clusters. A cluster of one block has all its
     pairs estimated from b-bit signatures, and those near or above the threshold confirmed on the full sets, unless what
     is confirmed connects them already. A larger cluster is dealt out twice over random blocks, which joins large
-    families at the cost of their size; after that only buckets that still hold several components are searched, and
-    only between these. The bands follow from percent; below 4 % no banding finds the pairs, and ValueError is raised.
+    families at the cost of their size; after that only clusters, or buckets of them, that still hold several components
+    are searched, and only between these. The bands follow from percent; below 4 % no banding finds the pairs, and ValueError is raised.
 
     Null texts count as empty; a text without words has an empty set and is linked with nothing. Rows of null id have
     null component_id, are not kept and link nothing, but equal sets of other rows are unaffected. Repeated rows are
     linked and share one id, so each is kept. An empty table gives an empty result.
     """
     source = id_and_text(docs, id_col, text_col)
-    rows = checkpointed(sketches(source, width, *banding(percent)))
-    classes = checkpointed(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
-    clusters = checkpointed(candidate_clusters(classes))
+    rows = stored(sketches(source, width, *banding(percent)))
+    classes = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+    clusters = stored(candidate_clusters(classes))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("class_id", "digest", "bits", "n_shingles"), F.col("id") == F.col("class_id")).drop("id")
-    sizes = checkpointed(members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks")))
+    sizes = stored(members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks")))
     members = members.join(sizes, "cluster").withColumn("known", F.col("class_id"))
-    links = checkpointed(confirm(dealt_once(members, 0), source, width, percent))
+    links = stored(confirm(dealt_once(members, 0), source, width, percent))
     labels = connected_components(links)
     if not sizes.where("blocks > 1").isEmpty():
         large = members.where("blocks > 1").drop("known")
@@ -271,9 +292,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         def so_far() -> DataFrame:
             return large.join(labels, F.col("class_id") == F.col("id"), "left").withColumn("known", F.coalesce("component", "class_id")).drop("id", "component")
 
-        for deal in (dealt_once(so_far(), 1), None):
-            more = confirm(deal if deal is not None else dealt_by_bucket(so_far(), classes), source, width, percent)
-            links = checkpointed(links.unionByName(more))
+        for rest in (False, True):
+            more = confirm(dealt_rest(so_far(), classes) if rest else dealt_once(so_far(), 1), source, width, percent)
+            links = stored(links.unionByName(more))
             labels = connected_components(links)
     named = classes.select("digest", "class_id").join(labels, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
