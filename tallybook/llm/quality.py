@@ -1,4 +1,11 @@
-"""Quality classifier by positive-unlabelled learning with the non-negative risk estimator."""
+"""Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
+
+Trusted positives are a bounded sample of the rows with label 1; no row with label 0 enters the fit, the prior or the
+calibration. The unlabelled texts are all texts: one pass sums the products of their features, from which the risk of
+any linear model with squared loss follows exactly, and another counts the margins of the candidate models, one for
+each prior of a grid. The prior is estimated from the margins of a model that tells positives from unlabelled texts,
+and the scores are calibrated by it.
+"""
 
 from __future__ import annotations
 
@@ -11,21 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled and unlabelled texts, about, that a model is fitted on; chosen by a hash of the id, whole texts.
-LABELLED, UNLABELLED = 5000, 5000
-ROUNDS, RATE, DECAY = 300, 0.05, 1e-3
-CLASSES = 40
-#: Measures beside the pairs of character classes.
+from tallybook.llm.common import besides, quoted, schema_of, unused
+
+#: Texts of label 1, about, that a model is fitted on, chosen by a hash of the id, whole texts; share that gives the
+#: weights, while the rest gives the prior and the calibration.
+POSITIVES, FITTED = 5000, 0.7
+#: Character classes: small letter, capital, digit, space, line end, other space, other, then each ASCII mark.
+CLASSES, COARSE = 40, 8
+#: Measures of words and lines, and the constant 1 behind all features.
 MEASURES = 7
-FEATURES = CLASSES * CLASSES + MEASURES
+FEATURES = CLASSES + COARSE * COARSE + MEASURES + 1
+#: Priors for which candidate models are made.
+PRIORS = np.arange(1, 20) / 20
+#: Bins of a margin's histogram, from -REACH to REACH, and the width in bins of the kernel that smooths them.
+BINS, REACH, KERNEL = 400, 4.0, 8.0
+#: Share of the positives that must lie above a margin for it to bound the prior.
+ABOVE = 0.5
 BATCH = 64
-#: Standard deviations at which standardised features are cut off.
-SPREAD = 6.0
 
 
 @lru_cache(1)
 def character_classes() -> np.ndarray:
-    """For each code point: small letter, capital, digit, space, line end, other space, an ASCII mark of its own, other."""
+    """The class of each code point, below CLASSES."""
     found = np.full(0x110000, 6, np.uint8)
     for i in range(0x110000):
         if 0xD800 <= i < 0xE000:
@@ -43,133 +57,220 @@ def character_classes() -> np.ndarray:
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Texts by FEATURES: square roots of the shares of pairs of character classes, and measures of repetition and form."""
+    """Texts by FEATURES: roots of the shares of character classes and of pairs of them, measures of repetition and form."""
     raw = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
     kind = character_classes()[raw].astype(np.int64)
     sizes = np.array([len(t) + 1 for t in texts])
     row = np.repeat(np.arange(len(texts)), sizes)
+    single = np.bincount(row * CLASSES + kind, minlength=len(texts) * CLASSES).reshape(len(texts), -1)
+    coarse = np.minimum(kind, COARSE - 1)
     inside = np.ones(len(raw), bool)
     inside[np.cumsum(sizes) - 1] = False  # no pair begins with the line end put behind each text
-    pair = row[:-1] * CLASSES * CLASSES + kind[:-1] * CLASSES + kind[1:]
-    counts = np.bincount(pair[inside[:-1]], minlength=len(texts) * CLASSES * CLASSES).reshape(len(texts), -1)
-    out = np.zeros((len(texts), FEATURES), np.float32)
-    out[:, :-MEASURES] = np.sqrt(counts / np.maximum(sizes - 1, 1)[:, None])
+    pair = (row[:-1] * COARSE + coarse[:-1]) * COARSE + coarse[1:]
+    pairs = np.bincount(pair[inside[:-1]], minlength=len(texts) * COARSE * COARSE).reshape(len(texts), -1)
+    out = np.ones((len(texts), FEATURES))
+    out[:, :CLASSES] = np.sqrt(single / sizes[:, None])
+    out[:, CLASSES : CLASSES + COARSE * COARSE] = np.sqrt(pairs / np.maximum(sizes - 1, 1)[:, None])
     for i, text in enumerate(texts):
         words, lines = text.split(), text.split("\n")
         n = max(1, len(words))
-        out[i, -MEASURES:] = (
+        out[i, -MEASURES - 1 : -1] = (
             len(set(words)) / n,
             len({w.lower() for w in words}) / n / max(0.05, min(1.0, 12 / n**0.5)),
             len(set(lines)) / len(lines),
             min(sum(map(len, words)) / n, 40) / 10,
             np.log1p(len(words)) / 10,
             min(n / len(lines), 100) / 100,
-            max(map(len, words), default=0) ** 0.5 / 20,
+            min(max(map(len, words), default=0), 400) ** 0.5 / 20,
         )
     return out
 
 
 @dataclass
 class Model:
-    """A linear model of standardised features; slope and shift turn its margin into a calibrated log-odds."""
+    """Weights of the features; slope and shift turn the margin into a calibrated log-odds; the prior that was estimated."""
 
-    mean: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
-    bias: float
     slope: float
     shift: float
+    prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        margin = np.clip((x - self.mean) / self.scale, -SPREAD, SPREAD) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights) + self.shift, -30, 30)))
+
+
+def negative_risk(w: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """E_u[l(-)] - prior * E_p[l(-)] of squared loss l = (1 + margin)^2 / 4, from mean products of features, constant last."""
+    of_u, of_p = (1 + 2 * s[-1] @ w + w @ s @ w for s in (unlabelled, positive))
+    return float(of_u - prior * of_p) / 4
+
+
+def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float) -> np.ndarray:
+    """Weights of least non-negative risk: prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]), squared loss l.
+
+    The risk is the greater of two convex parabolas of the weights, with and without the second part. Its minimum is
+    the minimum of a mean of the two, whose share is found by halving: all of the second part if that is not negative
+    then, else as much of it as makes it zero.
+    """
+
+    free = np.diag([*np.ones(len(positive) - 1), 0.0])  # the constant's weight is not held back
+
+    def least(share: float) -> np.ndarray:
+        matrix = (prior * (1 - share) * positive + share * unlabelled) / 2 + ridge * free
+        return np.linalg.solve(matrix, (prior * (1 + share) * positive[-1] - share * unlabelled[-1]) / 2)
+
+    whole = least(1.0)
+    if negative_risk(whole, unlabelled, positive, prior) >= 0:
+        return whole
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        if negative_risk(least(middle), unlabelled, positive, prior) >= 0:
+            low = middle
+        else:
+            high = middle
+    return least(low)
+
+
+def binned(margins: np.ndarray) -> np.ndarray:
+    return np.clip((margins + REACH) / (2 * REACH) * BINS, 0, BINS - 1).astype(np.int64)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from counts of margins by bin.
+
+    Above any margin lie at least prior times the share of positives that lies there, so the least ratio of the two
+    shares, over margins with enough positives above them, bounds the prior, and meets it where no negatives are.
+    """
+    of_p, of_u = (x[::-1].cumsum() / x.sum() for x in (positive, unlabelled))
+    return float(np.clip((of_u / np.maximum(of_p, 1e-12))[of_p >= ABOVE].min(), 0.02, 0.98))
 
 
-def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk: prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)]), logistic l.
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the log-odds, from counts of margins by bin: logistic regression on each bin's share of positives.
 
-    Where the second part is negative, the step goes against it instead, so that it does not stay so.
+    That share is prior times the density of positives over that of all texts, both smoothed. Newton's method, with a
+    weak pull to 1 and 0.
     """
-    w, b = np.zeros(positive.shape[1], np.float32), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, ROUNDS + 1):
-        zp, zu = positive @ w + b, unlabelled @ w + b
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        up = prior * (sp - 1) / len(sp)
-        sign = 1.0 if negative >= 0 else -1.0
-        keep = 1.0 if negative >= 0 else 0.0
-        gp, gu = (x.astype(np.float32) for x in (keep * up - sign * prior * sp / len(sp), sign * su / len(su)))
-        g = np.concatenate([positive.T @ gp + unlabelled.T @ gu + DECAY * w, [gp.sum() + gu.sum()]])
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
-    return w, b
-
-
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the log-odds, by Newton's method with a weak pull to 1 and 0."""
+    at = np.arange(BINS)
+    kernel = np.exp(-0.5 * ((at[:, None] - at[None, :]) / KERNEL) ** 2)
+    p, u = (kernel @ (x / x.sum()) for x in (positive, unlabelled))
+    share = np.clip(prior * p / np.maximum(u, 1e-12), 0, 1)
+    x, weight = np.stack([(at + 0.5) / BINS * 2 * REACH - REACH, np.ones(BINS)], 1), unlabelled / unlabelled.sum() * 1000
     a = np.array([1.0, 0.0])
-    x = np.stack([margin, np.ones(len(margin))], 1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        g = x.T @ (p - label) + 1.0 * (a - [1.0, 0.0])
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-        a = a - np.linalg.solve(h, g)
+    for _ in range(50):
+        guess = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        slope = x.T @ (weight * (guess - share)) + 0.1 * (a - [1.0, 0.0])
+        a = a - np.linalg.solve((x * (weight * guess * (1 - guess))[:, None]).T @ x + 0.1 * np.eye(2), slope)
     return float(max(a[0], 1e-3)), float(a[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """A model of label 1 from docs (doc_id, text) and labels (doc_id, label, 0 or 1); rows with a null are left out.
+def texts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, BATCH):
+            yield [t or "" for t in whole.slice(i, BATCH)["text"].to_pylist()]
 
-    Positives are trusted, unlabelled are texts of docs whatever their label; the class prior is the share of label 1
-    among all labels. Fitted on bounded samples of about `labelled` and `unlabelled` texts, of which the driver gets
-    the features; the slope of the scores is fitted on the labelled sample. None without a positive or a text.
+
+def products(docs: DataFrame) -> np.ndarray:
+    """Sums of the products of all pairs of features over all texts; the last is the number of texts.
+
+    Each task sends one row for each pair, so what is shuffled does not depend on the texts.
     """
-    labels, docs = labels.select("doc_id", F.col("label").cast("int").alias("label")).na.drop(), docs.select("doc_id", "text").na.drop()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((FEATURES, FEATURES))
+        for texts in texts_in(batches):
+            x = features(texts)
+            total += x.T @ x
+        i, j = np.triu_indices(FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "v"])
+
+    out = np.zeros((FEATURES, FEATURES))
+    for i, j, v in docs.mapInArrow(add, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():  # FEATURES ** 2 / 2 rows
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def margin_counts(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """Models by BINS: how many of all texts have a margin in a bin."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, model = np.zeros((len(weights), BINS), np.int64), np.arange(len(weights))
+        for texts in texts_in(batches):
+            at = model[None, :] * BINS + binned(features(texts) @ weights.T)
+            total += np.bincount(at.ravel(), minlength=total.size).reshape(total.shape)
+        k, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], ["k", "b", "n"])
+
+    out = np.zeros((len(weights), BINS))
+    for k, b, n in docs.mapInArrow(add, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n")).collect():  # models * BINS rows
+        out[k, b] = n
+    return out
+
+
+def positive_features(docs: DataFrame, labels: DataFrame, positives: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of about `positives` texts of label 1, and whether each is of those that give the weights."""
     share = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1_000_000
-    n, ones = labels.agg(F.count(F.lit(1)), F.sum("label")).first()
-    total = docs.select("doc_id").count()
-    if not ones or not total:
-        return None
-    some = F.broadcast(labels.where(share < labelled / n))  # bounded by `labelled`
-    sample = docs.join(some, "doc_id").select("text", "label").unionByName(docs.where(share >= 1 - unlabelled / total).select("text", F.lit(-1).alias("label")))
+    n = labels.count()
+    some = labels.withColumn("share", share / min(1.0, positives / max(n, 1))).where("share < 1").select("doc_id", (F.col("share") < FITTED).alias("fitted"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(i, BATCH)
-                x = features(batch["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays([batch["label"], pa.array([row.tobytes() for row in x], pa.binary())], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([batch["fitted"], pa.array([row.tobytes() for row in features(batch["text"].to_pylist())], pa.binary())], ["fitted", "x"])
 
-    found = sample.mapInArrow(extract, "label int, x binary").toPandas()
-    label = found["label"].to_numpy()
-    x = np.frombuffer(b"".join(found["x"]), np.float32).reshape(len(found), FEATURES)
-    if not (label == 1).any() or not (label == -1).any():
+    found = docs.join(F.broadcast(some), "doc_id").select("text", "fitted").mapInArrow(extract, "fitted boolean, x binary").toPandas()  # about `positives` rows
+    return np.frombuffer(b"".join(found["x"]), np.float64).reshape(len(found), FEATURES), found["fitted"].to_numpy(bool)
+
+
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Model | None:
+    """A model of label 1 from docs (doc_id, text) and labels (doc_id, label); rows with a null are left out.
+
+    Only labels 1 are used, of a bounded sample of about `positives` texts; repeated rows and labels count as often as
+    they come. Unlabelled are all texts of docs. None without a positive or a text. Of one or two positives, which the
+    sample may put on one side alone, all give the weights and all the calibration.
+    """
+    labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).na.drop().where("label = 1").select("doc_id")
+    docs = docs.select("doc_id", "text").na.drop()
+    x, fitted = positive_features(docs, labels, positives)
+    if not len(x):
         return None
-    mean, scale = x[label == -1].mean(0), np.maximum(x[label == -1].std(0), 1e-3)
-    x = np.clip((x - mean) / scale, -SPREAD, SPREAD).astype(np.float32)
-    prior = min(max(ones / n, 0.01), 0.99)
-    w, b = minimise_risk(x[label == 1], x[label == -1], prior)
-    known = label >= 0
-    slope, shift = calibrate(x[known] @ w + b, label[known])
-    return Model(mean, scale, w, b, slope, shift)
+    first, rest = (x, x) if fitted.all() or not fitted.any() else (x[fitted], x[~fitted])
+    total = products(docs.select("text"))
+    of_u, of_p = total / total[-1, -1], first.T @ first / len(first)
+    scale = np.sqrt(np.maximum(np.diag(of_u) - of_u[-1] ** 2, 1e-6))
+    scale[-1] = 1.0
+    change = np.diag(1 / scale)
+    change[:-1, -1] = -of_u[-1, :-1] / scale[:-1]  # features less their means, in standard deviations
+    of_u, of_p = change @ of_u @ change.T, change @ of_p @ change.T
+    ridge = FEATURES / (2 * len(first))
+    against = np.linalg.solve((of_p + of_u) / 2 + ridge * np.eye(FEATURES), (of_p[-1] - of_u[-1]) / 2)
+    weights = np.stack([against, *(minimise_risk(of_p, of_u, prior, ridge) for prior in PRIORS)]) @ change
+    counts = margin_counts(docs.select("text"), weights)
+    own = np.stack([np.bincount(binned(rest @ w), minlength=BINS) for w in weights])
+    prior = estimate_prior(own[0], counts[0])
+    chosen = 1 + int(np.abs(PRIORS - prior).argmin())
+    return Model(weights[chosen], *calibrate(own[chosen], counts[chosen], prior), prior)
 
 
 def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """All columns of docs, with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold).
 
     Null texts count as empty, which have a score as well; without a model every score is 0.5. Columns named score or
-    predicted are replaced. Rows are independent; an empty table stays empty.
+    predicted, in either letter case, are replaced. Rows are independent, so repeated rows, ties and null ids need no
+    care: equal texts have equal scores. An empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [(n, t) for n, t in docs.dtypes if n not in ("score", "predicted")]
+    kept, (text,) = besides(docs, "score", "predicted"), unused(docs, "scored_text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(i, BATCH)
-                score = shared.value.score(features([t or "" for t in batch[text_col].to_pylist()])) if shared.value else np.full(batch.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+                texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                score = shared.value.score(features(texts)) if shared.value else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    return docs.select([F.col(f"`{n}`") for n, _ in kept]).mapInArrow(apply, ", ".join([f"`{n}` {t}" for n, t in kept] + ["score double", "predicted int"]))
+    rows = docs.select(*quoted(kept), F.col(text_col).alias(text))
+    return rows.mapInArrow(apply, ", ".join(filter(None, [schema_of(docs, kept), "score double", "predicted int"])))
