@@ -6,12 +6,13 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import id_and_text
+from tallybook.llm.common import besides, id_and_text, quoted, schema_of, unused
 
 # Fixed values of the MPEG audio format: bit rates in kbit/s by (version 1, layer) and (version 2 and 2.5, layer), for
 # header indices 1 to 14; sampling rates in Hz by version; samples in a frame.
@@ -27,6 +28,16 @@ RATES = {1.0: (44100, 48000, 32000), 2.0: (22050, 24000, 16000), 2.5: (11025, 12
 VERSIONS = {3: 1.0, 2: 2.0, 0: 2.5}
 LAYERS = {3: 1, 2: 2, 1: 3}
 
+# Fixed values of Layer II: subbands and widths of their bit allocations in runs of (subbands, bits), by table; MPEG-1
+# tables by sampling rate and bit rate of a channel, and the one of MPEG-2.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
+
 #: What the writer makes: MPEG-1 Layer III, 32 kHz, mono, with checksums. Header, checksum and side information lead.
 WRITE_RATE, SIDE_INFO, LEAD = 32000, bytes(17), 4 + 2 + 17
 BLOCK = 64
@@ -44,6 +55,7 @@ class Frame:
     mono: bool
     size: int
     samples: int
+    joint: int | None = None
 
     @property
     def side_info(self) -> int:
@@ -65,7 +77,8 @@ def frame_of(head: bytes) -> Frame | None:
     kbps, rate = BITRATES[1 if version == 1.0 else 2, layer][grade - 1], RATES[version][rate_at]
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1.0 else 576
     size = (12000 * kbps // rate + padded) * 4 if layer == 1 else samples // 8 * 1000 * kbps // rate + padded
-    return Frame(version, layer, not head[1] & 1, kbps, rate, head[3] >> 6 == 3, size, samples)
+    joint = (head[3] >> 4 & 3) * 4 + 4 if head[3] >> 6 == 1 else None  # the subband from which channels share allocations
+    return Frame(version, layer, not head[1] & 1, kbps, rate, head[3] >> 6 == 3, size, samples, joint)
 
 
 @lru_cache(4096)
@@ -79,6 +92,45 @@ def checksum(data: bytes) -> int:
     return crc
 
 
+def checksum_of_bits(data: bytes, bits: int) -> int:
+    """The same of the first so many bits of data."""
+    whole, rest = divmod(bits, 8)
+    crc = checksum(data[:whole])
+    for i in range(rest):
+        crc ^= (data[whole] >> (7 - i) & 1) << 15
+        crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+def allocation_widths(frame: Frame) -> list[int]:
+    """Bits of the allocation of each subband."""
+    if frame.layer == 1:
+        return [4] * 32
+    each = frame.kbps if frame.mono else frame.kbps // 2
+    if frame.version != 1.0:
+        table = "lsf"
+    elif each <= 48:
+        table = "d" if frame.rate == 32000 else "c"
+    else:
+        table = "a" if frame.rate == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATIONS[table] for _ in range(n)]
+
+
+def protected_bits(frame: Frame, body: bytes) -> int:
+    """How many bits of a frame's body its checksum covers: side information, or allocations and, of Layer II, the
+    two bits for each allocation that is not zero that tell which scale factors follow."""
+    if frame.layer == 3:
+        return 8 * frame.side_info
+    bits, used, at = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+    for subband, width in enumerate(allocation_widths(frame)):
+        shared = frame.joint is not None and subband >= frame.joint
+        for _ in range(1 if frame.mono or shared else 2):
+            filled = bits >> (512 - at - width) & ((1 << width) - 1)
+            used += bool(filled) * (2 if shared else 1)
+            at += width
+    return at + (2 * used if frame.layer == 2 else 0)
+
+
 @lru_cache(64)
 def lead_of(grade: int) -> tuple[bytes, int]:
     """Header, checksum and empty side information of the writer's frames of a bit-rate index, and their size."""
@@ -122,7 +174,7 @@ class Stream:
     """What read_stream finds."""
 
     tags: dict[str, str] = field(default_factory=dict)
-    table: dict[str, int] = field(default_factory=dict)
+    table: Table | None = None
     frames: int = 0
     samples: int = 0
     rate: int = 0
@@ -160,26 +212,42 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
     return tags, start, end
 
 
-def read_table(data: bytes, at: int, frame: Frame) -> dict[str, int]:
-    """The Xing, Info or VBRI table of a frame; empty if it has none."""
+@dataclass
+class Table:
+    """A table of a variable-bit-rate stream: frames and bytes that it announces, and its seek points as byte offsets
+    from its own frame."""
+
+    frames: int | None = None
+    bytes: int | None = None
+    seek: list[int] = field(default_factory=list)
+
+
+def read_table(data: bytes, at: int, frame: Frame) -> Table | None:
+    """The Xing, Info or VBRI table of a frame; None if it has none."""
     x = at + 4 + 2 * frame.checked + frame.side_info
     if data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= len(data):
-        flags, x, out = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8, {"points": 0}
+        flags, x, out = int.from_bytes(data[x + 4 : x + 8], "big"), x + 8, Table()
         for bit, name in ((1, "frames"), (2, "bytes")):
             if flags & bit and x + 4 <= len(data):
-                out[name], x = int.from_bytes(data[x : x + 4], "big"), x + 4
-        return out | {"points": 100 if flags & 4 else 0}
+                setattr(out, name, int.from_bytes(data[x : x + 4], "big"))
+                x += 4
+        if flags & 4 and out.bytes is not None:
+            out.seek = [point * out.bytes // 256 for point in data[x : x + 100]]
+        return out
     x = at + 4 + 32
     if data[x : x + 4] == b"VBRI" and x + 26 <= len(data):
-        return {"bytes": int.from_bytes(data[x + 10 : x + 14], "big"), "frames": int.from_bytes(data[x + 14 : x + 18], "big"), "points": int.from_bytes(data[x + 18 : x + 20], "big")}
-    return {}
+        count, scale, width = (int.from_bytes(data[x + i : x + i + 2], "big") for i in (18, 20, 22))
+        entries = [int.from_bytes(data[i : i + width], "big") * scale for i in range(x + 26, min(len(data), x + 26 + count * width), width)] if width else []
+        return Table(int.from_bytes(data[x + 14 : x + 18], "big"), int.from_bytes(data[x + 10 : x + 14], "big"), list(accumulate(entries)))
+    return None
 
 
 def read_stream(data: bytes | None) -> Stream:
     """Read tags, tables, frames and ancillary bytes of a stream that may be damaged.
 
     A header counts if the next frame's header, or the end of the audio, follows where it says; otherwise the reader
-    moves on by one byte at a time until it is in step again. A truncated last frame counts as skipped bytes.
+    moves on by one byte at a time until it is in step again. A truncated last frame counts as skipped bytes. Checksums
+    of all three layers are verified.
     """
     data = data or b""
     out, parts = Stream(), []
@@ -194,8 +262,10 @@ def read_stream(data: bytes | None) -> Stream:
             at = found if found >= 0 else end
             continue
         in_step, lead = True, at + 4 + 2 * frame.checked
-        if frame.checked and frame.layer == 3:
-            fine = checksum(data[at + 2 : at + 4] + data[lead : lead + frame.side_info]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if frame.checked:
+            body = data[lead : min(stop, lead + 64)]
+            bits = protected_bits(frame, body)
+            fine = checksum_of_bits(data[at + 2 : at + 4] + body[: -(-bits // 8)].ljust(-(-bits // 8), b"\0"), 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
             out.sound, out.damaged = out.sound + fine, out.damaged + (not fine)
         if first and (table := read_table(data, at, frame)):
             out.table = table
@@ -241,25 +311,26 @@ def store_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return id_and_text(docs, id_col, text_col).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
 
-AUDIO = "tags map<string,string>, table_frames long, table_points long, frames long, samples long, rate long, layer long, seconds double, kbps map<long,long>, offsets array<long>, sound long, damaged long, skipped long, payload binary"
+AUDIO = "tags map<string,string>, table_frames long, table_bytes long, table_seek array<long>, frames long, samples long, rate long, layer long, seconds double, kbps map<long,long>, offsets array<long>, sound long, damaged long, skipped long, payload binary"
 
 
 def read_audio(media: DataFrame, media_col: str = "media") -> DataFrame:
     """All columns of media and `audio`, a struct of what its streams hold.
 
-    tags, the entries of the variable-bit-rate table, frames, samples, exact seconds (samples / rate), frames by bit
+    tags, the variable-bit-rate table with its seek points, frames, samples, exact seconds (samples / rate), frames by bit
     rate, byte offsets of the frames for seeking, checksums that hold or fail, skipped bytes, and the ancillary bytes.
     Null and empty media give zero frames.
     """
-    kind = pa.struct([("tags", pa.map_(pa.string(), pa.string())), ("table_frames", pa.int64()), ("table_points", pa.int64()), ("frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int64()), ("layer", pa.int64()), ("seconds", pa.float64()), ("kbps", pa.map_(pa.int64(), pa.int64())), ("offsets", pa.list_(pa.int64())), ("sound", pa.int64()), ("damaged", pa.int64()), ("skipped", pa.int64()), ("payload", pa.binary())])
+    kind = pa.struct([("tags", pa.map_(pa.string(), pa.string())), ("table_frames", pa.int64()), ("table_bytes", pa.int64()), ("table_seek", pa.list_(pa.int64())), ("frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int64()), ("layer", pa.int64()), ("seconds", pa.float64()), ("kbps", pa.map_(pa.int64(), pa.int64())), ("offsets", pa.list_(pa.int64())), ("sound", pa.int64()), ("damaged", pa.int64()), ("skipped", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 256):
             found = [
-                {"tags": list(s.tags.items()), "table_frames": s.table.get("frames"), "table_points": s.table.get("points"), "frames": s.frames, "samples": s.samples, "rate": s.rate, "layer": s.layer, "seconds": s.seconds, "kbps": sorted(s.kbps.items()), "offsets": s.offsets, "sound": s.sound, "damaged": s.damaged, "skipped": s.skipped, "payload": s.payload}
-                for s in map(read_stream, batch[media_col].to_pylist())
+                {"tags": list(s.tags.items()), "table_frames": s.table and s.table.frames, "table_bytes": s.table and s.table.bytes, "table_seek": s.table.seek if s.table else [], "frames": s.frames, "samples": s.samples, "rate": s.rate, "layer": s.layer, "seconds": s.seconds, "kbps": sorted(s.kbps.items()), "offsets": s.offsets, "sound": s.sound, "damaged": s.damaged, "skipped": s.skipped, "payload": s.payload}
+                for s in map(read_stream, batch.column(batch.num_columns - 1).to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "audio"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], [*kept, "audio"])
 
-    kept = [f"`{name}` {dtype}" for name, dtype in media.dtypes if name != "audio"]
-    return media.select([F.col(f"`{name}`") for name, _ in media.dtypes if name != "audio"]).mapInArrow(read, ", ".join([*kept, f"audio struct<{AUDIO.replace(' ', ':').replace(',:', ',')}>"]))
+    kept, (column,) = besides(media, "audio"), unused(media, "stream")
+    rows = media.select(*quoted(kept), F.col(media_col).alias(column))
+    return rows.mapInArrow(read, ", ".join(filter(None, [schema_of(media, kept), f"audio struct<{AUDIO.replace(' ', ':').replace(',:', ',')}>"])))
