@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import id_and_text, shuffle_partitions
-from tallybook.llm.shingles import ODD, mixed, powers
+from tallybook.llm.shingles import mixed, powers
 
 GRAM, DIGIT = 32, 50
 HOT = 10_000
-#: Bytes of a chunk, at which it is closed, and of the documents that numpy takes at once.
-CHUNK, SLICE = 8_000_000, 1_000_000
+#: Bytes of a chunk, at which it is closed, and of the documents that numpy takes at once. Each chunk sends a message to
+#: each bucket, so with more partitions than PARTITIONS chunks grow with them, up to LARGEST times: the number of messages
+#: for a gigabyte stays what it is until there are LARGEST times as many.
+CHUNK, SLICE, PARTITIONS, LARGEST = 8_000_000, 1_000_000, 256, 8
 #: Buckets of windows for each shuffle partition; one bucket is in memory at a time.
 SPLIT = 4
 TABLE = np.random.default_rng(20240302).integers(1, 1 << 63, 256, np.uint64)
@@ -111,6 +113,8 @@ class Chunk:
 def chunks(docs: DataFrame, parts: int) -> DataFrame:
     """Messages of bucket -1, each a chunk of documents, dealt out by the chunk's number."""
 
+    most = CHUNK * min(LARGEST, max(1, parts // PARTITIONS))
+
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
@@ -119,7 +123,7 @@ def chunks(docs: DataFrame, parts: int) -> DataFrame:
                 ids.append(doc_id)
                 texts.append(raw)
                 size += len(raw)
-                if size >= CHUNK:
+                if size >= most:
                     yield from messages([(number, -1, packed((ids, [len(t) for t in texts], b"".join(texts))))]).to_batches()
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
@@ -200,6 +204,9 @@ def send_windows(dealt: DataFrame, replies: DataFrame, depth: int, buckets: int)
         fresh = np.concatenate([[True], content[order][1:] != content[order][:-1]])
         lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
         later = (chunk.order[doc[order]] != chunk.order[doc[lead]]) | (start[order] != start[lead])
+        for i in np.flatnonzero(later).tolist():  # the hash chose them, the bytes decide
+            a, b, size = int(first[order[i]]), int(first[lead[i]]), int(n[order[i]]) + depth - 1
+            later[i] = chunk.body[a : a + size] == chunk.body[b : b + size]
         gone, kept = order[later], order[~later]
         buckets_of = (key % np.uint64(buckets)).astype(np.int64)
         kept = kept[np.argsort(buckets_of[kept], kind="stable")]
@@ -231,15 +238,17 @@ def digits(data: np.ndarray, sizes: np.ndarray, n: np.ndarray, depth: int) -> np
 def repeated_windows(found: np.ndarray, age: np.ndarray) -> np.ndarray:
     """Which windows, given by their digits (a row for each pass), are equal to one of lower age.
 
-    Passes from the most significant digit: windows are sorted within their groups; those that are alone leave.
+    Passes from the most significant digit: windows are sorted within their groups; those that are alone leave. Equal
+    windows agree in every 64-bit digit, of which a window of 100 bytes has two.
     """
-    out, active, group = np.zeros(len(age), bool), np.arange(len(age)), np.zeros(len(age), np.uint64)
-    for digit in found:
-        group = mixed(group * ODD + digit[active])
-        order = np.argsort(group)
-        active, group = active[order], group[order]
-        same = group[1:] == group[:-1]
+    out, active, group = np.zeros(len(age), bool), np.arange(len(age)), np.zeros(len(age), np.int64)
+    for k, digit in enumerate(found):
+        value = digit[active]
+        order = np.lexsort((value, group)) if k else np.argsort(value)
+        active, group, value = active[order], group[order], value[order]
+        same = (group[1:] == group[:-1]) & (value[1:] == value[:-1])
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        group = np.cumsum(np.concatenate([[True], ~same]))[: len(group)]
         active, group = active[shared], group[shared]
     if len(active):
         heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
