@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import id_and_text, shuffle_partitions
+from tallybook.llm.common import besides, id_and_text, quoted, schema_of, shuffle_partitions, unused
 
-#: Words of a chunk, at which it is closed; a document is never split, so a chunk may exceed this by one document.
-CHUNK_WORDS = 4_000_000
+#: Words of a chunk, at which it is closed; a document is never split, so a chunk may exceed this by one document. Each
+#: chunk sends a message to each bucket, so with more partitions than PARTITIONS chunks grow with them, up to LARGEST times:
+#: the number of messages for a gigabyte stays what it is until there are LARGEST times as many.
+CHUNK_WORDS, PARTITIONS, LARGEST = 4_000_000, 256, 4
 PACKED = "chunk long, bucket int, doc_ids array<long>, sizes array<int>, words binary, codes binary"
 
 
@@ -65,7 +67,7 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
 
 
-def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def split_words(docs: DataFrame, pattern: str, buckets: int, most_words: int) -> DataFrame:
     """Rows of PACKED: for each chunk a row of bucket -1 with its documents, and a row for each bucket of its words."""
 
     def rows(chunk: int, ids: list, sizes: list[int], seen: dict[str, int], codes: list[np.ndarray]) -> Iterator[tuple]:
@@ -96,7 +98,7 @@ def split_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 ids.append(doc_id)
                 sizes.append(len(words))
                 total += len(words)
-                if total >= CHUNK_WORDS:
+                if total >= most_words:
                     yield batch(rows(chunk, ids, sizes, seen, codes))
                     ids, sizes, seen, codes, total, chunk = [], [], {}, [], 0, chunk + 1
         if ids:
@@ -116,12 +118,12 @@ def encode_words(words: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("ids", pa.binary())])
 
     def encode(rows: pa.Table) -> pa.Table:
-        piece, known, out = load(vocabulary, pattern)._encode_single_piece, {}, []
+        piece, known, out = load(vocabulary, pattern).encode_ordinary, {}, []  # a match of the pattern, by itself, is one match
         for chunk, bucket, packed in zip(*(rows[c].to_pylist() for c in ("chunk", "bucket", "words")), strict=True):
             asked = unpack_words(packed)
             for word in asked:
                 if word not in known:
-                    known[word] = np.array(piece(word), "<u4").tobytes()
+                    known[word] = np.array(piece(word.decode()), "<u4").tobytes()
             found = [known[w] for w in asked]
             out.append((chunk, bucket, pack(np.array([len(x) // 4 for x in found], np.uint32)), pack(np.frombuffer(b"".join(found), "<u4"))))
         return pa.table([pa.array(x, k) for x, k in zip(zip(*out), kinds.types)], schema=kinds)
@@ -165,39 +167,54 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
     read twice (a filter in place of words_alone would move below the exchange, so that it could not be shared).
     """
     buckets = shuffle_partitions(docs.sparkSession)
-    packed = split_words(id_and_text(docs, id_col, text_col), pattern, buckets).repartition(buckets, "chunk")
+    most_words = CHUNK_WORDS * min(LARGEST, max(1, buckets // PARTITIONS))
+    packed = split_words(id_and_text(docs, id_col, text_col), pattern, buckets, most_words).repartition(buckets, "chunk")
     replies = encode_words(packed.mapInArrow(words_alone, "chunk long, bucket int, words binary"), vocabulary, pattern)
     return reassemble(packed, replies)
 
 
-@lru_cache(2)
+#: Bytes that the token-byte table may have to be sent to every executor.
+TABLE_BYTES = 64_000_000
+
+
 def token_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and size of each id's bytes, and the bytes."""
+    """The table (id, bytes) of the vocabulary: start and size of each id's bytes, and the bytes; -1 as size of an absent id."""
     with open(vocabulary, "rb") as lines:
         tokens = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
-    found = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-    sizes = np.array([len(x) for x in found], np.int64)
-    return np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(found), np.uint8)
+    found = [tokens.get(i) for i in range(max(tokens) + 1)]
+    sizes = np.array([-1 if x is None else len(x) for x in found], np.int64)
+    filled = np.maximum(sizes, 0)
+    table = np.cumsum(filled) - filled, sizes, np.frombuffer(b"".join(x or b"" for x in found), np.uint8)
+    if (size := sum(x.nbytes for x in table)) > TABLE_BYTES:
+        raise ValueError(f"a token table of {size} bytes is too large to be sent to all executors")
+    return table
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
     """All columns of encoded and `decoded`, the bytes of its ids; null ids give empty bytes.
 
-    Joins the token-byte table of the vocabulary, a file of fixed size, inside each task. An id beyond the table fails.
+    A broadcast join with the token-byte table of the vocabulary, whose size is checked: each id meets its row of the
+    table inside the task, so ids need no shuffle. An id that the table lacks is an error. Rows are independent, so
+    repeated rows and null ids of documents need no care; an empty table stays empty. A column named decoded, in either
+    letter case, is replaced.
     """
+    table = encoded.sparkSession.sparkContext.broadcast(token_table(vocabulary))
+    kept, (column,) = besides(encoded, "decoded"), unused(encoded, "joined_ids")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, sizes, body = token_table(vocabulary)
+        starts, sizes, body = table.value
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                column = batch[ids_col].fill_null([])
-                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = column.value_lengths().to_numpy(zero_copy_only=False)
+                asked = batch.column(batch.num_columns - 1).fill_null([])
+                ids = asked.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or sizes[ids].min() < 0):
+                    raise ValueError("an id is not in the token table")
+                counts = asked.value_lengths().to_numpy(zero_copy_only=False)
                 spread = sizes[ids]
                 upto = np.concatenate([[0], np.cumsum(spread)])[np.concatenate([[0], np.cumsum(counts)])]
                 out = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(upto.astype("<i4").tobytes()), pa.py_buffer(body[ragged(starts[ids], spread)].tobytes())])
-                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], [*kept, "decoded"])
 
-    kept = [(name, dtype) for name, dtype in encoded.dtypes if name != "decoded"]
-    return encoded.select([F.col(f"`{name}`") for name, _ in kept]).mapInArrow(decode, ", ".join([f"`{name}` {dtype}" for name, dtype in kept] + ["decoded binary"]))
+    rows = encoded.select(*quoted(kept), F.col(ids_col).alias(column))
+    return rows.mapInArrow(decode, ", ".join(filter(None, [schema_of(encoded, kept), "decoded binary"])))
