@@ -30,8 +30,9 @@ from tallybook.llm.common import id_and_text, stored
 
 #: Words whose ids a Python worker remembers, and texts that it tokenises at once.
 REMEMBERED, BATCH = 1_000_000, 128
-#: Pieces of one length whose ranks are counted in one task; a length that more have is dealt out over several.
-RANKED = 500_000
+#: Pieces of one length whose ranks are counted together, at least, and parts in which they are, about, at most; a length
+#: that more pieces have is dealt out over several.
+RANKED, PARTS = 2000, 100_000
 #: What the shortcut by words stands on: the tokenizer's normaliser and the way it splits texts.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
@@ -249,16 +250,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
     piece and every sequence but the last is full. Repeated rows are packed as often as they come, null ids keep their
     tokens, an empty table gives an empty result. Ids are those that the tokenizer gives the whole text, names of
     special tokens included. The cut documents are written to the shared folder, because the histogram and the
-    placement both read them; texts are tokenised once. Ranks within a length are counted in parts of about RANKED
-    pieces, however many pieces have it.
+    placement both read them; texts are tokenised once. Ranks within a length are counted in parts of RANKED pieces,
+    or of a PARTS-th of all, however many pieces have it.
     """
     pieces = stored(cut_documents(id_and_text(docs, id_col, text_col), vocabulary, window, end_id))
     histogram = np.zeros(window + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():  # window rows at most
         histogram[row["length"]] = row["count"]
-    salts = np.maximum(1, -(-histogram // RANKED))
+    salts = np.maximum(1, -(-histogram // max(RANKED, int(histogram.sum()) // PARTS)))
     salt = F.pmod(F.xxhash64("dealt"), F.get(F.lit(salts.tolist()).cast("array<bigint>"), F.col("length"))).alias("salt")
-    counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).toPandas()  # window + rows / RANKED at most
+    counts = pieces.groupBy("length", salt).agg(F.count(F.lit(1)).alias("n")).toPandas()  # window + PARTS rows at most
     first = np.cumsum(salts) - salts
     table = np.zeros(salts.sum(), np.int64)
     table[first[counts["length"]] + counts["salt"]] = counts["n"]
