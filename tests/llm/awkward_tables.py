@@ -2,7 +2,12 @@
 
 import random
 
-CLASHING = "spans base kept key bucket chunk rank score predicted lang_pred component cluster media audio decoded ids".split()
+#: Names of columns that operators make or use inside, in either letter case.
+CLASHING = (
+    "Spans base kept KEY bucket chunk rank score Predicted lang_pred component Cluster media audio decoded ids found measured replaced body digest "
+    "row_hash place gone_id gone_id_ pieces whole base_spans all_spans number start End lowered stream scored_text identified_text joined_ids rejected "
+    "cross_entropy class_id known block places least links u v salt dealt length _row_hash _key _found _kept_id _gone_id _weak_parts"
+).split()
 
 
 def words(seed: int, n: int, vocabulary: int = 400) -> str:

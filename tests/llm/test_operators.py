@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from awkward_tables import words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallybook.llm import language_id, mpeg_audio, packing, quality
@@ -147,7 +148,7 @@ def test_other_tokenizers_take_whole_texts():
     assert not other.known_split and np.frombuffer(other.encode([text])[0], "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("ranked", [3, 500_000])
+@pytest.mark.parametrize("ranked", [3, 2000])
 def test_lengths_that_many_share_are_ranked_in_parts(spark, monkeypatch, ranked):
     """Equal lengths, full windows and repeated rows are placed once each, however few are ranked together."""
     monkeypatch.setattr(packing, "RANKED", ranked)
@@ -190,7 +191,8 @@ def test_languages_held_out(spark, tongues, awkward, rows):
     found = language_id.identify(tongues, model).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.99 * len(found) and not any(r.rejected for r in found)
     odd = language_id.identify(awkward, model)
-    assert [c for c in odd.columns if c in awkward.columns and c != "score" and c != "lang_pred"] == [c for c in awkward.columns if c not in ("score", "lang_pred")]
+    added = ["lang_pred", "score", "cross_entropy", "rejected"]
+    assert odd.columns == [*(c for c in awkward.columns if c not in added), *added] and {r.identified_text for r in odd.collect()} == {"x"}
     got = odd.collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     for r in got:
@@ -207,23 +209,78 @@ def test_language_of_one_document(spark, tongues, first):
     assert model.languages == [*sorted(TONGUES), "jj"]
 
 
-def test_kneser_ney_probabilities_sum_to_one():
+class PlainKneserNey:
+    """Interpolated Kneser-Ney by dictionaries, from padded text of one language."""
+
+    def __init__(self, grams, alphabet):
+        self.alphabet, self.levels = alphabet, [Counter(grams)]
+        for _ in range(3):
+            self.levels.insert(0, Counter(g[1:] for g in self.levels[0]))
+        self.discounts = []
+        for level in self.levels:
+            once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+            self.discounts.append(min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (self.alphabet + 1)
+        level, d, below = self.levels[k - 1], self.discounts[k - 1], self.p(gram[1:])
+        under = {g: n for g, n in level.items() if g[:-1] == gram[:-1]}
+        if not under:
+            return below
+        total = sum(under.values())
+        return max(level[gram] - d, 0) / total + d * len(under) / total * below
+
+
+def test_kneser_ney_is_the_plain_one():
+    """Two languages in one table: every symbol's cost, known or not; and the chances of all symbols add up to one."""
     import pandas as pd
 
-    counts = pd.DataFrame([("x", g, n) for g, n in Counter(("   abracadabra banana")[i : i + 4] for i in range(18)).items()], columns=["lang", "gram", "n"])
-    model = language_id.estimate(counts)
-    letters = sorted({g[-1] for g in counts["gram"]})
-    found, starts, ends, _ = language_id.symbols(["abracadabra banana"])
-    assert ends[0] - starts[0] == 19
-    h, n, _ = language_id.cross_entropies(model, ["abracadabra banana", "zzzzzz"])
-    assert 0 < h[0, 0] < h[1, 0]
-    total = 0.0
-    for c in letters:
-        keys = language_id._hash_of(["bra"[:3] + c], 4)
-        at, hit = language_id.look_up(model.grams[3], keys)
-        if hit[0]:
-            total += float(np.exp(model.grams[3][1][at[0], 0]))
-    assert 0.3 < total <= 1.0
+    def grams(text):
+        padded = "   " + text + " "
+        return Counter(padded[i : i + 4] for i in range(len(padded) - 3))
+
+    texts = {"x": "abracadabra banana bandana", "y": "cadenza banal canal papaya"}
+    rows = [(lang, g, n) for lang, text in texts.items() for g, n in grams(text).items()]
+    tables = language_id.estimate(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    letters = sorted({g[-1] for _, g, _ in rows})
+    plain = {lang: PlainKneserNey(grams(text), len(letters)) for lang, text in texts.items()}
+    model = language_id.Model([tables], np.full((2, language_id.LEVELS), np.inf))
+    for text in [*texts.values(), "banana zebra", "qqq", "a"]:
+        h, n, _ = language_id.cross_entropies(model, [text])
+        padded = "   " + text + " "
+        for j, lang in enumerate(sorted(texts)):
+            want = -np.mean([np.log(plain[lang].p(padded[i : i + 4])) for i in range(len(padded) - 3)])
+            assert n[0] == len(text) + 1 and abs(h[0, j] - want) < 1e-5
+    for context in ("ban", "adz", "zzz", "   "):
+        found = np.array([ord(c) for c in "".join(context + c for c in [*letters, "~"])], np.uint32)
+        p = np.exp(language_id.log_probabilities(tables, found)[3::4].astype(float))
+        assert np.allclose(p.sum(0), 1, atol=1e-5)  # ~ stands for all that was never seen
+
+
+def test_limits_are_measured(spark, tongues):
+    """About as many stretches are rejected as the limits were measured to reject; longer texts have narrower limits."""
+    model = language_id.fit(tongues, train_docs=200)
+    assert np.isfinite(model.limits).all() and (np.diff(model.limits, axis=1) <= 0.5).all() and (model.limits[:, -1] < model.limits[:, 0]).all()
+    fresh = spark.createDataFrame([(i, prose(lang, 9000 + i, 60)) for i, lang in enumerate(list(TONGUES) * 100)], "doc_id long, text string")
+    assert language_id.identify(fresh, model).where("rejected").count() <= 2
+    other = spark.createDataFrame([(1, "こんにちは世界" * 3), (2, "Ж щ ы э ю я ъ " * 6), (3, "qxqz jjkw vvpf xzzq kwkw")], "doc_id long, text string")
+    assert language_id.identify(other, model).where("rejected").count() == 3
+
+
+def test_labelled_texts_without_letters(spark):
+    rows = [(i, ["", " ", "12 34", prose("aa", i)][i % 4], "aa") for i in range(200)] + [(1000 + i, "", "bb") for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa"] and np.isfinite(model.limits[0, 0])
+
+
+def test_more_languages_than_one_table_holds(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TOGETHER", 2)
+    docs = spark.createDataFrame([(i, prose(lang, i), lang) for i, lang in enumerate(list(TONGUES) * 60)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, train_docs=100)
+    assert [t.languages for t in model.tables] == [["aa", "bb"], ["cc"]]
+    assert language_id.identify(docs, model).where("lang = lang_pred and not rejected").count() >= 178
 
 
 def test_language_without_training(nothing, awkward):
@@ -232,28 +289,69 @@ def test_language_without_training(nothing, awkward):
     assert language_id.identify(nothing, model).count() == 0
 
 
-def test_quality_held_out(spark, awkward, nothing, rows):
+def scored_docs(spark):
     draw = random.Random(9)
 
     def text(i):
         good = words(i, 120)
         return (i, good if i % 4 else " | ".join(w.upper() + draw.choice(["!!", "$$$", ""]) for w in good.split()))
 
-    docs = spark.createDataFrame([text(i) for i in range(400)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 200)] + [(9999, None), (None, 1)], "doc_id long, label int")
+    return spark.createDataFrame([text(i) for i in range(800)], "doc_id long, text string")
+
+
+def test_quality_held_out(spark, awkward, nothing, rows):
+    docs = scored_docs(spark)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)] + [(9999, None), (None, 1)], "doc_id long, label int")
     model = quality.fit(docs, labels)
-    got = quality.score_quality(docs.where("doc_id >= 200"), model).collect()
-    assert np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in got]) > 0.97
+    got = quality.score_quality(docs.where("doc_id >= 400"), model).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in got]) > 0.97 and abs(model.prior - 0.75) < 0.1
     odd = quality.score_quality(awkward, model).collect()
     assert len(odd) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in odd)
+    assert len({r.score for r in odd if not r.text}) == 1  # ties: equal texts score alike
     assert quality.fit(nothing, labels) is None and quality.score_quality(awkward, None).first().score == 0.5
 
 
-def test_risk_never_rewards_negative_parts():
+def test_no_negative_label_is_used(spark):
+    docs = scored_docs(spark)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)], "doc_id long, label int")
+    both, ones = quality.fit(docs, labels), quality.fit(docs, labels.where("label = 1"))
+    assert np.allclose(both.weights, ones.weights, rtol=1e-6) and abs(both.shift - ones.shift) < 1e-6 and both.prior == ones.prior
+
+
+def test_sums_over_all_texts_are_the_plain_ones(spark):
+    docs = scored_docs(spark)
+    x = quality.features([r.text for r in docs.collect()])
+    assert np.allclose(quality.products(docs.select("text").repartition(7)), x.T @ x)
+    w = np.random.default_rng(2).normal(0, 0.3, (3, quality.FEATURES))
+    want = np.stack([np.bincount(quality.binned(x @ v), minlength=quality.BINS) for v in w])
+    assert np.abs(quality.margin_counts(docs.select("text").repartition(7), w) - want).sum() <= 2  # a margin on a bin's edge may round
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_risk_is_least(prior):
+    """No small step from the weights lowers the risk, whether or not its second part is held at zero."""
     draw = np.random.default_rng(1)
-    p, u = draw.normal(1, 1, (300, 3)), np.concatenate([draw.normal(1, 1, (300, 3)), draw.normal(-1, 1, (700, 3))])
-    w, b = quality.minimise_risk(p, u, 0.3)
-    assert ((draw.normal(-1, 1, (500, 3)) @ w + b) < 0).mean() > 0.9 and ((draw.normal(1, 1, (500, 3)) @ w + b) > 0).mean() > 0.8
+    with_one = lambda x: np.concatenate([x, np.ones((len(x), 1))], 1)
+    p = with_one(draw.normal(1, 1, (300, 3)))
+    u = with_one(np.concatenate([draw.normal(1, 1, (300, 3)), draw.normal(-1, 1, (700, 3))]))
+    sp, su = p.T @ p / len(p), u.T @ u / len(u)
+
+    def risk(w):
+        return prior * np.mean((1 - p @ w) ** 2) / 4 + max(0.0, quality.negative_risk(w, su, sp, prior)) + 0.01 / 2 * (w[:-1] ** 2).sum()
+
+    w = quality.minimise_risk(sp, su, prior, 0.01)
+    assert all(risk(w + draw.normal(0, scale, 4)) >= risk(w) - 1e-9 for scale in (1e-3, 1e-2, 0.1, 1) for _ in range(200))
+    assert abs(quality.negative_risk(w, su, sp, prior) - (np.mean((1 + u @ w) ** 2) - prior * np.mean((1 + p @ w) ** 2)) / 4) < 1e-9
+
+
+def test_prior_of_a_mixture():
+    draw = np.random.default_rng(3)
+    of = lambda x: np.bincount(quality.binned(x), minlength=quality.BINS)
+    for prior in (0.2, 0.6, 0.9):
+        u = np.concatenate([draw.normal(1, 0.3, int(prior * 100_000)), draw.normal(-1, 0.3, int((1 - prior) * 100_000))])
+        assert abs(quality.estimate_prior(of(draw.normal(1, 0.3, 2000)), of(u)) - prior) < 0.08
+        slope, shift = quality.calibrate(of(draw.normal(1, 0.3, 2000)), of(u), prior)
+        assert slope > 2 and abs(shift / slope) < 0.5
 
 
 def test_audio_round_trip(awkward, nothing, rows):
@@ -295,7 +393,51 @@ def test_audio_headers():
     vbri = head + bytes(32) + b"VBRI" + bytes(6) + struct.pack(">IIH", 834, 1, 3)
     frame = vbri.ljust(417, b"\0")
     found = mpeg_audio.read_stream(frame + head + bytes(413))
-    assert found.table == {"bytes": 834, "frames": 1, "points": 3} and found.frames == 1
+    assert (found.table.bytes, found.table.frames, found.frames) == (834, 1, 1)
+
+
+def test_audio_seek_tables():
+    """Points of both kinds of table as offsets in bytes; the writer's lead to the frames that they stand for."""
+    read = mpeg_audio.read_stream(mpeg_audio.write_stream(bytes(range(256)) * 800))
+    start = read.offsets[0] - mpeg_audio.lead_of(next(g for g in range(1, 15) if mpeg_audio.lead_of(g)[1] - mpeg_audio.LEAD >= 120))[1]
+    assert len(read.table.seek) == 100 and read.table.frames == read.frames
+    for percent, point in enumerate(read.table.seek):
+        wanted = read.offsets[percent * read.frames // 100] - start
+        assert point <= wanted < point + -(-read.table.bytes // 256)
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    vbri = head + bytes(32) + b"VBRI" + bytes(6) + struct.pack(">IIHHHH", 834, 2, 3, 10, 2, 1) + struct.pack(">HHH", 41, 42, 5)
+    table = mpeg_audio.read_stream(vbri.ljust(417, b"\0") + head + bytes(413)).table
+    assert (table.frames, table.bytes, table.seek) == (2, 834, [410, 830, 880])
+
+
+def plain_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+    return crc
+
+
+@pytest.mark.parametrize("layer, mode, bound", [(1, 0x00, 32), (1, 0x40, 4), (1, 0xC0, 32), (2, 0x00, 32), (2, 0x50, 8), (2, 0xC0, 32)])
+def test_audio_checksums_of_layers_one_and_two(layer, mode, bound):
+    """Allocations by plain bit strings: layer I 4 bits for each of 32 subbands; layer II, 192 kbit/s, 30 subbands."""
+    draw = random.Random(layer * 1000 + mode)
+    head = bytes((0xFF, 0xFE if layer == 1 else 0xFC, (6 if layer == 1 else 10) << 4, mode))
+    frame = mpeg_audio.frame_of(head)
+    widths = [4] * 32 if layer == 1 else [4] * 11 + [3] * 12 + [2] * 7
+    channels, bits, scale = 1 if frame.mono else 2, "", 0
+    for subband, width in enumerate(widths):
+        alone = frame.mono or subband >= bound
+        for _ in range(1 if alone else 2):
+            value = draw.randrange(1 << width) * draw.randrange(2)
+            bits += f"{value:0{width}b}"
+            scale += (value > 0) * (channels if alone else 1)
+    if layer == 2:
+        bits += "".join(draw.choice("01") for _ in range(2 * scale))
+    want = plain_crc(f"{int.from_bytes(head[2:], 'big'):016b}" + bits)
+    body = bits + "".join(draw.choice("01") for _ in range((frame.size - 6) * 8 - len(bits)))
+    packed = int(body, 2).to_bytes(frame.size - 6, "big")
+    good, bad = (head + struct.pack(">H", crc) + packed for crc in (want, want ^ 1))
+    assert (mpeg_audio.read_stream(good + good).sound, mpeg_audio.read_stream(good + bad).damaged) == (2, 1)
 
 
 def test_byte_bpe(awkward, nothing, rows):
@@ -317,6 +459,23 @@ def test_byte_bpe_in_small_chunks(awkward, rows, monkeypatch):
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple(encoding.encode_ordinary(t or ""))) for i, t in rows)
 
 
+def test_columns_of_any_name_come_back(awkward):
+    """Extra columns named after what operators use inside, in either letter case, come back unchanged."""
+    from tallybook.llm.exact_dedup import drop_exact_copies
+    from tallybook.llm.minhash import drop_near_copies
+
+    model = language_id.Model()
+    made = {
+        ("base", "spans"): scan_secrets(awkward), (): redact_secrets(awkward), ("score", "predicted"): quality.score_quality(awkward, None),
+        ("lang_pred", "score", "cross_entropy", "rejected"): language_id.identify(awkward, model), ("exact",): drop_exact_copies(awkward), ("near",): drop_near_copies(awkward),
+        ("audio",): mpeg_audio.read_audio(awkward.withColumn("media", F.lit(b"x"))), ("decoded",): bpe_decode(awkward.withColumn("ids", F.array(F.lit(1))), RANKS),
+    }
+    for added, out in made.items():
+        extra = [c for c in awkward.columns if c not in ("doc_id", "text", "lang", "media", "ids") and c.lower() not in added]
+        assert [c for c in out.columns if c in extra] == extra
+        assert all(r[c] == "x" for r in out.select(*(f"`{c}`" for c in extra)).collect() for c in extra)
+
+
 def test_empty_tables(nothing):
     assert scan_secrets(nothing).count() == redact_secrets(nothing).count() == 0
     assert packing.pack_documents(nothing, WORD_BPE).count() == 0
