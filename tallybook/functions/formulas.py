@@ -9,12 +9,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values: % codes of dates and Spark's patterns.
+DATE_CODES = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss", "%j": "DDD", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%p": "a"}
+JAVA_PATTERN = reduce(lambda text, code: f"replace({text}, '{code[0]}', '{code[1]}')", DATE_CODES.items(), "format")
 #: name -> (parameters, return type, body)
 FUNCTIONS = {
+    "strftime": ("d TIMESTAMP_NTZ, format STRING", "STRING", f"date_format(d, {JAVA_PATTERN})"),
+    "strptime": ("s STRING, format STRING", "TIMESTAMP_NTZ", f"CAST(try_to_timestamp(s, {JAVA_PATTERN}) AS TIMESTAMP_NTZ)"),
+    "regexp_matches": ("s STRING, rx STRING", "BOOLEAN", "s RLIKE rx"),
+    "regexp_full_match": ("s STRING, rx STRING", "BOOLEAN", "s RLIKE concat('^(?:', rx, ')$')"),
+    "boundaries_between": ("unit STRING, a TIMESTAMP_NTZ, b TIMESTAMP_NTZ", "BIGINT", "CAST(CASE lower(unit) WHEN 'year' THEN year(b) - year(a) WHEN 'quarter' THEN (year(b) - year(a)) * 4 + quarter(b) - quarter(a) WHEN 'month' THEN (year(b) - year(a)) * 12 + month(b) - month(a) WHEN 'week' THEN datediff(date_trunc('week', b), date_trunc('week', a)) div 7 WHEN 'day' THEN datediff(b, a) END AS BIGINT)"),
+    "half_even_cast": ("s STRING", "BIGINT", "CAST(bround(try_cast(s AS DOUBLE), 0) AS BIGINT)"),
     "half_even_int": ("x DOUBLE", "BIGINT", "CAST(bround(x, 0) AS BIGINT)"),
     "join_text": ("a STRING, b STRING", "STRING", "concat_ws('', a, b)"),
     "months_between_starts": ("a TIMESTAMP_NTZ, b TIMESTAMP_NTZ", "BIGINT", "CAST((year(b) - year(a)) * 12 + month(b) - month(a) AS BIGINT)"),
@@ -35,11 +46,33 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 
 
+#: Functions of the dialect whose names mean something else to Spark -> what they are written as.
+WRITTEN = {"concat(": "concat_ws('', ", "date_diff(": "boundaries_between(", "dayofweek(": "sunday_based_dow(", "isodow(": "iso_dow("}
+
+
+def one_argument_logs(text: str) -> str:
+    """log(x) as log10(x), as the dialect means it; log(base, x) stays."""
+    out, at = [], 0
+    for m in re.finditer(r"(?i)(?<![\w.])log\s*\(", text):
+        depth, several = 1, False
+        for c in text[m.end() :]:
+            depth += (c == "(") - (c == ")")
+            several |= c == "," and depth == 1
+            if not depth:
+                break
+        out += [text[at : m.start()], m[0] if several else "log10("]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def spark_text(text: str) -> str:
-    """Fractional literals as doubles and // as div, outside quotes."""
+    """Fractional literals as doubles, // as div and the dialect's functions by names that Spark knows, outside quotes."""
+    text = one_argument_logs(text)
     parts = re.split(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")", text)
     for i in range(0, len(parts), 2):
         parts[i] = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", parts[i]).replace("//", " div ")
+        for name, written in WRITTEN.items():
+            parts[i] = re.sub(rf"(?i)(?<![\w.]){re.escape(name[:-1])}\s*\(", written, parts[i])
     return "".join(parts)
 
 
@@ -82,13 +115,27 @@ def filtered(df: DataFrame, text: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A SELECT over named tables; columns come back in the engine's six types."""
+    """A SELECT over named tables; columns come back in the engine's six types.
+
+    The tables are common table expressions in front of the query, over views of names of their own that are dropped
+    once the plan is made; so views of the session neither change nor hide them.
+    """
     register(spark)
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    with lenient(spark):
-        out = normalised(spark.sql(spark_text(query)))
-        out.schema
+    own = {name: f"_view_{uuid4().hex}" for name in tables}
+    text = spark_text(query).strip().rstrip(";")
+    started = re.match(r"(?is)with\s+(?!recursive\b)", text)
+    named = [f"`{name}` AS (SELECT * FROM {view})" for name, view in own.items() if not re.search(rf"(?i)\b{re.escape(name)}\s+AS\s*\(\s*(SELECT|WITH|FROM|VALUES)\b", text)]
+    body = text[started.end() :] if started else text
+    prefix = "WITH " + ", ".join(named) + (", " if started else " ") if named else ("WITH " if started else "")
+    for name, view in own.items():
+        tables[name].createOrReplaceTempView(view)
+    try:
+        with lenient(spark):
+            out = normalised(spark.sql(prefix + body))
+            out.schema
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)
     return out
 
 

@@ -8,18 +8,18 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallybook.functions.periods import Period, unit_start
+from tallybook.functions.periods import Period
 
 #: First day (None: open) and the day after the last.
 Span = tuple[date | None, date]
 
 
 def _to_date(unit: str) -> Callable[[Period], Span]:
-    return lambda p: (min(unit_start(p.last, unit), p.start), p.stop)
+    return lambda p: (min(Period.around(p.last_day, unit).start, p.start), p.stop)
 
 
 def last_n(p: Period, n: int) -> Span:
-    return p.shift(1 - n).start, p.stop
+    return p.moved(1 - n).start, p.stop
 
 
 def fixed(p: Period, start: str, end: str) -> Span:
@@ -28,8 +28,8 @@ def fixed(p: Period, start: str, end: str) -> Span:
 
 WINDOWS: dict[str, Callable[..., Span]] = {
     "report_period": lambda p: (p.start, p.stop),
-    "previous_period": lambda p: (p.shift(-1).start, p.shift(-1).stop),
-    "same_period_last_year": lambda p: (p.years_ago().start, p.years_ago().stop),
+    "previous_period": lambda p: (p.moved(-1).start, p.moved(-1).stop),
+    "same_period_last_year": lambda p: (p.a_year_before().start, p.a_year_before().stop),
     "quarter_to_date": _to_date("quarter"),
     "year_to_date": _to_date("year"),
     "last_n": last_n,

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import formulas
 from tallybook.functions.aggregates import Aggregate, Key, bucket_label
-from tallybook.functions.periods import MONTHS, Period
+from tallybook.functions.periods import UNITS, Period
 from tallybook.functions.windows import span_of, within
+from tallybook.operators import ordered
 from tallybook.operators.steps import SERVICE, sort_keys
 
 
@@ -24,14 +25,14 @@ class Compare:
     suffix: str
 
     def shifted(self, period: Period) -> Period:
-        return period.shift(-1) if self.kind == "previous_period" else period.years_ago()
+        return period.moved(-1) if self.kind == "previous_period" else period.a_year_before()
 
     def forward(self, day: Column, period: Period) -> Column:
         """A date key of the other period, moved to where it is compared."""
         if self.kind == "same_period_last_year":
             return F.add_months(day, 12)
-        if period.unit in MONTHS:
-            return F.add_months(day, MONTHS[period.unit])
+        if period.unit != "range" and UNITS[period.unit].months:
+            return F.add_months(day, UNITS[period.unit].months)
         return F.date_add(day, (period.stop - period.start).days)
 
 
@@ -107,17 +108,20 @@ def compared(current: DataFrame, df: DataFrame, table: Table, period: Period) ->
 
 
 def derived(df: DataFrame, steps: Sequence[Derive], order: Sequence[Column]) -> DataFrame:
-    """Shares of the whole, running sums in sort order, ranks with gaps, and formulas, in the order given."""
+    """Shares of the whole, running sums in sort order, ranks with gaps, and formulas, in the order given.
+
+    Running sums and ranks sort the table into ranges and checkpoint it; no task sees all rows.
+    """
     for d in steps:
         x = F.col(d.column) if d.column else None
         if d.kind == "share":
             total = df.agg(F.sum(x).alias("_total"))  # one row: no table-wide window
             df = df.join(F.broadcast(total), F.lit(True)).withColumn(d.name, formulas.safe_ratio(x, F.col("_total"))).drop("_total")
         elif d.kind == "cumsum":
-            df = df.withColumn(d.name, F.when(x.isNotNull(), F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))))
+            df = ordered.with_running_sum(df, order, d.column, d.name)
         elif d.kind == "rank":
             by = x.asc_nulls_last() if d.ascending else x.desc_nulls_last()
-            df = df.withColumn(d.name, F.when(x.isNotNull(), F.rank().over(Window.orderBy(by)).cast("long")))
+            df = ordered.with_rank(df, by, d.column, d.name)
         else:
             df = formulas.with_formula(df, d.name, d.formula)
     return df
@@ -135,7 +139,7 @@ def others_row(full: DataFrame, top: DataFrame, df: DataFrame, table: Table, per
     kept = top.select(F.col(key.label).alias("_top"))
 
     def rest(rows: DataFrame, of: Column) -> DataFrame:
-        return aggregated(rows.withColumn("_key", of).join(F.broadcast(kept), F.col("_key").eqNullSafe(F.col("_top")), "left_anti"), table, grouped=False)
+        return aggregated(rows.withColumn("_key", of).join(kept, F.col("_key").eqNullSafe(F.col("_top")), "left_anti"), table, grouped=False)
 
     row = rest(source_rows(df, table, period), key.build())
     for c in table.compare:
@@ -173,8 +177,23 @@ def pivoted(df: DataFrame, table: Table) -> DataFrame:
     return out.orderBy(*(F.col(c).asc_nulls_last() for c in index))
 
 
+def checked_names(table: Table) -> None:
+    """Refuse a specification whose columns would clash, be blank, or begin with _, which is for service columns."""
+    names = [x.label for x in (*table.keys, *table.aggregates)]
+    names += [f"{a.label}_{c.suffix}{end}" for c in table.compare for a in table.aggregates for end in ("", "_change", "_change_pct")]
+    names += [d.name for d in table.derive]
+    seen: set[str] = set()
+    for name in names:
+        if not name.strip() or name.startswith("_"):
+            raise ValueError(f"{name!r} cannot be a column's name")
+        if name.lower() in seen:
+            raise ValueError(f"two columns would be named {name!r}")
+        seen.add(name.lower())
+
+
 def build(df: DataFrame, table: Table, period: Period) -> DataFrame:
     """window -> where -> aggregate -> compare -> pivot, or sort -> derive -> top -> others."""
+    checked_names(table)
     rows = source_rows(df, table, period)
     if not table.aggregates:
         out = rows.select(*(table.columns or [c for c in rows.columns if c not in SERVICE]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.steps import SERVICE
@@ -53,3 +53,40 @@ def unmatched(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataF
     lost = join(left, right, pairs, "anti").agg(F.count(F.lit(1)).alias("unmatched_rows"))
     twice = right.groupBy(*pairs.values()).count().where("count > 1").agg(F.count(F.lit(1)).alias("repeated_keys"))
     return lost.join(F.broadcast(twice), F.lit(True))  # one row each
+
+
+def as_of(left: DataFrame, right: DataFrame, on: Mapping[str, str], time: tuple[str, str], columns: Sequence[str], suffix: str = "_right") -> DataFrame:
+    """left with the columns of right's latest row of the same keys at or before its time; null if there is none.
+
+    One window over both tables instead of a join by ranges: a row of left takes over what the rows before it brought.
+    Of right's rows of one time the one with the greatest columns counts. Null keys and times never match.
+    """
+    mine, theirs = time
+    picked = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))
+    keys = list(on)
+    brought = right.where(F.col(theirs).isNotNull()).select(*(F.col(b).alias(f"_key_{a}") for a, b in on.items()), F.col(theirs).alias("_time"), F.lit(0).alias("_mine"), picked.alias("_found"), F.lit(None).cast(left.schema).alias("_row_of_left"))
+    asking = left.select(*(F.col(a).alias(f"_key_{a}") for a in keys), F.col(mine).alias("_time"), F.lit(1).alias("_mine"), F.lit(None).cast(brought.schema["_found"].dataType).alias("_found"), F.struct(*left.columns).alias("_row_of_left"))
+    both = brought.unionByName(asking)
+    upto = Window.partitionBy(*(f"_key_{a}" for a in keys)).orderBy(F.col("_time").asc_nulls_first(), "_mine", "_found").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("_time").isNotNull()
+    for a in keys:
+        known = known & F.col(f"_key_{a}").isNotNull()
+    last = F.when(known, F.last("_found", ignorenulls=True).over(upto))
+    out = both.withColumn("_last", last).where("_mine = 1")
+    return out.select("_row_of_left.*", *(F.col("_last")[c].alias(f"{c}{suffix}" if c in left.columns else c) for c in columns))
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: Mapping[str, str], point: Column, start: Column, stop: Column, width: float, columns: Sequence[str]) -> DataFrame:
+    """Pairs of equal keys whose point of left lies in [start, stop) of right; point, start and stop are numbers.
+
+    The line of numbers is cut into stretches of `width`: an interval is dealt out to each stretch that it touches and
+    meets the points there by an equality, which Spark can hash, instead of all rows of its keys. Names must not clash.
+    """
+    mine = left.withColumn("_stretch", F.floor(point / width)).withColumn("_point", point)
+    theirs = right.select(*(F.col(b).alias(f"_key_{a}") for a, b in on.items()), *columns, start.alias("_start"), stop.alias("_stop")).where("_start < _stop")
+    theirs = theirs.withColumn("_of", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_stop") / width))))
+    match = F.col("_stretch") == F.col("_of")
+    for a in on:
+        match = match & (mine[a] == theirs[f"_key_{a}"])
+    found = mine.join(theirs, match).where("_point >= _start AND _point < _stop")
+    return found.select(*(mine[c] for c in left.columns), *columns)

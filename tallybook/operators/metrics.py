@@ -98,7 +98,7 @@ class Metrics:
 
     def compared(self, name: str, period: Period, kind: str = "previous_period", suffix: str = "prev") -> dict[str, object]:
         """The value, the other period's, their difference and relative change."""
-        now, then = self.value(name, period), self.value(name, period.shift(-1) if kind == "previous_period" else period.years_ago())
+        now, then = self.value(name, period), self.value(name, period.moved(-1) if kind == "previous_period" else period.a_year_before())
         both = now is not None and then is not None
         return {name: now, f"{name}_{suffix}": then, f"{name}_{suffix}_change": now - then if both else None, f"{name}_{suffix}_change_pct": now / then - 1 if both and then else None}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.operators import ordered
+
 # Divisors of display scales.
 SCALES = {"one": 1, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
 
@@ -21,7 +23,7 @@ def series(df: DataFrame, category: str, name: str, value: str, most: int = 200)
 def largest_and_others(df: DataFrame, name: str, value: str, limit: int, others: str) -> DataFrame:
     """The limit - 1 largest slices, and one for the rest."""
     top = df.orderBy(F.col(value).desc_nulls_last(), F.col(name)).limit(limit - 1).select(F.col(name).alias("_top"))
-    marked = df.join(F.broadcast(top), F.col(name).eqNullSafe(F.col("_top")), "left")
+    marked = df.join(top, F.col(name).eqNullSafe(F.col("_top")), "left")
     return marked.groupBy(F.coalesce("_top", F.lit(others)).alias(name)).agg(F.sum(value).alias(value))
 
 
@@ -46,6 +48,10 @@ def last_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
 
 
 def with_change(df: DataFrame, column: str, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Difference and relative change to the row before."""
-    before = F.lag(column).over(Window.partitionBy(*(by or [])).orderBy(*order))
-    return df.withColumns({f"{column}_change": F.col(column) - before, f"{column}_change_pct": F.when(before != 0, F.col(column).cast("double") / before - 1)})
+    """Difference and relative change to the row before, of the whole table or of each group of `by`."""
+    if by:
+        df = df.withColumn("_before", F.lag(column).over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        df = ordered.with_previous(df, [F.col(c) for c in order], column, "_before")
+    before = F.col("_before")
+    return df.withColumns({f"{column}_change": F.col(column) - before, f"{column}_change_pct": F.when(before != 0, F.col(column).cast("double") / before - 1)}).drop("_before")

@@ -5,17 +5,20 @@ Period and service columns (_upload_id, _upload_seq, _row) tell which rows are n
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from datetime import date, timedelta
-from itertools import accumulate
+from importlib import import_module
+from inspect import signature
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallybook.functions import formulas
-from tallybook.functions.periods import unit_shift, unit_start
+from tallybook.functions.periods import Period
 from tallybook.functions.windows import Span, within
+from tallybook.operators import ordered
 from tallybook.sources import parsing
 
 SERVICE = ("_upload_id", "_upload_seq", "_row")
@@ -65,12 +68,12 @@ def filter_conditions(df: DataFrame, conditions: Sequence[Mapping], combine: str
 def relative_span(anchor: date, last: int | None = None, unit: str = "month", period: str | None = None) -> Span:
     """The last n units up to the anchor's, or a named one: this_/previous_ with a unit, or month/quarter/year_to_date."""
     if last is not None:
-        return unit_shift(unit_start(anchor, unit), unit, 1 - last), anchor + timedelta(1)
+        return Period.around(anchor, unit).moved(1 - last).start, anchor + timedelta(1)
     kind, _, name = period.partition("_")
     if period.endswith("_to_date"):
-        return unit_start(anchor, kind), anchor + timedelta(1)
-    start = unit_start(anchor, name)
-    return (start, anchor + timedelta(1)) if kind == "this" else (unit_shift(start, name, -1), start)
+        return Period.around(anchor, kind).start, anchor + timedelta(1)
+    now = Period.around(anchor, name)
+    return (now.start, anchor + timedelta(1)) if kind == "this" else (now.moved(-1).start, now.start)
 
 
 def time_filter(df: DataFrame, column: str, anchor: date | None = None, start: str | None = None, end: str | None = None, **relative: object) -> DataFrame:
@@ -85,11 +88,32 @@ def time_filter(df: DataFrame, column: str, anchor: date | None = None, start: s
     return df.where(keep)
 
 
-def dedupe(df: DataFrame, by: Sequence[str] | None = None, keep: str = "last", column: str | None = None, newest: Sequence[str] = ("_upload_seq", "_row")) -> DataFrame:
+def searched_span(span: Span, unit: str, depth: int) -> Span:
+    """The span with its start moved back by so many units: what a deduplication of limited depth searches."""
+    start, stop = span
+    return (start if start is None else Period.around(start, unit).moved(-depth).start), stop
+
+
+def dedupe(
+    df: DataFrame,
+    by: Sequence[str] | None = None,
+    keep: str = "last",
+    column: str | None = None,
+    newest: Sequence[str] = ("_upload_seq", "_row"),
+    depth: int | None = None,
+    unit: str = "month",
+    period_column: str | None = None,
+    span: Span | None = None,
+) -> DataFrame:
     """One row for each key: the first or last in the order of `newest`, or that of the least or largest `column`.
 
-    Nulls of column come last, ties go to the newest. The rank filter lets Spark keep one row per key before the shuffle.
+    Nulls of column come last, ties go to the newest. With a depth, rows are searched from so many units before the span,
+    and the winners inside the span are returned. The rank filter lets Spark keep one row per key before the shuffle.
     """
+    if depth is not None:
+        if period_column is None or span is None:
+            raise ValueError("a depth needs a period column and a span")
+        df = df.where(within(period_column, searched_span(span, unit, depth)))
     by = list(by or [c for c in df.columns if c not in SERVICE])
     recent = [F.col(c).desc_nulls_last() for c in newest]
     order = {
@@ -98,7 +122,8 @@ def dedupe(df: DataFrame, by: Sequence[str] | None = None, keep: str = "last", c
         "max": [F.col(column).desc_nulls_last(), *recent] if column else recent,
         "min": [F.col(column).asc_nulls_last(), *recent] if column else recent,
     }[keep]
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
+    found = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
+    return found if depth is None else found.where(within(period_column, span))
 
 
 def sort_keys(keys: Sequence[str]) -> list[Column]:
@@ -112,19 +137,9 @@ def sort(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def sort_with_places(df: DataFrame, by: Sequence[str], name: str = "place") -> DataFrame:
-    """The whole table sorted, with each row's place from 1: the rows of the ranges before it and its place in its own.
-
-    The sorted ranges are checkpointed, as Spark would draw other bounds when it sorts again; only the ranges' row counts
-    come to the driver.
-    """
-    session, at = df.sparkSession, F.monotonically_increasing_id()
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    ranges = sort(df, by).checkpoint()
-    ranges = ranges.withColumns({"_range": F.shiftright(at, 33).cast("int"), name: at.bitwiseAND(F.lit((1 << 33) - 1)) + 1})
-    sizes = dict(ranges.groupBy("_range").count().collect())
-    before = [0, *accumulate(sizes.get(i, 0) for i in range(max(sizes, default=0)))]
-    return ranges.withColumn(name, F.col(name) + F.array(*(F.lit(n).cast("long") for n in before))[F.col("_range")]).drop("_range")
+    """The whole table sorted, with each row's place from 1."""
+    stable = [F.col(c) for c in ("_upload_seq", "_row") if c in df.columns]
+    return ordered.with_place(df, [*sort_keys(by), *stable], name)
 
 
 def select(df: DataFrame, columns: Sequence[str] = (), drop: Sequence[str] = (), always: Sequence[str] = ()) -> DataFrame:
@@ -171,18 +186,69 @@ def sql(df: DataFrame, query: str, others: Mapping[str, DataFrame] | None = None
     return formulas.run_sql(df.sparkSession, query, {"data": df, **(others or {})})
 
 
+@dataclass(frozen=True)
+class Context:
+    """What a Python step, table or metric sees beside its table: the report's period, other inputs, and the session."""
+
+    period: Period | None = None
+    inputs: Mapping[str, DataFrame] = field(default_factory=dict)
+    spark: SparkSession | None = None
+
+
+def function_of(name: str | Callable) -> Callable:
+    """A function, or the one that `module:name` names."""
+    if callable(name):
+        return name
+    module, colon, attribute = name.partition(":")
+    if not colon:
+        raise ValueError(f"{name!r} is no module:name")
+    found = getattr(import_module(module), attribute, None)
+    if not callable(found):
+        raise ValueError(f"{module} has no function {attribute!r}")
+    return found
+
+
+def takes_context(function: Callable) -> bool:
+    return len(signature(function).parameters) > 1
+
+
+def declared(df: DataFrame, schema: str | None) -> DataFrame:
+    """df, if its columns and types are the declared ones."""
+    if schema is not None:
+        wanted = [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema)]
+        if wanted != df.dtypes:
+            raise ValueError(f"columns {df.dtypes} instead of {wanted}")
+    return df
+
+
 def python_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """A function from pandas batch to pandas batch, run on the executors."""
     return df.mapInPandas(lambda batches: (function(b) for b in batches), schema)
 
 
-def python_lazy(df: DataFrame, function: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return df.transform(function)
+def python_lazy(df: DataFrame, function: Callable, schema: str | None = None, context: Context | None = None) -> DataFrame:
+    """A function from DataFrame to DataFrame; it may take the context as well."""
+    out = function(df, context or Context(spark=df.sparkSession)) if takes_context(function) else function(df)
+    if not isinstance(out, DataFrame):
+        raise ValueError(f"the function gave {type(out).__name__} instead of a DataFrame")
+    return declared(out, schema)
 
 
 def python_table(df: DataFrame, function: Callable, schema: str, most_rows: int = 1_000_000) -> DataFrame:
-    """A function over the whole table as pandas; refused above most_rows, as it runs in one place."""
+    """A function over the whole table as pandas; refused above most_rows, as it runs in one place by its nature."""
     rows = df.limit(most_rows + 1).count()
     if rows > most_rows:
         raise ValueError(f"more than {most_rows} rows for a whole-table function")
     return df.groupBy().applyInPandas(function, schema)
+
+
+def python(df: DataFrame, function: str | Callable, mode: str = "lazy", schema: str | None = None, context: Context | None = None) -> DataFrame:
+    """The python step: `lazy` maps the DataFrame, `batches` each pandas batch, `table` the whole table as pandas."""
+    found = function_of(function)
+    if mode == "lazy":
+        return python_lazy(df, found, schema, context)
+    if mode not in ("batches", "table"):
+        raise ValueError(f"no mode {mode!r}")
+    if schema is None:
+        raise ValueError(f"mode {mode} needs a schema")
+    return python_batches(df, found, schema) if mode == "batches" else python_table(df, found, schema)

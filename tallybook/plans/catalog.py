@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MARCH = Period.parse("1998-03")
+MARCH = Period.read("1998-03")
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -37,10 +37,13 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tallybook.plans import catalog_sources  # noqa: F401  registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
@@ -137,9 +140,8 @@ _dedupe("min", f"l_extendedprice ASC NULLS LAST, {NEWEST}", keep="min", column="
 @query(f"SELECT {LINE_PICK} FROM lineitem WHERE l_shipdate >= DATE '1997-10-01' AND l_shipdate < DATE '1998-04-01' QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {NEWEST}) = 1 AND l_shipdate >= DATE '1998-01-01'")
 def dedupe_depth(spark, d):
     """The quarter's lines without those that a newer one replaces, searched back over one more quarter."""
-    start, stop = span_of("quarter_to_date", MARCH)
-    searched = lines(spark, d).where(within("l_shipdate", (Period.containing(start, "quarter").shift(-1).start, stop)))
-    return steps.dedupe(searched, ["l_orderkey", "l_linenumber"], newest=LINE_ORDER).where(within("l_shipdate", (start, stop))).select(*LINE_PICK.split(", "))
+    span = span_of("quarter_to_date", MARCH)
+    return steps.dedupe(lines(spark, d), ["l_orderkey", "l_linenumber"], newest=LINE_ORDER, depth=1, unit="quarter", period_column="l_shipdate", span=span).select(*LINE_PICK.split(", "))
 
 
 @query("SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders")
@@ -320,7 +322,7 @@ def aggregate_first_last(spark, d):
 def aggregate_empty(spark, d):
     """No rows: the sum is null, the count zero, and there is one row."""
     spec = Table("o_orderdate", [], [Aggregate("sum", "o_totalprice", "total"), Aggregate("count", name="n")])
-    return datasets.build(orders(spark, d), spec, Period.parse("1890-01")).withColumn("total", F.round("total", 2))
+    return datasets.build(orders(spark, d), spec, Period.read("1890-01")).withColumn("total", F.round("total", 2))
 
 
 for _bucket in ("day", "week", "month", "quarter", "year"):
@@ -511,7 +513,7 @@ def _uploads(spark: SparkSession, d: str, policy: str) -> list[tuple[DataFrame,
     rows = orders(spark, d).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     parts = []
     for seq, (span, keep) in enumerate((("1997-01-01..1997-12-31", "true"), ("1997-03-01..1997-06-30", "o_orderstatus <> 'P'"), ("1997-05", "o_orderstatus = 'F'")), 1):
-        p = Period.parse(span)
+        p = Period.read(span)
         part = rows.where(within("o_orderdate", (p.start, p.stop))).where(keep)
         changed = part.withColumn("o_totalprice", F.col("o_totalprice") + seq)
         parts.append((changed.withColumns({"_upload_seq": F.lit(seq), "_row": F.col("o_orderkey")}), p, policy))
@@ -565,7 +567,7 @@ PROFILED = ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM orders" for c in PROFILED))
 def profile_columns(spark, d):
-    return profile.profile(orders(spark, d), PROFILED).select("column", "rows", "nulls", "distinct_values")
+    return profile.profile(orders(spark, d), PROFILED, exact=True).select("column", "rows", "nulls", "distinct_values")
 
 
 @query("SELECT l_returnflag, count(*) AS count FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
@@ -585,14 +587,18 @@ def ingest_months(spark, d):
     return orders(spark, d).groupBy(history.month_of("o_orderdate").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS lost FROM orders WHERE false")
+@query("SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def preview_sample_pairs(spark, d):
-    """Sampled orders whose sampled lines are not all of their lines: none, as both are sampled by the key."""
-    o = profile.sampled(orders(spark, d), ["o_orderkey"], 7).select("o_orderkey")
+    """Each order's number of lines: from the sampled lines if the order is in the sample of orders, else from all lines.
+
+    Both tables are sampled by the key, so that the sampled lines of a sampled order are all of its lines.
+    """
+    sampled_orders = profile.sampled(orders(spark, d), ["o_orderkey"], 7).select("o_orderkey", F.lit(True).alias("picked")).distinct()
     every = lines(spark, d).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    some = profile.sampled(lines(spark, d), ["l_orderkey"], 7).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("m"))
-    both = o.join(every, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey").join(some, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return both.where("m IS NULL OR m <> n").agg(F.count(F.lit(1)).alias("lost"))
+    some = profile.sampled(lines(spark, d), ["l_orderkey"], 7).groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    keys = orders(spark, d).select("o_orderkey").distinct().join(sampled_orders, "o_orderkey", "left")
+    both = keys.join(every, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(some, F.col("o_orderkey") == F.col("k"), "left")
+    return both.select("o_orderkey", F.coalesce(F.when(F.col("picked"), F.col("m")).otherwise(F.col("n")), F.lit(0)).alias("n"))
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")

@@ -16,9 +16,9 @@ from tallybook.sources.profile import sampled
 LARGE, TARGET = 500_000, 200_000
 
 
-def rate(rows: int) -> int:
+def rate(rows: int, large: int | None = None) -> int:
     """1 in how many rows: 1 for inputs that are small enough."""
-    return 1 if rows <= LARGE else max(2, ceil(rows / TARGET))
+    return 1 if rows <= (LARGE if large is None else large) else max(2, ceil(rows / TARGET))
 
 
 def sample_key(scenario: Scenario, name: str) -> Sequence[str]:
@@ -44,11 +44,11 @@ class StepCount:
     exact: bool
 
 
-def preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], name: str, period: Period, limit: int = 100) -> tuple[list[dict], list[StepCount]]:
-    """The first rows of an input after its steps, and the rows after each step."""
+def preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], name: str, period: Period, limit: int = 100, large: int | None = None) -> tuple[list[dict], list[StepCount]]:
+    """The first rows of an input after its steps, and the rows after each step; inputs above `large` rows (LARGE) are sampled."""
     needed = {name, *(s["with"] for s in scenario.inputs[name].get("steps", ()) if s["type"] == "join")}
     rows = {n: sources[scenario.inputs[n]["source"]].count() for n in needed}
-    k, keys = max(map(rate, rows.values())), sample_key(scenario, name)
+    k, keys = max(rate(n, large) for n in rows.values()), sample_key(scenario, name)
     small = dict(sources)
     if k > 1:
         for n in needed:

@@ -38,6 +38,14 @@ def write_report(report: Report, folder: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_metrics")
 
 
+def to_arrow(df: DataFrame, most_rows: int = 100_000):
+    """A finished table as Arrow, for a renderer; refused above most_rows, as it comes to the driver."""
+    table = df.limit(most_rows + 1).toArrow()
+    if table.num_rows > most_rows:
+        raise ValueError(f"more than {most_rows} rows for a renderer")
+    return table
+
+
 def export_one_file(df: DataFrame, path: str) -> None:
     """One Parquet file, for a reader outside; goes through one task."""
     df.coalesce(1).write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -12,7 +12,7 @@ from tallybook.functions.aggregates import Aggregate, Key
 from tallybook.functions.formulas import run_sql
 from tallybook.functions.periods import Period
 from tallybook.operators import datasets, joins, steps
-from tallybook.operators.metrics import Metric, Metrics
+from tallybook.operators.metrics import Metric, Metrics, plain
 
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "filter": lambda df, where=None, conditions=(), combine="and": steps.filter_where(df, where) if where else steps.filter_conditions(df, conditions, combine),
@@ -25,6 +25,7 @@ STEPS: dict[str, Callable[..., DataFrame]] = {
     "formula": steps.formula,
     "join": joins.join,
     "sql": steps.sql,
+    "python": steps.python,
 }
 
 
@@ -77,12 +78,29 @@ def validate(scenario: Scenario) -> list[str]:
                 out.append(f"input {name}: no step {step['type']!r}")
             if step["type"] == "join" and step["with"] not in scenario.inputs:
                 out.append(f"input {name}: no input {step['with']!r} to join with")
+            if step["type"] == "python":
+                out += python_problems(f"input {name}", step)
     for name, spec in scenario.tables.items():
-        if "query" not in spec and spec.get("input") not in scenario.inputs:
+        if not {"query", "python"} & set(spec) and spec.get("input") not in scenario.inputs:
             out.append(f"table {name}: no input {spec.get('input')!r}")
+        if "python" in spec:
+            out += python_problems(f"table {name}", spec)
+    for name, spec in scenario.metrics.items():
+        if "python" in spec:
+            out += python_problems(f"metric {name}", spec)
     return out
 
 
+def python_problems(where: str, spec: Mapping) -> list[str]:
+    """What is wrong with a Python step, table or metric before it runs."""
+    mode, function = spec.get("mode", "lazy"), spec.get("function", spec.get("python"))
+    try:
+        steps.function_of(function)
+    except (ValueError, ImportError) as problem:
+        return [f"{where}: {problem}"]
+    return [f"{where}: mode {mode} needs a schema"] if mode in ("batches", "table") and "schema" not in spec else []
+
+
 def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFrame], done: Mapping[str, DataFrame], period: Period) -> DataFrame:
     """A source with its steps applied; switched-off steps are passed over."""
     df = sources[spec["source"]]
@@ -93,7 +111,12 @@ def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFr
         if step["type"] == "join":
             arguments["right"] = done[step["with"]]
         if step["type"] == "time_filter":
-            arguments.setdefault("anchor", period.last)
+            arguments.setdefault("anchor", period.last_day)
+        if step["type"] == "dedupe" and "depth" in step:
+            arguments.setdefault("unit", period.unit if period.unit != "range" else "month")
+            arguments.setdefault("span", (period.start, period.stop))
+        if step["type"] == "python":
+            arguments["context"] = steps.Context(period, done, spark)
         if step["type"] == "sql":
             arguments["others"] = done
         df = STEPS[step["type"]](df, **arguments)
@@ -115,16 +138,25 @@ def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame
         try:
             if name in scenario.inputs:
                 report.frames[name] = build_input(spark, scenario.inputs[name], sources, report.frames, period)
-            elif "query" in (spec := scenario.tables[name]):
+            elif "python" in (spec := scenario.tables[name]):
+                source = report.frames[spec["input"]] if "input" in spec else None
+                context = steps.Context(period, {n: report.frames[n] for n in scenario.inputs}, spark)
+                made = steps.function_of(spec["python"])
+                report.frames[name] = steps.declared(made(source, context) if source is not None else made(context), spec.get("schema"))
+            elif "query" in spec:
                 report.frames[name] = run_sql(spark, spec["query"], {n: report.frames[n] for n in scenario.inputs})
             else:
                 report.frames[name] = datasets.build(report.frames[spec["input"]], table_of(spec), period)
             report.statuses[name] = Status("ok")
         except Exception as problem:  # a node's failure is its own
             report.statuses[name] = Status("failed", str(problem).splitlines()[0])
-    metrics = Metrics(spark, {n: metric_of(x) for n, x in scenario.metrics.items()}, lambda n: report.frames[n], lambda: report.frames)
-    for name in scenario.metrics:
+    metrics = Metrics(spark, {n: metric_of(x) for n, x in scenario.metrics.items() if "python" not in x}, lambda n: report.frames[n], lambda: report.frames)
+    for name, spec in scenario.metrics.items():
         try:
+            if "python" in spec:
+                value = steps.function_of(spec["python"])(steps.Context(period, report.frames, spark))
+                report.values[name], report.statuses[name] = plain(value), Status("ok")
+                continue
             report.values[name] = metrics.value(name, period)
             report.statuses[name] = Status("ok")
         except Exception as problem:

@@ -1,39 +1,35 @@
-"""Delimited exports: encoding, delimiter and header are probed on the file's head; every column arrives as text."""
+"""Delimited exports: encoding, quotes, delimiter and header are probed through Spark; every column arrives as text.
+
+The probe of a file is one distributed pass over its lines as bytes, so a stray byte or quote anywhere in it is seen.
+Files without line ends inside quotes are read in splits; rows are numbered by file and split, in the files' order.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIMITERS = (";", "\t", "|", ",")
-HEAD_BYTES, HEAD_ROWS = 256 * 1024, 30
+#: Records in which the header is looked for, and lines that are fetched to see them.
+HEAD_ROWS, HEAD_LINES = 30, 60
+#: Bytes of a line that the probe of the head looks at.
+HEAD_BYTES = 64 * 1024
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How to read a file: encoding, delimiter, records above the header, and its names."""
+    """How to read a file: encoding, delimiter, records above the header, its names, and if quotes hold line ends."""
 
     encoding: str
     delimiter: str
     skipped: int
     names: Sequence[str]
-
-
-def encoding_of(head: bytes) -> str:
-    """UTF-8 unless the bytes are not, then windows-1251; a cut last character does not count."""
-    for cut in range(4):
-        try:
-            head[: len(head) - cut].decode("utf-8")
-            return "UTF-8"
-        except UnicodeDecodeError as wrong:
-            if wrong.start < len(head) - 4:
-                break
-    return "windows-1251"
+    quoted_lines: bool = False
 
 
 def split_line(line: str, delimiter: str) -> list[str]:
@@ -81,28 +77,74 @@ def unique_names(names: Sequence[str]) -> list[str]:
     return out
 
 
+def numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
+    """Rows of files with their place from 0, in the order of file names and of the splits inside a file.
+
+    rows has `_file`, `_block` (where its split begins) and `_id` (monotonically_increasing_id, so that the rows of a
+    split follow each other). The number of splits decides how much is joined, not the number of rows.
+    """
+    splits = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")).orderBy("_file", "_block").collect()
+    upto, offsets = 0, []
+    for split in splits:
+        offsets.append((split["_file"], split["_block"], upto - split["first"]))
+        upto += split["n"]
+    table = rows.sparkSession.createDataFrame(offsets, "_file string, _block long, _offset long")
+    return rows.join(table, ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_offset")).drop("_file", "_block", "_id", "_offset")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """A file scan with what numbered() needs."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+
+
+def line_numbers(spark: SparkSession, path: str, wrong: Column) -> int | None:
+    """The number, from 1, of the first line for which the condition holds."""
+    lines = numbered(located(spark.read.text(path)))
+    first = lines.where(wrong).agg(F.min("_row")).first()[0]
+    return None if first is None else first + 1
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files under a path, by name."""
+    return sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())  # names alone are read
+
+
+def quote_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
 def sniff(spark: SparkSession, path: str) -> Layout:
-    """Probe the head of a file, read through Spark so that any file system works."""
-    content = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD_BYTES).alias("head")).first()["head"]
-    head = bytes(content)
-    encoding = encoding_of(head)
-    lines = head.decode({"UTF-8": "utf-8-sig", "windows-1251": "cp1251"}[encoding], "replace").splitlines()
-    lines = lines[:-1] if len(head) == HEAD_BYTES else lines
-    filled = [x for x in lines if x.strip()]
+    """Probe a file, read through Spark so that any file system works.
+
+    UTF-8 (with or without its mark) if all lines are, else windows-1251. Lines of both kinds of letters, and a quote that
+    no other closes, are errors that name the line.
+    """
+    lines = spark.read.text(path)
+    valid, ascii_only = F.is_valid_utf8("value"), F.col("value").rlike("^[\\x00-\\x7F]*$")
+    odd = quote_count(F.col("value")) % 2 == 1
+    found = lines.agg(F.count_if(~valid).alias("bad"), F.count_if(valid & ~ascii_only).alias("wide"), F.count_if(odd).alias("odd")).first()
+    if found["bad"] and found["wide"]:
+        raise ValueError(f"line {line_numbers(spark, path, ~valid)} is not UTF-8, but other lines are")
+    if found["odd"] % 2:
+        raise ValueError(f"the quotes do not balance; line {line_numbers(spark, path, odd)} has the first that may be open")
+    encoding = "windows-1251" if found["bad"] else "UTF-8"
+    head = [bytes(r[0]) for r in lines.select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES)).limit(HEAD_LINES).collect()]
+    text = [h.decode("cp1251" if found["bad"] else "utf-8-sig", "replace").rstrip("\r") for h in head]
+    filled = [x for x in text if x.strip()]
     delimiter = delimiter_of(filled[:HEAD_ROWS])
     rows = [split_line(x, delimiter) for x in filled[:HEAD_ROWS]]  # blank lines are no records to Spark either
     at = header_row(rows) if rows else 0
     names = rows[at] if rows else []
     if names and not names[-1].strip():  # a delimiter at the line's end
         names = names[:-1]
-    return Layout(encoding, delimiter, at, unique_names(names))
+    return Layout(encoding, delimiter, at, unique_names(names), bool(found["odd"]))
 
 
 SPARE = "_more"
 
 
 def read_text(spark: SparkSession, path: str, layout: Layout | None = None, ragged: str = "error") -> DataFrame:
-    """All columns as text, `_row` (place in the file, from 0), blank rows left out.
+    """All columns of one file as text, `_row` (place in the file, from 0), blank rows left out.
 
     A spare column catches cells beyond the header's width: `error` refuses such rows, `truncate` drops the cells.
     """
@@ -110,15 +152,37 @@ def read_text(spark: SparkSession, path: str, layout: Layout | None = None, ragg
     if layout.encoding != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     schema = ", ".join(f"`{n}` string" for n in [*layout.names, SPARE])
-    raw = spark.read.csv(path, schema=schema, sep=layout.delimiter, quote='"', escape='"', multiLine=True, encoding=layout.encoding, header=False, enforceSchema=True, mode="PERMISSIVE")
-    # one file is one split here, so that the order inside it is the file's
-    numbered = raw.withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") > layout.skipped)
-    numbered = numbered.withColumn("_row", F.col("_row") - layout.skipped - 1)
+    raw = spark.read.csv(path, schema=schema, sep=layout.delimiter, quote='"', escape='"', multiLine=layout.quoted_lines, encoding=layout.encoding, header=False, enforceSchema=True, mode="PERMISSIVE")
+    rows = numbered(located(raw)).where(F.col("_row") > layout.skipped).withColumn("_row", F.col("_row") - layout.skipped - 1)
     over = F.coalesce(F.trim(SPARE), F.lit("")) != ""
     if ragged == "error":
         problem = F.concat(F.lit("row "), F.col("_row").cast("string"), F.lit(" has more cells than the header"))
-        numbered = numbered.withColumn("_row", F.when(over, F.raise_error(problem).cast("long")).otherwise(F.col("_row")))
+        rows = rows.withColumn("_row", F.when(over, F.raise_error(problem).cast("long")).otherwise(F.col("_row")))
     blank = F.lit(True)
     for n in layout.names:
         blank = blank & (F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) == "")
-    return numbered.where(~blank).drop(SPARE)
+    return rows.where(~blank).drop(SPARE)
+
+
+def read_parts(spark: SparkSession, parts: Sequence[tuple[str, Mapping[str, str]]], ragged: str = "error") -> DataFrame:
+    """Several files as one table: each with a layout and a mapping (its column -> the table's) of its own, one after another.
+
+    Columns that a file's mapping does not name keep their names; those that other files lack are null there. `_row` goes
+    on from file to file.
+    """
+    out: DataFrame | None = None
+    before = 0
+    for path, names in parts:
+        rows = read_text(spark, path, ragged=ragged)
+        upto = rows.agg(F.max("_row")).first()[0]
+        part = rows.withColumnsRenamed(dict(names)).withColumn("_row", F.col("_row") + before)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        before += 0 if upto is None else upto + 1
+    if out is None:
+        raise ValueError("no files")
+    return out
+
+
+def read_folder(spark: SparkSession, path: str, ragged: str = "error") -> DataFrame:
+    """All files of a folder, by name, each below a header of its own."""
+    return read_parts(spark, [(file, {}) for file in files_of(spark, path)], ragged)

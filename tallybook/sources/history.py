@@ -103,10 +103,13 @@ def resolve(frames: Sequence[tuple[DataFrame, Period | None, str]], period_colum
     return union(kept)
 
 
-def read_upload(spark: SparkSession, history: History, upload: Upload, span: Span | None) -> DataFrame:
-    """One upload in the source's shape; whole months outside the span are not listed."""
+def read_upload(spark: SparkSession, history: History, upload: Upload, span: Span | None, by_keys: bool = False) -> DataFrame:
+    """One upload in the source's shape; whole months outside the span are not listed.
+
+    An upload that works by keys is read whole: a key that it has in another month takes the place of rows inside the span.
+    """
     df = spark.read.option("mergeSchema", "true").parquet(upload.path)
-    if span and "month" in df.columns and "month" not in history.columns and history.policy != "merge_dedupe":
+    if span and "month" in df.columns and "month" not in history.columns and not by_keys:
         start, stop = span
         if start is not None:
             df = df.where(F.col("month") >= f"{start:%Y-%m}")
@@ -117,7 +120,7 @@ def read_upload(spark: SparkSession, history: History, upload: Upload, span: Spa
 def history_view(spark: SparkSession, history: History, span: Span | None = None) -> DataFrame:
     """The effective history, inside span if given."""
     uploads = effective_policies(history)
-    frames = [(read_upload(spark, history, u, span), u.period, p) for u, p in uploads]
+    frames = [(read_upload(spark, history, u, span, "merge_dedupe" in (p, history.policy)), u.period, p) for u, p in uploads]
     if not frames:
         return spark.createDataFrame([], ", ".join(f"{c} {SPARK_TYPES[k]}" for c, k in history.columns.items()))
     out = resolve(frames, history.period_column, history.keys, history.policy)
@@ -153,12 +156,17 @@ def gaps(history: History, span: Span | None = None) -> list[tuple[date, date]]:
     return [*out, (at, span[1])] if at < span[1] else out
 
 
-def covered_days(rows: DataFrame, start: str, stop: str) -> DataFrame:
-    """The same merge of [start, stop) rows, for tables of any size: gaps and islands."""
-    by_start = Window.orderBy(start, stop)
+def covered_days(rows: DataFrame, start: str, stop: str, by: Sequence[str] = ()) -> DataFrame:
+    """The same merge of [start, stop) rows of dates, of each group of `by`: gaps and islands.
+
+    Spans of equal start are merged first, before the shuffle, so that the windows see one row for each day at most,
+    however large the table is.
+    """
+    days = rows.groupBy(*by, F.col(start).cast("date").alias(start)).agg(F.max(F.col(stop).cast("date")).alias(stop))
+    by_start = Window.partitionBy(*by).orderBy(start)
     reach = F.max(stop).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by_start))
-    return marked.groupBy("_island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_island")
+    marked = days.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(by_start))
+    return marked.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_island")
 
 
 def upload_period(df: DataFrame, period_column: str, unit: str) -> Period | None:
@@ -166,8 +174,8 @@ def upload_period(df: DataFrame, period_column: str, unit: str) -> Period | None
     first, last = df.agg(F.min(period_column).cast("date"), F.max(period_column).cast("date")).first()
     if first is None:
         return None
-    a, b = Period.containing(first, unit), Period.containing(last, unit)
-    return a if a == b else covering(a.start, b.last)
+    a, b = Period.around(first, unit), Period.around(last, unit)
+    return a if a == b else covering(a.start, b.last_day)
 
 
 def default_report_period(history: History) -> Period | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -58,15 +59,28 @@ def filled(text: Column) -> Column:
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """df with the columns parsed, and `_errors`: the names of those that hold text which no parser reads."""
-    wrong = F.filter(F.array(*(F.when(filled(F.col(c)) & PARSERS[k](F.col(c)).isNull(), F.lit(c)) for c, k in types.items())), lambda x: x.isNotNull())
-    return df.withColumn("_errors", wrong).withColumns({c: PARSERS[k](F.col(c)) for c, k in types.items()})
+    """df with the columns parsed, and `_errors`: the names of those that hold text which no parser reads.
+
+    Each cell is parsed once: the parsed values are columns of their own, from which the errors follow.
+    """
+    parsed = df.withColumns({f"_parsed_{i}": PARSERS[k](F.col(f"`{c}`")) for i, (c, k) in enumerate(types.items())})
+    wrong = [F.when(filled(F.col(f"`{c}`")) & F.col(f"_parsed_{i}").isNull(), F.lit(c)) for i, (c, k) in enumerate(types.items()) if k != "string"]
+    errors = F.filter(F.array(*wrong), lambda x: x.isNotNull()) if wrong else F.array().cast("array<string>")
+    place = {c: i for i, c in enumerate(types)}
+    kept = [F.col(f"_parsed_{place[c]}").alias(c) if c in place else F.col(f"`{c}`") for c in df.columns if c != "_errors"]
+    return parsed.withColumn("_errors", errors).select(*kept, "_errors")
+
+
+def code_like(name: str) -> bool:
+    """Whether a column's name speaks of codes rather than quantities."""
+    return bool(re.search(r"(?i)(^|[\W_])(code|id|no|number|phone|zip|inn|sku|код|номер|телефон|инн|артикул)([\W_]|$)|№", name))
 
 
 def infer(df: DataFrame, share: float = 0.98) -> dict[str, str]:
     """A type for every text column: the first of bool, int, float, date, datetime that reads `share` of the filled cells.
 
-    One aggregation over all rows. Numbers with leading zeros, or that all have ten digits or more, are codes: text.
+    One aggregation over all rows. Numbers with leading zeros, that all have ten digits or more, or whole ones under a
+    name that speaks of codes, are codes: text.
     """
     tried = ("bool", "int", "float", "date", "datetime")
     kinds = [F.count(F.when(filled(F.col(c)) & PARSERS[k](F.col(c)).isNotNull(), 1)).alias(f"{c}:{k}") for c in df.columns for k in tried]
@@ -80,5 +94,6 @@ def infer(df: DataFrame, share: float = 0.98) -> dict[str, str]:
     for c in df.columns:
         n = row[f"{c}:n"]
         kind = next((k for k in tried if n and row[f"{c}:{k}"] >= share * n), "string")
-        found[c] = "string" if kind in ("int", "float") and (row[f"{c}:zeros"] or row[f"{c}:long"] == n) else kind
+        code = row[f"{c}:zeros"] or row[f"{c}:long"] == n or kind == "int" and code_like(c)
+        found[c] = "string" if kind in ("int", "float") and code else kind
     return found

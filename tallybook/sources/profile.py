@@ -8,8 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def profile(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """column, rows, nulls, distinct_values, least, greatest: one row for each column, from a single aggregation."""
+#: Rows up to which distinct values are counted exactly, where a profile is not told; an exact count of every column
+#: of a large table would shuffle each row once for each column.
+EXACT_ROWS = 1_000_000
+
+
+def profile(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> DataFrame:
+    """column, rows, nulls, distinct_values, least, greatest: one row for each column, from a single aggregation.
+
+    distinct_values is exact or within a few percent, as asked; by default exact for EXACT_ROWS rows and fewer.
+    """
+    if exact is None:
+        exact = df.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
     distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = [
         F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), distinct(F.col(c)).alias("distinct_values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"))

@@ -23,3 +23,13 @@ def test_the_rest_works_alone():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.split()
     assert int(out[0]) > 120 and out[1] == "False"
+
+
+def test_absent_tokenizers_leave_the_engine():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout) > 120
+
+
+def test_faults_of_the_engine_are_not_hidden():
+    code = "import sys; sys.modules['tallybook.functions.periods'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, timeout=120).returncode != 0

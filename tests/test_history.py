@@ -13,7 +13,7 @@ def upload(spark, tmp_path, seq, rows, period, policy=None, schema="k string, d
     df = spark.createDataFrame([(*r, f"u{seq}", seq, i) for i, r in enumerate(rows)], schema + ", _upload_id string, _upload_seq int, _row long")
     path = str(tmp_path / f"u{seq}")
     df.withColumn("month", H.month_of("d")).write.partitionBy("month").parquet(path)
-    return H.Upload(f"u{seq}", seq, path, Period.parse(period), policy=policy)
+    return H.Upload(f"u{seq}", seq, path, Period.read(period), policy=policy)
 
 
 JAN, FEB, MAR = datetime(2024, 1, 10), datetime(2024, 2, 10), datetime(2024, 3, 10)
@@ -56,6 +56,15 @@ def test_bounds_prune_months(spark, uploads):
     assert "PartitionFilters: [isnotnull(month" in plan
 
 
+def test_bounds_do_not_bring_back_rows_of_moved_keys(spark, tmp_path):
+    """Under ask, the second upload moves a to February; January must not show the first upload's a again."""
+    one = upload(spark, tmp_path, 1, [("a", JAN, 1.0), ("b", JAN, 2.0)], "2024-01")
+    two = upload(spark, tmp_path, 2, [("a", FEB, 10.0)], "2024-01-01..2024-02-29", policy="merge_dedupe")
+    january = (date(2024, 1, 1), date(2024, 2, 1))
+    assert values(spark, [one, two], "ask") == [2, 10]
+    assert values(spark, [one, two], "ask", january) == [2] == values(spark, [one, two], "merge_dedupe", january)
+
+
 def test_columns_that_came_later(spark, tmp_path):
     old = upload(spark, tmp_path, 1, [("a", JAN, "1.5")], "2024-01", schema="k string, d timestamp_ntz, x string")
     new = H.History([old], COLUMNS | {"y": "int"}, "d")
@@ -63,16 +72,16 @@ def test_columns_that_came_later(spark, tmp_path):
 
 
 def test_coverage(uploads):
-    history = H.History([uploads[0], H.Upload("u9", 9, "", Period.parse("2024-05"))], COLUMNS, "d")
+    history = H.History([uploads[0], H.Upload("u9", 9, "", Period.read("2024-05"))], COLUMNS, "d")
     assert H.coverage(history) == [(date(2024, 1, 1), date(2024, 3, 1)), (date(2024, 5, 1), date(2024, 6, 1))]
     assert H.gaps(history) == [(date(2024, 3, 1), date(2024, 5, 1))]
     assert H.gaps(history, (date(2024, 2, 1), date(2024, 7, 1))) == [(date(2024, 3, 1), date(2024, 5, 1)), (date(2024, 6, 1), date(2024, 7, 1))]
-    assert H.default_report_period(history).key == "2024-05"
+    assert H.default_report_period(history).code == "2024-05"
     assert [u.id for u in H.uploads_in(history, (date(2024, 2, 1), date(2024, 3, 1)))] == ["u1"]
 
 
 def test_period_of_data(spark, uploads):
     df = spark.read.parquet(uploads[0].path)
-    assert H.upload_period(df, "d", "month").unit == "range" and H.upload_period(df.where("k = 'a'"), "d", "month").key == "2024-01"
+    assert H.upload_period(df, "d", "month").unit == "range" and H.upload_period(df.where("k = 'a'"), "d", "month").code == "2024-01"
     assert H.upload_period(df.where(F.lit(False)), "d", "month") is None
-    assert H.rows_outside(df, "d", Period.parse("2024-01")).first().rows_outside == 1
+    assert H.rows_outside(df, "d", Period.read("2024-01")).first().rows_outside == 1

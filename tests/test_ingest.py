@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.sources import delimited, ingest, parsing, profile
+from tallybook.sources import delimited, ingest, parsing, profile, readers
 
 
 def column(spark, values):
@@ -54,9 +54,53 @@ def test_ragged_rows(spark, tmp_path):
         delimited.read_text(spark, str(path), layout).collect()
 
 
-def test_encodings_and_names():
-    assert delimited.encoding_of("имя".encode()) == "UTF-8" and delimited.encoding_of("имя".encode()[:-1]) == "UTF-8"
-    assert delimited.encoding_of("имя;дата".encode("cp1251")) == "windows-1251"
+def written(tmp_path, name, content):
+    path = tmp_path / name
+    path.write_bytes(content)
+    return str(path)
+
+
+def test_encodings_of_whole_files(spark, tmp_path):
+    """Letters that come late count; lines of two encodings and open quotes are errors with the line."""
+    head = "name;amount\n" + "plain text;1\n" * 40_000
+    late = delimited.read_text(spark, written(tmp_path, "late.csv", head.encode() + "имя;2\n".encode("cp1251")))
+    assert late.orderBy(F.desc("_row")).first().name == "имя" and late.count() == 40_001
+    assert delimited.sniff(spark, written(tmp_path, "utf.csv", b"\xef\xbb\xbf" + "имя;дата\nа;б\n".encode())).names == ["имя", "дата"]
+    with pytest.raises(ValueError, match="line 40003 is not UTF-8"):
+        delimited.sniff(spark, written(tmp_path, "mixed.csv", head.encode() + "имя;1\n".encode() + "имя;2\n".encode("cp1251")))
+    with pytest.raises(ValueError, match="line 3 "):
+        delimited.sniff(spark, written(tmp_path, "open.csv", b'a;b\n1;2\n3;"open\n5;6\n'))
+
+
+def test_folders_and_parts(spark, tmp_path):
+    """Each file has its own header and layout; rows are numbered on from file to file, over splits too."""
+    folder = tmp_path / "folder"
+    folder.mkdir()
+    written(folder, "1.csv", b"name;amount\n" + b"".join(b"a%d;%d\n" % (i, i) for i in range(3000)))
+    written(folder, "2.csv", "Report\nname,amount\n".encode() + b"b0,7\nb1,8\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = delimited.read_folder(spark, str(folder)).orderBy("_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r._row for r in rows] == [*range(3002)] and [r.name for r in rows] == [f"a{i}" for i in range(3000)] + ["b0", "b1"]
+    parts = delimited.read_parts(spark, [(str(folder / "2.csv"), {"amount": "sum"}), (str(folder / "1.csv"), {})])
+    first = parts.orderBy("_row").first()
+    assert (first.name, first.sum, first.amount, parts.count()) == ("b0", "7", None, 3002)
+
+
+def test_reader_choice_and_inspection(spark, tmp_path):
+    path = written(tmp_path, "data", "Code;Day;Sum\n7;01.03.2024;1,5\n8;02.03.2024;2,5\n".encode())
+    found = readers.inspect(spark, path)
+    assert (found.reader, found.types) == ("delimited", {"Code": "string", "Day": "date", "Sum": "float"})
+    assert [r["Code"] for r in found.head] == ["7", "8"] and {r["column"]: r["distinct_values"] for r in found.profile}["Sum"] == 2
+    assert readers.reader_of(spark, "x.xlsx") == "workbook" and readers.reader_of(spark, "x", "delimited") == "delimited"
+    assert readers.reader_of(spark, written(tmp_path, "book", b"PK\x03\x04rest")) == "workbook"
+    with pytest.raises(ValueError, match="no reader"):
+        readers.reader_of(spark, path, "cards")
+
+
+def test_names():
     assert delimited.unique_names(["a", "", "a", "a"]) == ["a", "column 2", "a (2)", "a (3)"]
 
 
@@ -64,6 +108,10 @@ def test_upload(spark, tmp_path):
     text = spark.createDataFrame([("2024-01-05", "1"), ("2024-02-05", "x"), (None, "3")], "d string, n string")
     found = ingest.write_upload(text, {"d": "date", "n": "int"}, str(tmp_path / "u"), "u1", 1, "d", required=["n"])
     assert (found.rows, found.rejected, found.errors, found.verdict) == (3, 1, {"n": 1}, "needs_review")
+    assert found.path.endswith(".held") and not (tmp_path / "u").exists() and not list(tmp_path.glob("*.partial-*"))
+    assert ingest.accept(spark, found).path == str(tmp_path / "u")
+    with pytest.raises(FileExistsError):
+        ingest.write_upload(text, {"d": "date", "n": "int"}, str(tmp_path / "u"), "u1", 1, "d")
     data = spark.read.parquet(str(tmp_path / "u/data"))
     assert sorted(r.month for r in data.collect()) == ["2024-01", "2024-02", "none"]
     assert [r.n for r in spark.read.parquet(str(tmp_path / "u/rejects")).collect()] == ["x"]
@@ -74,6 +122,14 @@ def test_reconcile():
     assert found == {"order_no": "Order No.", "amount": "Amont", "region": None}
 
 
+def test_columns_of_other_months_and_kinds():
+    found = ingest.matched([ingest.Column("Plan April 2026"), ingest.Column("Summe", kind="float", values=["1", "2"]), ingest.Column("x")], [ingest.Column("plan march 2025"), ingest.Column("total", ["sum"], "float", ["2", "3"])], 0.6)
+    assert found == {"plan march 2025": "Plan April 2026", "total": "Summe"}
+    made = ingest.draft({"Order No.": "string", "2nd": "int", "Created": "date", "Report date": "date", "order no": "int"})
+    assert list(made.columns.values()) == ["order_no", "c_2nd", "created", "report_date", "order_no_2"] and made.period_column == "report_date"
+    assert ingest.draft({"a": "int"}).period_column is None
+
+
 def test_profile_and_samples(spark):
     df = spark.createDataFrame([(1, "a"), (1, None), (2, "b")], "n long, s string")
     rows = {r.column: r for r in profile.profile(df, ["n", "s"]).collect()}

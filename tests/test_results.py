@@ -15,7 +15,7 @@ from tallybook.sources.history import History, Upload
 
 
 def test_warnings(spark):
-    history = History([Upload("u1", 1, "", Period.parse("2024-01"))], {"a": "int", "d": "date"}, "d")
+    history = History([Upload("u1", 1, "", Period.read("2024-01"))], {"a": "int", "d": "date"}, "d")
     span = (date(2024, 1, 1), date(2024, 3, 1))
     assert diagnostics.coverage_gaps(history, [span, span]) == ["no upload covers 2024-02-01 to 2024-03-01 (exclusive)"]
     assert diagnostics.absent_columns(history, {"u1": {"d"}}, ["a", "d"], span) == ["upload u1 has no a"]
@@ -31,7 +31,7 @@ def test_preview_scales_counts(spark, monkeypatch):
     plan = scenario.Scenario({"a": {"source": "s", "steps": [{"type": "dedupe", "by": ["k"], "newest": ["x"]}, {"type": "join", "with": "b", "on": {"k": "key"}}]}, "b": {"source": "t"}})
     monkeypatch.setattr(P, "LARGE", 1000)
     monkeypatch.setattr(P, "TARGET", 5000)
-    found, counts = P.preview(spark, plan, {"s": rows, "t": other}, "a", Period.parse("2024"), 10)
+    found, counts = P.preview(spark, plan, {"s": rows, "t": other}, "a", Period.read("2024"), 10)
     assert len(found) == 10 and all(r["y"] == 2.0 for r in found)
     assert counts[0].rows == 20000 and all(abs(c.rows - 5000) < 500 and not c.exact for c in counts[1:])
     assert P.rate(900) == 1 and P.rate(20_000) == 4 and P.rate(1_001) == 2
@@ -53,7 +53,7 @@ def test_cached_results(spark, tmp_path):
 
 def test_report_files_and_yaml(spark, tmp_path):
     (tmp_path / "s.yaml").write_text("inputs:\n  a: {source: s}\nmetrics:\n  n: {source: a, aggregate: {fn: count}}\n")
-    report = scenario.run(spark, results.load_scenario(str(tmp_path / "s.yaml")), {"s": spark.range(7)}, Period.parse("2024"))
+    report = scenario.run(spark, results.load_scenario(str(tmp_path / "s.yaml")), {"s": spark.range(7)}, Period.read("2024"))
     results.write_report(report, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/a")).count() == 7
     assert '"n": 7' in spark.read.text(str(tmp_path / "out/_metrics")).first().value

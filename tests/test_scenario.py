@@ -3,12 +3,13 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.functions.periods import Period
 from tallybook.operators import joins, metrics, shaping, steps
 from tallybook.plans import scenario as S
 
-MARCH = Period.parse("2024-03")
+MARCH = Period.read("2024-03")
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +106,81 @@ def test_joins(spark):
         joins.join(a, b, {"k": "x"})
 
 
+def test_python_in_scenarios(spark, sales):
+    def pandas_total(frame):
+        return frame.groupby("region", as_index=False)["amount"].sum()
+
+    made = spec()
+    made.inputs["sales"]["steps"] += [{"type": "python", "function": lambda df, context: df.withColumn("p", F.lit(context.period.code))}]
+    made.tables["totals"] = {"input": "sales", "python": lambda df, context: df.groupBy("p").agg(F.sum("double").alias("t")), "schema": "p string, t double"}
+    made.tables["wrong"] = {"input": "sales", "python": lambda df, context: df, "schema": "p string"}
+    made.metrics["regions"] = {"python": lambda context: context.inputs["sales"].select("region").distinct().count()}
+    report = S.run(spark, made, {"s": sales}, MARCH)
+    assert [tuple(r) for r in report.frames["totals"].collect()] == [("2024-03", 358.0)]
+    assert report.statuses["wrong"].state == "failed" and report.values["regions"] == 5
+    bad = spec()
+    bad.inputs["sales"]["steps"] += [{"type": "python", "function": "no_such_module:f"}, {"type": "python", "function": pandas_total, "mode": "table"}]
+    assert len(S.validate(bad)) == 2
+    found = steps.python(sales.select("region", "amount"), pandas_total, "table", "region string, amount double")
+    assert {r.region: r.amount for r in found.collect()}["south"] == 5.0
+    with pytest.raises(ValueError, match="no mode"):
+        steps.python(sales, pandas_total, "card")
+
+
+def test_depth_of_a_deduplication(spark, sales):
+    step = {"type": "dedupe", "by": ["region"], "depth": 1, "period_column": "d"}
+    rows = S.build_input(spark, {"source": "s", "steps": [step]}, {"s": sales}, {}, MARCH).collect()
+    assert {r.region for r in rows} == {"north", "south", "east"}  # the newest row without a region is of February
+
+
+def test_column_names_are_checked(sales):
+    from tallybook.operators.datasets import Derive, Table, build
+
+    with pytest.raises(ValueError, match="two columns"):
+        build(sales, Table("d", aggregates=[S.Aggregate("count", name="n"), S.Aggregate("sum", "amount", "N")]), MARCH)
+    with pytest.raises(ValueError, match="cannot be"):
+        build(sales, Table("d", aggregates=[S.Aggregate("count", name="n")], derive=[Derive("formula", "_x", formula="n")]), MARCH)
+
+
+def test_queries_leave_views_alone(spark, sales):
+    spark.range(3).createOrReplaceTempView("data")
+    assert steps.sql(sales, "WITH x AS (SELECT amount FROM data) SELECT count(*) AS n FROM x").first().n == 10
+    assert spark.table("data").count() == 3 and not [t.name for t in spark.catalog.listTables() if t.name.startswith("_view_")]
+    spark.catalog.dropTempView("data")
+
+
+def test_order_over_ranges(spark):
+    """Running sums, ranks and neighbours of a table that is sorted into several ranges."""
+    from tallybook.operators import ordered
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.col("id") * 31 % 50).alias("x")).repartition(5)
+    rows = sorted(((r.id, r.x) for r in df.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sums = {r.id: r.s for r in ordered.with_running_sum(df, [F.col("id")], "x", "s").collect()}
+        ranks = {r.id: r.k for r in ordered.with_rank(df, F.col("x").desc_nulls_last(), "x", "k").collect()}
+        lags = {r.id: r.b for r in ordered.with_previous(df, [F.col("id")], "x", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    total = 0
+    for i, (k, x) in enumerate(rows):
+        total += x or 0
+        assert sums[k] == (None if x is None else total) and lags[k] == (rows[i - 1][1] if i else None)
+        assert ranks[k] == (None if x is None else 1 + sum(y is not None and y > x for _, y in rows))
+    assert ordered.with_running_sum(df.limit(0), [F.col("id")], "x", "s").count() == 0
+
+
+def test_formats_and_variables(spark):
+    from tallybook.operators import formats
+
+    row = spark.createDataFrame([(1234567.891, -0.0512, datetime(2024, 3, 1))], "a double, b double, d timestamp_ntz").select(formats.number(F.col("a"), 2, " ", ","), formats.percent(F.col("b"), 1, True), formats.money(F.col("a"), "EUR", 0), formats.day(F.col("d"), "%d/%m/%y")).first()
+    assert tuple(row) == ("1 234 567,89", "-5,1\u00a0%", "1\u00a0234\u00a0568\u00a0EUR", "01/03/24")
+    found = formats.period_variables(MARCH)
+    assert formats.filled("{period}: {period_start}-{period_end}, {previous_period}", found) == "2024-03: 01.03.2024-31.03.2024, 2024-02"
+    with pytest.raises(ValueError, match="no variable"):
+        formats.filled("{nope}", found)
+
+
 def test_python_steps(sales):
     double = steps.python_batches(sales.select("amount"), lambda b: b * 2, "amount double")
     assert double.agg({"amount": "sum"}).first()[0] == 2 * 209
