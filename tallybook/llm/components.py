@@ -21,9 +21,13 @@ def _starred(links: DataFrame, total: int) -> DataFrame:
     """
     nodes = links.groupBy("u").agg(F.least(F.min("v"), "u").alias("least"), F.count(F.lit(1)).alias("links"))
     limit = max(HUB, total // HUBS)
-    hubs = F.broadcast(nodes.where(F.col("links") > limit).select("u", "least"))
-    few = links.join(hubs.select("u"), "u", "left_anti").join(nodes.where(F.col("links") <= limit).select("u", "least"), "u")
-    return links.join(hubs, "u").select("u", "v", "least").unionByName(few.select("u", "v", "least"))
+    hubs = nodes.where(F.col("links") > limit).select(F.col("u").alias("hub"), F.col("least").alias("of_hub"))
+    marked = links.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left")
+    # links of hubs look for nothing, each under a key of its own
+    marked = marked.withColumns({"few": F.col("hub").isNull(), "key": F.when(F.col("hub").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v"))})
+    others = nodes.where(F.col("links") <= limit).select(F.col("u").alias("node"), "least", F.lit(True).alias("plain"))
+    joined = marked.join(others, (F.col("key") == F.col("node")) & (F.col("few") == F.col("plain")), "left")
+    return joined.select("u", "v", F.coalesce("of_hub", "least").alias("least"))
 
 
 def _is_forest_of_stars(links: DataFrame) -> bool:

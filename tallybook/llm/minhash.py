@@ -24,6 +24,8 @@ BITS = 2
 DEVIATIONS = 6.5
 #: Texts and shingles in one block of a cluster, in which all pairs are estimated.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_500_000
+#: Blocks of a cluster up to which all pairs of blocks cost less than dealing it out again to join large families first.
+FEW = 8
 BATCH = 64
 
 
@@ -259,7 +261,7 @@ def dealt_rest(members: DataFrame, classes: DataFrame) -> DataFrame:
     routes = whole.join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("sent")), "cluster").select("cluster", (F.col("across") <= F.col("sent")).alias("at_once"))
     at_once = members.join(routes.where("at_once"), "cluster", "left_semi")
     by_band = rows.join(routes.where("NOT at_once"), "cluster", "left_semi").drop("cluster").withColumnRenamed("band", "cluster")
-    return dealt_across(at_once.unionByName(by_band.select(*at_once.columns)))
+    return dealt_across(stored(at_once.unionByName(by_band.select(*at_once.columns))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,8 +271,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     component_id is the smallest id that links reach, kept marks the row that has it. Texts of equal sets are one class
     from the start. Classes that share a band, directly or by a chain, form clusters. A cluster of one block has all its
     pairs estimated from b-bit signatures, and those near or above the threshold confirmed on the full sets, unless what
-    is confirmed connects them already. A larger cluster is dealt out twice over random blocks, which joins large
-    families at the cost of their size; after that only clusters, or buckets of them, that still hold several components
+    is confirmed connects them already. A larger cluster is dealt out over random blocks, and one of more than FEW
+    blocks once more, which joins large families at the cost of their size; after that only clusters, or buckets of them, that still hold several components
     are searched, and only between these. The bands follow from percent; below 4 % no banding finds the pairs, and ValueError is raised.
 
     Null texts count as empty; a text without words has an empty set and is linked with nothing. Rows of null id have
@@ -283,19 +285,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     clusters = stored(candidate_clusters(classes))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("class_id", "digest", "bits", "n_shingles"), F.col("id") == F.col("class_id")).drop("id")
     sizes = stored(members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks")))
-    members = members.join(sizes, "cluster").withColumn("known", F.col("class_id"))
+    members = stored(members.join(sizes, "cluster").withColumn("known", F.col("class_id")))
     links = stored(confirm(dealt_once(members, 0), source, width, percent))
     labels = connected_components(links)
     if not sizes.where("blocks > 1").isEmpty():
-        large = members.where("blocks > 1").drop("known")
+        def so_far(least: int) -> DataFrame:
+            return stored(members.where(F.col("blocks") > least).drop("known").join(labels, F.col("class_id") == F.col("id"), "left").withColumn("known", F.coalesce("component", "class_id")).drop("id", "component"))
 
-        def so_far() -> DataFrame:
-            return large.join(labels, F.col("class_id") == F.col("id"), "left").withColumn("known", F.coalesce("component", "class_id")).drop("id", "component")
-
-        for rest in (False, True):
-            more = confirm(dealt_rest(so_far(), classes) if rest else dealt_once(so_far(), 1), source, width, percent)
-            links = stored(links.unionByName(more))
+        if not sizes.where(F.col("blocks") > FEW).isEmpty():
+            links = stored(links.unionByName(confirm(dealt_once(so_far(FEW), 1), source, width, percent)))
             labels = connected_components(links)
+        links = stored(links.unionByName(confirm(dealt_rest(so_far(1), classes), source, width, percent)))
+        labels = connected_components(links)
     named = classes.select("digest", "class_id").join(labels, F.col("class_id") == F.col("id"), "left").select("digest", F.coalesce("component", "class_id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(named, "digest", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

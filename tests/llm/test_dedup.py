@@ -73,7 +73,8 @@ def test_near_components(awkward, rows, percent):
     assert Counter((r.doc_id, r.n_shingles) for r in got) == Counter((i, len(shingles(t))) for i, t in rows)
 
 
-def test_near_large_clusters_are_dealt_as_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("few", [2, 8])
+def test_near_large_clusters_are_dealt_as_blocks(spark, monkeypatch, few):
     """Families of near copies that are far larger than a block, of which some only touch, give the same components."""
     base, other = words(7, 120), words(8, 120)
     rows = [(i, edited(base, 25 + i % 90, i)) for i in range(90)]
@@ -81,6 +82,7 @@ def test_near_large_clusters_are_dealt_as_blocks(spark, monkeypatch):
     rows += [(300 + i, edited(other, 60, i)) for i in range(40)] + [(400 + i, edited(base, 11 + i % 5, i)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
+    monkeypatch.setattr(minhash, "FEW", few)
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()}
     assert got == brute_components(rows, 85)
 
