@@ -135,17 +135,17 @@ class Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def confirmed(ids: list[int], known: list[int], blocks: list[int], bits: np.ndarray, sets: list[np.ndarray], one: int, other: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever the similar pairs of two blocks (or one with itself) connect, beyond what is known.
+def confirmed(known: list[int], blocks: list[int], bits: np.ndarray, sets: list[np.ndarray], one: int, other: int, percent: int) -> list[tuple[int, int]]:
+    """Known components that the similar pairs of two blocks (or of one with itself) connect, each with the least of its own.
 
     Pairs are tried from the highest estimate down; the sets are intersected unless the pair is connected already.
     """
     down, across = ([i for i, b in enumerate(blocks) if b == x] for x in (one, other))
     guess = estimates(bits[down], bits[across])
-    group = np.unique(known, return_inverse=True)[1]
+    least, group = np.unique(known, return_inverse=True)
     at = np.argwhere((guess >= least_estimate(percent)) & (group[down][:, None] != group[across][None, :]))
     at = at[np.argsort(-guess[at[:, 0], at[:, 1]], kind="stable")]
-    forest, out = Forest(len(ids)), []
+    forest = Forest(len(least))
     for i, j in at.tolist():
         a, b = down[i], across[j]
         if one == other and a > b or forest.root(group[a]) == forest.root(group[b]):
@@ -156,12 +156,11 @@ def confirmed(ids: list[int], known: list[int], blocks: list[int], bits: np.ndar
         common = len(np.intersect1d(x, y, assume_unique=True))
         if 100 * common >= percent * (len(x) + len(y) - common):
             forest.link(group[a], group[b])
-            out.append((ids[a], ids[b]))
-    return out
+    return [(int(least[k]), int(least[root])) for k in range(len(least)) if (root := forest.root(k)) != k]
 
 
 def confirm(members: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
-    """u and v: confirmed links, enough to connect what all similar pairs of the dealt blocks connect.
+    """u and v: known components that similar pairs of the dealt blocks connect; v is the least that is met in a place.
 
     members: class_id, known (its component so far), digest, bits, cluster, block, and places (the pairs of blocks that
     the block takes part in); source: doc_id and text. Texts travel once, the full sets once for each place.
@@ -200,7 +199,7 @@ def confirm(members: DataFrame, source: DataFrame, width: int, percent: int) ->
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, one, other), rows in groups(batches):
             bits = np.frombuffer(b"".join(r["bits"] for r in rows), "<u8").reshape(len(rows), -1)
-            links = confirmed([r["class_id"] for r in rows], [r["known"] for r in rows], [r["block"] for r in rows], bits, [np.frombuffer(r["shingles"], np.uint64) for r in rows], one, other, percent)
+            links = confirmed([r["known"] for r in rows], [r["block"] for r in rows], bits, [np.frombuffer(r["shingles"], np.uint64) for r in rows], one, other, percent)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["u", "v"])
 
@@ -284,15 +283,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     classes = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     clusters = stored(candidate_clusters(classes))
     members = clusters.withColumnRenamed("component", "cluster").join(classes.select("class_id", "digest", "bits", "n_shingles"), F.col("id") == F.col("class_id")).drop("id")
-    sizes = stored(members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks")))
+    sizes = members.groupBy("cluster").agg(F.ceil(weight(F.count(F.lit(1)), F.sum("n_shingles"))).alias("blocks"))
     members = stored(members.join(sizes, "cluster").withColumn("known", F.col("class_id")))
     links = stored(confirm(dealt_once(members, 0), source, width, percent))
-    labels = connected_components(links)
-    if not sizes.where("blocks > 1").isEmpty():
+    # blocks of one deal share no text, so the links are stars around components already
+    labels = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if not members.where("blocks > 1").isEmpty():
+
         def so_far(least: int) -> DataFrame:
             return stored(members.where(F.col("blocks") > least).drop("known").join(labels, F.col("class_id") == F.col("id"), "left").withColumn("known", F.coalesce("component", "class_id")).drop("id", "component"))
 
-        if not sizes.where(F.col("blocks") > FEW).isEmpty():
+        if not members.where(F.col("blocks") > FEW).isEmpty():
             links = stored(links.unionByName(confirm(dealt_once(so_far(FEW), 1), source, width, percent)))
             labels = connected_components(links)
         links = stored(links.unionByName(confirm(dealt_rest(so_far(1), classes), source, width, percent)))
