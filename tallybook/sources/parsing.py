@@ -17,38 +17,67 @@ YES = ("true", "t", "yes", "y", "1", "да")
 NO = ("false", "f", "no", "n", "0", "нет")
 
 
-def number(text: Column) -> Column:
-    """Spaces of any kind inside, comma or dot for decimals, both as thousands and decimals, (x) or a Unicode minus for negatives."""
-    t = F.regexp_replace(F.trim(text), "[\\s\\u00A0\\u202F\\u2009']", "")
-    t = F.translate(t, "−–", "--")
-    t = F.regexp_replace(t, "^\\((.*)\\)$", "-$1")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: a Column that is used twice in an expression is two expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def cleaned_number(text: Column) -> Column:
+    """Text with a digit, without spaces, with a plain minus; most numbers are digits with one mark at most."""
+    cleaned = F.translate(F.regexp_replace(F.trim(text), "[\\s\\u00A0\\u202F\\u2009']", ""), "−–", "--")
+    odd = F.regexp_replace(cleaned, "^\\((.*)\\)$", "-$1")
+    return F.when(text.rlike("^-?\\d+([.,]\\d+)?$"), F.translate(text, ",", ".")).when(text.rlike("\\d"), odd)
+
+
+def one_mark(t: Column) -> Column:
+    """Cleaned text with a dot for the decimals alone."""
     comma, dot = F.instr(t, ","), F.instr(t, ".")
     last_comma, last_dot = F.length(t) - F.instr(F.reverse(t), ","), F.length(t) - F.instr(F.reverse(t), ".")
     both = F.when(last_comma > last_dot, F.translate(F.replace(t, F.lit("."), F.lit("")), ",", ".")).otherwise(F.replace(t, F.lit(","), F.lit("")))
     one = F.when(F.length(t) - F.length(F.replace(t, F.lit(","), F.lit(""))) > 1, F.replace(t, F.lit(","), F.lit(""))).otherwise(F.translate(t, ",", "."))
-    plain = F.when((comma > 0) & (dot > 0), both).otherwise(one)
-    return F.when(plain.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), plain.try_cast("double"))
+    return F.when(comma == 0, t).when(dot > 0, both).otherwise(one)
+
+
+def as_double(t: Column) -> Column:
+    return F.when(t.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), t.try_cast("double"))
+
+
+def number(text: Column) -> Column:
+    """Spaces of any kind inside, comma or dot for decimals, both as thousands and decimals, (x) or a Unicode minus for negatives."""
+    return let(let(cleaned_number(text), one_mark), as_double)
+
+
+def with_numbers(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with the numbers of text columns (name -> new column): the steps of number() as columns, which Spark compiles."""
+    out = df.withColumns({new: cleaned_number(F.col(f"`{c}`")) for c, new in names.items()})
+    out = out.withColumns({new: one_mark(F.col(new)) for new in names.values()})
+    return out.withColumns({new: as_double(F.col(new)) for new in names.values()})
 
 
 def whole(text: Column) -> Column:
-    value = number(text)
-    return F.when(value == F.rint(value), value.cast("long"))
+    return let(number(text), lambda value: F.when(value == F.rint(value), value.cast("long")))
+
+
+def by_formats(text: Column, formats: tuple[str, ...]) -> Column:
+    """The first format that reads the text; one is tried only on text of its shape, as a failure costs an exception."""
+
+    def shape(pattern: str) -> str:
+        return "^" + re.sub("[a-zA-Z]+", r"\\d+", pattern.replace("'T'", "\x00").replace(".", "[.]")).replace("\x00", "T") + "$"
+
+    tried = let(F.trim(text), lambda t: F.coalesce(*(F.when(t.rlike(shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats)))
+    return F.when(text.rlike("^\\s*\\d+[-./]\\d+[-./]\\d"), tried)
 
 
 def moment(text: Column, formats: tuple[str, ...] = DATETIME_FORMATS) -> Column:
-    t = F.trim(text)
-    found = F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in formats)).cast("timestamp_ntz")
-    return F.coalesce(found, day(text).cast("timestamp_ntz"))
+    return F.coalesce(by_formats(text, formats).cast("timestamp_ntz"), day(text).cast("timestamp_ntz"))
 
 
 def day(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    t = F.trim(text)
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in formats)).cast("date")
+    return by_formats(text, formats).cast("date")
 
 
 def flag(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return F.when(t.isin(*YES), True).when(t.isin(*NO), False)
+    return let(F.lower(F.trim(text)), lambda t: F.when(t.isin(*YES), True).when(t.isin(*NO), False))
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {"string": lambda c: c, "int": whole, "float": number, "date": day, "datetime": moment, "bool": flag}
@@ -63,7 +92,9 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
     Each cell is parsed once: the parsed values are columns of their own, from which the errors follow.
     """
-    parsed = df.withColumns({f"_parsed_{i}": PARSERS[k](F.col(f"`{c}`")) for i, (c, k) in enumerate(types.items())})
+    numbers = {c: f"_parsed_{i}" for i, (c, k) in enumerate(types.items()) if k in ("int", "float")}
+    parsed = with_numbers(df, numbers).withColumns({numbers[c]: F.when(F.col(numbers[c]) == F.rint(F.col(numbers[c])), F.col(numbers[c]).cast("long")) for c, k in types.items() if k == "int"})
+    parsed = parsed.withColumns({f"_parsed_{i}": PARSERS[k](F.col(f"`{c}`")) for i, (c, k) in enumerate(types.items()) if c not in numbers})
     wrong = [F.when(filled(F.col(f"`{c}`")) & F.col(f"_parsed_{i}").isNull(), F.lit(c)) for i, (c, k) in enumerate(types.items()) if k != "string"]
     errors = F.filter(F.array(*wrong), lambda x: x.isNotNull()) if wrong else F.array().cast("array<string>")
     place = {c: i for i, c in enumerate(types)}
@@ -76,20 +107,28 @@ def code_like(name: str) -> bool:
     return bool(re.search(r"(?i)(^|[\W_])(code|id|no|number|phone|zip|inn|sku|код|номер|телефон|инн|артикул)([\W_]|$)|№", name))
 
 
-def infer(df: DataFrame, share: float = 0.98) -> dict[str, str]:
+def infer(df: DataFrame, share: float = 0.98, rows: int | None = None) -> dict[str, str]:
     """A type for every text column: the first of bool, int, float, date, datetime that reads `share` of the filled cells.
 
-    One aggregation over all rows. Numbers with leading zeros, that all have ten digits or more, or whole ones under a
+    One aggregation over all rows, or over a sample of about `rows` from all over the table: what a type does not fit is
+    found again as an error when all rows are parsed. Numbers with leading zeros, that all have ten digits or more, or whole ones under a
     name that speaks of codes, are codes: text.
     """
     tried = ("bool", "int", "float", "date", "datetime")
-    kinds = [F.count(F.when(filled(F.col(c)) & PARSERS[k](F.col(c)).isNotNull(), 1)).alias(f"{c}:{k}") for c in df.columns for k in tried]
-    more = [x for c in df.columns for x in (
-        F.count(F.when(filled(F.col(c)), 1)).alias(f"{c}:n"),
-        F.count(F.when(F.col(c).rlike("^\\s*0\\d"), 1)).alias(f"{c}:zeros"),
-        F.count(F.when(F.col(c).rlike("^\\s*\\d{10,}\\s*$"), 1)).alias(f"{c}:long"),
-    )]
-    row = df.agg(*kinds, *more).first()
+    if rows is not None and (n := df.count()) > rows:
+        df = df.sample(rows / n, seed=1)
+    read = {}
+    for i, c in enumerate(df.columns):  # each cell is parsed once for each kind of value
+        cell = F.col(f"`{c}`")
+        read |= {f"t{i}": F.when(filled(cell), F.trim(cell)), f"b{i}": flag(cell), f"d{i}": day(cell), f"m{i}": by_formats(cell, DATETIME_FORMATS)}
+    aggs = []
+    for i, c in enumerate(df.columns):
+        t, b, n, d, m = (F.col(f"{kind}{i}") for kind in "tbndm")
+        counts = {"bool": b.isNotNull(), "int": n == F.rint(n), "float": n.isNotNull(), "date": d.isNotNull(), "datetime": d.isNotNull() | m.isNotNull()}
+        counts |= {"n": t.isNotNull(), "zeros": t.rlike("^0\\d"), "long": t.rlike("^\\d{10,}$")}
+        aggs += [F.count_if(condition).alias(f"{c}:{name}") for name, condition in counts.items()]
+    counted = with_numbers(df, {c: f"n{i}" for i, c in enumerate(df.columns)})
+    row = counted.select(*(column.alias(name) for name, column in read.items()), *(f"n{i}" for i in range(len(df.columns)))).agg(*aggs).first()
     found = {}
     for c in df.columns:
         n = row[f"{c}:n"]
