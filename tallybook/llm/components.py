@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not _is_forest_of_stars(links):
         total = 2 * links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        links = _starred(both, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        links = _starred(both, total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         small = _starred(links, total)
         links = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(small.select("u", F.col("least").alias("v"))).where("u <> v").distinct()
         links, after = stored_at(links)

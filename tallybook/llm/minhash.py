@@ -22,8 +22,8 @@ MISSED = 1e-5
 BITS = 2
 #: Pairs go to the full sets unless their estimate is more than so many of its standard deviations below the threshold.
 DEVIATIONS = 6.5
-#: Texts and shingles in one block of a cluster, in which all pairs are estimated.
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1_500_000
+#: Texts and shingles in one block of a cluster, in which all pairs are estimated, and texts whose pairs are at once.
+BLOCK_TEXTS, BLOCK_SHINGLES, STRIP = 4096, 3_000_000, 256
 #: Blocks of a cluster up to which all pairs of blocks cost less than dealing it out again to join large families first.
 FEW = 8
 BATCH = 64
@@ -138,24 +138,27 @@ class Forest:
 def confirmed(known: list[int], blocks: list[int], bits: np.ndarray, sets: list[np.ndarray], one: int, other: int, percent: int) -> list[tuple[int, int]]:
     """Known components that the similar pairs of two blocks (or of one with itself) connect, each with the least of its own.
 
-    Pairs are tried from the highest estimate down; the sets are intersected unless the pair is connected already.
+    Pairs of a strip are tried from the highest estimate down; the sets are intersected unless the pair is connected already.
     """
-    down, across = ([i for i, b in enumerate(blocks) if b == x] for x in (one, other))
-    guess = estimates(bits[down], bits[across])
+    down, across = (np.array([i for i, b in enumerate(blocks) if b == x], np.int64) for x in (one, other))
     least, group = np.unique(known, return_inverse=True)
-    at = np.argwhere((guess >= least_estimate(percent)) & (group[down][:, None] != group[across][None, :]))
-    at = at[np.argsort(-guess[at[:, 0], at[:, 1]], kind="stable")]
     forest = Forest(len(least))
-    for i, j in at.tolist():
-        a, b = down[i], across[j]
-        if one == other and a > b or forest.root(group[a]) == forest.root(group[b]):
-            continue
-        x, y = sets[a], sets[b]
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            continue
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * common >= percent * (len(x) + len(y) - common):
-            forest.link(group[a], group[b])
+    for begin in range(0, len(down), STRIP):  # what one strip connects, the next ones need not try
+        strip = down[begin : begin + STRIP]
+        root = np.array([forest.root(k) for k in range(len(least))])[group]
+        guess = estimates(bits[strip], bits[across])
+        tried = (guess >= least_estimate(percent)) & (root[strip][:, None] != root[across][None, :])
+        if one == other:
+            tried &= strip[:, None] < across[None, :]
+        at = np.argwhere(tried)
+        for i, j in at[np.argsort(-guess[at[:, 0], at[:, 1]], kind="stable")].tolist():
+            a, b = strip[i], across[j]
+            x, y = sets[a], sets[b]
+            if forest.root(group[a]) == forest.root(group[b]) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                forest.link(group[a], group[b])
     return [(int(least[k]), int(least[root])) for k in range(len(least)) if (root := forest.root(k)) != k]
 
 

@@ -83,6 +83,7 @@ def test_near_large_clusters_are_dealt_as_blocks(spark, monkeypatch, few):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
     monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "STRIP", 5)
     got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85).collect()}
     assert got == brute_components(rows, 85)
 
