@@ -66,11 +66,12 @@ def accept(spark: SparkSession, found: Ingested) -> Ingested:
 def write_upload(text: DataFrame, types: Mapping[str, str], path: str, upload_id: str, seq: int, period_column: str, required: Sequence[str] = (), fixed_period: str | None = None) -> Ingested:
     """Write path/data by month and path/rejects (the original text of rows with errors); texts are parsed once.
 
+    Rows are dealt out by month first, large months over several tasks, so that not every task writes every month.
     Everything is written beside the path first. An upload without faults appears there in one step; one that needs a
     review is held at path.held, where no history sees it, until accept() publishes it.
     """
     spark, partial = text.sparkSession, f"{path}.partial-{uuid4().hex}"
-    prepare(text, types, upload_id, seq, period_column, fixed_period).write.partitionBy("month").option("compression", "zstd").parquet(f"{partial}/data")
+    prepare(text, types, upload_id, seq, period_column, fixed_period).hint("rebalance", "month").write.partitionBy("month").option("compression", "zstd").parquet(f"{partial}/data")
     written = spark.read.parquet(f"{partial}/data")
     errors = {c: F.count_if(F.array_contains("_errors", c)).alias(c) for c in types}
     row = written.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.size("_errors") > 0).alias("_rejected"), *errors.values()).first()
