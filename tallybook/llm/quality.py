@@ -28,6 +28,11 @@ CLASSES, COARSE = 40, 8
 #: Measures of words and lines, and the constant 1 behind all features.
 MEASURES = 7
 FEATURES = CLASSES + COARSE * COARSE + MEASURES + 1
+#: Two hundred characters of plain prose, which are counted with each text, so that very short texts are no outliers: of
+#: each class, and of each pair of coarse classes (small 0, capital 1, space 3, line end 4, mark 7).
+PROSE = {0: 160, 1: 4, 3: 30, 4: 2, 7 + 13: 4}
+PROSE_PAIRS = {(0, 0): 126, (0, 3): 28, (3, 0): 24, (3, 1): 4, (1, 0): 4, (0, 7): 6, (7, 3): 4, (7, 4): 2, (4, 1): 2}
+PROSE_WORDS, PROSE_LETTERS = 30, 160
 #: Priors for which candidate models are made.
 PRIORS = np.arange(1, 20) / 20
 #: Bins of a margin's histogram, from -REACH to REACH, and the width in bins of the kernel that smooths them.
@@ -37,6 +42,17 @@ ABOVE = 0.5
 BATCH = 64
 
 
+@lru_cache(1)
+def prose() -> tuple[np.ndarray, np.ndarray]:
+    """PROSE and PROSE_PAIRS as counts."""
+    single, pairs = np.zeros(CLASSES), np.zeros((COARSE, COARSE))
+    for k, n in PROSE.items():
+        single[k] = n
+    for (a, b), n in PROSE_PAIRS.items():
+        pairs[a, b] = n
+    return single, pairs.ravel()
+
+
 @lru_cache(1)
 def character_classes() -> np.ndarray:
     """The class of each code point, below CLASSES."""
@@ -68,19 +84,20 @@ def features(texts: list[str]) -> np.ndarray:
     inside[np.cumsum(sizes) - 1] = False  # no pair begins with the line end put behind each text
     pair = (row[:-1] * COARSE + coarse[:-1]) * COARSE + coarse[1:]
     pairs = np.bincount(pair[inside[:-1]], minlength=len(texts) * COARSE * COARSE).reshape(len(texts), -1)
-    out = np.ones((len(texts), FEATURES))
-    out[:, :CLASSES] = np.sqrt(single / sizes[:, None])
-    out[:, CLASSES : CLASSES + COARSE * COARSE] = np.sqrt(pairs / np.maximum(sizes - 1, 1)[:, None])
+    out, (plain, plain_pairs) = np.ones((len(texts), FEATURES)), prose()
+    out[:, :CLASSES] = np.sqrt((single + plain) / (sizes + plain.sum())[:, None])
+    out[:, CLASSES : CLASSES + COARSE * COARSE] = np.sqrt((pairs + plain_pairs) / (sizes - 1 + plain_pairs.sum())[:, None])
     for i, text in enumerate(texts):
         words, lines = text.split(), text.split("\n")
         n = max(1, len(words))
+        more = n + PROSE_WORDS
         out[i, -MEASURES - 1 : -1] = (
-            len(set(words)) / n,
+            (len(set(words)) + PROSE_WORDS) / more,
             len({w.lower() for w in words}) / n / max(0.05, min(1.0, 12 / n**0.5)),
             len(set(lines)) / len(lines),
-            min(sum(map(len, words)) / n, 40) / 10,
-            np.log1p(len(words)) / 10,
-            min(n / len(lines), 100) / 100,
+            min((sum(map(len, words)) + PROSE_LETTERS) / more, 40) / 10,
+            np.log1p(more) / 10,
+            min(more / (len(lines) + 2), 100) / 100,
             min(max(map(len, words), default=0), 400) ** 0.5 / 20,
         )
     return out
