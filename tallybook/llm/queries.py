@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tallybook.llm import quality
 from tallybook.llm.byte_bpe import bpe_decode, bpe_encode
 from tallybook.llm.common import documents
+from tallybook.llm.embedding_dedup import near_vectors
 from tallybook.llm.exact_dedup import exact_dedup
+from tallybook.llm.filter_audit import filter_audit
 from tallybook.llm.language_id import fit, fold_of, identify
 from tallybook.llm.minhash import near_duplicates
 from tallybook.llm.mpeg_audio import BLOCK, read_audio, store_as_audio
@@ -20,6 +22,7 @@ from tallybook.llm.pseudonyms import KINDS as PII_KINDS
 from tallybook.llm.pseudonyms import pseudonymise
 from tallybook.llm.secret_scan import KINDS, STRONG, listed, scan_secrets
 from tallybook.llm.suffix_dedup import remove_repeats
+from tallybook.llm.whitening import whitened_vectors
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,9 +156,64 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(embeddings(spark, sf_dir), components=16)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP12_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS body, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, [x FOR x IN string_split_regex(body, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS words, min(doc_id) OVER (PARTITION BY body) AS least FROM t),
+d AS (
+  SELECT part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 10 * length(body) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN least < doc_id THEN 16 ELSE 0 END AS mask,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS toxic
+  FROM w),
+o(filter_order, used) AS (SELECT '', 0 UNION ALL SELECT filter_order || chr(CAST(65 + i AS INT)), used | (1 << CAST(i AS INT)) FROM o, range(5) r(i) WHERE used & (1 << CAST(i AS INT)) = 0),
+s AS (
+  SELECT filter_order, CAST(k AS INT) AS step, 1 << (ascii(filter_order[k]) - 65) AS f,
+    coalesce(list_sum([1 << (ascii(filter_order[j]) - 65) FOR j IN range(1, k)]), 0)::INT AS b
+  FROM o, range(1, 6) q(k) WHERE used = 31),
+n AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & (f | b) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & b = 0 AND mask & f <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & b <> 0 AND mask & f <> 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & b = 0 AND mask & f <> 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & b = 0 AND mask & f <> 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & f <> 0), 0)::BIGINT AS shapley
+FROM n, s GROUP BY part, filter_order, step
+"""
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(embeddings(spark, sf_dir), cosine=0.98)
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(id, least) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT links.v, least FROM reach JOIN links ON id = u)
+SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT id AS vec_id, min(least) AS component_id FROM reach GROUP BY id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op4_pii, op5_packing, op6_exact_dedup, op7_language_id, op8_quality, op9_mpeg_audio, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_minhash_dedup, op3_suffix_dedup, op4_pii, op5_packing, op6_exact_dedup, op7_language_id, op8_quality, op9_mpeg_audio, op10_byte_bpe, op11_whitening, op12_filter_audit, op13_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op6_exact_dedup": OP6_SQL}
+    return {"op1_secret_scan": _op1_sql(), "op6_exact_dedup": OP6_SQL, "op12_filter_audit": OP12_SQL, "op13_near_vectors": OP13_SQL}
