@@ -73,7 +73,7 @@ def ingest_snapshot(spark, d):
     """A snapshot without dates: the period column takes a fixed day, and all rows lie in its month."""
     text = orders(spark, d).select(F.col("o_orderkey").cast("string").alias("o_orderkey"), F.lit(None).cast("string").alias("day"))
     found = ingest.write_upload(text, {"o_orderkey": "int", "day": "date"}, scratch(spark), "u1", 1, "day", fixed_period="1998-03-01")
-    return spark.read.parquet(f"{found.path}/data").where("month = '1998-03'").select("o_orderkey", "day")
+    return spark.read.parquet(f"{found.path}/data").where("_month = '1998-03'").select("o_orderkey", "day")
 
 
 @query("""SELECT 'Order' AS "column", CASE WHEN bool_and(length(CAST(o_orderkey AS VARCHAR)) >= 10) THEN 'string' ELSE 'int' END AS kind FROM orders UNION ALL
@@ -108,7 +108,7 @@ def stored_uploads(spark: SparkSession, d: str) -> list[history.Upload]:
     out = []
     for seq, (part, period, policy) in enumerate(((rows, half, None), (later, Period.read("1997-03-01..1997-08-31"), "merge_dedupe")), 1):
         path = scratch(spark)
-        part.withColumns({"_upload_id": F.lit(f"u{seq}"), "_upload_seq": F.lit(seq), "_row": F.col("o_orderkey"), "month": history.month_of("o_orderdate")}).write.partitionBy("month").parquet(path)
+        part.withColumns({"_upload_id": F.lit(f"u{seq}"), "_upload_seq": F.lit(seq), "_row": F.col("o_orderkey"), "_month": history.month_of("o_orderdate")}).write.partitionBy("_month").parquet(path)
         out.append(history.Upload(f"u{seq}", seq, path, period, policy=policy))
     return out
 

@@ -1,7 +1,8 @@
 """Delimited exports: encoding, quotes, delimiter and header are probed through Spark; every column arrives as text.
 
 The probe of a file is one distributed pass over its lines as bytes, so a stray byte or quote anywhere in it is seen.
-Files without line ends inside quotes are read in splits; rows are numbered by file and split, in the files' order.
+Files are read in splits, those with line ends inside quotes too (records.py); rows are numbered by file and split, in the
+files' order.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.sources.records import records
+
 DELIMITERS = (";", "\t", "|", ",")
 #: Records in which the header is looked for, and lines that are fetched to see them.
 HEAD_ROWS, HEAD_LINES = 30, 60
@@ -110,7 +113,7 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
 
 
 def quote_count(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))  # bytes, as lines may not be UTF-8
 
 
 def sniff(spark: SparkSession, path: str) -> Layout:
@@ -123,6 +126,8 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     valid, ascii_only = F.is_valid_utf8("value"), F.col("value").rlike("^[\\x00-\\x7F]*$")
     odd = quote_count(F.col("value")) % 2 == 1
     found = lines.agg(F.count_if(~valid).alias("bad"), F.count_if(valid & ~ascii_only).alias("wide"), F.count_if(odd).alias("odd")).first()
+    if bytes((lines.select(F.substring(F.col("value").cast("binary"), 1, 2)).first() or [b""])[0]) in (b"\xff\xfe", b"\xfe\xff"):
+        raise ValueError("the file is UTF-16; UTF-8 and windows-1251 are read")
     if found["bad"] and found["wide"]:
         raise ValueError(f"line {line_numbers(spark, path, ~valid)} is not UTF-8, but other lines are")
     if found["odd"] % 2:
@@ -149,11 +154,14 @@ def read_text(spark: SparkSession, path: str, layout: Layout | None = None, ragg
     A spare column catches cells beyond the header's width: `error` refuses such rows, `truncate` drops the cells.
     """
     layout = layout or sniff(spark, path)
-    if layout.encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     schema = ", ".join(f"`{n}` string" for n in [*layout.names, SPARE])
-    raw = spark.read.csv(path, schema=schema, sep=layout.delimiter, quote='"', escape='"', multiLine=layout.quoted_lines, encoding=layout.encoding, header=False, enforceSchema=True, mode="PERMISSIVE")
-    rows = numbered(located(raw)).where(F.col("_row") > layout.skipped).withColumn("_row", F.col("_row") - layout.skipped - 1)
+    marks = {"sep": layout.delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if layout.quoted_lines or layout.encoding != "UTF-8":
+        found = records(spark, path, layout.encoding).select("_row", F.from_csv("record", schema, marks | {"multiLine": "true"}).alias("cells"))
+        rows = found.select("cells.*", "_row")
+    else:
+        rows = numbered(located(spark.read.csv(path, schema=schema, header=False, enforceSchema=True, **marks)))
+    rows = rows.where(F.col("_row") > layout.skipped).withColumn("_row", F.col("_row") - layout.skipped - 1)
     over = F.coalesce(F.trim(SPARE), F.lit("")) != ""
     if ragged == "error":
         problem = F.concat(F.lit("row "), F.col("_row").cast("string"), F.lit(" has more cells than the header"))

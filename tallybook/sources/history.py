@@ -109,11 +109,11 @@ def read_upload(spark: SparkSession, history: History, upload: Upload, span: Spa
     An upload that works by keys is read whole: a key that it has in another month takes the place of rows inside the span.
     """
     df = spark.read.option("mergeSchema", "true").parquet(upload.path)
-    if span and "month" in df.columns and "month" not in history.columns and not by_keys:
+    if span and "_month" in df.columns and not by_keys:
         start, stop = span
         if start is not None:
-            df = df.where(F.col("month") >= f"{start:%Y-%m}")
-        df = df.where((F.col("month") <= f"{stop - timedelta(1):%Y-%m}") & (F.col("month") != "none"))
+            df = df.where(F.col("_month") >= f"{start:%Y-%m}")
+        df = df.where((F.col("_month") <= f"{stop - timedelta(1):%Y-%m}") & (F.col("_month") != "none"))
     return shaped(df, history.columns)
 
 

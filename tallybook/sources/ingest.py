@@ -31,13 +31,13 @@ class Ingested:
 
 
 def prepare(text: DataFrame, types: Mapping[str, str], upload_id: str, seq: int, period_column: str, fixed_period: str | None = None) -> DataFrame:
-    """Typed rows with service columns, `_errors`, `_text` (the text of rows with errors) and `month` (none for a null period)."""
+    """Typed rows with service columns, `_errors`, `_text` (the text of rows with errors) and `_month` (none for a null period)."""
     original = F.struct(*(F.col(f"`{c}`").alias(c) for c in text.columns))
     typed = parsing.typed(text.withColumn("_text", original), dict(types))
     typed = typed.withColumn("_text", F.when(F.size("_errors") > 0, F.col("_text")))
     if fixed_period:
         typed = typed.withColumn(period_column, F.lit(fixed_period).cast(parsing.SPARK_TYPES[types.get(period_column, "date")]))
-    return typed.withColumns({"_upload_id": F.lit(upload_id), "_upload_seq": F.lit(seq).cast("int"), "month": month_of(period_column)})
+    return typed.withColumns({"_upload_id": F.lit(upload_id), "_upload_seq": F.lit(seq).cast("int"), "_month": month_of(period_column)})
 
 
 def _files(spark: SparkSession, path: str) -> tuple:
@@ -71,7 +71,7 @@ def write_upload(text: DataFrame, types: Mapping[str, str], path: str, upload_id
     review is held at path.held, where no history sees it, until accept() publishes it.
     """
     spark, partial = text.sparkSession, f"{path}.partial-{uuid4().hex}"
-    prepare(text, types, upload_id, seq, period_column, fixed_period).hint("rebalance", "month").write.partitionBy("month").option("compression", "zstd").parquet(f"{partial}/data")
+    prepare(text, types, upload_id, seq, period_column, fixed_period).hint("rebalance", "_month").write.partitionBy("_month").option("compression", "zstd").parquet(f"{partial}/data")
     written = spark.read.parquet(f"{partial}/data")
     errors = {c: F.count_if(F.array_contains("_errors", c)).alias(c) for c in types}
     row = written.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.size("_errors") > 0).alias("_rejected"), *errors.values()).first()

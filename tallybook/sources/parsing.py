@@ -5,21 +5,23 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 SPARK_TYPES = {"string": "string", "int": "bigint", "float": "double", "date": "date", "datetime": "timestamp_ntz", "bool": "boolean"}
 
-# Date and datetime formats, tried in this order; words for yes and no.
-DATE_FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy/MM/dd")
-DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm")
-YES = ("true", "t", "yes", "y", "1", "да")
-NO = ("false", "f", "no", "n", "0", "нет")
+# Words for yes and no. Digits may be typed as them, but a column of digits is one of numbers.
+YES = ("true", "t", "yes", "y", "1", "да", "д", "истина")
+NO = ("false", "f", "no", "n", "0", "нет", "н", "ложь")
+FLAG_WORDS = tuple(w for w in (*YES, *NO) if not w.isdigit())
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once: a Column that is used twice in an expression is two expressions."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+# Dates: year first with - or /, or day first with . or /, the year in four digits or, after dots, in two; a time may follow.
+TIME = "(?:[ T](\\d{1,2}:\\d{2}(?::\\d{2}(?:\\.\\d{1,9})?)?))?"
+YEAR_FIRST = f"^(\\d{{4}})([-/])(\\d{{1,2}})\\2(\\d{{1,2}}){TIME}$"
+DAY_FIRST = f"^(\\d{{1,2}})([./])(\\d{{1,2}})\\2(\\d{{4}}){TIME}$"
+SHORT_YEAR = f"^(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{2}}){TIME}$"
+#: A year of two digits from here on is one of the last century.
+LAST_CENTURY = 70
 
 
 def cleaned_number(text: Column) -> Column:
@@ -44,7 +46,7 @@ def as_double(t: Column) -> Column:
 
 def number(text: Column) -> Column:
     """Spaces of any kind inside, comma or dot for decimals, both as thousands and decimals, (x) or a Unicode minus for negatives."""
-    return let(let(cleaned_number(text), one_mark), as_double)
+    return as_double(one_mark(cleaned_number(text)))
 
 
 def with_numbers(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -54,30 +56,43 @@ def with_numbers(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return out.withColumns({new: as_double(F.col(new)) for new in names.values()})
 
 
+def whole_of(value: Column) -> Column:
+    """A double as a long if it is a whole number that a long holds."""
+    return F.when((value == F.rint(value)) & (F.abs(value) < 2.0**63), value.cast("long"))
+
+
 def whole(text: Column) -> Column:
-    return let(number(text), lambda value: F.when(value == F.rint(value), value.cast("long")))
+    return whole_of(number(text))
 
 
-def by_formats(text: Column, formats: tuple[str, ...]) -> Column:
-    """The first format that reads the text; one is tried only on text of its shape, as a failure costs an exception."""
+def moment_text(text: Column) -> Column:
+    """Year, month, day and time in Spark's own order, of text that has the shape of a date; null of all other text."""
+    t = F.trim(text)
+    century = F.when(F.regexp_extract(t, SHORT_YEAR, 3).try_cast("int") >= LAST_CENTURY, "19").otherwise("20")
+    return (
+        F.when(t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$3-$4 $5"))
+        .when(t.rlike(DAY_FIRST), F.regexp_replace(t, DAY_FIRST, "$4-$3-$1 $5"))
+        .when(t.rlike(SHORT_YEAR), F.concat(century, F.regexp_replace(t, SHORT_YEAR, "$3-$2-$1 $4")))
+    )
 
-    def shape(pattern: str) -> str:
-        return "^" + re.sub("[a-zA-Z]+", r"\\d+", pattern.replace("'T'", "\x00").replace(".", "[.]")).replace("\x00", "T") + "$"
 
-    tried = let(F.trim(text), lambda t: F.coalesce(*(F.when(t.rlike(shape(f)), F.try_to_timestamp(t, F.lit(f))) for f in formats)))
-    return F.when(text.rlike("^\\s*\\d+[-./]\\d+[-./]\\d"), tried)
+def moment_of(found: Column) -> Column:
+    """moment_text as a timestamp; seconds may be missing. Days and hours that do not exist are null."""
+    clean = F.rtrim(found)
+    return F.when(clean.rlike(":\\d+$") & ~clean.rlike(":\\d+:"), F.concat(clean, F.lit(":00"))).otherwise(clean).try_cast("timestamp_ntz")
 
 
-def moment(text: Column, formats: tuple[str, ...] = DATETIME_FORMATS) -> Column:
-    return F.coalesce(by_formats(text, formats).cast("timestamp_ntz"), day(text).cast("timestamp_ntz"))
+def moment(text: Column) -> Column:
+    return moment_of(moment_text(text))
 
 
-def day(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    return by_formats(text, formats).cast("date")
+def day(text: Column) -> Column:
+    return moment(text).cast("date")
 
 
 def flag(text: Column) -> Column:
-    return let(F.lower(F.trim(text)), lambda t: F.when(t.isin(*YES), True).when(t.isin(*NO), False))
+    word = F.lower(F.trim(text))
+    return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
 
 
 PARSERS: dict[str, Callable[[Column], Column]] = {"string": lambda c: c, "int": whole, "float": number, "date": day, "datetime": moment, "bool": flag}
@@ -92,13 +107,15 @@ def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
     Each cell is parsed once: the parsed values are columns of their own, from which the errors follow.
     """
-    numbers = {c: f"_parsed_{i}" for i, (c, k) in enumerate(types.items()) if k in ("int", "float")}
-    parsed = with_numbers(df, numbers).withColumns({numbers[c]: F.when(F.col(numbers[c]) == F.rint(F.col(numbers[c])), F.col(numbers[c]).cast("long")) for c, k in types.items() if k == "int"})
-    parsed = parsed.withColumns({f"_parsed_{i}": PARSERS[k](F.col(f"`{c}`")) for i, (c, k) in enumerate(types.items()) if c not in numbers})
+    place = {c: i for i, c in enumerate(types)}
+    numbers, dates = ({c: f"_parsed_{place[c]}" for c, k in types.items() if k in kinds} for kinds in (("int", "float"), ("date", "datetime")))
+    parsed = with_numbers(df, numbers).withColumns({numbers[c]: whole_of(F.col(numbers[c])) for c, k in types.items() if k == "int"})
+    parsed = parsed.withColumns({new: moment_text(F.col(f"`{c}`")) for c, new in dates.items()})
+    parsed = parsed.withColumns({new: moment_of(F.col(new)).cast(SPARK_TYPES[types[c]]) for c, new in dates.items()})
+    parsed = parsed.withColumns({f"_parsed_{i}": PARSERS[types[c]](F.col(f"`{c}`")) for c, i in place.items() if c not in numbers and c not in dates and types[c] != "string"})
     wrong = [F.when(filled(F.col(f"`{c}`")) & F.col(f"_parsed_{i}").isNull(), F.lit(c)) for i, (c, k) in enumerate(types.items()) if k != "string"]
     errors = F.filter(F.array(*wrong), lambda x: x.isNotNull()) if wrong else F.array().cast("array<string>")
-    place = {c: i for i, c in enumerate(types)}
-    kept = [F.col(f"_parsed_{place[c]}").alias(c) if c in place else F.col(f"`{c}`") for c in df.columns if c != "_errors"]
+    kept = [F.col(f"_parsed_{place[c]}").alias(c) if types.get(c, "string") != "string" else F.col(f"`{c}`") for c in df.columns if c != "_errors"]
     return parsed.withColumn("_errors", errors).select(*kept, "_errors")
 
 
@@ -107,32 +124,54 @@ def code_like(name: str) -> bool:
     return bool(re.search(r"(?i)(^|[\W_])(code|id|no|number|phone|zip|inn|sku|код|номер|телефон|инн|артикул)([\W_]|$)|№", name))
 
 
-def infer(df: DataFrame, share: float = 0.98, rows: int | None = None) -> dict[str, str]:
-    """A type for every text column: the first of bool, int, float, date, datetime that reads `share` of the filled cells.
+def cell_counts(df: DataFrame) -> DataFrame:
+    """One row per column with filled cells (`at`, its place): how many, and how many read as each kind of value.
 
-    One aggregation over all rows, or over a sample of about `rows` from all over the table: what a type does not fit is
-    found again as an error when all rows are parsed. Numbers with leading zeros, that all have ten digits or more, or whole ones under a
-    name that speaks of codes, are codes: text.
+    Cells become rows of (place, text), so that one set of parsers serves all columns and the compiled code does not grow
+    with them; each task sends a row of counts per column to the shuffle, and no cells.
+    """
+    cells = df.select(F.posexplode(F.array(*(F.col(f"`{c}`") for c in df.columns))).alias("at", "cell")).where(filled(F.col("cell")))
+    cells = with_numbers(cells.select("at", F.trim("cell").alias("cell")), {"cell": "number"})
+    cells = cells.withColumn("moment", F.when(F.col("cell").rlike("^\\d+[-./]\\d+[-./]\\d"), moment_text(F.col("cell")))).withColumn("moment", moment_of(F.col("moment")))
+    count = F.count_if
+    return cells.groupBy("at").agg(
+        F.count(F.lit(1)).alias("filled"),
+        count(F.lower("cell").isin(*FLAG_WORDS)).alias("words"),
+        count(F.col("number").isNotNull()).alias("numbers"),
+        count(whole_of(F.col("number")).isNotNull()).alias("whole"),
+        count(F.col("cell").rlike("^0\\d")).alias("zeros"),
+        count(F.abs("number") >= 1e9).alias("long"),
+        count(F.col("moment").isNotNull()).alias("moments"),
+        count(F.col("moment").cast("date").cast("timestamp_ntz") != F.col("moment")).alias("timed"),
+    )
+
+
+def kind_of(name: str, found: Row, share: float) -> str:
+    """A column's type by its counts. All cells that are words for yes and no: bool; digits alone are numbers.
+
+    Numbers, if `share` of the cells read as such; whole ones if all of these are. With a leading zero, with ten digits
+    or more in every whole number, or as whole numbers under a name that speaks of codes, they are text. Dates, if
+    `share` of the cells read as such and none has a time but midnight.
+    """
+    n = found["filled"]
+    if found["words"] == n:
+        return "bool"
+    if found["numbers"] >= share * n:
+        if found["zeros"]:
+            return "string"
+        if found["whole"] < found["numbers"]:
+            return "float"
+        return "string" if found["long"] == found["numbers"] or code_like(name) else "int"
+    if found["moments"] >= share * n:
+        return "datetime" if found["timed"] else "date"
+    return "string"
+
+
+def infer(df: DataFrame, share: float = 0.98, fraction: float = 1.0) -> dict[str, str]:
+    """A type for every text column, by kind_of over one pass of all rows, or of a random fraction of them.
+
+    What a type does not fit is found again as an error when all rows are parsed. A column without filled cells is text.
     """
-    tried = ("bool", "int", "float", "date", "datetime")
-    if rows is not None and (n := df.count()) > rows:
-        df = df.sample(rows / n, seed=1)
-    read = {}
-    for i, c in enumerate(df.columns):  # each cell is parsed once for each kind of value
-        cell = F.col(f"`{c}`")
-        read |= {f"t{i}": F.when(filled(cell), F.trim(cell)), f"b{i}": flag(cell), f"d{i}": day(cell), f"m{i}": by_formats(cell, DATETIME_FORMATS)}
-    aggs = []
-    for i, c in enumerate(df.columns):
-        t, b, n, d, m = (F.col(f"{kind}{i}") for kind in "tbndm")
-        counts = {"bool": b.isNotNull(), "int": n == F.rint(n), "float": n.isNotNull(), "date": d.isNotNull(), "datetime": d.isNotNull() | m.isNotNull()}
-        counts |= {"n": t.isNotNull(), "zeros": t.rlike("^0\\d"), "long": t.rlike("^\\d{10,}$")}
-        aggs += [F.count_if(condition).alias(f"{c}:{name}") for name, condition in counts.items()]
-    counted = with_numbers(df, {c: f"n{i}" for i, c in enumerate(df.columns)})
-    row = counted.select(*(column.alias(name) for name, column in read.items()), *(f"n{i}" for i in range(len(df.columns)))).agg(*aggs).first()
-    found = {}
-    for c in df.columns:
-        n = row[f"{c}:n"]
-        kind = next((k for k in tried if n and row[f"{c}:{k}"] >= share * n), "string")
-        code = row[f"{c}:zeros"] or row[f"{c}:long"] == n or kind == "int" and code_like(c)
-        found[c] = "string" if kind in ("int", "float") and code else kind
-    return found
+    rows = df if fraction >= 1 else df.sample(fraction, seed=1)
+    found = {r["at"]: r for r in cell_counts(rows).collect()}
+    return {c: kind_of(c, found[i], share) if i in found else "string" for i, c in enumerate(df.columns)}

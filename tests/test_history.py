@@ -12,7 +12,7 @@ from tallybook.sources import history as H
 def upload(spark, tmp_path, seq, rows, period, policy=None, schema="k string, d timestamp_ntz, x double"):
     df = spark.createDataFrame([(*r, f"u{seq}", seq, i) for i, r in enumerate(rows)], schema + ", _upload_id string, _upload_seq int, _row long")
     path = str(tmp_path / f"u{seq}")
-    df.withColumn("month", H.month_of("d")).write.partitionBy("month").parquet(path)
+    df.withColumn("_month", H.month_of("d")).write.partitionBy("_month").parquet(path)
     return H.Upload(f"u{seq}", seq, path, Period.read(period), policy=policy)
 
 
@@ -53,7 +53,7 @@ def test_bounds_prune_months(spark, uploads):
     view = H.history_view(spark, history, span)
     assert sorted(r.x for r in view.collect()) == [20, 21]
     plan = view._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(month" in plan
+    assert "PartitionFilters: [isnotnull(_month" in plan
 
 
 def test_bounds_do_not_bring_back_rows_of_moved_keys(spark, tmp_path):

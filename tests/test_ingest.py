@@ -1,11 +1,12 @@
 """Delimited files, text to types, rejects, profiles and samples."""
 
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallybook.sources import delimited, ingest, parsing, profile, readers
+from tallybook.sources import delimited, ingest, parsing, profile, readers, records
 
 
 def column(spark, values):
@@ -25,13 +26,20 @@ def test_numbers(spark):
 def test_dates_and_words(spark):
     assert parsed(spark, "date", ["2024-03-01", "01.03.2024", "01/03/2024", "31.02.2024", "x"]) == [date(2024, 3, 1)] * 3 + [None, None]
     assert parsed(spark, "datetime", ["2024-03-01 10:20", "01.03.2024 10:20:00", "2024-03-01"]) == [datetime(2024, 3, 1, 10, 20)] * 2 + [datetime(2024, 3, 1)]
-    assert parsed(spark, "bool", ["Yes", "нет", "1", "F", "maybe"]) == [True, False, True, False, None]
+    assert parsed(spark, "datetime", ["2024-03-01 10:20:30.5", "2024-03-01T10:20:30.123456", "1.3.24 9:05", "2024-03-01 25:00"]) == [datetime(2024, 3, 1, 10, 20, 30, 500000), datetime(2024, 3, 1, 10, 20, 30, 123456), datetime(2024, 3, 1, 9, 5), None]
+    assert parsed(spark, "date", ["01.02.24", "01.02.69", "01.02.70", "31.02.24", "01.02.2024 00:00:00", "2024/02/01", "2024-02/01", "1.2"]) == [date(2024, 2, 1), date(2069, 2, 1), date(1970, 2, 1), None, date(2024, 2, 1), date(2024, 2, 1), None, None]
+    assert parsed(spark, "bool", ["Yes", "нет", "1", "F", "maybe", "ИСТИНА", "ложь", "д", "н"]) == [True, False, True, False, None, True, False, True, False]
 
 
 def test_inference(spark):
     rows = [(str(i), f"0{i}", f"{i},5", f"{i % 28 + 1:02}.03.2024", "yes" if i % 2 else "no", f"word {i}", "" if i % 2 else "5") for i in range(100)]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string")
     assert parsing.infer(df) == {"a": "int", "b": "string", "c": "float", "d": "date", "e": "bool", "f": "string", "g": "int"}
+    assert parsing.infer(column(spark, ["0", "1"] * 98 + ["2", "30", "4", "17"])) == {"x": "int"} and parsing.infer(column(spark, ["0", "1"] * 20)) == {"x": "int"}
+    assert parsing.infer(column(spark, ["yes", "no"] * 99 + ["1"])) == {"x": "string"}
+    assert parsing.infer(column(spark, ["01.02.24"])) == {"x": "date"} and parsing.infer(column(spark, ["2024-01-02 00:00:00", "2024-01-03"])) == {"x": "date"}
+    assert parsing.infer(column(spark, ["2024-01-02 10:00:00.5", "2024-01-03"])) == {"x": "datetime"} and parsing.infer(column(spark, ["", None])) == {"x": "string"}
+    assert parsing.infer(column(spark, ["1234567890", "9234567891"])) == {"x": "string"} and parsing.infer(column(spark, ["1234567890", "92"])) == {"x": "int"}
     some_bad = column(spark, ["1.5"] * 97 + ["x"] * 3)
     assert parsing.infer(some_bad) == {"x": "string"}
 
@@ -45,6 +53,70 @@ def test_delimited(spark, tmp_path):
     assert [(r.Region, r.Amount) for r in df.orderBy("_row").collect()] == [("North; east", "1 000,5"), ("two\nlines", "7")]
 
 
+def read_whole(spark, path, layout):
+    """The same file by Spark's reader of whole files, in one task."""
+    names = ", ".join(f"`{n}` string" for n in layout.names)
+    rows = spark.read.csv(path, schema=names, sep=layout.delimiter, quote='"', escape='"', multiLine=True, header=False).collect()
+    return [tuple(r) for r in rows][layout.skipped + 1 :]
+
+
+@pytest.mark.parametrize("seed,split", [(1, 64), (2, 200), (3, 997), (4, 1 << 20)])
+def test_quoted_line_ends_in_splits(spark, tmp_path, seed, split):
+    """Records that end in their split, in the next and many splits later; rows and places are those of a reader of whole files."""
+    draw = random.Random(seed)
+
+    def cell():
+        text = "".join(draw.choices('ab ;"\n', weights=(30, 30, 10, 3, 3, 6), k=draw.randrange(12)))
+        long = "x\n" * draw.choice((0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 200))
+        return '"' + (text + long).replace('"', '""') + '"' if draw.random() < 0.4 else "".join(draw.choices("abc", k=4))
+
+    lines = ["n;a;b"] + [f"{i};{cell()};{cell()}" + "\n" * draw.choice((0, 0, 0, 2)) for i in range(400)]
+    path = written(tmp_path, "quoted.csv", ("\n".join(lines) + "\n").encode())
+    layout = delimited.sniff(spark, path)
+    assert layout.quoted_lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = delimited.read_text(spark, path, layout)
+        rows = found.orderBy("_row").collect()
+        assert split > 1000 or records.lines_of(spark, path).select("_block").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r.n, r.a, r.b) for r in rows] == read_whole(spark, path, layout) and [r._row for r in rows] == [*range(400)]
+
+
+def test_carriage_returns_and_utf16(spark, tmp_path):
+    path = written(tmp_path, "crlf.csv", "имя;текст\r\nа;\"раз\r\nдва\"\r\nб;три\r\n".encode("cp1251"))
+    rows = delimited.read_text(spark, path).orderBy("_row").collect()
+    assert [(r["имя"], r["текст"]) for r in rows] == [("а", "раз\r\nдва"), ("б", "три")]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "false"
+    with pytest.raises(ValueError, match="UTF-16"):
+        delimited.sniff(spark, written(tmp_path, "wide.csv", "a;b\n1;2\n".encode("utf-16")))
+
+
+def test_a_column_named_month_stays(spark, tmp_path):
+    from tallybook.sources import history
+
+    text = spark.createDataFrame([("2026-01-05", "March plan"), ("2026-02-05", "x")], "Day string, month string")
+    found = ingest.write_upload(text, {"Day": "date", "month": "string"}, str(tmp_path / "u"), "u1", 1, "Day")
+    kept = history.History([history.Upload("u1", 1, f"{found.path}/data", None)], {"Day": "date", "month": "string"}, "Day")
+    view = history.history_view(spark, kept, (date(2026, 1, 1), date(2026, 2, 1)))
+    assert [(r.Day, r.month) for r in view.collect()] == [(date(2026, 1, 5), "March plan")]
+    assert "PartitionFilters: [isnotnull(_month" in view._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_text_is_typed_by_cells(spark):
+    """300 columns of all kinds; no stage's code is too long to compile."""
+    kinds = {"int": "7", "float": "1 234,5", "date": "01.02.2024", "datetime": "2024-01-02 10:20", "bool": "yes", "string": "word"}
+    names = {f"{k}_{i}": (k, v) for i in range(50) for k, v in kinds.items()}
+    df = spark.createDataFrame([tuple(v for _, v in names.values())] * 20, ", ".join(f"{n} string" for n in names))
+    assert parsing.infer(df) == {n: k for n, (k, _) in names.items()}
+    counted = parsing.cell_counts(df)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and counted.count() == 300
+
+
 def test_ragged_rows(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text("a,b\n1,2\n3,4,5\n")
@@ -113,7 +185,7 @@ def test_upload(spark, tmp_path):
     with pytest.raises(FileExistsError):
         ingest.write_upload(text, {"d": "date", "n": "int"}, str(tmp_path / "u"), "u1", 1, "d")
     data = spark.read.parquet(str(tmp_path / "u/data"))
-    assert sorted(r.month for r in data.collect()) == ["2024-01", "2024-02", "none"]
+    assert sorted(r._month for r in data.collect()) == ["2024-01", "2024-02", "none"]
     assert [r.n for r in spark.read.parquet(str(tmp_path / "u/rejects")).collect()] == ["x"]
 
 
