@@ -47,39 +47,140 @@ def register(spark: SparkSession) -> None:
 
 
 #: Functions of the dialect whose names mean something else to Spark -> what they are written as.
-WRITTEN = {"concat(": "concat_ws('', ", "date_diff(": "boundaries_between(", "dayofweek(": "sunday_based_dow(", "isodow(": "iso_dow("}
-
-
-def one_argument_logs(text: str) -> str:
-    """log(x) as log10(x), as the dialect means it; log(base, x) stays."""
-    out, at = [], 0
-    for m in re.finditer(r"(?i)(?<![\w.])log\s*\(", text):
-        depth, several = 1, False
-        for c in text[m.end() :]:
-            depth += (c == "(") - (c == ")")
-            several |= c == "," and depth == 1
-            if not depth:
-                break
-        out += [text[at : m.start()], m[0] if several else "log10("]
-        at = m.end()
-    return "".join([*out, text[at:]])
+WRITTEN = {"date_diff": "boundaries_between", "dayofweek": "sunday_based_dow", "isodow": "iso_dow"}
+#: Quoted text, and names in either kind of quotes, which are never rewritten.
+QUOTED = re.compile(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"")
+
+
+def blanked(text: str) -> str:
+    """The text with what is quoted as underscores, at the same places."""
+    return QUOTED.sub(lambda m: "_" * len(m[0]), text)
+
+
+def closing(text: str, start: int) -> tuple[int, list[int]]:
+    """Of an argument list that begins at start: where it ends, and its commas; brackets of all kinds nest."""
+    depth, commas = 1, []
+    for i in range(start, len(text)):
+        depth += (text[i] in "([{") - (text[i] in ")]}")
+        if not depth:
+            return i, commas
+        if text[i] == "," and depth == 1:
+            commas.append(i)
+    return len(text), commas
+
+
+def operand_before(text: str, stop: int) -> int:
+    """Where the factor that ends at stop begins: a name, a literal, a call or brackets, with dots and a sign of casts."""
+    i = stop
+    while i and text[i - 1].isspace():
+        i -= 1
+    while i and (re.match(r"[\w.:]", text[i - 1]) or text[i - 1] in ")]"):
+        if text[i - 1] in ")]":
+            depth = 0
+            while i:
+                i -= 1
+                depth += (text[i] in ")]") - (text[i] in "([")
+                if not depth:
+                    break
+        else:
+            i -= 1
+    return i
+
+
+def operand_after(text: str, start: int) -> int:
+    """Where the factor that begins at start ends."""
+    m = re.compile(r"\s*[-+]?\s*[\w.:]*").match(text, start)
+    i = m.end()
+    while i < len(text) and text[i] in "([":
+        i = closing(text, i + 1)[0] + 1
+        i = re.compile(r"[\w.:]*").match(text, i).end()
+    return i
+
+
+def _whole_divisions(text: str) -> str:
+    """a // b as a quotient cut towards zero; a is all of the term so far, as * / and % bind from the left."""
+    while (at := blanked(text).find("//")) >= 0:
+        flat = blanked(text)
+        start, stop = operand_before(flat, at), operand_after(flat, at + 2)
+        while (before := flat[:start].rstrip()) and before[-1] in "*/%":
+            start = operand_before(flat, len(before) - 1)
+        text = f"{text[:start]}CAST(({text[start:at].strip()}) / ({text[at + 2 : stop].strip()}) AS BIGINT){text[stop:]}"
+    return text
+
+
+def _calls(text: str) -> str:
+    """Calls whose meaning differs: log of one argument is to base ten; concat passes over nulls, but for arrays."""
+    flat = blanked(text)
+    edits = []
+    for m in re.finditer(r"(?i)(?<![\w.])(log|concat)\s*\(", flat):
+        stop, commas = closing(flat, m.end())
+        if m[1].lower() == "log" and not commas:
+            edits.append((m.start(), m.end(), "log10("))
+        if m[1].lower() == "concat" and not is_array(flat[m.end() : commas[0] if commas else stop]):
+            edits.append((m.start(), m.end(), "concat_ws('', "))
+    for start, stop, written in reversed(edits):
+        text = text[:start] + written + text[stop:]
+    return text
+
+
+#: Casts to whole numbers round half to even, of numbers and of their text; what is neither is null.
+ROUNDED = "coalesce(try_cast(CAST({0} AS STRING) AS BIGINT), CAST(bround(try_cast({0} AS DOUBLE), 0) AS BIGINT))"
+
+
+def _casts(text: str) -> str:
+    """CAST and TRY_CAST to whole numbers, and ::int, as rounding ones."""
+    at = 0
+    while m := re.compile(r"(?i)(?<![\w.])(?:try_)?cast\s*\(").search(blanked(text), at):
+        flat = blanked(text)
+        stop = closing(flat, m.end())[0]
+        kind = re.search(r"(?i)\s+as\s+(int|integer|bigint|long)\s*$", flat[m.end() : stop])
+        if kind:
+            written = ROUNDED.format(_casts(text[m.end() : m.end() + kind.start()]).strip())
+            text = text[: m.start()] + written + text[stop + 1 :]
+        at = m.start() + len(written) if kind else m.end()
+    while m := re.search(r"(?i)::\s*(int|integer|bigint|long)\b", blanked(text)):
+        start = operand_before(blanked(text), m.start())
+        text = text[:start] + ROUNDED.format(text[start : m.start()].strip()) + text[m.end() :]
+    return text
+
+
+def is_array(argument: str) -> bool:
+    """Whether an argument is written as an array: a constructor, or a function that gives one."""
+    return bool(re.match(r"(?i)\s*(array\w*|sequence|split|collect_(list|set)|filter|transform|slice|flatten|shuffle|sort_array|map_(keys|values|entries))\s*\(", argument))
+
+
+def _quoted(text: str, like: bool) -> str:
+    """What is quoted, for Spark: names in double quotes, and text in which a backslash means itself, in patterns too."""
+    if text[0] == '"':
+        return "`" + text[1:-1].replace("`", "``") + "`"
+    if text[0] == "'":
+        body = text[1:-1].replace("''", "'").replace("\\", "\\\\" if like else "\\")
+        return "'" + body.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return text
 
 
 def spark_text(text: str) -> str:
-    """Fractional literals as doubles, // as div and the dialect's functions by names that Spark knows, outside quotes."""
-    text = one_argument_logs(text)
-    parts = re.split(r"('(?:[^']|'')*'|`[^`]*`|\"[^\"]*\")", text)
-    for i in range(0, len(parts), 2):
-        parts[i] = re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", parts[i]).replace("//", " div ")
+    """The dialect's text as Spark's: fractional literals as doubles, // as whole division, and functions by names that
+    Spark knows. What is quoted keeps its meaning; backslashes escape nothing."""
+    text = _calls(_whole_divisions(_casts(text)))
+    out, at = [], 0
+    for m in [*QUOTED.finditer(text), None]:
+        part = text[at : m.start() if m else len(text)]
+        part = re.sub(r"(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])", r"\1D", part)
         for name, written in WRITTEN.items():
-            parts[i] = re.sub(rf"(?i)(?<![\w.]){re.escape(name[:-1])}\s*\(", written, parts[i])
-    return "".join(parts)
+            part = re.sub(rf"(?i)(?<![\w.]){name}\s*\(", f"{written}(", part)
+        out.append(part)
+        if m:
+            like = re.search(r"(?i)\bi?like\s*$", part) and not re.match(r"(?i)\s*escape\b", text[m.end() :])
+            out.append(_quoted(m[0], bool(like)))
+            at = m.end()
+    return "".join(out)
 
 
 @contextmanager
 def lenient(spark: SparkSession) -> Iterator[None]:
-    """Build plans without ANSI errors and with double-quoted identifiers; the choice stays in plans built inside."""
-    keys = {"spark.sql.ansi.enabled": "false", "spark.sql.ansi.doubleQuotedIdentifiers": "true"}
+    """Build plans without ANSI errors; the choice stays in plans built inside."""
+    keys = {"spark.sql.ansi.enabled": "false"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -114,6 +215,14 @@ def filtered(df: DataFrame, text: str) -> DataFrame:
     return out
 
 
+def relations(spark: SparkSession, query: str) -> set[str]:
+    """Names of the tables that a query reads, by Catalyst's parse of it: those of its own WITH clauses are none."""
+    with lenient(spark):
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(spark_text(query).strip().rstrip(";")).treeString()
+    own = {name.strip() for names in re.findall(r"CTE \[([^\]]*)\]", plan) for name in names.split(",")}
+    return set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)) - own
+
+
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
     """A SELECT over named tables; columns come back in the engine's six types.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions import formulas
 from tallybook.functions.windows import Span
 from tallybook.sources.history import History, gaps, uploads_in
 from tallybook.sources.parsing import PARSERS, filled
@@ -33,7 +34,8 @@ def absent_columns(history: History, file_columns: dict[str, set[str]], used: It
 def filter_effect(before: DataFrame, condition: str) -> DataFrame:
     """One row from one pass: rows before and after, and whether the newest upload has a row left."""
     newest = before.agg(F.max("_upload_seq").alias("_newest"))
-    keep = F.coalesce(F.expr(condition), F.lit(False))
+    before = formulas.with_formula(before, "_kept", condition)
+    keep = F.coalesce("_kept", F.lit(False))
     return before.join(F.broadcast(newest), F.lit(True)).agg(  # one row
         F.count(F.lit(1)).alias("rows_before"),
         F.count_if(keep).alias("rows_after"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +14,7 @@ from tallybook.functions import formulas
 from tallybook.functions.aggregates import AGGREGATES, Aggregate
 from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
+from tallybook.operators.datasets import Compare
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,7 @@ class Metric:
     where: str | None = None
     formula: str | None = None
     query: str | None = None
+    compare: Sequence[Compare] = ()
 
 
 def plain(value: object) -> object:
@@ -74,10 +76,11 @@ def of_query(spark: SparkSession, query: str, tables: Mapping[str, DataFrame]) -
 
 
 class Metrics:
-    """Values by metric and period, each computed once."""
+    """Values by metric and period, each computed once. A metric's query reads `tables`, or what `in_period` cuts for it."""
 
-    def __init__(self, spark: SparkSession, metrics: Mapping[str, Metric], source: Callable[[str], DataFrame], tables: Callable[[], Mapping[str, DataFrame]]) -> None:
-        self.spark, self.metrics, self.source, self.tables = spark, metrics, source, tables
+    def __init__(self, spark: SparkSession, metrics: Mapping[str, Metric], source: Callable[[str], DataFrame], tables: Callable[[], Mapping[str, DataFrame]], in_period: Callable[[Metric, Period], Mapping[str, DataFrame]] | None = None) -> None:
+        self.spark, self.metrics, self.source = spark, metrics, source
+        self.tables = in_period or (lambda metric, period: tables())
         self.known: dict[tuple[str, Period], object] = {}
 
     def value(self, name: str, period: Period, path: tuple[str, ...] = ()) -> object:
@@ -89,13 +92,28 @@ class Metrics:
                 used = [x for x in self.metrics if x != name and _mentions(m.formula, x)]
                 self.known[name, period] = of_formula(self.spark, m.formula, {x: self.value(x, period, (*path, name)) for x in used})
             elif m.query:
-                self.known[name, period] = of_query(self.spark, m.query, self.tables())
+                self.known[name, period] = of_query(self.spark, m.query, self.tables(m, period))
             else:  # every other metric of the same source comes along in the same pass
                 batch = {x: y for x, y in self.metrics.items() if y.aggregate and y.source == m.source and (x, period) not in self.known}
-                row = of_table(self.source(m.source), batch, period).first()
+                try:
+                    found = of_table(self.source(m.source), batch, period)
+                except Exception:  # one that cannot be analysed keeps no other back
+                    batch = {x: y for x, y in batch.items() if x == name or self.analysed(x, y, period)}
+                    if not self.analysed(name, m, period):
+                        batch = {name: m}
+                    found = of_table(self.source(m.source), batch, period)
+                row = found.first()
                 self.known |= {(x, period): plain(row[x]) for x in batch}
         return self.known[name, period]
 
+    def analysed(self, name: str, metric: Metric, period: Period) -> bool:
+        """Whether the metric alone makes a plan; that runs nothing."""
+        try:
+            of_table(self.source(metric.source), {name: metric}, period)
+        except Exception:
+            return False
+        return True
+
     def compared(self, name: str, period: Period, kind: str = "previous_period", suffix: str = "prev") -> dict[str, object]:
         """The value, the other period's, their difference and relative change."""
         now, then = self.value(name, period), self.value(name, period.moved(-1) if kind == "previous_period" else period.a_year_before())

@@ -331,3 +331,85 @@ def profile_approximate(spark, d):
     exact = profile.profile(lines(spark, d), columns, exact=True).select("column", "distinct_values")
     return found.join(exact, "column").select("column", (F.abs(F.col("about") - F.col("distinct_values")) <= F.col("distinct_values") / 10).alias("near"))
 
+
+
+# --- ingest by the rules of the round's probes, scenarios with queries over windows and tables -----------------------
+
+
+@query("SELECT o_orderkey AS k, 'plan ' || strftime(o_orderdate, '%B') AS month FROM orders WHERE o_orderdate >= DATE '1998-03-01' AND o_orderdate < DATE '1998-04-01'")
+def ingest_month_column(spark, d):
+    """A text column named month comes back from the history as it was, beside the upload's own months."""
+    text = orders(spark, d).select(F.col("o_orderkey").cast("string").alias("k"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("day"), F.concat(F.lit("plan "), F.date_format("o_orderdate", "MMMM")).alias("month"))
+    found = ingest.write_upload(text, {"k": "int", "day": "date", "month": "string"}, scratch(spark), "u1", 1, "day")
+    kept = history.History([history.Upload("u1", 1, f"{found.path}/data")], {"k": "int", "day": "date", "month": "string"}, "day")
+    return history.history_view(spark, kept, (MARCH.start, MARCH.stop)).select("k", "month")
+
+
+@query("""SELECT 'flags' AS "column", 'int' AS kind, count(*) AS rows FROM orders UNION ALL SELECT 'words', 'bool', count(*) FROM orders UNION ALL SELECT 'short', 'date', count(*) FROM orders
+UNION ALL SELECT 'midnight', 'date', count(*) FROM orders UNION ALL SELECT 'moment', 'datetime', count(*) FROM orders""")
+def infer_counts(spark, d):
+    """Zeros and ones are numbers, words are flags; years of two digits, midnights and parts of seconds are read."""
+    o, day = orders(spark, d), F.col("o_orderdate")
+    text = o.select(
+        F.when(F.col("o_orderkey") % 50 == 0, F.col("o_custkey")).otherwise(F.col("o_orderkey") % 2).cast("string").alias("flags"),
+        F.when(F.col("o_orderkey") % 2 == 0, "да").otherwise("ложь").alias("words"),
+        F.date_format(day, "dd.MM.yy").alias("short"),
+        F.date_format(day, "yyyy-MM-dd 00:00:00").alias("midnight"),
+        F.date_format(day, "yyyy-MM-dd'T'10:20:30.5").alias("moment"),
+    )
+    kinds = parsing.infer(text)
+    read = parsing.typed(text, kinds).where("size(_errors) = 0").count()
+    return spark.createDataFrame([(c, k, read) for c, k in kinds.items()], "column string, kind string, rows long")
+
+
+@query("""SELECT o_orderkey AS k, o_orderstatus || chr(10) || '"' || o_orderpriority AS note, row_number() OVER (ORDER BY o_orderkey, o_totalprice) - 1 AS _row FROM orders""")
+def ingest_quoted(spark, d):
+    """A file whose quotes hold line ends, read in splits, in the order of its rows."""
+    path = scratch(spark)
+    note = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('\n""'), F.col("o_orderpriority"), F.lit('"'))
+    rows = orders(spark, d).select("o_orderkey", "o_totalprice", F.concat_ws(";", F.col("o_orderkey").cast("string"), note).alias("value"))
+    header = spark.createDataFrame([(-1, 0.0, "k;note")], rows.schema)
+    header.unionByName(rows).repartition(1).sortWithinPartitions("o_orderkey", "o_totalprice").select("value").write.text(path)
+    return delimited.read_folder(spark, path).select(F.col("k").cast("long").alias("k"), "note", "_row")
+
+
+_SCENARIO = {
+    "by_status": {"query": "SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_orderstatus"},
+    "largest": {"query": "SELECT o_orderstatus, n FROM by_status WHERE total = (SELECT max(total) FROM by_status)"},
+    "year": {"query": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", "window": "year_to_date"},
+}
+_REVENUE = {"source": "orders", "period_column": "o_orderdate", "aggregate": {"fn": "sum", "column": "o_totalprice"}}
+
+
+def _sql_report(spark, d, metrics=()):
+    made = scenario.Scenario({"orders": {"source": "orders", "period_column": "o_orderdate"}}, _SCENARIO, dict(metrics))
+    return scenario.run(spark, made, {"orders": orders(spark, d)}, MARCH)
+
+
+@query("""WITH b AS (SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderdate >= DATE '1998-03-01' AND o_orderdate < DATE '1998-04-01' GROUP BY 1)
+SELECT o_orderstatus, n FROM b WHERE total = (SELECT max(total) FROM b)""")
+def scenario_sql_over_table(spark, d):
+    """A query over a finished table of the same scenario, itself a query over the report period."""
+    return _sql_report(spark, d).frames["largest"]
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-04-01' GROUP BY 1")
+def scenario_sql_windowed(spark, d):
+    return _sql_report(spark, d).frames["year"]
+
+
+@query("""WITH v AS (SELECT sum(o_totalprice) FILTER (o_orderdate >= DATE '1998-03-01' AND o_orderdate < DATE '1998-04-01') AS now, sum(o_totalprice) FILTER (o_orderdate >= DATE '1998-02-01' AND o_orderdate < DATE '1998-03-01') AS past FROM orders)
+SELECT round(now, 2) AS revenue, round(past, 2) AS revenue_prev, round(now - past, 2) AS revenue_prev_change, round(now / past - 1, 6) AS revenue_prev_change_pct FROM v""")
+def scenario_metric_compare(spark, d):
+    """A metric's comparison in a scenario, beside one that fails alone."""
+    values = _sql_report(spark, d, {"revenue": {**_REVENUE, "compare": [{"kind": "previous_period", "suffix": "prev"}]}, "bad": {**_REVENUE, "aggregate": {"fn": "sum", "column": "nothing"}}}).values
+    row = spark.createDataFrame([tuple(map(float, values.values()))], ", ".join(f"{k} double" for k in values))
+    return row.select(*(F.round(k, 6 if k.endswith("pct") else 2).alias(k) for k in row.columns))
+
+
+_formula("quoted_calls", "concat('log(x) // ', o_orderstatus)", "concat('log(x) // ', o_orderstatus)")
+_formula("array_concat", "size(concat(array(o_orderkey), array(o_custkey, 1)))", "len(list_concat([o_orderkey], [o_custkey, 1]))::INT")
+_formula("short_fraction", "o_custkey * .5 + 1.", "o_custkey * CAST(.5 AS DOUBLE) + 1")
+_formula("double_whole_division", "o_totalprice // 1000 + 2 * o_custkey // 7", "CAST(trunc(o_totalprice / 1000) AS BIGINT) + 2 * o_custkey // 7")
+_formula("rounding_casts", "TRY_CAST(o_orderstatus || '3.7' AS INT) IS NULL AND CAST('3.7' AS INT) = 4 AND (o_custkey / 2)::int = half_even_int(o_custkey / 2)", "true")
+_formula("like_backslash", "(o_orderstatus || '\\_') LIKE '_\\_' AND NOT (o_orderstatus || 'x_') LIKE '_\\_'", "true")

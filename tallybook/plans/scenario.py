@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from graphlib import TopologicalSorter
+from graphlib import CycleError, TopologicalSorter
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybook.functions import formulas
 from tallybook.functions.aggregates import Aggregate, Key
-from tallybook.functions.formulas import run_sql
 from tallybook.functions.periods import Period
+from tallybook.functions.windows import span_of, within
 from tallybook.operators import datasets, joins, steps
 from tallybook.operators.metrics import Metric, Metrics, plain
 
@@ -66,39 +68,55 @@ def table_of(spec: Mapping) -> datasets.Table:
 
 def metric_of(spec: Mapping) -> Metric:
     x = dict(spec)
-    return Metric(aggregate=Aggregate(**x.pop("aggregate")) if "aggregate" in x else None, **x)
+    aggregate = Aggregate(**x.pop("aggregate")) if "aggregate" in x else None
+    return Metric(aggregate=aggregate, compare=[datasets.Compare(**c) for c in x.pop("compare", ())], **x)
 
 
-def validate(scenario: Scenario) -> list[str]:
-    """Problems that show without data."""
-    out = []
+def problems(scenario: Scenario) -> dict[tuple[str, str], list[str]]:
+    """What shows without data, by kind and name of the node."""
+    out: dict[tuple[str, str], list[str]] = {}
+    note = lambda kind, name, *texts: out.setdefault((kind, name), []).extend(texts) if texts else None
     for name, spec in scenario.inputs.items():
         for step in spec.get("steps", ()):
             if step["type"] not in STEPS:
-                out.append(f"input {name}: no step {step['type']!r}")
+                note("input", name, f"no step {step['type']!r}")
             if step["type"] == "join" and step["with"] not in scenario.inputs:
-                out.append(f"input {name}: no input {step['with']!r} to join with")
+                note("input", name, f"no input {step['with']!r} to join with")
             if step["type"] == "python":
-                out += python_problems(f"input {name}", step)
+                note("input", name, *python_problems(step))
     for name, spec in scenario.tables.items():
+        if name in scenario.inputs:
+            note("table", name, "an input has the same name")
         if not {"query", "python"} & set(spec) and spec.get("input") not in scenario.inputs:
-            out.append(f"table {name}: no input {spec.get('input')!r}")
+            note("table", name, f"no input {spec.get('input')!r}")
         if "python" in spec:
-            out += python_problems(f"table {name}", spec)
+            note("table", name, *python_problems(spec))
     for name, spec in scenario.metrics.items():
         if "python" in spec:
-            out += python_problems(f"metric {name}", spec)
+            note("metric", name, *python_problems(spec))
+        elif "aggregate" in spec and spec.get("source") not in {*scenario.inputs, *scenario.tables}:
+            note("metric", name, f"no input or table {spec.get('source')!r}")
+        if spec.get("compare") and spec.get("source") in scenario.tables:
+            note("metric", name, "a metric of a table is not compared; its table can be")
     return out
 
 
-def python_problems(where: str, spec: Mapping) -> list[str]:
+def validate(scenario: Scenario) -> list[str]:
+    """Problems that show without data."""
+    return [f"{kind} {name}: {text}" for (kind, name), texts in problems(scenario).items() for text in texts]
+
+
+def python_problems(spec: Mapping) -> list[str]:
     """What is wrong with a Python step, table or metric before it runs."""
     mode, function = spec.get("mode", "lazy"), spec.get("function", spec.get("python"))
     try:
-        steps.function_of(function)
+        found = steps.function_of(function)
     except (ValueError, ImportError) as problem:
-        return [f"{where}: {problem}"]
-    return [f"{where}: mode {mode} needs a schema"] if mode in ("batches", "table") and "schema" not in spec else []
+        return [str(problem)]
+    least = sum(p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in signature(found).parameters.values())
+    if least > 2:
+        return [f"the function asks for {least} arguments; it gets a table and a context"]
+    return [f"mode {mode} needs a schema"] if mode in ("batches", "table") and "schema" not in spec else []
 
 
 def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFrame], done: Mapping[str, DataFrame], period: Period) -> DataFrame:
@@ -124,15 +142,59 @@ def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFr
     return df
 
 
+def needs_of(spark: SparkSession, scenario: Scenario, broken: dict[str, str]) -> dict[str, set[str]]:
+    """For each input and table the nodes it reads. What a query reads is what Catalyst's parser finds in it; a query that
+    it cannot parse, or that reads an unknown table, or nodes in a circle, are put into broken."""
+    nodes = {n.lower(): n for n in (*scenario.inputs, *scenario.tables)}
+    needs = {n: {s["with"] for s in x.get("steps", ()) if s["type"] == "join"} & set(scenario.inputs) for n, x in scenario.inputs.items()}
+    for name, spec in scenario.tables.items():
+        needs[name] = {spec["input"]} & set(scenario.inputs) if "input" in spec else set()
+        if "python" in spec and "input" not in spec:
+            needs[name] = set(scenario.inputs)
+        if "query" in spec:
+            try:
+                read = formulas.relations(spark, spec["query"])
+            except Exception as problem:
+                broken.setdefault(name, str(problem).splitlines()[0])
+                continue
+            if unknown := sorted(r for r in read if r.lower() not in nodes):
+                broken.setdefault(name, f"no table {unknown[0]!r}")
+            needs[name] = {nodes[r.lower()] for r in read if r.lower() in nodes}
+    while True:
+        try:
+            TopologicalSorter(needs).prepare()
+            return needs
+        except CycleError as circle:
+            for name in circle.args[1]:
+                broken.setdefault(name, "tables form a circle: " + " -> ".join(circle.args[1]))
+                needs[name] = set()
+
+
+def sql_tables(scenario: Scenario, frames: Mapping[str, DataFrame], names: set[str], spec: Mapping, period: Period) -> dict[str, DataFrame]:
+    """What a query reads: inputs inside its window (the report period, if it names none) by the period column that it or
+    they declare, and finished tables as they are. An input without a period column is read whole."""
+    out = {}
+    for name in names:
+        column = spec.get("period_column") or scenario.inputs.get(name, {}).get("period_column")
+        cut = name in scenario.inputs and column in frames[name].columns
+        out[name] = frames[name].where(within(column, span_of(spec.get("window") or "report_period", period))) if cut else frames[name]
+    return out
+
+
 def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], period: Period) -> Report:
-    """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader."""
-    if problems := validate(scenario):
-        raise ValueError("; ".join(problems))
-    needs = {n: {s["with"] for s in x.get("steps", ()) if s["type"] == "join"} for n, x in scenario.inputs.items()}
-    needs |= {n: {x["input"]} if "input" in x else set(scenario.inputs) for n, x in scenario.tables.items()}
-    report, order = Report({}, {}, {}), TopologicalSorter(needs).static_order()
-    for name in order:
-        if blocked := [d for d in needs[name] if report.statuses[d].state != "ok"]:
+    """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader.
+
+    A wrong specification fails its own node, and what reads the node is skipped.
+    """
+    found = problems(scenario)
+    broken = {name: "; ".join(texts) for (kind, name), texts in found.items() if kind != "metric"}
+    needs = needs_of(spark, scenario, broken)
+    report = Report({}, {}, {})
+    for name in TopologicalSorter(needs).static_order():
+        if name in broken:
+            report.statuses[name] = Status("failed", broken[name])
+            continue
+        if blocked := sorted(d for d in needs[name] if report.statuses[d].state != "ok"):
             report.statuses[name] = Status("skipped", f"needs {blocked[0]}")
             continue
         try:
@@ -144,21 +206,44 @@ def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame
                 made = steps.function_of(spec["python"])
                 report.frames[name] = steps.declared(made(source, context) if source is not None else made(context), spec.get("schema"))
             elif "query" in spec:
-                report.frames[name] = run_sql(spark, spec["query"], {n: report.frames[n] for n in scenario.inputs})
+                report.frames[name] = formulas.run_sql(spark, spec["query"], sql_tables(scenario, report.frames, needs[name], spec, period))
             else:
                 report.frames[name] = datasets.build(report.frames[spec["input"]], table_of(spec), period)
             report.statuses[name] = Status("ok")
         except Exception as problem:  # a node's failure is its own
             report.statuses[name] = Status("failed", str(problem).splitlines()[0])
-    metrics = Metrics(spark, {n: metric_of(x) for n, x in scenario.metrics.items() if "python" not in x}, lambda n: report.frames[n], lambda: report.frames)
+    measure(spark, scenario, report, period, {name: "; ".join(texts) for (kind, name), texts in found.items() if kind == "metric"})
+    return report
+
+
+def measure(spark: SparkSession, scenario: Scenario, report: Report, period: Period, broken: Mapping[str, str]) -> None:
+    """The metrics' values and statuses, with those of their comparisons under names of their own."""
+    made: dict[str, Metric] = {}
     for name, spec in scenario.metrics.items():
+        try:
+            if name in broken:
+                raise ValueError(broken[name])
+            if "python" not in spec:
+                made[name] = metric_of(spec)
+        except Exception as problem:
+            report.statuses[name] = Status("failed", str(problem).splitlines()[0])
+
+    def read(m: Metric, at: Period) -> dict[str, DataFrame]:
+        nodes = {n.lower(): n for n in report.frames}
+        read = {nodes[r.lower()] for r in formulas.relations(spark, m.query) if r.lower() in nodes}
+        return sql_tables(scenario, report.frames, read, {"period_column": m.period_column, "window": m.window}, at)
+
+    metrics = Metrics(spark, made, lambda n: report.frames[n], lambda: report.frames, read)
+    for name, spec in scenario.metrics.items():
+        if name in report.statuses and report.statuses[name].state == "failed" and name not in made:
+            continue
         try:
             if "python" in spec:
-                value = steps.function_of(spec["python"])(steps.Context(period, report.frames, spark))
-                report.values[name], report.statuses[name] = plain(value), Status("ok")
-                continue
-            report.values[name] = metrics.value(name, period)
+                report.values[name] = plain(steps.function_of(spec["python"])(steps.Context(period, report.frames, spark)))
+            else:
+                report.values[name] = metrics.value(name, period)
+                for c in made[name].compare:
+                    report.values |= metrics.compared(name, period, c.kind, c.suffix)
             report.statuses[name] = Status("ok")
         except Exception as problem:
             report.statuses[name] = Status("failed", str(problem).splitlines()[0])
-    return report

@@ -180,9 +180,9 @@ def read_parts(spark: SparkSession, parts: Sequence[tuple[str, Mapping[str, str]
     """
     out: DataFrame | None = None
     before = 0
-    for path, names in parts:
+    for place, (path, names) in enumerate(parts, 1):
         rows = read_text(spark, path, ragged=ragged)
-        upto = rows.agg(F.max("_row")).first()[0]
+        upto = rows.agg(F.max("_row")).first()[0] if place < len(parts) else None
         part = rows.withColumnsRenamed(dict(names)).withColumn("_row", F.col("_row") + before)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         before += 0 if upto is None else upto + 1

@@ -71,12 +71,14 @@ def write_upload(text: DataFrame, types: Mapping[str, str], path: str, upload_id
     review is held at path.held, where no history sees it, until accept() publishes it.
     """
     spark, partial = text.sparkSession, f"{path}.partial-{uuid4().hex}"
-    prepare(text, types, upload_id, seq, period_column, fixed_period).hint("rebalance", "_month").write.partitionBy("_month").option("compression", "zstd").parquet(f"{partial}/data")
+    with parsing.short_methods(spark):
+        prepare(text, types, upload_id, seq, period_column, fixed_period).hint("rebalance", "_month").write.partitionBy("_month").option("compression", "zstd").parquet(f"{partial}/data")
     written = spark.read.parquet(f"{partial}/data")
-    errors = {c: F.count_if(F.array_contains("_errors", c)).alias(c) for c in types}
-    row = written.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.size("_errors") > 0).alias("_rejected"), *errors.values()).first()
-    written.where("_text IS NOT NULL").select("_text.*").write.parquet(f"{partial}/rejects")
-    found = {c: row[c] for c in types if row[c]}
+    row = written.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.size("_errors") > 0).alias("_rejected")).first()
+    wrong = written.where("_text IS NOT NULL") if row["_rejected"] else written.limit(0)
+    found = {r[0]: r[1] for r in wrong.select(F.explode("_errors").alias("column")).groupBy("column").count().collect()}
+    found = {c: found[c] for c in types if c in found}
+    wrong.select("_text.*").write.parquet(f"{partial}/rejects")
     bad = period_column in found and not fixed_period or any(found.get(c, 0) > MOST_ERRORS * row["_rows"] for c in required)
     verdict, where = ("needs_review", f"{path}.held") if bad else ("ready", path)
     publish(spark, partial, where)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SPARK_TYPES = {"string": "string", "int": "bigint", "float": "double", "date": "date", "datetime": "timestamp_ntz", "bool": "boolean"}
@@ -24,11 +25,27 @@ SHORT_YEAR = f"^(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{2}}){TIME}$"
 LAST_CENTURY = 70
 
 
+#: Digits with one mark at most, which most numbers are; all that any number may hold, a digit among it; a number to cast.
+PLAIN_NUMBER = "^-?\\d+(?:[.,]\\d+)?$"
+ANY_NUMBER = "^[\\s\\u00A0\\u202F\\u2009'(+−–-]*[.,]?\\d[\\d.,eE+−–\\s\\u00A0\\u202F\\u2009')-]*$"
+ONE_MARK = "^[+-]?(?:\\d+\\.?\\d*|\\.\\d+)(?:[eE][+-]?\\d+)?$"
+
+
+def may_be_number(text: Column) -> Column:
+    """Whether the first character may begin a number: a cheap test that spares words the patterns."""
+    first = F.ascii(text)
+    return first.between(ord("("), ord("9")) | (first == ord(" ")) | (first == ord("'")) | (first == ord("\t")) | (first > 127)
+
+
+def plain_number(text: Column) -> Column:
+    """Digits with one mark at most, with a dot for the decimals; null of all other text."""
+    return F.when(may_be_number(text) & text.rlike(PLAIN_NUMBER), F.replace(text, F.lit(","), F.lit(".")))
+
+
 def cleaned_number(text: Column) -> Column:
-    """Text with a digit, without spaces, with a plain minus; most numbers are digits with one mark at most."""
+    """Text that may be a number, without spaces and with a plain minus."""
     cleaned = F.translate(F.regexp_replace(F.trim(text), "[\\s\\u00A0\\u202F\\u2009']", ""), "−–", "--")
-    odd = F.regexp_replace(cleaned, "^\\((.*)\\)$", "-$1")
-    return F.when(text.rlike("^-?\\d+([.,]\\d+)?$"), F.translate(text, ",", ".")).when(text.rlike("\\d"), odd)
+    return F.when(may_be_number(text) & text.rlike(ANY_NUMBER), F.regexp_replace(cleaned, "^\\((.*)\\)$", "-$1"))
 
 
 def one_mark(t: Column) -> Column:
@@ -41,19 +58,21 @@ def one_mark(t: Column) -> Column:
 
 
 def as_double(t: Column) -> Column:
-    return F.when(t.rlike("^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$"), t.try_cast("double"))
+    return F.when(t.rlike(ONE_MARK), t.try_cast("double"))
 
 
 def number(text: Column) -> Column:
     """Spaces of any kind inside, comma or dot for decimals, both as thousands and decimals, (x) or a Unicode minus for negatives."""
-    return as_double(one_mark(cleaned_number(text)))
+    return F.coalesce(plain_number(text).try_cast("double"), as_double(one_mark(cleaned_number(text))))
 
 
 def with_numbers(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """df with the numbers of text columns (name -> new column): the steps of number() as columns, which Spark compiles."""
-    out = df.withColumns({new: cleaned_number(F.col(f"`{c}`")) for c, new in names.items()})
-    out = out.withColumns({new: one_mark(F.col(new)) for new in names.values()})
-    return out.withColumns({new: as_double(F.col(new)) for new in names.values()})
+    odd = {new: f"{new}_odd" for new in names.values()}
+    out = df.withColumns({new: plain_number(F.col(f"`{c}`")) for c, new in names.items()})
+    out = out.withColumns({odd[new]: F.when(F.col(new).isNull(), cleaned_number(F.col(f"`{c}`"))) for c, new in names.items()})
+    out = out.withColumns({new: F.coalesce(F.col(new).try_cast("double"), F.when(F.col(odd[new]).isNotNull(), as_double(one_mark(F.col(odd[new]))))) for new in names.values()})
+    return out.drop(*odd.values())
 
 
 def whole_of(value: Column) -> Column:
@@ -68,18 +87,23 @@ def whole(text: Column) -> Column:
 def moment_text(text: Column) -> Column:
     """Year, month, day and time in Spark's own order, of text that has the shape of a date; null of all other text."""
     t = F.trim(text)
+    digit = F.ascii(t).between(ord("0"), ord("9"))
+    at = lambda start, size: F.substring(t, start, size)
+    plain = digit & (F.length(t) == 10) & (at(3, 1) == ".") & (at(6, 1) == ".")
     century = F.when(F.regexp_extract(t, SHORT_YEAR, 3).try_cast("int") >= LAST_CENTURY, "19").otherwise("20")
     return (
-        F.when(t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$3-$4 $5"))
-        .when(t.rlike(DAY_FIRST), F.regexp_replace(t, DAY_FIRST, "$4-$3-$1 $5"))
-        .when(t.rlike(SHORT_YEAR), F.concat(century, F.regexp_replace(t, SHORT_YEAR, "$3-$2-$1 $4")))
+        F.when(plain, F.concat(at(7, 4), F.lit("-"), at(4, 2), F.lit("-"), at(1, 2)))
+        .when(digit & t.rlike(YEAR_FIRST), F.regexp_replace(t, YEAR_FIRST, "$1-$3-$4 $5"))
+        .when(digit & t.rlike(DAY_FIRST), F.regexp_replace(t, DAY_FIRST, "$4-$3-$1 $5"))
+        .when(digit & t.rlike(SHORT_YEAR), F.concat(century, F.regexp_replace(t, SHORT_YEAR, "$3-$2-$1 $4")))
     )
 
 
 def moment_of(found: Column) -> Column:
     """moment_text as a timestamp; seconds may be missing. Days and hours that do not exist are null."""
     clean = F.rtrim(found)
-    return F.when(clean.rlike(":\\d+$") & ~clean.rlike(":\\d+:"), F.concat(clean, F.lit(":00"))).otherwise(clean).try_cast("timestamp_ntz")
+    marks = F.length(clean) - F.length(F.replace(clean, F.lit(":"), F.lit("")))
+    return F.when(marks == 1, F.concat(clean, F.lit(":00"))).otherwise(clean).try_cast("timestamp_ntz")
 
 
 def moment(text: Column) -> Column:
@@ -95,6 +119,19 @@ def flag(text: Column) -> Column:
     return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Run with generated code in methods that the JVM compiles: it leaves those beyond 8,000 bytes of bytecode interpreted,
+    which parsers of wide rows exceed when a whole stage is one method."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 PARSERS: dict[str, Callable[[Column], Column]] = {"string": lambda c: c, "int": whole, "float": number, "date": day, "datetime": moment, "bool": flag}
 
 
@@ -132,7 +169,7 @@ def cell_counts(df: DataFrame) -> DataFrame:
     """
     cells = df.select(F.posexplode(F.array(*(F.col(f"`{c}`") for c in df.columns))).alias("at", "cell")).where(filled(F.col("cell")))
     cells = with_numbers(cells.select("at", F.trim("cell").alias("cell")), {"cell": "number"})
-    cells = cells.withColumn("moment", F.when(F.col("cell").rlike("^\\d+[-./]\\d+[-./]\\d"), moment_text(F.col("cell")))).withColumn("moment", moment_of(F.col("moment")))
+    cells = cells.withColumn("moment", F.when(F.col("number").isNull(), moment_text(F.col("cell")))).withColumn("moment", moment_of(F.col("moment")))
     count = F.count_if
     return cells.groupBy("at").agg(
         F.count(F.lit(1)).alias("filled"),
@@ -167,11 +204,13 @@ def kind_of(name: str, found: Row, share: float) -> str:
     return "string"
 
 
-def infer(df: DataFrame, share: float = 0.98, fraction: float = 1.0) -> dict[str, str]:
-    """A type for every text column, by kind_of over one pass of all rows, or of a random fraction of them.
+def infer(df: DataFrame, share: float = 0.98, rows: int | None = None) -> dict[str, str]:
+    """A type for every text column, by kind_of over one pass of all rows, or of a sample of about `rows` from all over the table.
 
     What a type does not fit is found again as an error when all rows are parsed. A column without filled cells is text.
     """
-    rows = df if fraction >= 1 else df.sample(fraction, seed=1)
-    found = {r["at"]: r for r in cell_counts(rows).collect()}
+    if rows is not None and (n := df.count()) > rows:
+        df = df.sample(rows / n, seed=1)
+    with short_methods(df.sparkSession):
+        found = {r["at"]: r for r in cell_counts(df).collect()}
     return {c: kind_of(c, found[i], share) if i in found else "string" for i, c in enumerate(df.columns)}

@@ -195,3 +195,55 @@ def test_shaping(spark):
     assert sorted(map(tuple, shaping.series(df, "c", "s", "v").collect())) == [("a", 3.0, 0.0), ("b", 0.0, 5.0)]
     assert {tuple(r) for r in shaping.largest_and_others(df.select("s", "v"), "s", "v", 2, "rest").collect()} == {(" ", 7.0), ("rest", 8.0)}
     assert [r.v for r in shaping.last_rows(df, 2, ["v"]).collect()] == [5.0, 7.0]
+
+
+def sql_scenario(tables, metrics=()):
+    return S.Scenario(inputs={"o": {"source": "s", "period_column": "d"}}, tables=tables, metrics=dict(metrics))
+
+
+def test_sql_tables_read_windows_and_finished_tables(spark, sales):
+    tables = {
+        "twice": {"query": "SELECT sum(n) * 2 AS n FROM Monthly"},
+        "monthly": {"query": "WITH m AS (SELECT region FROM o) SELECT count(*) AS n FROM m WHERE region IN (SELECT region FROM m)"},
+        "all": {"query": "SELECT count(*) AS n FROM o", "window": "all"},
+        "february": {"query": "SELECT count(*) AS n FROM o", "window": "previous_period"},
+        "lost": {"query": "SELECT * FROM nowhere"}, "after": {"query": "SELECT * FROM lost"}, "wrong": {"query": "SELEC 1"},
+        "a": {"query": "SELECT * FROM b"}, "b": {"query": "SELECT * FROM a"},
+    }
+    later = sales.unionByName(sales.limit(1).withColumn("d", F.lit(datetime(2024, 5, 1)).cast("timestamp_ntz")))
+    report = S.run(spark, sql_scenario(tables), {"s": later}, MARCH)
+    assert {n: report.frames[n].first().n for n in ("monthly", "twice", "all", "february")} == {"monthly": 5, "twice": 10, "all": 9, "february": 3}
+    states = {n: s.state for n, s in report.statuses.items()}
+    assert [states[n] for n in ("lost", "after", "wrong", "a", "b")] == ["failed", "skipped", "failed", "failed", "failed"]
+    assert "no table 'nowhere'" in report.statuses["lost"].message and "circle" in report.statuses["a"].message
+
+
+def test_metrics_fail_alone_and_compare(spark, sales):
+    total = {"source": "o", "period_column": "d", "aggregate": {"fn": "sum", "column": "amount"}}
+    metrics_of = {
+        "total": {**total, "compare": [{"kind": "previous_period", "suffix": "prev"}]}, "bad": {**total, "aggregate": {"fn": "sum", "column": "nope"}}, "odd": {**total, "colour": 1},
+        "rows": {"query": "SELECT count(*) FROM o", "compare": [{"kind": "previous_period", "suffix": "prev"}]}, "half": {"formula": "total / 2", "compare": [{"kind": "previous_period", "suffix": "prev"}]},
+    }
+    report = S.run(spark, sql_scenario({}, metrics_of), {"s": sales}, MARCH)
+    assert {n: s.state for n, s in report.statuses.items()} == {"o": "ok", "total": "ok", "bad": "failed", "odd": "failed", "rows": "ok", "half": "ok"}
+    assert report.values["total"] == 78.0 and report.values["total_prev"] == 32.0 and report.values["total_prev_change"] == 46.0
+    assert (report.values["rows"], report.values["rows_prev"], report.values["half_prev"]) == (6, 3, 16.0)
+    assert "nope" in report.statuses["bad"].message and "colour" in report.statuses["odd"].message
+
+
+def test_formulas_of_the_dialect(spark):
+    df = spark.createDataFrame([(7, 7.5, "a\\_b", "3.7"), (-7, -7.5, "a_b", "2.5")], "k long, x double, s string, t string")
+    expected = {
+        "concat('log(x) of ', s)": ["log(x) of a\\_b", "log(x) of a_b"], "size(concat(array(1), array(2)))": [2, 2], "concat(s, NULL, '!')": ["a\\_b!", "a_b!"], ".5 + k": [7.5, -6.5], "x // 2": [3, -3], "k // 2": [3, -3], "2 * k // 3": [4, -4],
+        "k // 0": [None, None], "TRY_CAST(t AS INT)": [4, 2], "t::int + 1": [5, 3], "CAST(x AS BIGINT)": [8, -8], "try_cast(s AS INT)": [None, None], "s LIKE 'a\\_b'": [True, False], "s LIKE '%_b'": [True, True],
+        "regexp_matches(t, '^\\d\\.\\d$')": [True, True], "log(100) + log(2, 8)": [5.0, 5.0], "\"k\" + 1": [8, -6], "'it''s // ' || t": ["it's // 3.7", "it's // 2.5"],
+    }
+    for text, values in expected.items():
+        assert [r.v for r in steps.formula(df, "v", text).select("v").collect()] == values, text
+
+
+def test_filter_effect_in_the_dialect(spark):
+    from tallybook.operators import diagnostics
+
+    df = spark.createDataFrame([(1, 0.0, 1), (2, 2.0, 1), (3, 0.0, 2)], "k long, x double, _upload_seq int")
+    assert tuple(diagnostics.filter_effect(df, "k // 2 = 1 AND k / x > 0").first()) == (3, 1, False)
