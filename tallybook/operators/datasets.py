@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import formulas
-from tallybook.functions.aggregates import Aggregate, Key, bucket_label
+from tallybook.functions.aggregates import AGGREGATES, Aggregate, Key, bucket_label
 from tallybook.functions.periods import UNITS, Period
 from tallybook.functions.windows import span_of, within
 from tallybook.operators import ordered
@@ -74,8 +74,20 @@ def source_rows(df: DataFrame, table: Table, period: Period) -> DataFrame:
 
 def aggregated(rows: DataFrame, table: Table, grouped: bool = True) -> DataFrame:
     order = [table.period_column, *(c for c in table.order if c in rows.columns)]
-    columns = [a.build(order) for a in table.aggregates]
-    return rows.groupBy(*(k.build() for k in table.keys)).agg(*columns) if grouped and table.keys else rows.agg(*columns)
+    if grouped and table.keys:
+        return rows.groupBy(*(k.build() for k in table.keys)).agg(*(a.build(order) for a in table.aggregates))
+    for a in table.aggregates:
+        a.build(order)  # a wrong name is refused here
+    return whole(rows, [(a.label, a.fn, F.col(a.column) if a.column else F.lit(1), order) for a in table.aggregates])
+
+
+def whole(rows: DataFrame, aggregates: Sequence[tuple[str, str, Column, Sequence[str]]]) -> DataFrame:
+    """One row of (label, function, value, order) over all rows. Medians, whose values one task would hold, go by ranges."""
+    out = rows.agg(*(AGGREGATES[fn](value, order).alias(label) for label, fn, value, order in aggregates if fn != "median"), F.count(F.lit(1)).alias("_all"))
+    for label, fn, value, _ in aggregates:
+        if fn == "median":
+            out = out.join(F.broadcast(ordered.median(rows, value).select(F.col("median").alias(label))), F.lit(True))  # one row each
+    return out.select(*(label for label, *_ in aggregates))
 
 
 def with_changes(df: DataFrame, names: Sequence[str], suffix: str) -> DataFrame:
@@ -87,24 +99,58 @@ def with_changes(df: DataFrame, names: Sequence[str], suffix: str) -> DataFrame:
     return df.withColumns(out)
 
 
-def other_rows(df: DataFrame, table: Table, period: Period, compare: Compare) -> DataFrame:
-    return source_rows(df, table, compare.shifted(period))
+#: Columns of expanded rows: the rows' keys, and whether they count for the report's window (0) or a comparison's (1 ..).
+KEY, SERVES = "_key_{}", "_serves_{}"
+
 
+def expanded(df: DataFrame, table: Table, period: Period) -> DataFrame:
+    """Rows of the window and of every compared one, from one scan, with the keys and the windows that they serve.
 
-def compared(current: DataFrame, df: DataFrame, table: Table, period: Period) -> DataFrame:
-    """current with the same aggregates of shifted periods, joined null-safe; groups of the past alone are left out."""
-    names = [a.label for a in table.aggregates]
+    A row may serve several windows. Where a key is a date, moved forward for a comparison, the row comes once for each of
+    them, under the key it has there; else it comes once.
+    """
+    spans = [span_of(table.window, p) for p in (period, *(c.shifted(period) for c in table.compare))]
+    inside = [F.coalesce(within(table.period_column, s), F.lit(False)) for s in spans]
+    rows = df.where(reduce(lambda a, b: a | b, (within(table.period_column, s) for s in spans)))
+    rows = formulas.filtered(rows, table.where) if table.where else rows
+    serves = {SERVES.format(i): x for i, x in enumerate(inside)}
+    keys = {KEY.format(i): k.build() for i, k in enumerate(table.keys)}
+    if any(k.bucket for k in table.keys):
+        rows = rows.withColumn("_window", F.explode(F.array_compact(F.array(*(F.when(x, i) for i, x in enumerate(inside))))))
+        serves = {SERVES.format(i): F.col("_window") == i for i in range(len(spans))}
+        for i, k in enumerate(table.keys):
+            if k.bucket:
+                moved = F.when(F.col("_window") == 0, k.build())
+                for n, c in enumerate(table.compare, 1):
+                    moved = moved.when(F.col("_window") == n, c.forward(k.build(), period))
+                keys[KEY.format(i)] = moved
+    return rows.withColumns({**keys, **serves})
+
+
+def compared(rows: DataFrame, table: Table, grouped: bool = True) -> DataFrame:
+    """Aggregates of expanded rows for the window and, beside them, for each compared one, by one aggregation.
+
+    Groups that only other windows have are left out; what a group lacks elsewhere is null. Without groups, aggregates of
+    no rows are those of an empty table.
+    """
+    order = [table.period_column, *(c for c in table.order if c in rows.columns)]
+    grouped = grouped and bool(table.keys)
+    columns, values = [], []
+    for i, suffix in enumerate(["", *(f"_{c.suffix}" for c in table.compare)]):
+        serves = F.col(SERVES.format(i))
+        for a in table.aggregates:
+            a.build()  # a wrong name or a missing column is refused here
+            values.append((f"{a.label}{suffix}", a.fn, F.when(serves, F.col(a.column) if a.column else F.lit(1)), order))
+            value = AGGREGATES[a.fn](values[-1][2], order)
+            columns.append((F.when(F.count_if(serves) > 0, value) if i and grouped else value).alias(f"{a.label}{suffix}"))
+    if grouped:
+        out = rows.groupBy(*(F.col(KEY.format(i)).alias(k.label) for i, k in enumerate(table.keys))).agg(*columns, F.count_if(SERVES.format(0)).alias("_rows"))
+        out = out.where("_rows > 0").drop("_rows")
+    else:
+        out = whole(rows, values)
     for c in table.compare:
-        past = aggregated(other_rows(df, table, period, c), table)
-        keys = [(c.forward(F.col(k.label), period) if k.bucket else F.col(k.label)).alias(f"_past_{k.label}") for k in table.keys]
-        past = past.select(*keys, *(F.col(n).alias(f"{n}_{c.suffix}") for n in names))
-        if table.keys:
-            condition = reduce(lambda a, b: a & b, (F.col(k.label).eqNullSafe(F.col(f"_past_{k.label}")) for k in table.keys))
-            current = current.join(past, condition, "left").drop(*(f"_past_{k.label}" for k in table.keys))
-        else:
-            current = current.join(F.broadcast(past), F.lit(True))  # one row each
-        current = with_changes(current, names, c.suffix)
-    return current
+        out = with_changes(out, [a.label for a in table.aggregates], c.suffix)
+    return out
 
 
 def derived(df: DataFrame, steps: Sequence[Derive], order: Sequence[Column]) -> DataFrame:
@@ -135,17 +181,9 @@ def default_order(table: Table, columns: Sequence[str]) -> list[Column]:
 def others_row(full: DataFrame, top: DataFrame, df: DataFrame, table: Table, period: Period) -> DataFrame:
     """One row for all groups beyond the top: aggregates over their raw rows, so that means and medians are right."""
     (key,) = table.keys
-    names = [a.label for a in table.aggregates]
     kept = top.select(F.col(key.label).alias("_top"))
-
-    def rest(rows: DataFrame, of: Column) -> DataFrame:
-        return aggregated(rows.withColumn("_key", of).join(kept, F.col("_key").eqNullSafe(F.col("_top")), "left_anti"), table, grouped=False)
-
-    row = rest(source_rows(df, table, period), key.build())
-    for c in table.compare:
-        of = c.forward(key.build(), period) if key.bucket else key.build()
-        past = rest(other_rows(df, table, period, c), of).select(*(F.col(n).alias(f"{n}_{c.suffix}") for n in names))
-        row = with_changes(row.join(F.broadcast(past), F.lit(True)), names, c.suffix)
+    rest = expanded(df, table, period).join(kept, F.col(KEY.format(0)).eqNullSafe(F.col("_top")), "left_anti")
+    row = compared(rest, table, grouped=False)
     for d in table.derive:
         if d.kind == "formula":
             row = formulas.with_formula(row, d.name, d.formula)
@@ -201,7 +239,7 @@ def build(df: DataFrame, table: Table, period: Period) -> DataFrame:
         out = derived(out, table.derive, order)
         out = out.orderBy(*order) if order else out
         return out.limit(table.top) if table.top is not None else out
-    full = compared(aggregated(rows, table), df, table, period)
+    full = compared(expanded(df, table, period), table) if table.compare else aggregated(rows, table)
     if table.pivot:
         return pivoted(full, table)
     full = derived(full, table.derive, default_order(table, full.columns))

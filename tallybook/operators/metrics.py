@@ -7,14 +7,14 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import formulas
 from tallybook.functions.aggregates import AGGREGATES, Aggregate
 from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
-from tallybook.operators.datasets import Compare
+from tallybook.operators.datasets import Compare, whole
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,9 @@ def plain(value: object) -> object:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def of_table(df: DataFrame, metrics: Mapping[str, Metric], period: Period) -> DataFrame:
-    """One row with all metrics of one source: a single pass, each aggregate over its own window and condition."""
+def prepared(df: DataFrame, metrics: Mapping[str, Metric], period: Period) -> tuple[DataFrame, list[tuple[str, str, Column, list[str]]]]:
+    """df with a mark for each metric's window and condition, and what to aggregate; analysed, so that a wrong name is an
+    error before any job."""
     formulas.register(df.sparkSession)
     columns, flagged = [], df
     with formulas.lenient(df.sparkSession):
@@ -49,11 +50,18 @@ def of_table(df: DataFrame, metrics: Mapping[str, Metric], period: Period) -> Da
                 keep = keep & F.expr(formulas.spark_text(m.where))
             flagged = flagged.withColumn(f"_in_{name}", keep)
         for name, m in metrics.items():
-            a = m.aggregate
-            value = F.when(F.col(f"_in_{name}"), F.col(a.column) if a.column else F.lit(1))
-            order = [c for c in (m.period_column, "_upload_seq", "_row") if c and c in df.columns]
-            columns.append(AGGREGATES[a.fn](value, order).alias(name))
-        out = flagged.agg(*columns)
+            m.aggregate.build()
+            value = F.when(F.col(f"_in_{name}"), F.col(m.aggregate.column) if m.aggregate.column else F.lit(1))
+            columns.append((name, m.aggregate.fn, value, [c for c in (m.period_column, "_upload_seq", "_row") if c and c in df.columns]))
+        flagged.agg(*(AGGREGATES[fn](value, order).alias(name) for name, fn, value, order in columns)).schema
+    return flagged, columns
+
+
+def of_table(df: DataFrame, metrics: Mapping[str, Metric], period: Period) -> DataFrame:
+    """One row with all metrics of one source: a single pass, but for medians; each over its own window and condition."""
+    flagged, columns = prepared(df, metrics, period)
+    with formulas.lenient(df.sparkSession):
+        out = whole(flagged, columns)
         out.schema
     return out
 
@@ -109,7 +117,7 @@ class Metrics:
     def analysed(self, name: str, metric: Metric, period: Period) -> bool:
         """Whether the metric alone makes a plan; that runs nothing."""
         try:
-            of_table(self.source(metric.source), {name: metric}, period)
+            prepared(self.source(metric.source), {name: metric}, period)
         except Exception:
             return False
         return True

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,10 +59,43 @@ def with_running_sum(df: DataFrame, order: Sequence[Column], column: str, name:
 
 
 def with_rank(df: DataFrame, by: Column, column: str, name: str) -> DataFrame:
-    """The rank with gaps by one sort key; null where the column is. Equal keys fall into one range."""
-    ranges = ranged(df, [by])
-    within = F.rank().over(Window.partitionBy(RANGE).orderBy(by)).cast("long")
-    return ranges.withColumn(name, F.when(F.col(column).isNotNull(), within + before(ranges, F.count(F.lit(1)), "long"))).drop(RANGE, AT)
+    """The rank with gaps by one sort key; null where the column is.
+
+    Equal keys may fill any number of ranges: of each range the driver learns the last value and where it began, so that
+    the next ranges go on with that rank.
+    """
+    ranges = ranged(df.withColumn("_tie", F.rand(11)), [by, F.col("_tie")]).drop("_tie")
+    ranges = ranges.withColumn("_local", F.rank().over(Window.partitionBy(RANGE).orderBy(by)).cast("long"))
+    last = F.max_by(F.struct(F.col(column).alias("v"), "_local"), AT).alias("last")
+    ends = {r[RANGE]: r for r in ranges.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"), last).collect()}  # one row for each range
+    carried, offsets, (value, began), upto = [], [], (None, None), 0
+    for i in range(max(ends, default=0) + 1):
+        carried.append((value, began))
+        offsets.append(upto)
+        if i in ends:
+            found = ends[i]["last"]
+            if began is None or found["v"] != value:
+                value, began = found["v"], upto + found["_local"]
+            upto += ends[i]["n"]
+    kind = dict(df.dtypes)[column]
+    of_range = lambda values, kind: F.array(*(F.lit(v).cast(kind) for v in values))[F.col(RANGE)]
+    goes_on = F.col(column) == of_range([v for v, _ in carried], kind)
+    rank = F.when(goes_on, of_range([b for _, b in carried], "long")).otherwise(F.col("_local") + of_range(offsets, "long"))
+    return ranges.withColumn(name, F.when(F.col(column).isNotNull(), rank)).drop(RANGE, AT, "_local")
+
+
+def median(df: DataFrame, value: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """keys and `median`, exactly, of any number of different values: they are counted, the counts summed up in the order
+    of keys and values over ranges, and the middle ones picked. No task holds the values of a group."""
+    counts = df.select(*keys, value.alias("_value")).where("_value is not null").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    upto = with_running_sum(counts, [*(F.col(k).asc_nulls_first() for k in keys), F.col("_value")], "_n", "_upto")
+    groups = upto.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_total"))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    joined = upto.join(groups, reduce(lambda a, b: a & b, same)) if keys else upto.join(F.broadcast(groups), F.lit(True))  # one row
+    covers = lambda place: (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))
+    low, high = (F.col("_start") + F.expr(f"({total}) div 2") for total in ("_total - 1", "_total"))
+    picked = joined.where(covers(low) | covers(high)).groupBy(*keys)
+    return picked.agg((F.min("_value").cast("double") / 2 + F.max("_value").cast("double") / 2).alias("median"))
 
 
 def with_previous(df: DataFrame, order: Sequence[Column], column: str, name: str) -> DataFrame:

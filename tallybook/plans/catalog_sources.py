@@ -413,3 +413,20 @@ _formula("short_fraction", "o_custkey * .5 + 1.", "o_custkey * CAST(.5 AS DOUBLE
 _formula("double_whole_division", "o_totalprice // 1000 + 2 * o_custkey // 7", "CAST(trunc(o_totalprice / 1000) AS BIGINT) + 2 * o_custkey // 7")
 _formula("rounding_casts", "TRY_CAST(o_orderstatus || '3.7' AS INT) IS NULL AND CAST('3.7' AS INT) = 4 AND (o_custkey / 2)::int = half_even_int(o_custkey / 2)", "true")
 _formula("like_backslash", "(o_orderstatus || '\\_') LIKE '_\\_' AND NOT (o_orderstatus || 'x_') LIKE '_\\_'", "true")
+
+
+@query("SELECT median(o_totalprice) AS median FROM orders")
+def median_of_all(spark, d):
+    """The exact median of a whole table, by ranges of values."""
+    return ordered.median(orders(spark, d), F.col("o_totalprice"))
+
+
+@query("SELECT o_orderstatus, median(o_totalprice) AS median FROM orders GROUP BY 1")
+def median_by_status(spark, d):
+    return ordered.median(orders(spark, d), F.col("o_totalprice"), ["o_orderstatus"])
+
+
+@query("SELECT o_orderkey, o_orderstatus, rank() OVER (ORDER BY o_orderstatus DESC) AS place FROM orders")
+def rank_of_ties(spark, d):
+    """Ranks where a third and more of all rows are equal."""
+    return ordered.with_rank(orders(spark, d).select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus").desc_nulls_last(), "o_orderstatus", "place")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.functions.periods import Period
-from tallybook.plans.scenario import STEPS, Scenario, build_input
+from tallybook.plans.scenario import Scenario, build_input
 from tallybook.sources.profile import sampled
 
 #: Inputs above LARGE rows are sampled down to about TARGET.
@@ -44,10 +47,44 @@ class StepCount:
     exact: bool
 
 
+def row_counts(frames: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Rows of several tables, by one job."""
+    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows")) for name, df in frames.items()]
+    return {r["name"]: r["rows"] for r in reduce(DataFrame.unionAll, counts).collect()}
+
+
+def step_counts(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFrame], done: Mapping[str, DataFrame], period: Period) -> list[tuple[str, int]]:
+    """(step, rows after it) for the source and each step of an input: one job, whose rows are observed on their way.
+
+    A sort step changes no count and is passed over, as Spark reads what it sorts twice to find ranges. Where a query or a
+    function sorts by itself, the tables after each step are counted side by side instead.
+    """
+    seen: list[tuple[str, Observation, DataFrame]] = []
+
+    def watch(step: str, df: DataFrame) -> DataFrame:
+        seen.append((step, Observation(), df))
+        return df.observe(seen[-1][1], F.count(F.lit(1)).alias("rows"))
+
+    unsorted = [s for s in spec.get("steps", ()) if s["type"] != "sort"]
+    out = build_input(spark, {**spec, "steps": unsorted}, sources, done, period, watch)
+    if re.search(r"Sort \[.*\], true", out._jdf.queryExecution().optimizedPlan().toString()):
+        seen.clear()
+        build_input(spark, {**spec, "steps": unsorted}, sources, done, period, lambda step, df: seen.append((step, None, df)) or df)
+        found = row_counts({str(i): df for i, (*_, df) in enumerate(seen)})
+        counts = [found[str(i)] for i in range(len(seen))]
+    else:
+        out.write.format("noop").mode("overwrite").save()
+        counts = [observed.get["rows"] for _, observed, _ in seen]
+    left, result = iter(zip([step for step, *_ in seen], counts, strict=True)), []
+    for step in ["source", *(s["type"] for s in spec.get("steps", ()) if s.get("enabled", True))]:
+        result.append((step, result[-1][1]) if step == "sort" else next(left))
+    return result
+
+
 def preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], name: str, period: Period, limit: int = 100, large: int | None = None) -> tuple[list[dict], list[StepCount]]:
     """The first rows of an input after its steps, and the rows after each step; inputs above `large` rows (LARGE) are sampled."""
     needed = {name, *(s["with"] for s in scenario.inputs[name].get("steps", ()) if s["type"] == "join")}
-    rows = {n: sources[scenario.inputs[n]["source"]].count() for n in needed}
+    rows = row_counts({n: sources[scenario.inputs[n]["source"]] for n in sorted(needed)})
     k, keys = max(rate(n, large) for n in rows.values()), sample_key(scenario, name)
     small = dict(sources)
     if k > 1:
@@ -59,13 +96,8 @@ def preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataF
                 on = [pairs.get(c, c) for c in on]
             small[source] = sampled(sources[source], on, k) if set(on) <= set(sources[source].columns) else sources[source]
     done = {n: build_input(spark, scenario.inputs[n], small, {}, period) for n in needed - {name}}
-    steps, counts = [], [StepCount("source", rows[name], True)]
     spec = scenario.inputs[name]
-    for step in spec.get("steps", ()):
-        if step["type"] not in STEPS or not step.get("enabled", True):
-            continue
-        steps.append(step)
-        n = build_input(spark, {**spec, "steps": steps}, small, done, period).count()
-        counts.append(StepCount(step["type"], n * k, k == 1))
+    counted = step_counts(spark, spec, small, done, period)
+    counts = [StepCount("source", rows[name], True), *(StepCount(step, n * k, k == 1) for step, n in counted[1:])]
     out = build_input(spark, spec, small, done, period)
     return [r.asDict() for r in out.limit(limit).collect()], counts

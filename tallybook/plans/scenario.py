@@ -119,9 +119,9 @@ def python_problems(spec: Mapping) -> list[str]:
     return [f"mode {mode} needs a schema"] if mode in ("batches", "table") and "schema" not in spec else []
 
 
-def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFrame], done: Mapping[str, DataFrame], period: Period) -> DataFrame:
-    """A source with its steps applied; switched-off steps are passed over."""
-    df = sources[spec["source"]]
+def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFrame], done: Mapping[str, DataFrame], period: Period, watch: Callable[[str, DataFrame], DataFrame] = lambda step, df: df) -> DataFrame:
+    """A source with its steps applied; switched-off steps are passed over. `watch` may look at the source and at what each step gives."""
+    df = watch("source", sources[spec["source"]])
     for step in spec.get("steps", ()):
         if not step.get("enabled", True):
             continue
@@ -137,7 +137,7 @@ def build_input(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFr
             arguments["context"] = steps.Context(period, done, spark)
         if step["type"] == "sql":
             arguments["others"] = done
-        df = STEPS[step["type"]](df, **arguments)
+        df = watch(step["type"], STEPS[step["type"]](df, **arguments))
     df.schema  # analysed here, so that a wrong name fails its own node
     return df
 

@@ -247,3 +247,48 @@ def test_filter_effect_in_the_dialect(spark):
 
     df = spark.createDataFrame([(1, 0.0, 1), (2, 2.0, 1), (3, 0.0, 2)], "k long, x double, _upload_seq int")
     assert tuple(diagnostics.filter_effect(df, "k // 2 = 1 AND k / x > 0").first()) == (3, 1, False)
+
+
+def test_comparisons_scan_once(spark, tmp_path):
+    """Current and compared windows come from one scan, date keys moved for each."""
+    days = [(datetime(2023, 3, 5), 7.0), (datetime(2024, 2, 5), 2.0), (datetime(2024, 2, 5), 3.0), (datetime(2024, 3, 5), 10.0), (datetime(2024, 3, 6), 1.0), (datetime(2022, 1, 1), 50.0)]
+    spark.createDataFrame(days, "d timestamp_ntz, x double").write.parquet(str(tmp_path / "t"))
+    from tallybook.operators.datasets import Compare, Table, build
+
+    spec = Table("d", [S.Key("d", "day", "day")], [S.Aggregate("sum", "x", "x"), S.Aggregate("count", name="n")], compare=[Compare("previous_period", "prev"), Compare("same_period_last_year", "ly")])
+    out = build(spark.read.parquet(str(tmp_path / "t")), spec, MARCH)
+    assert [(r.day.day, r.x, r.n, r.x_prev, r.n_prev, r.x_ly, r.n_ly) for r in out.collect()] == [(5, 10.0, 1, 5.0, 2, 7.0, 1), (6, 1.0, 1, None, None, None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    whole = build(spark.read.parquet(str(tmp_path / "t")), Table("d", (), spec.aggregates, compare=spec.compare), MARCH)
+    assert (whole.first().x, whole.first().n_prev, whole.first().x_ly_change) == (11.0, 2, 4.0)
+
+
+def test_medians_and_ranks_over_ranges(spark):
+    """Values of one group, and equal values, may lie in several ranges."""
+    import statistics
+
+    from tallybook.operators import ordered
+
+    df = spark.range(4001).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, (F.col("id") * 7919 % 500).cast("double")).alias("x"), F.when(F.col("id") % 5 > 0, F.lit(2)).otherwise(F.col("id") % 4).alias("y")).repartition(6)
+    rows = df.collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ordered.median(df, F.col("x")).first().median == statistics.median(r.x for r in rows if r.x is not None)
+        assert {r.k: r.median for r in ordered.median(df, F.col("x"), ["k"]).collect()} == {k: statistics.median(r.x for r in rows if r.x is not None and r.k == k) for k in range(3)}
+        assert ordered.median(df.limit(0), F.col("x")).first().median is None
+        ranked = ordered.with_rank(df, F.col("y").desc_nulls_last(), "y", "place")
+        got = {(r.y, r.place) for r in ranked.collect()}
+        of_twos = ordered.ranged(df.withColumn("_tie", F.rand(11)), [F.col("y").desc_nulls_last(), F.col("_tie")]).where("y = 2").select("_range").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(y, 1 + sum(r.y > y for r in rows)) for y in {r.y for r in rows}} and of_twos > 1
+
+
+def test_step_counts_are_observed(spark, sales):
+    from tallybook.plans import preview
+
+    spec_of = {"source": "s", "steps": [{"type": "filter", "where": "amount > 1"}, {"type": "dedupe", "by": ["d", "region", "amount"]}, {"type": "formula", "name": "z", "text": "amount // 2"}, {"type": "sort", "by": ["-amount"]}, {"type": "filter", "where": "region IS NOT NULL"}]}
+    found = preview.step_counts(spark, spec_of, {"s": sales}, {}, MARCH)
+    assert found == [("source", 10), ("filter", 9), ("dedupe", 8), ("formula", 8), ("sort", 8), ("filter", 6)]
+    ordered_sql = {"source": "s", "steps": [{"type": "filter", "where": "amount > 1"}, {"type": "sql", "query": "SELECT * FROM data ORDER BY amount"}, {"type": "filter", "where": "amount > 5"}]}
+    assert preview.step_counts(spark, ordered_sql, {"s": sales}, {}, MARCH) == [("source", 10), ("filter", 9), ("sql", 9), ("filter", 6)]
