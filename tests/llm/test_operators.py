@@ -311,6 +311,32 @@ def test_quality_held_out(spark, awkward, nothing, rows):
     assert quality.fit(nothing, labels) is None and quality.score_quality(awkward, None).first().score == 0.5
 
 
+def test_quality_judges_content(spark):
+    """Texts of the same form whose letters are replaced, or that are written backwards, are no positives."""
+    docs = scored_docs(spark)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 600)], "doc_id long, label int")
+    model, draw = quality.fit(docs, labels), random.Random(7)
+    good = [r.text for r in docs.where("doc_id >= 600 and doc_id % 4 > 0").collect()]
+    other = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in t) for t in good]
+    share = lambda texts: np.mean(model.score(quality.features(texts, model.content)) >= 0.7)
+    assert share(good) > 0.9 and share(other) < 0.2 and share([t[::-1] for t in good]) < 0.2
+
+
+def test_hashed_content(spark):
+    """Words and n-grams of whole texts, none across texts, and their counts over all texts."""
+    texts = ["", "ab", "one two  one", "été\tété x", "abcd", " lead", "tail ", "long" * 30 + " " + "long" * 30]
+    (row, word), (gram_row, gram) = quality.hashed(texts)
+    assert [(row == i).sum() for i in range(len(texts))] == [len(t.split()) for t in texts]
+    assert [(gram_row == i).sum() for i in range(len(texts))] == [max(len(t.encode()) - quality.GRAM + 1, 0) for t in texts]
+    assert word[row == 2][0] == word[row == 2][2] != word[row == 2][1] and word[row == 7][0] == word[row == 7][1]
+    for i, t in enumerate(texts):
+        (_, alone), (_, grams) = quality.hashed([t])
+        assert np.array_equal(alone, word[row == i]) and np.array_equal(grams, gram[gram_row == i])
+    found = quality.counted(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    assert np.array_equal(found[: quality.WORDS], np.bincount(word, minlength=quality.WORDS)) and np.array_equal(found[quality.WORDS : quality.WORDS + quality.GRAMS], np.bincount(gram, minlength=quality.GRAMS))
+    assert found[-1] == sum(len(t) + 1 for t in texts)
+
+
 def test_no_negative_label_is_used(spark):
     docs = scored_docs(spark)
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 400)], "doc_id long, label int")

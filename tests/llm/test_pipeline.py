@@ -96,3 +96,17 @@ def test_run_is_the_stages(spark, docs, tmp_path, stages):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, r.doc_tokens) for r in got.collect()} == {(r.doc_id, r.doc_tokens) for r in stages["packing"][3]}
+
+
+def test_language_stage_keeps_columns_of_any_name(spark, docs):
+    """Columns with the model's own names, dots and marks come back with their values; ids may be null and rows repeated."""
+    extra = {"score": "own score", "Rejected": "no", "lang_pred": "xx", "cross_entropy": "high", "a.b": "dotted", "c0": "zero", "back`tick": "t"}
+    wide = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.where("doc_id = 6").withColumn("doc_id", corpus_pipeline.F.lit(None).cast("long")))
+    wide = wide.select("*", *(corpus_pipeline.F.lit(v).alias(k) for k, v in extra.items()))
+    kept = corpus_pipeline.keep_identified(spark, wide, "")
+    assert kept.columns == wide.columns and kept.dtypes == wide.dtypes
+    rows = kept.collect()
+    assert all(r[k] == v for r in rows for k, v in extra.items())
+    assert sum(r.doc_id == 5 for r in rows) == 2 and sum(r.doc_id is None for r in rows) == 1
+    again = corpus_pipeline.drop_similar(spark, corpus_pipeline.drop_copies(spark, kept, ""), "")
+    assert again.columns == wide.columns and {r["a.b"] for r in corpus_pipeline.mask_secrets(spark, again, "").collect()} == {"dotted"}
