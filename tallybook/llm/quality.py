@@ -4,7 +4,7 @@ Trusted positives are a bounded sample of the rows with label 1; no row with lab
 calibration. The unlabelled texts are all texts: one pass counts their hashed words and byte n-grams, one sums the
 products of their features, from which the risk of any linear model with squared loss follows exactly, and another counts
 the margins of the candidate models, one for each prior of a grid. Features tell how usual a text's words and n-grams are
-among all texts and among positives (Content), and what shares of its characters, words and lines have which form. The
+among all texts (Content), and what shares of its characters, words and lines have which form. The
 prior is estimated from the margins of a model that tells positives from unlabelled texts, and the scores are calibrated
 by it.
 """
@@ -25,18 +25,18 @@ from tallybook.llm.filter_audit import CLASSES as CHARACTERS
 from tallybook.llm.filter_audit import SPACE
 from tallybook.llm.filter_audit import _hashed as word_hashes
 
-#: Texts of label 1, about, that a model is fitted on, chosen by a hash of the id, whole texts; the share of them that is
-#: counted for Content, the share up to which the others give the weights, while the rest gives the prior and the calibration.
-POSITIVES, COUNTED, FITTED = 5000, 0.25, 0.6
+#: Texts of label 1, about, that a model is fitted on, chosen by a hash of the id, whole texts; share that gives the
+#: weights, while the rest gives the prior, the calibration and the support.
+POSITIVES, FITTED = 5000, 0.7
 #: Buckets of hashed words and of hashed byte n-grams, and the n-grams' length.
 WORDS, GRAMS, GRAM = 1 << 15, 1 << 16, 4
 #: Character classes: small letter, capital, digit, space, line end, other space, other, then each ASCII mark.
 CLASSES, COARSE = 40, 8
 #: Measures of words and lines, of content, and the constant 1 behind all features.
-MEASURES, CONTENT = 7, 6
+MEASURES, CONTENT = 7, 4
 FEATURES = CLASSES + COARSE * COARSE + MEASURES + CONTENT + 1
 #: Where the measures of how usual words and n-grams are stand among the features.
-USUAL_AT = [FEATURES - 1 - CONTENT, FEATURES - 1 - CONTENT + 3]
+USUAL_AT = [FEATURES - 1 - CONTENT, FEATURES - 1 - CONTENT + 2]
 #: Characters of the corpus' own mean that are counted with each text, so that very short texts are no outliers.
 USUAL = 200
 #: What is counted over all texts: words, n-grams, character classes, pairs of them, and characters.
@@ -104,37 +104,32 @@ def hashed(texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.nd
 
 @dataclass
 class Content:
-    """What counts of the corpus and of positives tell of a text: for each bucket the logarithm of its share among all
-    texts, less the mean over them, and how much larger it is among positives; and the corpus' shares of classes and pairs."""
+    """What counts of the corpus tell of a text: for each bucket of words and of n-grams the logarithm of its share, less
+    the mean over all texts; and the shares of character classes and of pairs, and words for each character."""
 
     usual: tuple[np.ndarray, np.ndarray]
-    better: tuple[np.ndarray, np.ndarray]
     classes: np.ndarray
     pairs: np.ndarray
     words: float
 
     @staticmethod
-    def of(corpus: np.ndarray, positives: np.ndarray) -> Content:
-        """Shares of positives are drawn to the corpus' as if a text of as many words or n-grams as buckets were added."""
-        usual, better, at = [], [], 0
+    def of(corpus: np.ndarray) -> Content:
+        usual, at = [], 0
         for buckets in (WORDS, GRAMS):
-            u, p = (x[at : at + buckets].astype(float) for x in (corpus, positives))
+            n = corpus[at : at + buckets].astype(float)
             at += buckets
-            all_share = (u + 1) / (u.sum() + buckets)
-            share = (p + buckets * all_share) / (p.sum() + buckets)
-            log = np.log(all_share)
-            usual.append((log - all_share @ log).astype(np.float32))
-            better.append((np.log(share) - log).astype(np.float32))
+            share = (n + 1) / (n.sum() + buckets)
+            usual.append((np.log(share) - share @ np.log(share)).astype(np.float32))
         characters = max(float(corpus[-1]), 1.0)
-        return Content(tuple(usual), tuple(better), corpus[at : at + CLASSES] / characters, corpus[at + CLASSES : -1] / characters, float(corpus[:WORDS].sum()) / characters)
+        return Content(tuple(usual), corpus[at : at + CLASSES] / characters, corpus[at + CLASSES : -1] / characters, float(corpus[:WORDS].sum()) / characters)
 
     def measures(self, texts: list[str]) -> np.ndarray:
-        """Texts by CONTENT: of words and n-grams the mean of usual and of better, drawn to 0 by USUAL characters, and the squares of the former."""
+        """Texts by CONTENT: of words and of n-grams how usual they are in the mean, drawn to 0 by USUAL characters, and its square."""
         out = np.zeros((len(texts), CONTENT))
         for i, (row, bucket) in enumerate(hashed(texts)):
             n = np.bincount(row, minlength=len(texts)) + USUAL * (self.words if i == 0 else 1.0)
-            usual, better = (np.bincount(row, table[i][bucket], len(texts)) / np.maximum(n, 1e-9) for table in (self.usual, self.better))
-            out[:, 3 * i], out[:, 3 * i + 1], out[:, 3 * i + 2] = usual, better, usual**2
+            out[:, 2 * i] = np.bincount(row, self.usual[i][bucket], len(texts)) / np.maximum(n, 1e-9)
+            out[:, 2 * i + 1] = out[:, 2 * i] ** 2
         return out
 
 
@@ -357,19 +352,19 @@ def positive_features(docs: DataFrame, some: DataFrame, content: Content) -> tup
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES) -> Model | None:
     """A model of label 1 from docs (doc_id, text) and labels (doc_id, label); rows with a null are left out.
 
-    Only labels 1 are used, of a bounded sample of about `positives` texts, of which one part is counted for Content, one
-    gives the weights and one the prior and the calibration; repeated rows and labels count as often as they come.
+    Only labels 1 are used, of a bounded sample of about `positives` texts, of which one part gives
+    the weights and one the prior, the calibration and the support; repeated rows and labels count as often as they come.
     Unlabelled are all texts of docs. None without a positive or a text. Of so few positives that a part has none, all
     serve for it.
     """
     labels = labels.select("doc_id", F.col("label").cast("int").alias("label")).na.drop().where("label = 1").select("doc_id")
     docs = docs.select("doc_id", "text").na.drop()
     some = sampled_positives(labels, positives)
-    content = Content.of(counted(docs.select("text")), counted(docs.join(F.broadcast(some.where(F.col("share") < COUNTED)), "doc_id").select("text")))
+    content = Content.of(counted(docs.select("text")))
     x, share = positive_features(docs, some, content)
     if not len(x):
         return None
-    first, rest = x[(share >= COUNTED) & (share < FITTED)], x[share >= FITTED]
+    first, rest = x[share < FITTED], x[share >= FITTED]
     first, rest = (part if len(part) else x for part in (first, rest))
     total = products(docs.select("text"), content)
     of_u, of_p = total / total[-1, -1], first.T @ first / len(first)
