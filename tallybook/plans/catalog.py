@@ -150,11 +150,11 @@ def dedupe_all(spark, d):
     return steps.dedupe(rows, newest=["o_custkey"])
 
 
-@query("SELECT o_orderkey, o_totalprice, rank FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice ASC NULLS LAST, o_orderkey) AS rank FROM orders) WHERE rank <= 100")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY nullif(o_orderstatus, 'O') DESC NULLS LAST, o_totalprice ASC NULLS LAST, o_orderkey) AS rank FROM orders")
 def sort_nulls_last(spark, d):
-    top = steps.sort(orders(spark, d), ["-o_orderstatus", "o_totalprice", "o_orderkey"]).limit(100)
-    order = Window.orderBy(*steps.sort_keys(["-o_orderstatus", "o_totalprice", "o_orderkey"]))
-    return top.select("o_orderkey", "o_totalprice", F.row_number().over(order).cast("long").alias("rank"))
+    """Places of all rows where a third and more of the first keys are null."""
+    rows = orders(spark, d).withColumn("status", F.nullif(F.col("o_orderstatus"), F.lit("O")))
+    return steps.sort_with_places(rows, ["-status", "o_totalprice", "o_orderkey"]).select("o_orderkey", "o_totalprice", F.col("place").alias("rank"))
 
 
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderstatus DESC NULLS LAST, o_totalprice ASC NULLS LAST, o_orderkey) AS rank FROM orders")
@@ -550,14 +550,14 @@ def history_rows_outside(spark, d):
     return history.rows_outside(orders(spark, d), "o_orderdate", MARCH)
 
 
-@query("""WITH s AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 1 AS stop FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 150000),
-m AS (SELECT *, CASE WHEN start <= max(stop) OVER (ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
-i AS (SELECT *, sum(fresh) OVER (ORDER BY start, stop) AS island FROM m) SELECT min(start) AS start, max(stop) AS stop FROM i GROUP BY island""")
+@query("""WITH s AS (SELECT DISTINCT o_orderpriority, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + 1 AS stop FROM orders),
+m AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY o_orderpriority ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY o_orderpriority ORDER BY start, stop) AS island FROM m) SELECT o_orderpriority, min(start) AS start, max(stop) AS stop FROM i GROUP BY o_orderpriority, island""")
 def history_coverage(spark, d):
-    """Runs of days with a large urgent order."""
+    """Runs of days with an order of each priority."""
     day = F.col("o_orderdate").cast("date")
-    spans = orders(spark, d).where("o_orderpriority = '1-URGENT' AND o_totalprice > 150000").select(day.alias("start"), F.date_add(day, 1).alias("stop")).distinct()
-    return history.covered_days(spans, "start", "stop")
+    spans = orders(spark, d).select("o_orderpriority", day.alias("start"), F.date_add(day, 1).alias("stop")).distinct()
+    return history.covered_days(spans, "start", "stop", ["o_orderpriority"])
 
 
 # --- ingest, profiles, samples -------------------------------------------------------------------------------------
