@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.operators import ordered
 from tallybook.operators.steps import SERVICE
 
 NUMBERS = ("int", "bigint", "double")
@@ -58,8 +60,9 @@ def unmatched(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> DataF
 def as_of(left: DataFrame, right: DataFrame, on: Mapping[str, str], time: tuple[str, str], columns: Sequence[str], suffix: str = "_right") -> DataFrame:
     """left with the columns of right's latest row of the same keys at or before its time; null if there is none.
 
-    One window over both tables instead of a join by ranges: a row of left takes over what the rows before it brought.
-    Of right's rows of one time the one with the greatest columns counts. Null keys and times never match.
+    Both tables are sorted together by keys and time into ranges: a row of left takes over what the rows before it brought,
+    whichever range they are in, so that one key may have any number of rows. Of right's rows of one time the one with the
+    greatest columns counts. Null keys and times never match.
     """
     mine, theirs = time
     picked = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns))
@@ -67,12 +70,10 @@ def as_of(left: DataFrame, right: DataFrame, on: Mapping[str, str], time: tuple[
     brought = right.where(F.col(theirs).isNotNull()).select(*(F.col(b).alias(f"_key_{a}") for a, b in on.items()), F.col(theirs).alias("_time"), F.lit(0).alias("_mine"), picked.alias("_found"), F.lit(None).cast(left.schema).alias("_row_of_left"))
     asking = left.select(*(F.col(a).alias(f"_key_{a}") for a in keys), F.col(mine).alias("_time"), F.lit(1).alias("_mine"), F.lit(None).cast(brought.schema["_found"].dataType).alias("_found"), F.struct(*left.columns).alias("_row_of_left"))
     both = brought.unionByName(asking)
-    upto = Window.partitionBy(*(f"_key_{a}" for a in keys)).orderBy(F.col("_time").asc_nulls_first(), "_mine", "_found").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.col("_time").isNotNull()
-    for a in keys:
-        known = known & F.col(f"_key_{a}").isNotNull()
-    last = F.when(known, F.last("_found", ignorenulls=True).over(upto))
-    out = both.withColumn("_last", last).where("_mine = 1")
+    known = reduce(lambda a, b: a & b, (F.col(f"_key_{a}").isNotNull() for a in keys), F.col("_time").isNotNull())
+    spread = F.xxhash64(*(F.col("_row_of_left")[c] for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind))  # different rows of one time may be any number
+    order = [F.col("_time").asc_nulls_first(), F.col("_mine"), F.col("_found"), spread]
+    out = ordered.with_last(both.where(known | (F.col("_mine") == 1)), [f"_key_{a}" for a in keys], order, "_found", "_last").where("_mine = 1").withColumn("_last", F.when(known, F.col("_last")))
     return out.select("_row_of_left.*", *(F.col("_last")[c].alias(f"{c}{suffix}" if c in left.columns else c) for c in columns))
 
 

@@ -1,4 +1,4 @@
-"""Places, running sums, ranks and neighbours in a total order of a whole table, without bringing it into one task.
+"""Places, running sums, ranks, neighbours and latest values in a total order of a whole table, without bringing it into one task.
 
 The table is sorted into ranges and checkpointed, as Spark would draw other bounds if it sorted again. Within a range
 windows do the work; one row for each range comes to the driver, and what lies before a range is a literal.
@@ -13,6 +13,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 RANGE, AT = "_range", "_at"
 
@@ -110,3 +111,28 @@ def with_previous(df: DataFrame, order: Sequence[Column], column: str, name: str
     from_before = F.array(*(F.lit(v).cast(kind) for v in inherited))[F.col(RANGE)]
     lagged = F.lag(column).over(Window.partitionBy(RANGE).orderBy(AT))
     return ranges.withColumn(name, F.when(F.col(AT) == 1, from_before).otherwise(lagged)).drop(RANGE, AT)
+
+
+def with_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str, name: str) -> DataFrame:
+    """The column's latest value that is not null, up to each row in the order, among rows of the same keys (nulls are equal).
+
+    One key may fill any number of ranges: the driver learns what each range's last key has brought, and hands it on to
+    the ranges in which that key goes on.
+    """
+    ranges = ranged(df, [*(F.col(k).asc_nulls_first() for k in keys), *order])
+    upto = Window.partitionBy(RANGE, *keys).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
+    ranges = ranges.withColumn("_local", F.last(column, ignorenulls=True).over(upto))
+    ends = {r[RANGE]: r["last"] for r in ranges.groupBy(RANGE).agg(F.max_by(F.struct(F.struct(*keys).alias("k"), "_local"), AT).alias("last")).collect()}  # one row for each range
+    same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+    carried, state = [], None
+    for i in sorted(ends):
+        if state is not None:
+            carried.append((i, *state))
+        key, found = ends[i]["k"], ends[i]["_local"]
+        if found is not None or state is None or not same(state[0], key):
+            state = (key, found)
+    end = ranges.select(F.struct(*keys).alias("_of"), F.col("_local").alias("_carried")).schema
+    before = df.sparkSession.createDataFrame(carried, StructType([StructField("_before", IntegerType()), *end]))
+    goes_on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col("_of")[k]) for k in keys), F.col("_before").isNotNull())
+    joined = ranges.join(F.broadcast(before), F.col(RANGE) == F.col("_before"), "left")  # one row for each range
+    return joined.withColumn(name, F.coalesce("_local", F.when(goes_on, F.col("_carried")))).drop(RANGE, AT, "_local", "_before", "_of", "_carried")

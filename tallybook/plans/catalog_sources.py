@@ -430,3 +430,79 @@ def median_by_status(spark, d):
 def rank_of_ties(spark, d):
     """Ranks where a third and more of all rows are equal."""
     return ordered.with_rank(orders(spark, d).select("o_orderkey", "o_orderstatus"), F.col("o_orderstatus").desc_nulls_last(), "o_orderstatus", "place")
+
+
+# --- reports from stored days of uploads, latest values of hot keys ---------------------------------------------------
+
+
+def two_uploads(spark: SparkSession, d: str) -> list[history.Upload]:
+    """Orders to February 1998, and anew, at twice the price, from the middle of that month on."""
+    rows = orders(spark, d).select("o_custkey", *COLUMNS)
+    out = []
+    for seq, (part, period) in enumerate(((rows.where("o_orderdate < '1998-03-01'"), "1990-01-01..1998-02-28"), (rows.where("o_orderdate >= '1998-02-15'").withColumn("o_totalprice", F.col("o_totalprice") * 2), "1998-02-15..1999-12-31")), 1):
+        path = scratch(spark)
+        part.withColumns({"_upload_id": F.lit(f"u{seq}"), "_upload_seq": F.lit(seq), "_row": F.col("o_orderkey"), "_month": history.month_of("o_orderdate")}).write.partitionBy("_month").parquet(path)
+        out.append(history.Upload(f"u{seq}", seq, path, Period.read(period)))
+    return out
+
+
+_TWICE = {"o_custkey": "int", **COLUMNS}
+_DAYS = scenario.Scenario(
+    {"orders": {"source": "orders", "steps": [{"type": "filter", "where": "o_totalprice > 1000"}]}},
+    {
+        "by_status": {
+            "input": "orders",
+            "period_column": "o_orderdate",
+            "keys": ["o_orderstatus"],
+            "aggregates": [
+                {"fn": "count", "name": "n"},
+                {"fn": "sum", "column": "o_totalprice", "name": "total"},
+                {"fn": "mean", "column": "o_totalprice", "name": "mean"},
+                {"fn": "count_distinct", "column": "o_custkey", "name": "customers"},
+                {"fn": "median", "column": "o_totalprice", "name": "middle"},
+                {"fn": "last", "column": "o_orderkey", "name": "newest"},
+            ],
+            "compare": [{"kind": "previous_period", "suffix": "prev"}],
+        },
+        "by_month": {"input": "orders", "period_column": "o_orderdate", "window": "year_to_date", "keys": [{"column": "o_orderdate", "bucket": "month", "name": "month"}], "aggregates": [{"fn": "count", "name": "n"}, {"fn": "max", "column": "o_totalprice", "name": "most"}]},
+    },
+)
+_EFFECTIVE = """WITH h AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-02-15' UNION ALL SELECT * REPLACE (o_totalprice * 2 AS o_totalprice) FROM orders WHERE o_orderdate >= DATE '1998-02-15'),
+e AS (SELECT *, date_trunc('month', o_orderdate) AS m FROM h WHERE o_totalprice > 1000)"""
+
+
+def _from_days(spark: SparkSession, d: str) -> scenario.Report:
+    """March's report after one of February has stored the days of the first upload."""
+    uploads, store = two_uploads(spark, d), scratch(spark)
+    source = lambda n: history.History(uploads[:n], _TWICE, "o_orderdate")
+    scenario.run(spark, _DAYS, {"orders": source(1)}, Period.read("1998-02"), store)
+    return scenario.run(spark, _DAYS, {"orders": source(2)}, MARCH, store)
+
+
+@query(
+    _EFFECTIVE
+    + """, a AS (SELECT o_orderstatus, m, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, count(DISTINCT o_custkey) AS customers, round(median(o_totalprice), 4) AS middle,
+arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest FROM e WHERE m IN (DATE '1998-02-01', DATE '1998-03-01') GROUP BY ALL)
+SELECT x.* EXCLUDE (m), y.n AS n_prev, y.total AS total_prev, y.mean AS mean_prev, y.customers AS customers_prev, y.middle AS middle_prev, y.newest AS newest_prev
+FROM a x LEFT JOIN a y ON x.o_orderstatus = y.o_orderstatus AND y.m = DATE '1998-02-01' WHERE x.m = DATE '1998-03-01'"""
+)
+def partials_compared(spark, d):
+    """A compared table of counts, sums, means, different values, medians and latest values, from stored days of two uploads."""
+    found = _from_days(spark, d).frames["by_status"]
+    places = {"total": 2, "mean": 4, "middle": 4}
+    names = [f"{c}{end}" for end in ("", "_prev") for c in ("n", "total", "mean", "customers", "middle", "newest")]
+    return found.select("o_orderstatus", *((F.round(c, places[k]).alias(c) if (k := c.removesuffix("_prev")) in places else F.col(c)) for c in names))
+
+
+@query(_EFFECTIVE + " SELECT CAST(m AS DATE) AS month, count(*) AS n, max(o_totalprice) AS most FROM e WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1998-04-01' GROUP BY 1")
+def partials_by_month(spark, d):
+    """Months of the year to date from the same days' kind, of which the later upload replaces the middle of one on."""
+    return _from_days(spark, d).frames["by_month"]
+
+
+@query("""SELECT o_orderkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END IGNORE NULLS) OVER (PARTITION BY o_orderpriority = '5-LOW' ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS last_total FROM orders""")
+def latest_of_hot_keys(spark, d):
+    """The total of the latest finished order up to each one, for two keys that hold all rows."""
+    finished = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    rows = orders(spark, d).select("o_orderkey", "o_orderdate", (F.col("o_orderpriority") == "5-LOW").alias("low"), finished.alias("finished"))
+    return ordered.with_last(rows, ["low"], [F.col("o_orderdate"), F.col("o_orderkey")], "finished", "last_total").select("o_orderkey", "last_total")

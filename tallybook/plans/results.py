@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Callable, Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.plans.scenario import Report, Scenario
-
-
-def node_key(spec: object, period: str, inputs: Mapping[str, str], version: str = "1") -> str:
-    """SHA-256 of a node's specification, period and the keys of what it reads."""
-    return hashlib.sha256(json.dumps([version, spec, period, sorted(inputs.items())], sort_keys=True, default=str).encode()).hexdigest()
-
-
-def cached(spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table stored under key, or build()'s, which is stored; Spark's own commit makes the write all or nothing."""
-    path = f"{folder}/{key}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-    build().write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+from tallybook.plans.store import cached, node_key  # noqa: F401  found here by callers
 
 
 def write_report(report: Report, folder: str) -> None:

@@ -15,6 +15,8 @@ from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
 from tallybook.operators import datasets, joins, steps
 from tallybook.operators.metrics import Metric, Metrics, plain
+from tallybook.plans import partials
+from tallybook.sources.history import History, history_view
 
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "filter": lambda df, where=None, conditions=(), combine="and": steps.filter_where(df, where) if where else steps.filter_conditions(df, conditions, combine),
@@ -181,11 +183,14 @@ def sql_tables(scenario: Scenario, frames: Mapping[str, DataFrame], names: set[s
     return out
 
 
-def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], period: Period) -> Report:
+def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], period: Period, store: str | None = None) -> Report:
     """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader.
 
-    A wrong specification fails its own node, and what reads the node is skipped.
+    A wrong specification fails its own node, and what reads the node is skipped. With a folder for stored partial
+    aggregates, tables over a history whose days can be merged read the rows of uploads that are new to it alone.
     """
+    histories = {n: s for n, s in sources.items() if isinstance(s, History)}
+    sources = {n: history_view(spark, s) if n in histories else s for n, s in sources.items()}
     found = problems(scenario)
     broken = {name: "; ".join(texts) for (kind, name), texts in found.items() if kind != "metric"}
     needs = needs_of(spark, scenario, broken)
@@ -208,7 +213,13 @@ def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame
             elif "query" in spec:
                 report.frames[name] = formulas.run_sql(spark, spec["query"], sql_tables(scenario, report.frames, needs[name], spec, period))
             else:
-                report.frames[name] = datasets.build(report.frames[spec["input"]], table_of(spec), period)
+                made, of = table_of(spec), scenario.inputs[spec["input"]]
+                past, before = histories.get(of["source"]), of.get("steps", ())
+                if store and past and partials.mergeable(past, before, made):
+                    rows_of = lambda rows, of=of: build_input(spark, of, {of["source"]: rows}, {}, period)
+                    report.frames[name] = partials.build(spark, store, past, before, rows_of, made, period)
+                else:
+                    report.frames[name] = datasets.build(report.frames[spec["input"]], made, period)
             report.statuses[name] = Status("ok")
         except Exception as problem:  # a node's failure is its own
             report.statuses[name] = Status("failed", str(problem).splitlines()[0])
