@@ -12,7 +12,7 @@ from tallybook.functions.aggregates import Aggregate, Key
 from tallybook.functions.periods import Period
 from tallybook.operators import datasets, diagnostics, formats, joins, ordered, shaping, steps
 from tallybook.operators.datasets import Derive, Table
-from tallybook.plans import preview, results, scenario
+from tallybook.plans import preview, profiles, results, scenario
 from tallybook.plans.catalog import MARCH, _formula, _rounded, _sql, lines, orders, query, table
 from tallybook.sources import delimited, history, ingest, parsing, profile, readers
 
@@ -506,3 +506,18 @@ def latest_of_hot_keys(spark, d):
     finished = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
     rows = orders(spark, d).select("o_orderkey", "o_orderdate", (F.col("o_orderpriority") == "5-LOW").alias("low"), finished.alias("finished"))
     return ordered.with_last(rows, ["low"], [F.col("o_orderdate"), F.col("o_orderkey")], "finished", "last_total").select("o_orderkey", "last_total")
+
+
+@query(
+    _EFFECTIVE.replace(" WHERE o_totalprice > 1000", "")
+    + "".join(
+        f"""{" UNION ALL" if i else ""} SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS nulls, {least.format(f"min({c})")} AS least, {least.format(f"max({c})")} AS greatest, true AS near FROM h"""
+        for i, (c, least) in enumerate((("o_custkey", "CAST({} AS VARCHAR)"), ("o_orderkey", "CAST({} AS VARCHAR)"), ("o_orderstatus", "{}"), ("o_orderdate", "strftime({}, '%Y-%m-%d %H:%M:%S')")))
+    )
+)
+def profile_merged(spark, d):
+    """A source's profile from stored months of its two uploads: counts and extremes exact, different values within 2 %."""
+    source, columns = history.History(two_uploads(spark, d), _TWICE, "o_orderdate"), ["o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"]
+    exact = profile.profile(history.history_view(spark, source), columns, exact=True).select("column", F.col("distinct_values").alias("really"))
+    near = F.abs(F.col("distinct_values") - F.col("really")) <= F.col("really") / 50
+    return profiles.profile(spark, scratch(spark), source, columns).join(exact, "column").select("column", "rows", "nulls", "least", "greatest", near.alias("near"))

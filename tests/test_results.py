@@ -10,8 +10,8 @@ from tallybook.functions.periods import Period
 from tallybook.functions.aggregates import Aggregate, Key
 from tallybook.operators import datasets, diagnostics, joins, ordered
 from tallybook.plans import preview as P
-from tallybook.plans import partials, results, scenario
-from tallybook.sources import workbook
+from tallybook.plans import partials, profiles, results, scenario
+from tallybook.sources import profile, workbook
 from tallybook.sources.history import History, Upload, history_view
 
 
@@ -192,3 +192,28 @@ def test_latest_values_over_ranges_without_any(spark, many_ranges):
     rows = spark.range(1000).select((F.col("id") >= 900).alias("k"), F.col("id"), F.when(F.col("id").isin(3, 950), F.col("id")).alias("x"))
     found = {r.id: r.last for r in ordered.with_last(rows, ["k"], [F.col("id")], "x", "last").collect()}
     assert found == {i: None if i < 3 or 900 <= i < 950 else 3 if i < 900 else 950 for i in range(1000)}
+
+
+def test_profiles_from_stored_months(spark, tmp_path):
+    past = History(two(spark, tmp_path), COLUMNS, "d")
+    found = {r["column"]: r for r in profiles.profile(spark, f"{tmp_path}/store", past).collect()}
+    rows = history_view(spark, past)
+    exact = {r["column"]: r for r in profile.profile(rows, ["g", "x", "d"], exact=True).collect()}
+    for c, r in exact.items():
+        assert {k: found[c][k] for k in r.asDict()} == r.asDict(), c
+    assert [(v["item"], v["count"]) for v in found["g"]["common"]][:2] == [("a", 4), ("b", 3)]
+    assert found["x"]["quarters"] == [2.0, 5.0, 6.0] and found["g"]["quarters"] is None
+    empty = History([stored(spark, tmp_path, "none", 3, [("q", None, None)], "2024-05")], COLUMNS, "d")
+    one = {r["column"]: r for r in profiles.profile(spark, f"{tmp_path}/store", empty).collect()}
+    assert (one["x"]["nulls"], one["x"]["distinct_values"], one["x"]["quarters"], one["x"]["common"], one["d"]["least"]) == (1, 0, None, [], None)
+    with pytest.raises(ValueError, match="keys"):
+        profiles.profile(spark, f"{tmp_path}/store", History(past.uploads, COLUMNS, "d", "merge_dedupe", ["g"]))
+
+
+def test_profiles_read_no_rows_again(spark, tmp_path):
+    whole = [stored(spark, tmp_path, "w1", 1, [("a", 1.0, "2024-01-05"), ("b", 2.0, "2024-02-05")], "2024-01-01..2024-02-29"), stored(spark, tmp_path, "w2", 2, [("c", 3.0, "2024-02-07")], "2024-02")]
+    past = History(whole, COLUMNS, "d")
+    for _ in range(2):
+        found = profiles.profile(spark, f"{tmp_path}/store", past)
+        assert {r["column"]: (r["rows"], r["greatest"]) for r in found.collect()}["g"] == (2, "c")
+        assert all("/store/" in f for f in found.inputFiles())
