@@ -75,7 +75,8 @@ def merged(months: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
                 F.filter(F.call_function("approx_top_k_estimate", F.call_function("approx_top_k_combine", part("frequent")), F.lit(n)), lambda x: x["item"].isNotNull()).alias("common"),
             )
         )
-    return months.agg(F.array(*out).alias("p")).select(F.explode("p").alias("p")).select("p.*").where("rows > 0")
+    # grouped by a constant: Spark cannot combine the frequent items of a partition without rows, of which only a grouped aggregation makes none
+    return months.groupBy(F.lit(0).alias("_all")).agg(F.array(*out).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
 def cut_months(periods: Sequence[Period]) -> set[str]:

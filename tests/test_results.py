@@ -194,7 +194,7 @@ def test_latest_values_over_ranges_without_any(spark, many_ranges):
     assert found == {i: None if i < 3 or 900 <= i < 950 else 3 if i < 900 else 950 for i in range(1000)}
 
 
-def test_profiles_from_stored_months(spark, tmp_path):
+def test_profiles_from_stored_months(spark, tmp_path, many_ranges):
     past = History(two(spark, tmp_path), COLUMNS, "d")
     found = {r["column"]: r for r in profiles.profile(spark, f"{tmp_path}/store", past).collect()}
     rows = history_view(spark, past)
@@ -210,6 +210,15 @@ def test_profiles_from_stored_months(spark, tmp_path):
         profiles.profile(spark, f"{tmp_path}/store", History(past.uploads, COLUMNS, "d", "merge_dedupe", ["g"]))
 
 
+def test_profiles_of_scattered_months(spark):
+    """Partitions without rows, among those that are merged, do no harm."""
+    rows = spark.range(3).select((F.col("id") % 2).alias("v"), F.lit("2024-01-05").cast("date").alias("d"))
+    months = profiles.by_month(rows, "d", ["v"])
+    (found,) = profiles.merged(months.repartition(16), ["v"]).collect()
+    assert (found["rows"], found["distinct_values"], found["common"][0]["count"]) == (3, 2, 2)
+    assert profiles.merged(months.limit(0), ["v"]).count() == 0
+
+
 def test_profiles_read_no_rows_again(spark, tmp_path):
     whole = [stored(spark, tmp_path, "w1", 1, [("a", 1.0, "2024-01-05"), ("b", 2.0, "2024-02-05")], "2024-01-01..2024-02-29"), stored(spark, tmp_path, "w2", 2, [("c", 3.0, "2024-02-07")], "2024-02")]
     past = History(whole, COLUMNS, "d")
