@@ -521,3 +521,24 @@ def profile_merged(spark, d):
     exact = profile.profile(history.history_view(spark, source), columns, exact=True).select("column", F.col("distinct_values").alias("really"))
     near = F.abs(F.col("distinct_values") - F.col("really")) <= F.col("really") / 50
     return profiles.profile(spark, scratch(spark), source, columns).join(exact, "column").select("column", "rows", "nulls", "least", "greatest", near.alias("near"))
+
+
+@query("""WITH h AS (SELECT * FROM orders WHERE o_orderdate < DATE '1998-02-15' UNION ALL SELECT * REPLACE (o_totalprice * 2 AS o_totalprice) FROM orders WHERE o_orderdate >= DATE '1998-02-15'),
+l AS (SELECT l_orderkey, l_quantity FROM lineitem), f AS (SELECT * FROM h WHERE o_totalprice > 50000), e AS (SELECT DISTINCT o_orderkey FROM f)
+SELECT 'source' AS step, count(*) AS n, true AS near FROM h UNION ALL SELECT 'filter', count(*), true FROM f UNION ALL SELECT 'dedupe', count(*), true FROM e
+UNION ALL SELECT 'join', count(*), true FROM e LEFT JOIN l ON o_orderkey = l_orderkey""")
+def preview_stored(spark, d):
+    """Rows after each step from stored samples of two uploads and of the table that they join by other names, beside the
+    rows of the whole run: an order of the sample has all its lines. Near is within 5 %, as the preview says of itself."""
+    steps_of = [
+        {"type": "filter", "where": "o_totalprice > 50000"},
+        {"type": "dedupe", "by": ["o_orderkey"], "newest": ["o_orderdate"]},
+        {"type": "join", "with": "lines", "on": {"o_orderkey": "l_orderkey"}, "columns": ["l_quantity"]},
+    ]
+    made = scenario.Scenario({"orders": {"source": "orders", "steps": steps_of}, "lines": {"source": "lines"}})
+    source = history.History(two_uploads(spark, d), _TWICE, "o_orderdate")
+    line = lines(spark, d).select("l_orderkey", "l_quantity")
+    about = preview.stored_preview(spark, made, {"orders": source, "lines": line}, "orders", MARCH, scratch(spark), 1, 8000)[1]
+    exact = preview.preview(spark, made, {"orders": history.history_view(spark, source), "lines": line}, "orders", MARCH, 1, large=1 << 62)[1]
+    rows = [(e.step, e.rows, abs(a.rows - e.rows) <= 0.05 * e.rows and a.error <= 0.05) for a, e in zip(about, exact, strict=True)]
+    return spark.createDataFrame(rows, "step string, n long, near boolean")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.periods import Period
+from tallybook.plans import samples
 from tallybook.plans.scenario import Scenario, build_input
+from tallybook.sources.history import History
 from tallybook.sources.profile import sampled
 
 #: Inputs above LARGE rows are sampled down to about TARGET.
@@ -40,11 +42,12 @@ def sample_key(scenario: Scenario, name: str) -> Sequence[str]:
 
 @dataclass
 class StepCount:
-    """Rows after a step; about, if the input was sampled."""
+    """Rows after a step; about, if the input was sampled: error is by which share its sample missed rows that are known."""
 
     step: str
     rows: int
     exact: bool
+    error: float = 0.0
 
 
 def row_counts(frames: Mapping[str, DataFrame]) -> dict[str, int]:
@@ -81,6 +84,38 @@ def step_counts(spark: SparkSession, spec: Mapping, sources: Mapping[str, DataFr
     return result
 
 
+def shared_columns(scenario: Scenario, name: str, sources: Mapping[str, DataFrame | History]) -> dict[str, list[str]]:
+    """For an input and those that it joins, the columns of each one's source that samples are taken by; none where a source
+    is needed whole, as a join is not by the sample's key or an earlier step made the key."""
+    columns = list(sources[scenario.inputs[name]["source"]].columns)
+    keys = list(sample_key(scenario, name))
+    known = bool(keys) and set(keys) <= set(columns)
+    out = {name: keys if known else columns}
+    for step in scenario.inputs[name].get("steps", ()):
+        if step["type"] == "join":
+            on = step["on"] if isinstance(step["on"], Mapping) else {c: c for c in step["on"]}
+            out[step["with"]] = [on[c] for c in keys] if known and set(keys) <= set(on) else []
+    return out
+
+
+def stored_preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], name: str, period: Period, store: str, limit: int = 100, target: int | None = None) -> tuple[list[dict], list[StepCount]]:
+    """The same preview from samples of uploads that are stored once, of at most target rows each (TARGET).
+
+    The rows of a source are estimated too. An input that joins one which lacks the sample's columns gets all rows of it.
+    Two inputs of one source are sampled apart.
+    """
+    spec, keys = scenario.inputs[name], shared_columns(scenario, name, sources)
+    of = {n: sources[scenario.inputs[n]["source"]] for n in keys}
+    found = samples.joint(spark, store, of, keys, TARGET if target is None else target)
+    parts = {n: {**scenario.inputs[n], "source": n} for n in keys}
+    done = {n: build_input(spark, parts[n], found.tables, {}, period) for n in keys if n != name}
+    exact = found.rate == 1
+    counted = step_counts(spark, parts[name], found.tables, done, period)
+    counts = [StepCount(step, round(n / found.rate), exact, found.error) for step, n in counted]
+    out = build_input(spark, {**spec, "source": name}, found.tables, done, period)
+    return [r.asDict() for r in out.limit(limit).collect()], counts
+
+
 def preview(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame], name: str, period: Period, limit: int = 100, large: int | None = None) -> tuple[list[dict], list[StepCount]]:
     """The first rows of an input after its steps, and the rows after each step; inputs above `large` rows (LARGE) are sampled."""
     needed = {name, *(s["with"] for s in scenario.inputs[name].get("steps", ()) if s["type"] == "join")}

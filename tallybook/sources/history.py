@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import date, timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +108,14 @@ def read_upload(spark: SparkSession, history: History, upload: Upload, span: Spa
     """One upload in the source's shape; whole months outside the span are not listed.
 
     An upload that works by keys is read whole: a key that it has in another month takes the place of rows inside the span.
+    An upload without rows has no files, and is an empty table.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(upload.path)
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(upload.path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        df = spark.createDataFrame([], ", ".join(f"`{c}` {SPARK_TYPES[k]}" for c, k in history.columns.items()) + ", _upload_id string, _upload_seq int, _row long, _month string")
     if span and "_month" in df.columns and not by_keys:
         start, stop = span
         if start is not None:

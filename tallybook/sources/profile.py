@@ -33,11 +33,24 @@ def most_common(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), F.asc(column)).limit(n)
 
 
+def key_hash(df: DataFrame, keys: Sequence[str]) -> Column:
+    """64 bits that are equal for equal keys in every table: of numbers whatever their types, of a date and a timestamp of
+    its day, and of nulls."""
+    kinds = dict(df.dtypes)
+
+    def comparable(c: str) -> Column:
+        if kinds[c].startswith("timestamp"):
+            return F.col(c).cast("date").cast("string")
+        number = kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal")
+        return F.col(c).cast("double") + F.lit(0.0) if number else F.col(c).cast("string")
+
+    # nulls leave a hash as it was, which would be the seed, the least of all, for keys of nulls alone
+    return F.xxhash64(F.lit("key"), *map(comparable, keys))
+
+
 def sampled(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """About 1 / k of the rows; rows of equal keys stay together, in every table that is sampled by the same keys."""
-    kinds = dict(df.dtypes)
-    text: list[Column] = [F.coalesce((F.col(c).cast("date") if kinds[c].startswith("timestamp") else F.col(c)).cast("string"), F.lit("\0")) for c in keys]
-    return df.where(F.pmod(F.xxhash64(*text), F.lit(k)) == 0)
+    return df.where(F.pmod(key_hash(df, keys), F.lit(k)) == 0)
 
 
 def newest_only_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
