@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from datetime import date
 from functools import reduce
 from uuid import uuid4
 
@@ -159,9 +161,23 @@ def _quoted(text: str, like: bool) -> str:
     return text
 
 
+#: The day that CURRENT_DATE and TODAY() mean, if a run fixes one.
+RUN_DAY: ContextVar[date | None] = ContextVar("RUN_DAY", default=None)
+
+
+@contextmanager
+def run_on(day: date | None) -> Iterator[None]:
+    """Build plans as of a day, so that a report made again later is the same."""
+    token = RUN_DAY.set(day)
+    try:
+        yield
+    finally:
+        RUN_DAY.reset(token)
+
+
 def spark_text(text: str) -> str:
-    """The dialect's text as Spark's: fractional literals as doubles, // as whole division, and functions by names that
-    Spark knows. What is quoted keeps its meaning; backslashes escape nothing."""
+    """The dialect's text as Spark's: fractional literals as doubles, // as whole division, functions by names that
+    Spark knows, and the run's day. What is quoted keeps its meaning; backslashes escape nothing."""
     text = _calls(_whole_divisions(_casts(text)))
     out, at = [], 0
     for m in [*QUOTED.finditer(text), None]:
@@ -169,6 +185,8 @@ def spark_text(text: str) -> str:
         part = re.sub(r"(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])", r"\1D", part)
         for name, written in WRITTEN.items():
             part = re.sub(rf"(?i)(?<![\w.]){name}\s*\(", f"{written}(", part)
+        if day := RUN_DAY.get():
+            part = re.sub(r"(?i)(?<![\w.])(current_date\b(\s*\(\s*\))?|(today|curdate)\s*\(\s*\))(?!\s*[.(])", f"DATE '{day}'", part)
         out.append(part)
         if m:
             like = re.search(r"(?i)\bi?like\s*$", part) and not re.match(r"(?i)\s*escape\b", text[m.end() :])

@@ -36,11 +36,16 @@ def day(value: Column, code: str = "%d.%m.%Y") -> Column:
 
 
 def period_variables(period: Period) -> dict[str, str]:
-    """What texts may name: the period, its ends, and the two that it is compared with."""
-    before, last_year = period.moved(-1), period.a_year_before()
+    """What texts may name: the period, its ends, the two that it is compared with, and the calendar around its last day:
+    year, month and quarter, the year before, and the last quarter that had ended by then."""
+    before, last_year, end = period.moved(-1), period.a_year_before(), period.last_day
+    quarter = Period.around(end, "quarter")
+    ended = quarter if quarter.stop <= period.stop else quarter.moved(-1)
     return {
-        "period": period.code, "period_start": f"{period.start:%d.%m.%Y}", "period_end": f"{period.last_day:%d.%m.%Y}", "year": str(period.start.year),
-        "month": f"{period.start.month:02}", "quarter": str((period.start.month + 2) // 3), "previous_period": before.code, "last_year_period": last_year.code,
+        "period": period.code, "period_start": f"{period.start:%d.%m.%Y}", "period_end": f"{end:%d.%m.%Y}", "year": str(end.year),
+        "month": f"{end.month:02}", "quarter": quarter.code[-1], "previous_period": before.code, "last_year_period": last_year.code,
+        "unit": period.unit, "previous_year": str(end.year - 1), "quarter_year": str(end.year),
+        "last_quarter": ended.code[-1], "last_quarter_year": ended.code[:4], "last_quarter_period": ended.code,
     }
 
 

@@ -542,3 +542,123 @@ def preview_stored(spark, d):
     exact = preview.preview(spark, made, {"orders": history.history_view(spark, source), "lines": line}, "orders", MARCH, 1, large=1 << 62)[1]
     rows = [(e.step, e.rows, abs(a.rows - e.rows) <= 0.05 * e.rows and a.error <= 0.05) for a, e in zip(about, exact, strict=True)]
     return spark.createDataFrame(rows, "step string, n long, near boolean")
+
+
+# --- untidy files, drafts and reconciling, periods of uploads, the day of a run ---------------------------------------
+
+
+def written(spark: SparkSession, rows: DataFrame, *head: str) -> str:
+    """A file of the given lines and then of the rows' `value`, in the order of their `place`; rows are text as it is, of any bytes."""
+    path = scratch(spark)
+    first = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "place long, value string")
+    first.unionByName(rows.select("place", "value")).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    return path
+
+
+@query("""SELECT o_orderkey AS k, o_orderstatus AS "Note", o_orderpriority AS "Note (2)", CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_custkey AS VARCHAR) END AS "column 4" FROM orders""")
+def ingest_untidy(spark, d):
+    """A title above the header, repeated and blank names, short rows, cells beyond the header, and blank rows between."""
+    short, more, empty = F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 3 == 1, F.lit(";;;")
+    cells = F.concat_ws(";", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
+    line = F.when(short, cells).otherwise(F.concat_ws(";", cells, F.col("o_custkey").cast("string"), F.when(more, "beyond")))
+    rows = orders(spark, d).select(F.col("o_orderkey").alias("place"), F.explode(F.array(line, empty)).alias("value"))
+    path = written(spark, rows, "Orders of all years", "Key;Note;Note;;")
+    return delimited.read_folder(spark, path, "truncate").select(F.col("Key").cast("long").alias("k"), "Note", "Note (2)", "column 4")
+
+
+@query("SELECT o_orderkey AS k, 'заказ ' || o_orderpriority AS note FROM orders")
+def ingest_windows_1251(spark, d):
+    """A file that is not UTF-8 is read as windows-1251."""
+    word = F.unhex(F.lit("E7E0EAE0E7")).cast("string")
+    rows = orders(spark, d).select(F.col("o_orderkey").alias("place"), F.concat(F.col("o_orderkey").cast("string"), F.lit(";"), word, F.lit(" "), F.col("o_orderpriority")).alias("value"))
+    return delimited.read_folder(spark, written(spark, rows, "k;note")).select(F.col("k").cast("long").alias("k"), "note")
+
+
+@query("SELECT o_orderkey AS order_no, o_totalprice AS amount, o_orderstatus AS status FROM orders")
+def ingest_reconciled(spark, d):
+    """Columns of a file that were put in another order and under other names, one with a month in it, under the source's names."""
+    names = {"Status of order": "o_orderstatus", "Amount, March 1998": "o_totalprice", "ORDER-NO": "o_orderkey"}
+    text = orders(spark, d).select(*(F.col(c).cast("string").alias(n) for n, c in names.items()))
+    found = ingest.reconcile(text.columns, {"order_no": ["Order no"], "amount": ["Amount, February 1998"], "status": ["Status of an order"]})
+    return text.select(F.col(f"`{found['order_no']}`").cast("long").alias("order_no"), F.col(f"`{found['amount']}`").cast("double").alias("amount"), F.col(f"`{found['status']}`").alias("status"))
+
+
+@query("""SELECT 'order_number' AS id, 'string' AS kind, false AS period, count(o_orderkey) AS cells FROM orders UNION ALL SELECT 'order_date', 'date', true, count(o_orderdate) FROM orders
+UNION ALL SELECT 'order_date_2', 'string', false, count(o_orderstatus) FROM orders UNION ALL SELECT 'c_1_total', 'float', false, count(o_totalprice) FROM orders""")
+def ingest_draft(spark, d):
+    """A suggestion for a new source: ids from names, types from all cells, codes as text, and the column of the period."""
+    columns = {"Order number": F.col("o_orderkey").cast("string"), "Order date": F.date_format("o_orderdate", "dd.MM.yyyy"), "Order  date?": F.col("o_orderstatus"), "1. Total": F.format_string("%.2f", F.col("o_totalprice") + 0.25)}
+    text = orders(spark, d).select(*(c.alias(n) for n, c in columns.items()))
+    found = ingest.draft(parsing.infer(text))
+    cells = text.agg(*(F.count(f"`{n}`").alias(i) for n, i in found.columns.items())).first()
+    return spark.createDataFrame([(i, kind, i == found.period_column, cells[i]) for i, kind in found.types.items()], "id string, kind string, period boolean, cells long")
+
+
+@query("""SELECT o_orderkey, DATE '1998-02-01' AS day FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, DATE '1998-03-01' FROM orders WHERE o_orderstatus <> 'F'""")
+def history_by_upload(spark, d):
+    """Snapshots whose period comes with the upload: of four, one was declared anew by a later one, and one lies outside."""
+    uploads = []
+    for seq, (where, period) in enumerate((("o_orderstatus = 'F'", "1998-01"), ("o_orderstatus = 'F'", "1998-02"), ("o_orderstatus = 'O'", "1998-02"), ("o_orderstatus <> 'F'", "1998-03")), 1):
+        path = scratch(spark)
+        orders(spark, d).where(where).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day")).withColumns({"_upload_id": F.lit(f"u{seq}"), "_upload_seq": F.lit(seq), "_row": F.col("o_orderkey")}).write.parquet(path)
+        uploads.append(history.Upload(f"u{seq}", seq, path, Period.read(period)))
+    source = history.History(uploads, {"o_orderkey": "int", "day": "date"}, "day", by_upload=True)
+    return history.history_view(spark, source, (date(1998, 2, 1), date(1998, 4, 1))).select("o_orderkey", "day")
+
+
+@query("""WITH y AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS id FROM orders GROUP BY 1)
+SELECT id FROM y WHERE id IN ('1995', '1998') UNION ALL SELECT 'anew' WHERE EXISTS (FROM y)""")
+def history_uploads_of_span(spark, d):
+    """Uploads that a report from the middle of 1995 to that of 1998 reads: those of years, of which a later one replaces two."""
+    years = sorted(str(r[0]) for r in orders(spark, d).select(F.year("o_orderdate")).distinct().collect())
+    uploads = [history.Upload(y, i, "", Period.read(y)) for i, y in enumerate(years)]
+    made = history.History([*uploads, history.Upload("anew", len(years), "", Period.read("1996-01-01..1997-12-31"))], COLUMNS, "o_orderdate")
+    return spark.createDataFrame([(u.id,) for u in history.uploads_in(made, (date(1995, 7, 1), date(1998, 7, 1)))], "id string")
+
+
+@query("""SELECT o_orderkey, date_diff('day', o_orderdate, DATE '1998-03-15') AS age, last_day(o_orderdate) = last_day(DATE '1998-03-15') AS same FROM orders WHERE o_orderdate < DATE '1998-03-15'""")
+def scenario_run_day(spark, d):
+    """A report of a fixed day: what formulas and queries call the current date."""
+    steps_of = [{"type": "filter", "where": "o_orderdate < CURRENT_DATE"}, {"type": "formula", "name": "age", "text": "date_diff('day', o_orderdate, current_date())"}]
+    tables = {"ages": {"query": "SELECT o_orderkey, age, last_day(o_orderdate) = last_day(today()) AS same FROM orders"}}
+    made = scenario.Scenario({"orders": {"source": "orders", "steps": steps_of}}, tables)
+    return scenario.run(spark, made, {"orders": orders(spark, d)}, MARCH, today=date(1998, 3, 15)).frames["ages"]
+
+
+@query("""WITH m AS (SELECT max(o_orderdate) AS last FROM orders), q AS (SELECT last, CASE WHEN month(last) % 3 = 0 THEN date_trunc('quarter', last) ELSE date_trunc('quarter', last) - INTERVAL 3 MONTH END AS ended FROM m)
+SELECT strftime(last, '%Y-%m') AS period, CAST(year(last) - 1 AS VARCHAR) AS previous_year, CAST(quarter(last) AS VARCHAR) AS quarter, year(ended) || '-Q' || quarter(ended) AS last_quarter_period FROM q""")
+def format_period(spark, d):
+    """What texts may name of the newest month of the data."""
+    newest = orders(spark, d).agg(F.max("o_orderdate").cast("date")).first()[0]
+    found = formats.period_variables(Period.around(newest, "month"))
+    names = ("period", "previous_year", "quarter", "last_quarter_period")
+    return spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} string" for n in names))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, 'ok' AS state, CAST((SELECT count(*) FROM orders) AS DOUBLE) AS metric FROM orders GROUP BY 1")
+def report_files(spark, d):
+    """A report's table, metric and status as they come back from its files."""
+    spec = {"input": "orders", "period_column": "o_orderdate", "window": {"range": {"start": "1900-01-01", "end": "2100-01-01"}}, "keys": ["o_orderstatus"], "aggregates": [{"fn": "count", "name": "n"}, {"fn": "sum", "column": "o_totalprice", "name": "total"}]}
+    made = scenario.Scenario({"orders": {"source": "orders"}}, {"by_status": spec}, {"orders_in_all": {"source": "orders", "aggregate": {"fn": "count"}}})
+    found, path = scenario.run(spark, made, {"orders": orders(spark, d)}, MARCH), scratch(spark)
+    results.write_report(scenario.Report({"by_status": found.frames["by_status"]}, found.values, found.statuses), path)
+    said = spark.read.text(f"{path}/_metrics").select(F.get_json_object("value", "$.statuses.by_status.state").alias("state"), F.get_json_object("value", "$.metrics.orders_in_all").cast("double").alias("metric"))
+    return spark.read.parquet(f"{path}/by_status").withColumn("total", F.round("total", 2)).join(F.broadcast(said))  # one row
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def report_arrow(spark, d):
+    """A finished table as Arrow, as a renderer takes it."""
+    return spark.createDataFrame(results.to_arrow(orders(spark, d).groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))))
+
+
+@query("""SELECT 'empty_' || lower(s) AS name FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(s) WHERE s NOT IN (SELECT o_orderstatus FROM orders)
+UNION ALL SELECT 'absent: upload ' || y || ' has no o_totalprice' FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders) WHERE y IN (1996, 1997)""")
+def diagnose_empty_and_absent(spark, d):
+    """Tables without rows, and uploads of two years whose files lack a used column."""
+    rows = orders(spark, d)
+    none = diagnostics.empty_nodes({f"empty_{s.lower()}": rows.where(F.col("o_orderstatus") == s) for s in "FOPX"})
+    years = sorted(str(r[0]) for r in rows.select(F.year("o_orderdate")).distinct().collect())
+    made = history.History([history.Upload(y, i, "", Period.read(y)) for i, y in enumerate(years)], COLUMNS, "o_orderdate")
+    lack = diagnostics.absent_columns(made, {y: {*COLUMNS} - {"o_totalprice"} for y in years}, ["o_totalprice", "o_orderkey"], (date(1996, 1, 1), date(1998, 1, 1)))
+    return spark.createDataFrame([(x,) for x in [*none, *(f"absent: {w}" for w in lack)]], "name string")

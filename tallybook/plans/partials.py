@@ -126,7 +126,7 @@ def effective_days(spark: SparkSession, store: str, source: history.History, ste
     frames = []
     for upload, policy in history.effective_policies(source):
         build = lambda u=upload: by_day(apply(history.read_upload(spark, source, u, None)), table)
-        frames.append((cached(spark, store, node_key(spec, "", {upload.id: upload.path}), build), upload.period, policy))
+        frames.append((cached(spark, store, node_key(spec, "", {upload.id: source.identity(upload)}), build), upload.period, policy))
     return history.resolve(frames, DAY, (), source.policy)
 
 

@@ -100,7 +100,7 @@ def effective_months(spark: SparkSession, store: str, source: history.History, c
     for i, (upload, _) in enumerate(uploads[start:], start):
         build = lambda u=upload: by_month(history.read_upload(spark, source, u, None), source.period_column, columns)
         spec = ["profile", BITS, TRACKED, list(columns), source.columns, source.period_column]
-        months = cached(spark, store, node_key(spec, "", {upload.id: upload.path}), build)
+        months = cached(spark, store, node_key(spec, "", {upload.id: source.identity(upload)}), build)
         later = [u.period for u, policy in uploads[i + 1 :] if policy == "replace_period" and u.period]
         cut = sorted(cut_months(later))
         gone = [(F.col("_month") >= f"{p.start:%Y-%m}") & (F.col("_month") < f"{p.stop:%Y-%m}") & (F.col("_month") != "none") for p in later]

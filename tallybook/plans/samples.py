@@ -72,7 +72,7 @@ def stored(spark: SparkSession, store: str, source: history.History, keys: Seque
     out = []
     for upload, policy in history.effective_policies(source):
         build = lambda u=upload: taken(history.read_upload(spark, source, u, None), keys, target)
-        key = node_key(["sample", list(keys), target, HALVING, source.columns], "", {upload.id: upload.path})
+        key = node_key(["sample", list(keys), target, HALVING, source.columns], "", {upload.id: source.identity(upload)})
         out.append((cached(spark, store, key, build), upload, policy))
     return out
 

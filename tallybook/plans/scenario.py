@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from datetime import date
 from graphlib import CycleError, TopologicalSorter
 from inspect import signature
 
@@ -183,12 +184,19 @@ def sql_tables(scenario: Scenario, frames: Mapping[str, DataFrame], names: set[s
     return out
 
 
-def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], period: Period, store: str | None = None) -> Report:
+def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], period: Period, store: str | None = None, today: date | None = None) -> Report:
     """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader.
 
     A wrong specification fails its own node, and what reads the node is skipped. With a folder for stored partial
-    aggregates, tables over a history whose days can be merged read the rows of uploads that are new to it alone.
+    aggregates, tables over a history whose days can be merged read the rows of uploads that are new to it alone. With a
+    day, formulas and queries take it for the current date.
     """
+    with formulas.run_on(today):
+        return built(spark, scenario, sources, period, store)
+
+
+def built(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], period: Period, store: str | None) -> Report:
+    """The report of run()."""
     histories = {n: s for n, s in sources.items() if isinstance(s, History)}
     sources = {n: history_view(spark, s) if n in histories else s for n, s in sources.items()}
     found = problems(scenario)

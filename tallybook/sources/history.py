@@ -33,7 +33,11 @@ class Upload:
 
 @dataclass(frozen=True)
 class History:
-    """A source's uploads and how overlaps are resolved."""
+    """A source's uploads and how overlaps are resolved.
+
+    by_upload: the period comes with the upload, not with its rows. Their period column is the first day of the period that
+    the upload declares now, whatever was written, and an upload is read whole or not at all.
+    """
 
     uploads: Sequence[Upload]
     columns: dict[str, str]
@@ -41,6 +45,7 @@ class History:
     policy: str = "replace_period"
     keys: Sequence[str] = ()
     by_month: bool = True
+    by_upload: bool = False
 
     def __post_init__(self) -> None:
         if bad := {self.policy, *(u.policy for u in self.uploads if u.policy)} - {*POLICIES}:
@@ -50,6 +55,10 @@ class History:
     def active(self) -> list[Upload]:
         return sorted((u for u in self.uploads if u.active), key=lambda u: u.seq)
 
+    def identity(self, upload: Upload) -> str:
+        """What the rows of an upload depend on."""
+        return f"{upload.path} {upload.period.code}" if self.by_upload and upload.period else upload.path
+
 
 def shaped(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """The source's columns in its types: missing ones null, others cast leniently; service columns as they are."""
@@ -116,7 +125,9 @@ def read_upload(spark: SparkSession, history: History, upload: Upload, span: Spa
         if problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         df = spark.createDataFrame([], ", ".join(f"`{c}` {SPARK_TYPES[k]}" for c, k in history.columns.items()) + ", _upload_id string, _upload_seq int, _row long, _month string")
-    if span and "_month" in df.columns and not by_keys:
+    if history.by_upload:
+        df = df.withColumn(history.period_column, F.lit(upload.period.start if upload.period else None))
+    if span and "_month" in df.columns and not by_keys and not history.by_upload:
         start, stop = span
         if start is not None:
             df = df.where(F.col("_month") >= f"{start:%Y-%m}")
@@ -127,6 +138,9 @@ def read_upload(spark: SparkSession, history: History, upload: Upload, span: Spa
 def history_view(spark: SparkSession, history: History, span: Span | None = None) -> DataFrame:
     """The effective history, inside span if given."""
     uploads = effective_policies(history)
+    if span and history.by_upload and not any("merge_dedupe" in (p, history.policy) for _, p in uploads):
+        last = max((i for i, (_, p) in enumerate(uploads) if p == "replace_all"), default=0)
+        uploads = [x for x in uploads[last:] if x[0].period and meets(x[0].period, span)]
     frames = [(read_upload(spark, history, u, span, "merge_dedupe" in (p, history.policy)), u.period, p) for u, p in uploads]
     if not frames:
         return spark.createDataFrame([], ", ".join(f"{c} {SPARK_TYPES[k]}" for c, k in history.columns.items()))
@@ -134,9 +148,28 @@ def history_view(spark: SparkSession, history: History, span: Span | None = None
     return out.where(within(history.period_column, span)) if span else out
 
 
+def meets(period: Period, span: Span) -> bool:
+    return period.start < span[1] and (span[0] is None or period.stop > span[0])
+
+
 def uploads_in(history: History, span: Span) -> list[Upload]:
-    """Active uploads whose declared periods meet the span."""
-    return [u for u in history.active if u.period and u.period.start < span[1] and (span[0] is None or u.period.stop > span[0])]
+    """Active uploads with a declared period whose rows can be seen inside the span: those that later uploads leave some of
+    it, by their declared periods and policies. What goes by keys is known from the rows alone, so such uploads hide none.
+    """
+    out: list[Upload] = []
+    hidden: list[Period] = []
+    for u in reversed(history.active):
+        policy = history.policy if history.policy != "ask" else u.policy
+        left = [(max(u.period.start, span[0] or u.period.start), min(u.period.stop, span[1]))] if u.period else []
+        for p in hidden:
+            left = [part for a, b in left for part in ((a, min(b, p.start)), (max(a, p.stop), b))]
+        if any(a < b for a, b in left):
+            out.append(u)
+        if policy == "replace_all":
+            break
+        if policy == "replace_period" and u.period:
+            hidden.append(u.period)
+    return out[::-1]
 
 
 def coverage(history: History) -> list[tuple[date, date]]:

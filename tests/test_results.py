@@ -82,6 +82,15 @@ def test_workbooks(spark, tmp_path):
     book(tmp_path / "a.xlsx", [[], ['<c r="A1" t="inlineStr"><is><t>Title</t></is></c>', head, '<c r="A3" s="1"><v>45352</v></c><c r="B3"><v>12.5</v></c>'], [head, '<c r="B2"><v>7</v></c>']])
     found = [(r.Day, r.Amount) for r in workbook.read_workbooks(spark, str(tmp_path / "a.xlsx")).orderBy("_row").collect()]
     assert found == [("2024-03-01", "12.5"), (None, "7")]
+    # rows are read as they are asked for: far into the sheet there is what no parser takes
+    book(tmp_path / "long.xlsx", [[head, *(f'<c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>{i * 2}</v></c>' for i in range(25_000)), '<c r="A1" t="s"><v>none</v></c>']])
+    rows = workbook.table_rows((tmp_path / "long.xlsx").read_bytes())
+    assert [next(rows) for _ in range(3)] == [["Day", "Amount"], ["0", "0"], ["1", "2"]]
+    with pytest.raises(ValueError):
+        list(rows)
+    book(tmp_path / "parts.xlsx", [[head, *(f'<c r="A{i}"><v>{i}</v></c><c r="B{i}"><v>{i * 2}</v></c>' for i in range(25_000))]])
+    parts = workbook.read_workbooks(spark, str(tmp_path / "parts.xlsx"))
+    assert parts.where("cast(Amount as long) = 2 * cast(Day as long) and _row = cast(Day as long)").count() == 25_000
     with zipfile.ZipFile(tmp_path / "bomb.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("xl/workbook.xml", " " * 5_000_000)
     with pytest.raises(ValueError, match="unpacks"):

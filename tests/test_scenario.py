@@ -1,6 +1,6 @@
 """Steps, tables, metrics and scenarios on small tables."""
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +179,22 @@ def test_formats_and_variables(spark):
     assert formats.filled("{period}: {period_start}-{period_end}, {previous_period}", found) == "2024-03: 01.03.2024-31.03.2024, 2024-02"
     with pytest.raises(ValueError, match="no variable"):
         formats.filled("{nope}", found)
+    ended = {code: formats.period_variables(Period.read(code))["last_quarter_period"] for code in ("2024-03", "2024-04", "2024-02", "2024", "2024-01-31", "2024-06-30", "2024-11-02..2024-12-30")}
+    assert list(ended.values()) == ["2024-Q1", "2024-Q1", "2023-Q4", "2024-Q4", "2023-Q4", "2024-Q2", "2024-Q3"]
+    assert formats.period_variables(Period.read("2024-02"))["last_quarter_year"] == "2023"
+
+
+def test_the_day_of_a_run(spark):
+    df = spark.createDataFrame([(datetime(2024, 3, 1), "today() is current_date")], "d timestamp_ntz, s string")
+    plan = S.Scenario(
+        {"a": {"source": "s", "steps": [{"type": "formula", "name": "n", "text": "date_diff('day', d, CURRENT_DATE)"}, {"type": "filter", "where": "current_date() > d AND s = 'today() is current_date'"}]}},
+        {"t": {"query": "SELECT n, today() - INTERVAL 1 DAY AS yesterday FROM a"}},
+        {"m": {"query": "SELECT year(current_date) FROM a"}},
+    )
+    report = S.run(spark, plan, {"s": df}, MARCH, today=date(2024, 3, 31))
+    assert all(s.state == "ok" for s in report.statuses.values()), report.statuses
+    assert [(r.n, str(r.yesterday)[:10]) for r in report.frames["t"].collect()] == [(30, "2024-03-30")] and report.values["m"] == 2024
+    assert S.run(spark, plan, {"s": df}, MARCH).frames["t"].first().n > 900
 
 
 def test_python_steps(sales):
