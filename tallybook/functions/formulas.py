@@ -185,8 +185,8 @@ def spark_text(text: str) -> str:
         part = re.sub(r"(?<![\w.])(\d+\.\d*|\.\d+)(?![\w.])", r"\1D", part)
         for name, written in WRITTEN.items():
             part = re.sub(rf"(?i)(?<![\w.]){name}\s*\(", f"{written}(", part)
-        if day := RUN_DAY.get():
-            part = re.sub(r"(?i)(?<![\w.])(current_date\b(\s*\(\s*\))?|(today|curdate)\s*\(\s*\))(?!\s*[.(])", f"DATE '{day}'", part)
+        day = RUN_DAY.get()
+        part = re.sub(r"(?i)(?<![\w.])(current_date\b(\s*\(\s*\))?|(today|curdate)\s*\(\s*\))", f"DATE '{day}'" if day else "current_date()", part)
         out.append(part)
         if m:
             like = re.search(r"(?i)\bi?like\s*$", part) and not re.match(r"(?i)\s*escape\b", text[m.end() :])
