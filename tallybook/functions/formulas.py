@@ -42,10 +42,17 @@ FUNCTIONS = {
 }
 
 
+#: A setting of the session's own that says that its functions are defined.
+DEFINED = "tallybook.formulas.defined"
+
+
 def register(spark: SparkSession) -> None:
-    """Define the dialect's functions in the session."""
+    """Define the dialect's functions in the session, once."""
+    if spark.conf.get(DEFINED, "") == "true":
+        return
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+    spark.conf.set(DEFINED, "true")
 
 
 #: Functions of the dialect whose names mean something else to Spark -> what they are written as.
