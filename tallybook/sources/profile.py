@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 #: Rows up to which distinct values are counted exactly, where a profile is not told; an exact count of every column
 #: of a large table would shuffle each row once for each column.
 EXACT_ROWS = 1_000_000
+#: Bits of the sketch behind other counts, whose standard error is 0.8 %.
+BITS = 14
+
+
+def about_distinct(c: str) -> Column:
+    """How many different values a column has, within 3 % but for a probability of 2e-4; nulls are none."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), BITS))
 
 
 def profile(df: DataFrame, columns: Sequence[str], exact: bool | None = None) -> DataFrame:
     """column, rows, nulls, distinct_values, least, greatest: one row for each column, from a single aggregation.
 
-    distinct_values is exact or within a few percent, as asked; by default exact for EXACT_ROWS rows and fewer.
+    distinct_values is exact or that of about_distinct, as asked; by default exact for EXACT_ROWS rows and fewer.
     """
     if exact is None:
         exact = df.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    distinct = F.count_distinct if exact else about_distinct
     aggs = [
-        F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), distinct(F.col(c)).alias("distinct_values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"))
+        F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), distinct(c).alias("distinct_values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest"))
         for c in columns
     ]
     return df.agg(F.array(*aggs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
