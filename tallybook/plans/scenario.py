@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from contextlib import suppress
 from dataclasses import dataclass, field
 from datetime import date
 from graphlib import CycleError, TopologicalSorter
@@ -14,7 +15,7 @@ from tallybook.functions import formulas
 from tallybook.functions.aggregates import Aggregate, Key
 from tallybook.functions.periods import Period
 from tallybook.functions.windows import span_of, within
-from tallybook.operators import datasets, joins, steps
+from tallybook.operators import datasets, joins, ordered, steps
 from tallybook.operators.metrics import Metric, Metrics, plain
 from tallybook.plans import partials
 from tallybook.sources.history import History, history_view
@@ -184,8 +185,27 @@ def sql_tables(scenario: Scenario, frames: Mapping[str, DataFrame], names: set[s
     return out
 
 
+def read_again(spark: SparkSession, scenario: Scenario, needs: Mapping[str, set[str]]) -> set[str]:
+    """Tables that other tables or metrics read."""
+    nodes = {n.lower(): n for n in scenario.tables}
+    read = set().union(*(needs[n] for n in scenario.tables), {spec.get("source") for spec in scenario.metrics.values()})
+    for spec in scenario.metrics.values():
+        if "query" in spec:
+            with suppress(Exception):  # one that cannot be parsed fails when it is measured
+                read |= {nodes.get(r.lower()) for r in formulas.relations(spark, spec["query"])}
+    return read & set(scenario.tables)
+
+
+def finished(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder: each reader gets the same values. Sums of doubles differ in their last
+    bits from one computation to the next, as they depend on the order in which partial sums arrive."""
+    ordered.checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def run(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFrame | History], period: Period, store: str | None = None, today: date | None = None) -> Report:
-    """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader.
+    """Build every node lazily, in order of dependence; metrics are computed, tables wait for their reader, but those that
+    other nodes read are computed once.
 
     A wrong specification fails its own node, and what reads the node is skipped. With a folder for stored partial
     aggregates, tables over a history whose days can be merged read the rows of uploads that are new to it alone. With a
@@ -202,6 +222,7 @@ def built(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFra
     found = problems(scenario)
     broken = {name: "; ".join(texts) for (kind, name), texts in found.items() if kind != "metric"}
     needs = needs_of(spark, scenario, broken)
+    again = read_again(spark, scenario, needs)
     report = Report({}, {}, {})
     for name in TopologicalSorter(needs).static_order():
         if name in broken:
@@ -228,8 +249,11 @@ def built(spark: SparkSession, scenario: Scenario, sources: Mapping[str, DataFra
                     report.frames[name] = partials.build(spark, store, past, before, rows_of, made, period)
                 else:
                     report.frames[name] = datasets.build(report.frames[spec["input"]], made, period)
+            if name in again:
+                report.frames[name] = finished(report.frames[name])
             report.statuses[name] = Status("ok")
         except Exception as problem:  # a node's failure is its own
+            report.frames.pop(name, None)
             report.statuses[name] = Status("failed", str(problem).splitlines()[0])
     measure(spark, scenario, report, period, {name: "; ".join(texts) for (kind, name), texts in found.items() if kind == "metric"})
     return report

@@ -1,5 +1,6 @@
 """Steps, tables, metrics and scenarios on small tables."""
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -234,6 +235,25 @@ def test_sql_tables_read_windows_and_finished_tables(spark, sales):
     assert "no table 'nowhere'" in report.statuses["lost"].message and "circle" in report.statuses["a"].message
 
 
+def test_finished_tables_are_computed_once(spark, sales):
+    """A table whose values differ with each computation, as sums of doubles may, read twice by a query and by metrics."""
+    draw = F.udf(lambda: random.random(), "double").asNondeterministic()
+    tables = {
+        "drawn": {"input": "o", "python": lambda df, context: df.select("region", draw().alias("x")), "schema": "region string, x double"},
+        "largest": {"query": "SELECT region, x FROM Drawn WHERE x = (SELECT max(x) FROM drawn)"},
+        "measured": {"input": "o", "python": lambda df, context: df.select(draw().alias("x")), "schema": "x double"},
+        "late": {"query": "SELECT raise_error(region) AS x FROM o"}, "after": {"query": "SELECT * FROM late"},
+    }
+    made = sql_scenario(tables)
+    made.metrics["most"] = {"query": "SELECT max(x) FROM measured"}
+    made.metrics["least"] = {"source": "drawn", "aggregate": {"fn": "min", "column": "x"}}
+    report = S.run(spark, made, {"s": sales}, MARCH)
+    drawn = [r.x for r in report.frames["drawn"].collect()]
+    assert [r.x for r in report.frames["largest"].collect()] == [max(drawn)] and report.values["least"] == min(drawn)
+    assert report.values["most"] == report.frames["measured"].agg(F.max("x")).first()[0]
+    assert [report.statuses[n].state for n in ("late", "after")] == ["failed", "skipped"] and "late" not in report.frames
+
+
 def test_metrics_fail_alone_and_compare(spark, sales):
     total = {"source": "o", "period_column": "d", "aggregate": {"fn": "sum", "column": "amount"}}
     metrics_of = {
