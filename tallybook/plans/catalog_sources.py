@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from math import ceil
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,15 @@ def scratch(spark: SparkSession) -> str:
 
 # --- files ---------------------------------------------------------------------------------------------------------
 
+#: Lines of a piece of a file, about: what one task sorts and writes of it.
+PIECE_LINES = 1_000_000
+
+
+def in_pieces(rows: DataFrame, *order: str) -> DataFrame:
+    """rows in an order, over as many partitions as their number needs: each is written as a piece of a file, and the
+    pieces' names are in the order too."""
+    return rows.repartitionByRange(max(1, ceil(rows.count() / PIECE_LINES)), *order).sortWithinPartitions(*order)
+
 
 def export(spark: SparkSession, d: str) -> DataFrame:
     """Orders as an export has them: decimal commas, dotted dates, quoted text with the delimiter inside."""
@@ -548,10 +558,10 @@ def preview_stored(spark, d):
 
 
 def written(spark: SparkSession, rows: DataFrame, *head: str) -> str:
-    """A file of the given lines and then of the rows' `value`, in the order of their `place`; rows are text as it is, of any bytes."""
+    """A file, in pieces, of the given lines and then of the rows' `value`, in the order of their `place`; rows are text as it is, of any bytes."""
     path = scratch(spark)
     first = spark.createDataFrame([(i - len(head), x) for i, x in enumerate(head)], "place long, value string")
-    first.unionByName(rows.select("place", "value")).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    in_pieces(first.unionByName(rows.select("place", "value")), "place").select("value").write.text(path)
     return path
 
 
@@ -563,7 +573,7 @@ def ingest_untidy(spark, d):
     line = F.when(short, cells).otherwise(F.concat_ws(";", cells, F.col("o_custkey").cast("string"), F.when(more, "beyond")))
     rows = orders(spark, d).select(F.col("o_orderkey").alias("place"), F.explode(F.array(line, empty)).alias("value"))
     path = written(spark, rows, "Orders of all years", "Key;Note;Note;;")
-    return delimited.read_folder(spark, path, "truncate").select(F.col("Key").cast("long").alias("k"), "Note", "Note (2)", "column 4")
+    return delimited.read_text(spark, path, ragged="truncate").select(F.col("Key").cast("long").alias("k"), "Note", "Note (2)", "column 4")
 
 
 @query("SELECT o_orderkey AS k, 'заказ ' || o_orderpriority AS note FROM orders")
@@ -571,7 +581,7 @@ def ingest_windows_1251(spark, d):
     """A file that is not UTF-8 is read as windows-1251."""
     word = F.unhex(F.lit("E7E0EAE0E7")).cast("string")
     rows = orders(spark, d).select(F.col("o_orderkey").alias("place"), F.concat(F.col("o_orderkey").cast("string"), F.lit(";"), word, F.lit(" "), F.col("o_orderpriority")).alias("value"))
-    return delimited.read_folder(spark, written(spark, rows, "k;note")).select(F.col("k").cast("long").alias("k"), "note")
+    return delimited.read_text(spark, written(spark, rows, "k;note")).select(F.col("k").cast("long").alias("k"), "note")
 
 
 @query("SELECT o_orderkey AS order_no, o_totalprice AS amount, o_orderstatus AS status FROM orders")

@@ -92,7 +92,7 @@ def numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
         offsets.append((split["_file"], split["_block"], upto - split["first"]))
         upto += split["n"]
     table = rows.sparkSession.createDataFrame(offsets, "_file string, _block long, _offset long")
-    return rows.join(table, ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_offset")).drop("_file", "_block", "_id", "_offset")
+    return rows.join(F.broadcast(table), ["_file", "_block"]).withColumn(name, F.col("_id") + F.col("_offset")).drop("_file", "_block", "_id", "_offset")
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -116,8 +116,22 @@ def quote_count(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))  # bytes, as lines may not be UTF-8
 
 
+def head_of(lines: DataFrame, counts: Mapping[str, int]) -> list[bytes]:
+    """The first lines, of the first file by name, and of the next ones where it has too few. counts: the lines of each file."""
+    first, n = [], 0
+    for file in sorted(counts):
+        if n < HEAD_LINES:
+            first.append(file)
+            n += counts[file]
+    begin = F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES).alias("value")
+    found = located(lines).where(F.col("_file").isin(first)).select(begin, "_file", "_block", "_id")
+    if len(first) > 1:
+        found = found.orderBy("_file", "_block", "_id")
+    return [bytes(r["value"]) for r in found.limit(HEAD_LINES).collect()]
+
+
 def sniff(spark: SparkSession, path: str) -> Layout:
-    """Probe a file, read through Spark so that any file system works.
+    """Probe a file, or one in pieces (read_text), read through Spark so that any file system works.
 
     UTF-8 (with or without its mark) if all lines are, else windows-1251. Lines of both kinds of letters, and a quote that
     no other closes, are errors that name the line.
@@ -125,15 +139,17 @@ def sniff(spark: SparkSession, path: str) -> Layout:
     lines = spark.read.text(path)
     valid, ascii_only = F.is_valid_utf8("value"), F.col("value").rlike("^[\\x00-\\x7F]*$")
     odd = quote_count(F.col("value")) % 2 == 1
-    found = lines.agg(F.count_if(~valid).alias("bad"), F.count_if(valid & ~ascii_only).alias("wide"), F.count_if(odd).alias("odd")).first()
-    if bytes((lines.select(F.substring(F.col("value").cast("binary"), 1, 2)).first() or [b""])[0]) in (b"\xff\xfe", b"\xfe\xff"):
+    counts = [F.count(F.lit(1)).alias("lines"), F.count_if(~valid).alias("bad"), F.count_if(valid & ~ascii_only).alias("wide"), F.count_if(odd).alias("odd")]
+    files = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(*counts).collect()  # one row for each file
+    found = {k: sum(f[k] for f in files) for k in ("bad", "wide", "odd")}
+    head = head_of(lines, {f["file"]: f["lines"] for f in files})
+    if head and head[0][:2] in (b"\xff\xfe", b"\xfe\xff"):
         raise ValueError("the file is UTF-16; UTF-8 and windows-1251 are read")
     if found["bad"] and found["wide"]:
         raise ValueError(f"line {line_numbers(spark, path, ~valid)} is not UTF-8, but other lines are")
-    if found["odd"] % 2:
+    if any(f["odd"] % 2 for f in files):
         raise ValueError(f"the quotes do not balance; line {line_numbers(spark, path, odd)} has the first that may be open")
     encoding = "windows-1251" if found["bad"] else "UTF-8"
-    head = [bytes(r[0]) for r in lines.select(F.substring(F.col("value").cast("binary"), 1, HEAD_BYTES)).limit(HEAD_LINES).collect()]
     text = [h.decode("cp1251" if found["bad"] else "utf-8-sig", "replace").rstrip("\r") for h in head]
     filled = [x for x in text if x.strip()]
     delimiter = delimiter_of(filled[:HEAD_ROWS])
@@ -151,6 +167,9 @@ SPARE = "_more"
 def read_text(spark: SparkSession, path: str, layout: Layout | None = None, ragged: str = "error") -> DataFrame:
     """All columns of one file as text, `_row` (place in the file, from 0), blank rows left out.
 
+    The file may lie in pieces: the files of a folder, by name, of which the first alone begins with the header. No record
+    lies in two.
+
     A spare column catches cells beyond the header's width: `error` refuses such rows, `truncate` drops the cells.
     """
     layout = layout or sniff(spark, path)

@@ -161,6 +161,37 @@ def test_folders_and_parts(spark, tmp_path):
     assert (first.name, first.sum, first.amount, parts.count()) == ("b0", "7", None, 3002)
 
 
+@pytest.mark.parametrize("first", [b"Report\nn;a\n0;x\n", b"Report\nn;a\n0;x\n" + b"\n" * 100])
+def test_a_file_in_pieces(spark, tmp_path, first):
+    """The header stands in the first piece, which may be the smallest; rows go on from piece to piece."""
+    folder = tmp_path / "pieces"
+    folder.mkdir()
+    written(folder, "part-0", first)
+    written(folder, "part-1", b"".join(b'%d;"a\nb"\n' % i for i in range(1, 2000)))
+    written(folder, "part-2", b"2000;y\n")
+    layout = delimited.sniff(spark, str(folder))
+    assert (layout.delimiter, list(layout.names), layout.skipped, layout.quoted_lines) == (";", ["n", "a"], 1, True)
+    rows = delimited.read_text(spark, str(folder), layout).orderBy("_row").collect()
+    assert [r.n for r in rows] == [str(i) for i in range(2001)] and [r._row for r in rows] == [*range(2001)]
+    assert (rows[0].a, rows[1].a, rows[2000].a) == ("x", "a\nb", "y")
+    written(folder, "part-3", b'1;"open\n')
+    written(folder, "part-4", b'2;"open\n')
+    with pytest.raises(ValueError, match="do not balance"):
+        delimited.sniff(spark, str(folder))
+
+
+def test_files_of_queries_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """No task sorts or writes much more than a piece, and the pieces are in order."""
+    from tallybook.plans import catalog_sources
+
+    monkeypatch.setattr(catalog_sources, "PIECE_LINES", 500, raising=False)
+    rows = spark.range(10_000).select(((F.col("id") * 7919) % 10_000).alias("place")).select("place", F.concat(F.lit("r;"), F.col("place").cast("string")).alias("value"))
+    path = catalog_sources.written(spark, rows, "Title", "k;n")
+    lines = [spark.read.text(f).collect() for f in delimited.files_of(spark, path)]
+    assert len(lines) > 10 and max(map(len, lines)) < 2000
+    assert [r.value for piece in lines for r in piece] == ["Title", "k;n", *(f"r;{i}" for i in range(10_000))]
+
+
 def test_reader_choice_and_inspection(spark, tmp_path):
     path = written(tmp_path, "data", "Code;Day;Sum\n7;01.03.2024;1,5\n8;02.03.2024;2,5\n".encode())
     found = readers.inspect(spark, path)
