@@ -192,6 +192,22 @@ def test_files_of_queries_are_written_in_pieces(spark, tmp_path, monkeypatch):
     assert [r.value for piece in lines for r in piece] == ["Title", "k;n", *(f"r;{i}" for i in range(10_000))]
 
 
+def rows_in_pieces(spark, tmp_path, monkeypatch, name):
+    """A query's rows over the smallest tables with pieces of 100 lines, the orders, and how many pieces it wrote."""
+    from tallybook.plans import catalog, catalog_sources
+
+    monkeypatch.setattr(catalog_sources, "PIECE_LINES", 100, raising=False)
+    monkeypatch.setattr(catalog_sources, "scratch", lambda spark: str(tmp_path / "file"))
+    data = "/root/testdata/sf0.001"
+    rows = catalog.queries()[name](spark, data).collect()
+    return rows, catalog.orders(spark, data).collect(), len(delimited.files_of(spark, str(tmp_path / "file")))
+
+
+def test_windows_1251_in_pieces(spark, tmp_path, monkeypatch):
+    rows, orders, pieces = rows_in_pieces(spark, tmp_path, monkeypatch, "ingest_windows_1251")
+    assert sorted((r.k, r.note) for r in rows) == sorted((o.o_orderkey, f"заказ {o.o_orderpriority}") for o in orders) and pieces > 5
+
+
 def test_reader_choice_and_inspection(spark, tmp_path):
     path = written(tmp_path, "data", "Code;Day;Sum\n7;01.03.2024;1,5\n8;02.03.2024;2,5\n".encode())
     found = readers.inspect(spark, path)
