@@ -374,13 +374,13 @@ def infer_counts(spark, d):
 
 @query("""SELECT o_orderkey AS k, o_orderstatus || chr(10) || '"' || o_orderpriority AS note, row_number() OVER (ORDER BY o_orderkey, o_totalprice) - 1 AS _row FROM orders""")
 def ingest_quoted(spark, d):
-    """A file whose quotes hold line ends, read in splits, in the order of its rows."""
+    """A file whose quotes hold line ends, written in pieces and read in splits, in the order of its rows."""
     path = scratch(spark)
     note = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('\n""'), F.col("o_orderpriority"), F.lit('"'))
     rows = orders(spark, d).select("o_orderkey", "o_totalprice", F.concat_ws(";", F.col("o_orderkey").cast("string"), note).alias("value"))
     header = spark.createDataFrame([(-1, 0.0, "k;note")], rows.schema)
-    header.unionByName(rows).repartition(1).sortWithinPartitions("o_orderkey", "o_totalprice").select("value").write.text(path)
-    return delimited.read_folder(spark, path).select(F.col("k").cast("long").alias("k"), "note", "_row")
+    in_pieces(header.unionByName(rows), "o_orderkey", "o_totalprice").select("value").write.text(path)
+    return delimited.read_text(spark, path).select(F.col("k").cast("long").alias("k"), "note", "_row")
 
 
 _SCENARIO = {

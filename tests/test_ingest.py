@@ -208,6 +208,13 @@ def test_windows_1251_in_pieces(spark, tmp_path, monkeypatch):
     assert sorted((r.k, r.note) for r in rows) == sorted((o.o_orderkey, f"заказ {o.o_orderpriority}") for o in orders) and pieces > 5
 
 
+def test_quoted_line_ends_in_pieces(spark, tmp_path, monkeypatch):
+    rows, orders, pieces = rows_in_pieces(spark, tmp_path, monkeypatch, "ingest_quoted")
+    want = sorted((o.o_orderkey, o.o_totalprice, f'{o.o_orderstatus}\n"{o.o_orderpriority}') for o in orders)
+    assert [(r.k, r.note) for r in sorted(rows, key=lambda r: r._row)] == [(k, note) for k, _, note in want] and pieces > 5
+    assert sorted(r._row for r in rows) == [*range(len(orders))]
+
+
 def test_reader_choice_and_inspection(spark, tmp_path):
     path = written(tmp_path, "data", "Code;Day;Sum\n7;01.03.2024;1,5\n8;02.03.2024;2,5\n".encode())
     found = readers.inspect(spark, path)
